@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, licenses, packing, pii
+from waymark.llm import bpe, chat, licenses, mih, packing, pii, pq, simhash, toxicity
 from waymark.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -35,6 +39,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -46,6 +57,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=64, distance=2)
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", mih.sign_code("embedding").alias("code"))
+    return mih.top_k(rows, rows.where("vec_id % 100 = 0"), 10, "vec_id", "code")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -65,9 +86,32 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1_SQL = """
+WITH RECURSIVE
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT n.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, n.component_id, n.component_id = n.vec_id AS kept
+FROM named n LEFT JOIN counts c ON c.vec_id = n.vec_id
+"""
+
+OP7_SQL = """
+WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+             CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+      FROM b q JOIN b r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, neighbor_id, distance, rank FROM k WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_chat": op3_chat, "op5_bpe": op5_bpe, "op8_licenses": op8_licenses, "op9_pii": op9_pii}
+    named = (op1_embeddings, op2_packing, op3_chat, op4_toxicity, op5_bpe, op6_simhash, op7_top_k, op8_licenses, op9_pii)
+    return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embeddings": OP1_SQL, "op7_top_k": OP7_SQL}
