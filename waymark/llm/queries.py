@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Documents packed into sequences of 2048 tokens of the 50k byte-level vocabulary."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
