@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from waymark.llm.common import list_array, map_batches, texts_of, tidy, with_fields
 
-#: Pieces whose encoding a worker keeps; beyond it the oldest half goes, so memory stays bounded.
-CACHE_PIECES = 400_000
+#: Pieces whose encoding a worker keeps in each of two generations; used pieces move to the younger one.
+CACHE_PIECES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,6 +36,12 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        # the lengths of tokens by their last bytes, longest first, so that few token starts have to be tried
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            lengths.setdefault(token[-3:], set()).add(len(token))
+        self.short = {e: tuple(n for n in (2, 1) if e[-n:] in ranks and n <= len(e)) for e in {t[-2:] for t in ranks} | {t[-1:] for t in ranks}}
+        self.lengths = {e: (*sorted((n for n in found if n > 2), reverse=True), *self.short.get(e[-2:], (1,))) for e, found in lengths.items() if len(e) == 3}
         self._spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
@@ -84,6 +91,9 @@ class PrefixBPE:
         key = left << 20 | right
         if (known := self._pairs.get(key)) is not None:
             return known
+        if not self.reachable(right):
+            self._pairs[key] = False
+            return False
         a, b = self._spine(left, True), self._spine(right, False)
         i = j = 0
         holds = True
@@ -109,14 +119,25 @@ class PrefixBPE:
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Completes ``last`` (the last token of each prefix, from length 1) for the prefixes of ``data``."""
-        ranks, longest, holds = self.ranks, self.longest, self.pair_holds
+        token_of, pair_of, lengths, short = self.ranks.get, self._pairs.get, self.lengths.get, self.short.get
         for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
             found = -1
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is None or not self.reachable(token):
+            tried = (lengths(data[end - 3 : end]) if end > 2 else None) or short(data[max(0, end - 2) : end], (1,))
+            for length in tried:
+                start = end - length
+                if start < 0:
                     continue
-                if start == 0 or holds(last[start - 1], token):
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    left = last[start - 1]
+                    holds = pair_of(left << 20 | token)
+                    if holds is None:
+                        holds = self.pair_holds(left, token)
+                else:
+                    holds = self.reachable(token)
+                if holds:
                     found = token
                     break
             if found < 0:
@@ -184,22 +205,31 @@ class PieceCodec:
     def __init__(self, ranks_path: str, pattern: str) -> None:
         self.bpe = PrefixBPE(read_ranks(ranks_path))
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            coded = self.bpe.encode_piece(piece.encode())
+            ids = pack(f"<{len(coded)}i", *coded)
+        if len(piece) <= 64:
+            if len(self.young) >= CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        known, out = self.known, []
-        for piece in self.find(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.asarray(self.bpe.encode_piece(piece.encode()), "<i4").tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= CACHE_PIECES:
-                        for old in list(known)[: CACHE_PIECES // 2]:
-                            del known[old]
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        pieces = self.find(text)
+        try:
+            return b"".join(map(self.young.__getitem__, pieces))
+        except KeyError:
+            learn, out = self._learn, []
+            for piece in pieces:
+                ids = self.young.get(piece)
+                out.append(learn(piece) if ids is None else ids)
+            return b"".join(out)
 
 
 @lru_cache(maxsize=4)
