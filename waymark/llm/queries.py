@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, licenses, mih, packing, pii, pq, simhash, toxicity
+from waymark.llm import bpe, chat, licenses, mih, packing, passages, pii, pq, simhash, toxicity
 from waymark.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "stop", F.col("words").alias("n_words"), "alike", F.col("source").alias("source_doc_id"), "source_start", "source_stop")
+
+
 OP1_SQL = """
 WITH RECURSIVE
 v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -109,7 +114,7 @@ SELECT query_id, neighbor_id, distance, rank FROM k WHERE rank <= 10
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_embeddings, op2_packing, op3_chat, op4_toxicity, op5_bpe, op6_simhash, op7_top_k, op8_licenses, op9_pii)
+    named = (op1_embeddings, op2_packing, op3_chat, op4_toxicity, op5_bpe, op6_simhash, op7_top_k, op8_licenses, op9_pii, op10_passages)
     return {q.__name__: q for q in named}
 
 
