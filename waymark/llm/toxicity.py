@@ -84,17 +84,18 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     ratio = np.log((count[1] + 1) / (n1 + 2)) - np.log((count[0] + 1) / (n0 + 2))
     z = ratio / np.sqrt(1 / (count[1] + 1) + 1 / (count[0] + 1))
     chosen = np.flatnonzero((np.abs(z) >= MIN_Z) & (count.sum(0) >= 3))
-    at = np.full(1 << BITS, -1, np.int64)
+    at = np.full(1 << BITS, -1, np.int32)
     at[chosen] = np.arange(len(chosen))
     columns, rows = [], []
     for i, text in enumerate(texts):
         own = at[grams.buckets(text)]
         own = own[own >= 0]
         columns.append(own)
-        rows.append(np.full(len(own), i))
+        rows.append(np.full(len(own), i, np.int32))
     col, row = np.concatenate(columns), np.concatenate(rows)
     scale = ratio[chosen]
-    value = scale[col]
+    del columns, rows, count, at
+    value = scale[col].astype(np.float32)
     y = toxic.astype(np.float64)
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -132,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = tidy(docs, [id_col, text_col]).select(id_col, F.col(text_col).alias("_text"))
     rows = texts.where(F.col("_text").isNotNull() & (F.length("_text") <= MAX_CHARS)).join(F.broadcast(sample), id_col).select("_text", "_label").toArrow()
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    order = np.lexsort((np.asarray(rows.column("_text").to_pylist(), object).astype(str), rows.column("_label").to_numpy())) if rows.num_rows else []
-    rows = rows.take(pa.array(order, pa.int64()))
-    return fit(rows.column("_text").to_pylist(), rows.column("_label").to_numpy(), prior)
+    # one order whatever the partitions, so that sums and so the model are the same each time
+    pairs = sorted(zip(rows.column("_text").to_pylist(), rows.column("_label").to_pylist(), strict=True))
+    return fit([t for t, _ in pairs], np.asarray([y for _, y in pairs], bool), prior)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
