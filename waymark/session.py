@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -61,3 +62,10 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(source, str(Path("waymark") / source.relative_to(_PACKAGE)))
     sc.addPyFile(str(target))
     sc._waymark_shipped = True
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
