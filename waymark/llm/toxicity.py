@@ -23,8 +23,10 @@ BITS = 20
 MAX_TEXTS = 4000
 #: Labelled texts above so many characters are not fitted on, which bounds what the driver holds.
 MAX_CHARS = 60_000
-MIN_Z = 3.0
+MIN_Z = 4.0
 RIDGE = 2.0
+#: Steps and step size of the fit.
+STEPS, RATE = 120, 0.05
 
 
 @dataclass(frozen=True)
@@ -99,12 +101,12 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     y = toxic.astype(np.float64)
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, 401):
+    for step in range(1, STEPS + 1):
         logit = np.bincount(row, value * w[col], len(y)) + b
         slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
         gradient = np.append(np.bincount(col, value * slope[row], len(chosen)) + RIDGE * w / len(y), slope.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w -= move[:-1]
         b -= move[-1]
     weights[chosen] = w * scale
