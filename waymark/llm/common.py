@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 from waymark.session import checkpointed, ship_package
 
+#: Rows of a batch that a function works on at once, which bounds what a worker holds beside the batch.
+CHUNK_ROWS = 1024
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -44,18 +46,32 @@ def with_fields(df: DataFrame, more: str) -> StructType:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with a batch function that each task makes once."""
+    """``mapInArrow`` with a batch function that each task makes once; it sees at most ``CHUNK_ROWS`` rows at a time."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for low in range(0, batch.num_rows, CHUNK_ROWS):
+                yield step(batch.slice(low, CHUNK_ROWS))
+        del step
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory of an idle worker back, since workers stay for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null ones as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]

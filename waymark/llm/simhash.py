@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ASCII_LOWER, components, map_batches, texts_of, tidy, with_fields
+from waymark.llm.common import ASCII_LOWER, components, map_batches, release_memory, texts_of, tidy, with_fields
 from waymark.session import checkpointed, ship_package
 
 SEED = 42
@@ -213,6 +213,8 @@ def _links(blocks: Blocks):
             whole = joined()
             if len(whole[0]) and (done := solve(*whole)) is not None:
                 yield done
+            del whole
+        release_memory()
 
     return run
 
