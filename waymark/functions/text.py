@@ -179,7 +179,7 @@ def list_text(c: Column) -> Column:
     """Lower-case array of a tag that is one word or a written list of quoted words."""
     text = F.lower(F.trim(c.cast("string")))
     inner = F.regexp_replace(F.regexp_replace(text, r"^\[|\]$", ""), r"['\"]", "")
-    return F.when(text.isNull(), F.array().cast("array<string>")).when(text.rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(inner, ","), F.trim), lambda w: w != "")).otherwise(F.array(text))
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(text.rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(inner, ","), lambda t: F.trim(t)), lambda w: w != "")).otherwise(F.array(text))
 
 
 def contains_any(c: Column, words) -> Column:

@@ -84,7 +84,7 @@ def validated(df: DataFrame, near: bool, radius: float = 50.0) -> Column:
     if not near:
         return flag
     if "bronnen" in df.columns:
-        named = F.filter(F.transform(F.split(F.coalesce("bronnen", F.lit("")), ","), F.trim), lambda s: (s != "") & (s != "osm"))
+        named = F.filter(F.transform(F.split(F.coalesce("bronnen", F.lit("")), ","), lambda t: F.trim(t)), lambda s: (s != "") & (s != "osm"))
         flag = F.size(named) > 0
     elif "betrouwbaarheid" in df.columns:
         flag = flag | F.coalesce(F.col("betrouwbaarheid").isin("Goud", "Zilver"), F.lit(False))

@@ -1 +1 @@
-"""See the modules."""
+"""Streaming: an extension beyond the batch operators, on event tables."""
