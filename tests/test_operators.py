@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import access, facilities, isochrones, network, relational, roads, spatial, transit
+from waymark.operators import access, facilities, isochrones, maplayers, network, register, relational, reports, roads, spatial, transit
 
 
 def places(spark, rows, names="id bigint, x double, y double"):
@@ -196,3 +196,49 @@ def test_isochrone_cells(spark):
     cells = isochrones.band_cells(banded, reach=50.0, size=50.0)
     assert {(r.cx, r.cy): r.band for r in cells.collect()} == {(0, 0): 1, (1, 0): 1, (-1, 0): 1, (0, 1): 1, (0, -1): 1, (6, 0): 2, (7, 0): 2, (5, 0): 2, (6, 1): 2, (6, -1): 2}
     assert isochrones.cell_outlines(cells, size=50.0).count() == 24
+
+
+def test_register_cascade_and_use(spark):
+    relations = spark.createDataFrame([("12", "85", "2020-01-01", None, "definitief"), ("13", "85", "2024-06-01", None, "definitief"), ("14", "99", "2020-01-01", None, "definitief")], "woonplaats_id string, gemeentecode string, begin string, eind string, status string")
+    assert [r[0] for r in register.towns_of(relations, ["85"], [2024]).collect()] == ["0012"]
+    units = spark.createDataFrame([("p", "v1", "woonfunctie;winkelfunctie", "80", "Verblijfsobject in gebruik"), ("p", "v2", "winkelfunctie", "20,5", "Verblijfsobject gevormd"), ("q", "v3", None, "x", None)], "pand_id string, verblijfsobject_id string, gebruiksdoelen string, oppervlakte string, verblijfsobject_status string")
+    got = {r.pand_id: (r.vbo_aantal, r.vbo_in_gebruik_aantal, r.vbo_woonfunctie_aantal, r.vbo_oppervlakte_totaal, r.vbo_woonoppervlakte_totaal, r.gebruiksdoelen, r.is_woonpand) for r in register.use_summary(units).collect()}
+    assert got == {"p": (2, 1, 1, 100.5, 80.0, "winkelfunctie;woonfunctie", True), "q": (1, 0, 0, 0.0, 0.0, None, False)}
+    history = spark.createDataFrame([("p", "v", "2020-01-01", "2024-01-01", 1), ("p", "v", "2024-01-01", "", 2), ("p", "v", "2027-01-01", None, 3)], "pand_id string, verblijfsobject_id string, vbo_begin_geldigheid string, vbo_eind_geldigheid string, vbo_voorkomen_id int")
+    assert [r.vbo_voorkomen_id for r in register.current_units(history, 2026).collect()] == [2]
+    with pytest.raises(ValueError):
+        register.with_use(units.select("pand_id"), register.use_summary(units))
+
+
+def test_garage_match(spark):
+    ring = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 10D, 'y', 0D), named_struct('x', 10D, 'y', 10D), named_struct('x', 0D, 'y', 10D), named_struct('x', 0D, 'y', 0D)))"
+    buildings = spark.range(1).select(F.lit("p1").alias("pand_id"), F.expr(ring).alias("polygon"))
+    addresses = spark.createDataFrame([("A", "p1"), ("A", "p0"), ("B", "p9")], "adres_key string, pand_id string")
+    points = spark.createDataFrame([(1, 5.0, 5.0, "A"), (2, 50.0, 5.0, "B"), (3, None, None, "A"), (4, None, None, "Z")], "garage_id bigint, x double, y double, adres_key string")
+    got = {r.garage_id: (r.match_pand_id, r.bag_match_type, r.bag_adres_valideert_punt) for r in register.match_garages(points, buildings, addresses).collect()}
+    assert got == {1: ("p1", "punt_binnen_pand", True), 2: ("p9", "adres_fallback_punt_niet_in_pand", None), 3: ("p0", "adres_fallback_geen_punt", None), 4: (None, "geen_match", None)}
+
+
+def test_report_tables(spark):
+    rows = [("f", m, p, 15.0, within) for p, inside in ((1, {"auto"}), (2, set()), (3, {"auto", "lopen", "fiets", "ov_lopen", "ov_fiets"})) for m in ("lopen", "fiets", "auto", "ov_lopen", "ov_fiets") for within in [m in inside]]
+    df = spark.createDataFrame(rows, "facility string, modus string, pand_id int, norm_min double, within boolean").withColumn("buurtcode", F.lit("b"))
+    table = {r.modus: r for r in reports.mode_table(df).collect()}
+    assert table["auto"].binnen == 2 and table["auto"].positie == 5 and table["lopen"].positie == 1 and table["lopen"].norm == "15"
+    assert {r.buiten: r.panden for r in reports.insufficient_counts(df).collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+    figures = reports.key_figures(df).first()
+    assert (figures.buiten_alle, figures.alleen_auto, figures.slechtste_modaliteit, figures.beste_modaliteit) == (1, 1, "lopen", "auto")
+    weak = {r.modus: (r.zwakste_modaliteit, r.buiten_alle) for r in reports.weakest_modes(reports.mode_table(df), reports.insufficient_counts(df)).collect()}
+    assert weak["lopen"] == ("Ja", 1) and weak["auto"] == ("Nee", 1)
+    assert reports.complete_runs(df.where("modus <> 'auto'")).count() == 0
+    assert reports.car_dependence(df, ["buurtcode"]).first().alleen_auto == 1
+
+
+def test_lines_and_flows(spark):
+    line = [(0.0, 0.0), (100.0, 0.0), (200.0, 0.0)]
+    lines = spark.createDataFrame([(1, "bus", "007", "Arriva", "A - B", line), (2, "bus", "9", "Arriva", "x", line)], "fid bigint, mode string, line_id string, operator string, route_name string, line array<struct<x:double,y:double>>")
+    c = spark.createDataFrame([(5, "bus", "7", "arriva nl", "t", 150.0, 10.0, 50.0, 0.0), (6, "bus", "7", "x", "t", 150.0, 900.0, 50.0, 0.0)], "connection_id bigint, mode string, line_id string, operator string, route_text string, ax double, ay double, bx double, by double")
+    got = maplayers.line_candidates(c, lines).collect()
+    assert [(r.connection_id, r.fid, [(p.x, p.y) for p in r.line]) for r in got] == [(5, 1, [(150, 0), (100, 0), (50, 0)])]
+    routes = spark.createDataFrame([(1, "weg", 3, None, "b", True, 7, "S"), (1, "weg", 3, None, "b", True, 7, "S"), (2, "weg", 3, None, "b", False, 8, "T")], "pand_id bigint, segment_type string, edge_id bigint, line array<struct<x:double,y:double>>, area string, within boolean, target bigint, target_name string")
+    row = maplayers.flow_segments(routes, "lopen").first()
+    assert (row.aantal_panden, row.aantal_panden_binnen_norm, row.aantal_panden_buiten_norm, row.voorziening_ids, row.flow.klasse) == (2, 1, 1, "7, 8", "2-40 pandroutes")

@@ -52,8 +52,8 @@ def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     minutes = F.abs(F.datediff("l_shipdate", "o_orderdate"))
     norm = F.when(F.col("o_orderpriority").startswith("1"), 400).when(F.col("o_orderpriority").startswith("2"), 600).otherwise(900)
     return rows.select(F.col("l_orderkey").alias("pand_id"), _mode(F.col("l_linenumber")).alias("modus"), F.col("l_linenumber").alias("regel"), F.when(minutes % 11 != 0, minutes).alias("minutes"), norm.alias("norm"), F.col("n_name").alias("buurt"), F.col("r_name").alias("gemeente")).withColumn("within", F.coalesce(F.col("minutes") <= F.col("norm"), F.lit(False)))
