@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import classes, geometry, text, times
-from waymark.operators import facilities, network, relational, rollup, spatial, transit
+from waymark.operators import facilities, isochrones, maplayers, network, register, relational, reports, roads, rollup, spatial, transit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,3 +485,91 @@ def municipality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def network_quality_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("klasse"), F.col("o_totalprice").cast("decimal(18,2)").alias("lengte"))
     return rollup.length_shares(rows, "klasse", "lengte").drop("aandeel")
+
+
+_REPORT = f"""WITH {_ACCESS}, r AS (SELECT 'f' AS facility, modus, pand_id, norm, within FROM access),
+t AS (SELECT facility, modus, count(*) AS totaal, count(*) FILTER (WHERE within) AS binnen, count(*) FILTER (WHERE NOT within) AS buiten,
+  'varieert: ' || string_agg(DISTINCT CAST(norm AS VARCHAR), '/' ORDER BY CAST(norm AS VARCHAR)) AS norm, CASE modus WHEN 'lopen' THEN 1 WHEN 'fiets' THEN 2 WHEN 'auto' THEN 3 WHEN 'ov_lopen' THEN 4 ELSE 5 END AS k FROM r GROUP BY facility, modus),
+p AS (SELECT *, CAST(binnen * 100.0 / totaal AS DOUBLE) AS percentage_binnen, CAST(buiten * 100.0 / totaal AS DOUBLE) AS percentage_buiten FROM t),
+m AS (SELECT facility, modus, totaal, binnen, buiten, norm, percentage_binnen, percentage_buiten, k, CASE WHEN percentage_binnen >= 80 THEN 'Goed' WHEN percentage_binnen >= 60 THEN 'Vereist aandacht' WHEN percentage_binnen >= 40 THEN 'Knelpunt' ELSE 'Ernstig knelpunt' END AS klasse,
+  CAST(row_number() OVER (ORDER BY percentage_buiten DESC, buiten DESC, k) AS INTEGER) AS positie, percentage_buiten - min(percentage_buiten) OVER () AS verschil_met_beste FROM p)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access(spark, sf_dir).select(F.lit("f").alias("facility"), "modus", "pand_id", F.col("norm").alias("norm_min"), "within", "buurt", "gemeente")
+
+
+@query(f"{_REPORT} SELECT * EXCLUDE (k) FROM m")
+def report_mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mode_table(_report(spark, sf_dir))
+
+
+@query(f"""{_REPORT}, e AS (SELECT pand_id, count(*) FILTER (WHERE NOT within) AS buiten FROM r GROUP BY pand_id), c AS (SELECT least(buiten, 99) AS buiten, count(*) AS n FROM e GROUP BY 1)
+SELECT 'f' AS facility, g.range AS buiten, coalesce(c.n, 0) AS panden, CAST(coalesce(c.n, 0) * 100.0 / sum(coalesce(c.n, 0)) OVER () AS DOUBLE) AS percentage FROM range(6) g LEFT JOIN c ON c.buiten = g.range""")
+def report_insufficient_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.insufficient_counts(_report(spark, sf_dir))
+
+
+@query(f"""{_REPORT}, w AS (SELECT pand_id, count(*) AS n, bool_or(within AND modus = 'auto') AS a, bool_or(within AND modus <> 'auto') AS o FROM r GROUP BY pand_id HAVING count(*) = 5),
+s AS (SELECT count(*) FILTER (WHERE NOT a AND NOT o) AS buiten_alle, count(*) FILTER (WHERE a AND NOT o) AS alleen_auto FROM w)
+SELECT 'f' AS facility, max(totaal) AS totaal, arg_max(modus, positie * -1) AS slechtste_modaliteit, arg_min(modus, percentage_buiten * 1000000000 + buiten * 10 + k) AS beste_modaliteit, any_value(buiten_alle) AS buiten_alle, any_value(alleen_auto) AS alleen_auto,
+  CAST(any_value(buiten_alle) * 100.0 / max(totaal) AS DOUBLE) AS percentage_buiten_alle, CAST(any_value(alleen_auto) * 100.0 / max(totaal) AS DOUBLE) AS percentage_alleen_auto FROM m, s""")
+def report_key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.key_figures(_report(spark, sf_dir))
+
+
+@query(f"""WITH {_ACCESS}, w AS (SELECT pand_id, gemeente, buurt, coalesce(bool_or(within) FILTER (WHERE modus = 'auto'), false) AS a, coalesce(bool_or(within) FILTER (WHERE modus <> 'auto'), false) AS o FROM access GROUP BY ALL HAVING count(*) = 5)
+SELECT gemeente, buurt, count(*) AS panden, count(*) FILTER (WHERE a AND NOT o) AS alleen_auto, count(*) FILTER (WHERE a AND NOT o) AS autoafhankelijk,
+  CAST(count(*) FILTER (WHERE a AND NOT o) * 100.0 / count(*) AS DOUBLE) AS percentage_alleen_auto, CAST(count(*) FILTER (WHERE a AND NOT o) * 100.0 / count(*) AS DOUBLE) AS percentage_autoafhankelijk FROM w GROUP BY gemeente, buurt""")
+def report_car_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.car_dependence(_report(spark, sf_dir), ["gemeente", "buurt"])
+
+
+@query("""WITH u AS (SELECT l_orderkey AS pand_id, l_linenumber AS v, CASE WHEN l_returnflag = 'N' THEN 'woonfunctie;winkelfunctie' WHEN l_returnflag = 'A' THEN 'winkelfunctie' END AS d, l_quantity AS m, l_linestatus = 'O' AS b FROM lineitem),
+c AS (SELECT pand_id, string_agg(DISTINCT x, ';' ORDER BY x) AS gebruiksdoelen FROM (SELECT pand_id, unnest(string_split(d, ';')) AS x FROM u) GROUP BY pand_id)
+SELECT u.pand_id, count(DISTINCT v) AS vbo_aantal, count(*) FILTER (WHERE b) AS vbo_in_gebruik_aantal, count(*) FILTER (WHERE d LIKE '%woonfunctie%') AS vbo_woonfunctie_aantal, CAST(sum(m) AS DOUBLE) AS vbo_oppervlakte_totaal,
+  CAST(coalesce(sum(m) FILTER (WHERE d LIKE '%woonfunctie%'), 0) AS DOUBLE) AS vbo_woonoppervlakte_totaal, any_value(c.gebruiksdoelen) AS gebruiksdoelen, count(*) FILTER (WHERE d LIKE '%woonfunctie%') > 0 AS is_woonpand FROM u LEFT JOIN c USING (pand_id) GROUP BY u.pand_id""")
+def building_use_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = F.when(F.col("l_returnflag") == "N", "woonfunctie;winkelfunctie").when(F.col("l_returnflag") == "A", "winkelfunctie")
+    state = F.when(F.col("l_linestatus") == "O", "Verblijfsobject in gebruik").otherwise("Verblijfsobject gevormd")
+    units = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pand_id"), F.col("l_linenumber").alias("verblijfsobject_id"), uses.alias("gebruiksdoelen"), F.col("l_quantity").cast("string").alias("oppervlakte"), state.alias("verblijfsobject_status"))
+    return register.use_summary(units)
+
+
+@query("""WITH b AS (SELECT o_orderkey AS pand_id, strftime(o_orderdate, '%Y-%m-%d') AS b, CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate + INTERVAL 500 DAY, '%Y-%m-%d') END AS e FROM orders)
+SELECT pand_id, b AS begin, e AS eind, j.jaar FROM b CROSS JOIN (VALUES (1995), (1996), (1997)) j(jaar) WHERE b <= j.jaar || '-12-31' AND (e IS NULL OR e > j.jaar || '-12-31')""")
+def validity_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    end = F.when(F.col("o_orderstatus") != "O", F.date_format(F.date_add(F.to_date("o_orderdate"), 500), "yyyy-MM-dd"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pand_id"), day.alias("begin"), end.alias("eind"))
+    return relational.valid_in_years(rows, "begin", "eind", (1995, 1996, 1997))
+
+
+@query(f"""WITH {_PLACES}, b AS (SELECT floor(x / 1000) AS cx, floor(y / 1000) AS cy, CASE WHEN vec_id % 30 <= 10 THEN 1 WHEN vec_id % 30 <= 20 THEN 2 ELSE 3 END AS band FROM p),
+n AS (SELECT dx.range - 2 AS dx, dy.range - 2 AS dy FROM range(5) dx, range(5) dy), c AS (SELECT CAST(cx + dx AS BIGINT) AS cx, CAST(cy + dy AS BIGINT) AS cy, min(band) AS band FROM b, n WHERE (dx * dx + dy * dy) * 1000000 <= 2250000 GROUP BY 1, 2)
+SELECT cx, cy, CAST(band AS INTEGER) AS band FROM c""")
+def isochrone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _places(spark, sf_dir).select("x", "y", (F.col("vec_id") % 30).cast("double").alias("total_min"), F.lit(True).alias("within"))
+    return isochrones.band_cells(isochrones.building_bands(rows, [10.0, 20.0, 30.0]), reach=1500.0, size=1000.0)
+
+
+@query("""WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS wvk_id, l_returnflag, l_linestatus, l_quantity FROM lineitem),
+a AS (SELECT *, l_returnflag = 'A' AS h, l_returnflag = 'R' AS t, l_returnflag = 'N' AND l_quantity % 2 = 0 AS extra, l_linestatus AS d FROM w)
+SELECT wvk_id, h OR (extra AND d <> 'F') AS heen_toegestaan, t OR (extra AND d <> 'O') AS terug_toegestaan, CASE WHEN h OR t THEN 'toegang' ELSE 'aanvulling_onbekend' END AS selectie_bron,
+  CAST(floor(l_quantity * 10 / (30 * 1000 / 60.0) * 1000000) AS BIGINT) AS micro_min FROM a WHERE (h OR t OR extra)""")
+def road_access_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("wvk_id"), "l_returnflag", "l_linestatus", "l_quantity")
+    flags = [F.lit("N").alias(f"{s}_{d}") for s in roads.VEHICLES.values() for d in "ht" if s != "auto"]
+    ways = lines.select("wvk_id", F.when(F.col("l_returnflag") == "A", "J").otherwise("N").alias("auto_h"), F.when(F.col("l_returnflag") == "R", "j ").otherwise("N").alias("auto_t"), *flags, F.when(F.col("l_quantity") % 2 == 0, F.array(F.lit("Onbekend"))).otherwise(F.array(F.lit("straat"))).alias("wegcategorieen"), F.when(F.col("l_linestatus") == "O", "H").otherwise("T").alias("richting_bron"), F.lit(False).alias("op_water"), (F.col("l_quantity") * 10).cast("string").alias("lengte_meter"), F.lit(30.0).alias("max_snelheid_kmh"), F.array(geometry.point(F.lit(0), F.lit(0)), geometry.point(F.lit(1), F.lit(0))).alias("line"))
+    got = roads.costs(roads.access(ways, "personenauto"), "personenauto")
+    return got.select("wvk_id", "heen_toegestaan", "terug_toegestaan", "selectie_bron", F.floor(F.col("reistijd_min") * 1000000).cast("bigint").alias("micro_min"))
+
+
+@query("""WITH s AS (SELECT c_custkey % 500 AS pand_id, c_mktsegment AS segment_type, c_nationkey AS edge_id, CAST(c_custkey % 3 AS VARCHAR) AS area, c_acctbal > 0 AS within, c_custkey % 7 AS target FROM customer),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pand_id, segment_type, edge_id, area ORDER BY within DESC, target) = 1)
+SELECT segment_type, area, edge_id, count(*) AS aantal_panden, count(*) FILTER (WHERE within) AS aantal_panden_binnen_norm FROM o GROUP BY ALL""")
+def flow_segments_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    routes = c.select((F.col("c_custkey") % 500).alias("pand_id"), F.col("c_mktsegment").alias("segment_type"), F.col("c_nationkey").alias("edge_id"), F.array(geometry.point(F.col("c_nationkey"), F.lit(0))).alias("line"), (F.col("c_custkey") % 3).cast("string").alias("area"), (F.col("c_acctbal") > 0).alias("within"), (F.col("c_custkey") % 7).alias("target"), F.lit("x").alias("target_name"))
+    got = maplayers.flow_segments(routes, "lopen")
+    return got.select("segment_type", "area", F.col("line")[0]["x"].cast("int").alias("edge_id"), "aantal_panden", "aantal_panden_binnen_norm")
