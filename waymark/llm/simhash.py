@@ -109,7 +109,7 @@ def pigeonhole(bits: int, distance: int, rows: int) -> Blocks:
     return Blocks(bits, distance, chosen, True)
 
 
-def sampled(bits: int, distance: int, expected: float, rows: int, recall: float = 0.95) -> Blocks:
+def sampled(bits: int, distance: int, expected: float, rows: int, recall: float = 0.98) -> Blocks:
     """Blocks for distances too large for a guarantee: random bit subsets, as many as ``recall`` needs.
 
     A pair in which a share ``expected`` of the bits differs meets in at least one block with probability
@@ -139,6 +139,25 @@ def _forest(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _tree(words: np.ndarray, distance: int) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest of all pairs of rows within ``distance`` bits (Prim); every row's nearest one is in it."""
+    left = np.arange(len(words))
+    gap = np.full(len(words), distance + 1, np.int32)
+    near = np.full(len(words), -1)
+    edges = []
+    while len(left):
+        k = int(gap.argmin())
+        at = int(left[k])
+        if near[k] >= 0:
+            edges.append((int(near[k]), at, int(gap[k])))
+        keep = np.arange(len(left)) != k
+        left, gap, near = left[keep], gap[keep], near[keep]
+        far = np.bitwise_count(words[left] ^ words[at]).sum(axis=1, dtype=np.int32)
+        closer = far < gap
+        gap[closer], near[closer] = far[closer], at
+    return edges
+
+
 def _bucket(words: np.ndarray, distance: int, open_bits: np.ndarray | None) -> list[tuple[int, int]]:
     """Links of one bucket. A large one is split by pigeonhole again over the bits that its key leaves open."""
     if open_bits is None or len(words) <= SPLIT_AT or len(open_bits) < 4 * (distance + 1):
@@ -167,26 +186,33 @@ def _links(blocks: Blocks):
         def solve(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch | None:
             border = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             sizes = np.diff(border)
-            out_a, out_b = [], []
+            out_a, out_b, out_d = [], [], []
             longest = min(SHORT_RUN, int(sizes.max(initial=0)))
             short = np.repeat(sizes <= SHORT_RUN, sizes)
             for shift in range(1, longest):
                 same = np.flatnonzero((keys[shift:] == keys[:-shift]) & short[shift:])
                 if not len(same):
                     break
-                near = same[np.bitwise_count(words[same] ^ words[same + shift]).sum(axis=1, dtype=np.int32) <= blocks.distance]
+                far = np.bitwise_count(words[same] ^ words[same + shift]).sum(axis=1, dtype=np.int32)
+                near = same[far <= blocks.distance]
                 out_a.append(ids[near])
                 out_b.append(ids[near + shift])
+                out_d.append(far[far <= blocks.distance])
             for k in np.flatnonzero(sizes > SHORT_RUN):
                 low, high = border[k], border[k + 1]
-                open_bits = np.setdiff1d(everything, blocks.chosen[int(keys[low]) >> 48]) if blocks.exact else None
-                if edges := _bucket(words[low:high], blocks.distance, open_bits):
-                    pair = np.asarray(edges, np.int64) + low
-                    out_a.append(ids[pair[:, 0]])
-                    out_b.append(ids[pair[:, 1]])
+                if blocks.exact:
+                    open_bits = np.setdiff1d(everything, blocks.chosen[int(keys[low]) >> 48])
+                    edges = [(a, b, 0) for a, b in _bucket(words[low:high], blocks.distance, open_bits)]
+                else:
+                    edges = _tree(words[low:high], blocks.distance)
+                if edges:
+                    pair = np.asarray(edges, np.int64)
+                    out_a.append(ids[pair[:, 0] + low])
+                    out_b.append(ids[pair[:, 1] + low])
+                    out_d.append(pair[:, 2].astype(np.int32))
             if not out_a or not sum(map(len, out_a)):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_d))], ["a", "b", "d"])
 
         def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             parts = [np.concatenate([c[i] for c in carry]) for i in range(3)]
@@ -220,8 +246,9 @@ def _links(blocks: Blocks):
 
 
 def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
-    """Links (a, b) among rows (id bigint, fingerprint binary) within the distance: a spanning forest for each key.
+    """Links (a, b, d) among rows (id bigint, fingerprint binary) within the distance: a spanning forest for each key.
 
+    With sampled blocks it is a minimum one and ``d`` the distance; with exact blocks ``d`` has no meaning.
     Every row goes out once for each block; a key's rows meet in one task, sorted, and are compared there
     without leaving out any pair. Fingerprints should be distinct, so that copies don't fill a bucket.
     """
@@ -242,10 +269,44 @@ def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
         return step
 
     keyed = map_batches(prints.select("id", "fingerprint"), make, "key bigint, id bigint, fingerprint binary")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(blocks), "a bigint, b bigint")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(blocks), "a bigint, b bigint, d int")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of documents (id, text) whose shingle sets have a Jaccard similarity of at least ``least``.
+
+    Only the pairs' documents are hashed again; what meets the pairs in two joins are their sets of 32-bit
+    shingle hashes.
+    """
+    owners = pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).distinct()
+    texts = docs.join(owners, docs["id"] == owners["owner"], "left_semi").select("id", "text").dropDuplicates(["id"])
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in texts_of(batch.column("text"))]
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+        return step
+
+    sets = checkpointed(map_batches(texts, make, "id bigint, shingles binary"))
+    left, right = (sets.select(F.col("id").alias(f"_{end}"), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    sided = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "x").join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+
+    def compare():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x or b"", np.uint32), np.frombuffer(y or b"", np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return step
+
+    return map_batches(sided, compare, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: int = 2, expected: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: int = 2, expected: float | None = None, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose fingerprints differ in at most ``distance`` bits.
 
     Returns a row per document: ``id_col``, fingerprint binary, component_id (the smallest id reachable by links, itself
@@ -255,12 +316,17 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
 
     Without ``expected`` the blocks guarantee that no link is lost; with it (the share of bits in which the
     least similar pairs of interest differ) they are sampled, for distances that no blocks can guarantee.
+    With ``least`` fingerprints only propose, by the edges of a minimum spanning forest of each bucket: a pair of them
+    is a link if the Jaccard similarity of its shingle sets is at least ``least``.
     """
     docs = tidy(df, [id_col, text_col]).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
     prints = checkpointed(fingerprints(docs, shingle, bits))
     classes = checkpointed(prints.groupBy("fingerprint").agg(F.min(id_col).alias("id")).where("id is not null"))
     rows = classes.count()
     blocks = pigeonhole(bits, distance, rows) if expected is None else sampled(bits, distance, expected, rows)
-    found = components(links(classes, blocks))
+    pairs = links(classes, blocks)
+    if least is not None:
+        pairs = _alike(checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), docs.withColumnRenamed(id_col, "id"), shingle, least)
+    found = components(pairs)
     named = classes.join(found, classes["id"] == found["node"], "left").select(F.col("fingerprint").alias("_print"), F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, prints["fingerprint"] == named["_print"], "left").select(id_col, "fingerprint", "component_id")
