@@ -14,10 +14,10 @@ from waymark.llm import passages, pii, simhash, toxicity
 from waymark.llm.queries import packed
 from waymark.session import ensure_checkpoint_dir, written
 
-#: SimHash for 5-word shingles: of 512 bits, texts with a Jaccard similarity of 0.8 differ in 15.15 % (the
-#: angle between their shingle sets is 27 degrees), that is 78 bits with a standard error of 8. Pairs link up to one
-#: standard error above, so that nearly all pairs at 0.8 or more link.
-SHINGLE, BITS, DISTANCE, EXPECTED = 5, 512, 86, 0.1515
+#: SimHash for 5-word shingles: of 256 bits, texts with a Jaccard similarity of 0.8 differ in 15.15 % (the
+#: angle between their shingle sets is 27 degrees), that is 39 bits with a standard error of 6. Pairs up to more than
+#: two standard errors above are proposed, and those with an exact similarity of at least 0.8 are links.
+SHINGLE, BITS, DISTANCE, EXPECTED, LEAST = 5, 256, 52, 0.1515, 0.8
 
 
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id; documents without an id stay."""
-    found = simhash.near_duplicates(docs, SHINGLE, BITS, DISTANCE, EXPECTED)
+    found = simhash.near_duplicates(docs, SHINGLE, BITS, DISTANCE, EXPECTED, LEAST)
     copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 
