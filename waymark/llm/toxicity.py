@@ -23,7 +23,9 @@ BITS = 20
 MAX_TEXTS = 4000
 #: Labelled texts above so many characters are not fitted on, which bounds what the driver holds.
 MAX_CHARS = 60_000
-MIN_Z = 4.0
+MIN_Z = 3.0
+#: At most so many n-grams take part, those that stand out most.
+FEATURES = 4096
 RIDGE = 2.0
 #: Steps and step size of the fit.
 STEPS, RATE = 120, 0.05
@@ -86,6 +88,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     ratio = np.log((count[1] + 1) / (n1 + 2)) - np.log((count[0] + 1) / (n0 + 2))
     z = ratio / np.sqrt(1 / (count[1] + 1) + 1 / (count[0] + 1))
     chosen = np.flatnonzero((np.abs(z) >= MIN_Z) & (count.sum(0) >= 3))
+    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:FEATURES]])
     at = np.full(1 << BITS, -1, np.int32)
     at[chosen] = np.arange(len(chosen))
     columns, rows = [], []
