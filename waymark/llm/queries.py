@@ -103,6 +103,19 @@ SELECT n.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, n.component_id, n.
 FROM named n LEFT JOIN counts c ON c.vec_id = n.vec_id
 """
 
+#: The template in SQL: the same escape as in ``chat``, and the digests of the texts themselves.
+OP3_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(length('<s>[INST] ' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || ' [/INST]' || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '</s>')) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 OP7_SQL = """
 WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
@@ -121,4 +134,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": OP1_SQL, "op7_top_k": OP7_SQL}
+    return {"op1_embeddings": OP1_SQL, "op3_chat": OP3_SQL, "op7_top_k": OP7_SQL}
