@@ -131,7 +131,7 @@ chosen AS (SELECT b.pand_id, b.buurt, r.modus, r.minutes, b.aantal_binnen_norm >
 
 @query(f"{_BEST} SELECT * EXCLUDE (buurt) FROM chosen")
 def best_mode_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.best_of_modes(access(spark, sf_dir), ["pand_id"], MODES)
+    return rollup.best_of_modes(access(spark, sf_dir), ["pand_id"], MODES).withColumn("minutes", F.col("minutes").cast("bigint"))
 
 
 @query(f"""{_BEST}, c AS (SELECT buurt, modus, count(*) AS panden FROM chosen WHERE modus IS NOT NULL GROUP BY buurt, modus)
@@ -481,10 +481,10 @@ def municipality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("gemeente", "modus", "norm", "panden", classes.reach_class(F.col("_in") * 100.0 / F.col("panden")).alias("oordeel"))
 
 
-@query("""SELECT o_orderpriority AS klasse, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS lengte_meter, count(*) AS segmenten FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority AS klasse, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS lengte_meter, count(*) AS segmenten FROM orders GROUP BY 1""")
 def network_quality_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("klasse"), F.col("o_totalprice").cast("decimal(18,2)").alias("lengte"))
-    return rollup.length_shares(rows, "klasse", "lengte").drop("aandeel")
+    return rollup.length_shares(rows, "klasse", "lengte").drop("aandeel").withColumn("lengte_meter", F.col("lengte_meter").cast("double"))
 
 
 _REPORT = f"""WITH {_ACCESS}, r AS (SELECT 'f' AS facility, modus, pand_id, norm, within FROM access),
