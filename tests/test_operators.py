@@ -9,7 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import access, facilities, isochrones, maplayers, network, register, relational, reports, roads, spatial, transit
+from waymark.functions import classes
+from waymark.operators import access, facilities, isochrones, maplayers, network, register, relational, reports, roads, rollup, spatial, transit
+from waymark.plans import config, legends, run
 
 
 def places(spark, rows, names="id bigint, x double, y double"):
@@ -242,3 +244,70 @@ def test_lines_and_flows(spark):
     routes = spark.createDataFrame([(1, "weg", 3, None, "b", True, 7, "S"), (1, "weg", 3, None, "b", True, 7, "S"), (2, "weg", 3, None, "b", False, 8, "T")], "pand_id bigint, segment_type string, edge_id bigint, line array<struct<x:double,y:double>>, area string, within boolean, target bigint, target_name string")
     row = maplayers.flow_segments(routes, "lopen").first()
     assert (row.aantal_panden, row.aantal_panden_binnen_norm, row.aantal_panden_buiten_norm, row.voorziening_ids, row.flow.klasse) == (2, 1, 1, "7, 8", "2-40 pandroutes")
+
+
+def test_static_transit_needs_a_ride(spark):
+    rides = spark.createDataFrame([(1, 2, 10.0), (1, 2, 8.0), (3, 4, 5.0), (None, 2, 1.0), (2, 2, 0.0)], "src bigint, dst bigint, minutes double")
+    pairs = transit.stop_pairs(rides)
+    assert {(r.src, r.dst): r.minutes for r in pairs.collect()} == {(1, 2): 8.0, (3, 4): 5.0}
+    walks = spark.createDataFrame([(2, 3, 2.0)], "src bigint, dst bigint, minutes double")
+    egress = spark.createDataFrame([(4, 4.0, 9), (1, 1.0, 9)], "node bigint, minutes double, target bigint")
+    got = {r.node: (r.minutes, r.target) for r in transit.static_minutes(pairs, walks, egress).collect()}
+    assert got == {1: (19.0, 9), 3: (9.0, 9)}
+
+
+def test_merge_sources_and_samples(spark):
+    osm = places(spark, [(1, 0.0, 0.0)])
+    register_ = places(spark, [(10, 50.0, 0.0), (11, 500.0, 0.0)]).withColumn("naam", F.lit("n"))
+    assert sorted(r.id for r in facilities.merge_sources(osm, register_, "id").collect()) == [1, 11]
+    many = spark.range(1000)
+    assert relational.sample_rows(many, "id", 5).collect() == relational.sample_rows(many.repartition(7), "id", 5).collect()
+    assert relational.value_counts(spark.createDataFrame([("a",), (" ",), ("a",)], "k string"), "k").collect()[0].aantal == 2
+    with pytest.raises(ValueError):
+        relational.unique_or_fail(spark.createDataFrame([(1,), (1,)], "k int"), "k", "t")
+    with pytest.raises(ValueError):
+        relational.matched_or_fail(spark.createDataFrame([("1",), ("2",)], "k string"), spark.createDataFrame([("1.0", "x")], "k string, v string"), "k", "t")
+
+
+def test_multimodal_summary_keeps_null_areas(spark):
+    df = spark.createDataFrame([(1, None, "auto", 5.0, True), (2, "a", "fiets", 7.0, False), (3, "a", "fiets", 9.0, True)], "pand_id int, buurt string, modus string, minutes double, within boolean")
+    got = {r.buurt: (r.panden_aantal, r.panden_binnen_norm, r.dominante_modus) for r in rollup.multimodal_summary(df, ["buurt"]).collect()}
+    assert got == {None: (1, 1, "auto"), "a": (2, 1, "fiets")}
+    assert rollup.published(df.withColumn("gekozen_naam", F.lit("x")).withColumn("snap_m", F.lit(1))).columns[-1] == "naam"
+
+
+def test_whole_run(spark):
+    """A small region end to end: all five modes of one facility, roll-ups, diagnosis and a what-if."""
+    line = lambda a, b: [(float(a), 0.0), (float(b), 0.0)]
+    ways = [(k, k, k + 1, 5.0, 400.0, True, True, line(400 * k, 400 * (k + 1))) for k in range(10)]
+    quick = [(*w[:3], 1.0, *w[4:]) for w in ways]
+    home = spark.createDataFrame([(f"p{k}", 400.0 * k + 10, 20.0, f"b{k // 4}", "g") for k in range(10)], "pand_id string, x double, y double, buurt string, gemeente string")
+    shop = spark.createDataFrame([(1, 3990.0, 0.0)], "target bigint, x double, y double")
+    stops = spark.createDataFrame([(100, 0.0, 0.0), (101, 4000.0, 0.0)], "node bigint, x double, y double")
+    rides = spark.createDataFrame([(h * 3600, h * 3600 + 300, 100, 101) for h in range(24)], "dep bigint, arr bigint, src bigint, dst bigint")
+    parking = spark.createDataFrame([(7, 3900.0, 0.0)], "parking bigint, x double, y double")
+    net = lambda name, rows, speed: access.RoadNetwork.of(name, spark.createDataFrame(rows, WAYS), speed)
+    inputs = run.Inputs(home, shop, net("lopen", ways, 80.0), net("fiets", quick, 250.0), net("auto", quick, 833.33), parking, stops, rides)
+    facility = config.Facility("supermarkt")
+    results = run.all_modes(inputs, facility).cache()
+    rows = {(r.pand_id, r.modus): r for r in results.collect()}
+    assert len(rows) == 50 and rows[("p9", "lopen")].within and not rows[("p0", "lopen")].within
+    assert rows[("p0", "fiets")].total_min == round(10 - 0.025 - 0.025 + 20 / 250, 2)
+    assert rows[("p9", "ov_lopen")].reistijd_bron == "direct_access" and rows[("p0", "ov_lopen")].reistijd_bron == "ov"
+    assert rows[("p0", "ov_lopen")].target == 1 and rows[("p5", "auto")].target == 1
+    made = run.products(results, home, "buurt", "gemeente", config.RunConfig().modes)
+    assert made["buurten"].count() == 15 and made["diagnose"].count() == 3 and made["beste_modus"].count() == 10
+    assert run.wide(results, "supermarkt", ("lopen", "auto")).columns[1] == "reistijd_supermarkt_lopen_min"
+    moved = run.scenario(shop, F.col("target") == 1, spark.createDataFrame([(2, 10.0, 0.0)], "target bigint, x double, y double"))
+    then = run.all_modes(run.Inputs(home, moved, inputs.walk), facility, config.RunConfig(modes=("lopen",)))
+    changed = {r.pand_id: r.verschil_min for r in run.compare(results.where("modus = 'lopen'"), then).collect()}
+    assert changed["p0"] < 0 < changed["p9"]
+
+
+def test_legends_and_settings():
+    assert len(legends.isochrones()) == len(config.NORMS) * 5 and "0-20%" in legends.basic()["buurten"]
+    assert config.parse_modes("auto, lopen") == ("lopen", "auto") and config.parse_modes(None) == classes.MODES
+    with pytest.raises(ValueError):
+        config.parse_modes("vliegtuig")
+    with pytest.raises(ValueError):
+        config.Facility("onbekend").norm("auto")

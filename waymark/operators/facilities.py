@@ -196,3 +196,24 @@ def corrected_addresses(schools: DataFrame, corrections: DataFrame, fields: Sequ
     rows = schools.select("*", *keys).join(last, (F.col("_name") == F.col("_cname")) & (F.col("_town") == F.col("_ctown")), "left")
     changed = F.col("_cname").isNotNull().alias("adres_gecorrigeerd")
     return rows.select(*[F.coalesce(F.nullif(F.trim(f"_{c}"), F.lit("")), F.col(c)).alias(c) if c in fields else F.col(c) for c in schools.columns], *[F.col(f).alias(f"bron_{f}") for f in fields], changed)
+
+
+def merge_sources(map_points: DataFrame, register_points: DataFrame, register_id: str, radius: float = 100.0) -> DataFrame:
+    """Map facilities and those of a municipal register that no map facility lies within ``radius`` of; columns by name."""
+    from waymark.operators.spatial import far_from
+
+    extra = far_from(register_points, map_points.select(F.col("x").alias("rx"), F.col("y").alias("ry")), radius, register_id)
+    return map_points.unionByName(extra, allowMissingColumns=True)
+
+
+def stops_as_facilities(stops: DataFrame) -> DataFrame:
+    """Transit stop points as facilities: id, name (its own, else the id) and place."""
+    return stops.select(F.col("node_id").alias("ov_id"), text.first_filled(F.col("halte_naam"), F.col("stop_names"), F.col("node_id")).alias("name"), "modes", F.bround("lon", 8).alias("ov_lon"), F.bround("lat", 8).alias("ov_lat"))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Facilities with a place, numbered from 1 in an explicit order; longitude and latitude to eight decimals."""
+    from pyspark.sql import Window
+
+    rows = df.where("lon is not null and lat is not null")
+    return rows.withColumn(f"{name}_id", F.row_number().over(Window.orderBy(*order))).withColumn(f"{name}_lon", F.bround("lon", 8)).withColumn(f"{name}_lat", F.bround("lat", 8))

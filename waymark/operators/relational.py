@@ -138,3 +138,29 @@ def active_services(calendar: DataFrame | None, exceptions: DataFrame, day: str)
     added = today.where(F.col("exception_type").cast("string") == "1").select("service_id")
     removed = today.where(F.col("exception_type").cast("string") == "2").select("service_id")
     return regular.union(added).distinct().join(removed, "service_id", "left_anti")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, the same ones each time: those whose key hashes lowest with the seed."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, empty ones as (leeg), the most frequent first."""
+    return df.groupBy(F.coalesce(text.blank_to_null(F.col(column)), F.lit("(leeg)")).alias(column)).agg(F.count("*").alias("aantal")).orderBy(F.col("aantal").desc(), F.col(column))
+
+
+def unique_or_fail(df: DataFrame, key: str, source: str) -> DataFrame:
+    """``df`` if no key occurs twice, else an error that shows one."""
+    if twice := df.groupBy(key).count().where("count > 1").head(1):
+        raise ValueError(f"{source}: {key} {twice[0][0]} occurs {twice[0][1]} times")
+    return df
+
+
+def matched_or_fail(left: DataFrame, right: DataFrame, key: str, source: str) -> DataFrame:
+    """A left join by normalised id in which each left row must find one right row."""
+    there = unique_or_fail(right.withColumn("_key", text.plain_id(F.col(key))).drop(key), "_key", source)
+    rows = left.join(there.withColumn("_found", F.lit(True)), text.plain_id(F.col(key)) == F.col("_key"), "left")
+    if missing := rows.where("_found is null").select(key).head(1):
+        raise ValueError(f"{source}: nothing for {missing[0][0]}")
+    return rows.drop("_key", "_found")

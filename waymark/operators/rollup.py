@@ -150,3 +150,21 @@ def length_shares(segments: DataFrame, by: str, length: str) -> DataFrame:
     """Length, share of the total and number of segments by class."""
     rows = segments.groupBy(by).agg(F.sum(length).alias("lengte_meter"), F.count("*").alias("segmenten"))
     return rows.withColumn("aandeel", F.col("lengte_meter") / F.sum("lengte_meter").over(Window.partitionBy()))
+
+
+def multimodal_summary(chosen: DataFrame, area: Sequence[str]) -> DataFrame:
+    """The roll-up of best-of-modes results (null areas too) with the mode that most buildings of an area choose."""
+    areas = area_summary(chosen, area, keep_null_areas=True)
+    names = {a: f"_{a}" for a in area}
+    top = dominant_mode(chosen, area).select(*[F.col(a).alias(n) for a, n in names.items()], "dominante_modus")
+    same = F.lit(True)
+    for a, n in names.items():
+        same = same & F.col(a).eqNullSafe(F.col(n))
+    return areas.join(top, same, "left").drop(*names.values())
+
+
+def published(df: DataFrame, internal: Sequence[str] = (), prefixes: Sequence[str] = ("snap_", "_"), strip: str = "gekozen_") -> DataFrame:
+    """Result columns for publication: without internal ones, and without the prefix of chosen attributes."""
+    keep = [c for c in df.columns if c not in internal and not c.startswith(tuple(prefixes))]
+    taken = set(keep)
+    return df.select(*[F.col(c).alias(c[len(strip) :] if c.startswith(strip) and c[len(strip) :] not in taken else c) for c in keep])

@@ -237,3 +237,35 @@ def lookup(df: DataFrame, from_col: str, to_col: str | None, from_text: str, to_
     for c, v in (equal or {}).items():
         rows = rows.where(F.col(c) == v)
     return rows.orderBy(*order).limit(most) if order else rows.limit(most)
+
+
+def stop_pairs(edges: DataFrame, line: str | None = None) -> DataFrame:
+    """The least minutes between two known stop nodes, with the quickest ride's geometry if there is one.
+
+    ``edges`` has src, dst and minutes; pairs without nodes, without minutes or with none above zero drop out.
+    """
+    usable = edges.where("src is not null and dst is not null and minutes is not null and minutes > 0")
+    if line is None:
+        return usable.groupBy("src", "dst").agg(F.min("minutes").alias("minutes"))
+    best = usable.where(F.col(line).isNotNull()).groupBy("src", "dst").agg(F.min_by(line, F.struct("minutes", line)).alias(line))
+    return usable.groupBy("src", "dst").agg(F.min("minutes").alias("minutes")).join(best, ["src", "dst"], "left")
+
+
+def layered_edges(pairs: DataFrame, walks: DataFrame) -> DataFrame:
+    """A timetable-free transit graph in two layers: before and after the first ride.
+
+    Nodes are 2 * stop before a ride and 2 * stop + 1 behind one. Rides lead from either layer to the second, transfers stay in
+    it, so that an answer holds at least one ride. Seeds go on the second layer, origins on the first.
+    """
+    before, after = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1
+    rides = pairs.select(before("src").alias("src"), after("dst").alias("dst"), F.col("minutes").alias("weight")).unionByName(pairs.select(after("src").alias("src"), after("dst").alias("dst"), F.col("minutes").alias("weight")))
+    return rides.unionByName(walks.select(after("src").alias("src"), after("dst").alias("dst"), F.col("minutes").alias("weight"))).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+
+
+def static_minutes(pairs: DataFrame, walks: DataFrame, egress: DataFrame) -> DataFrame:
+    """Least minutes from each stop to a target with at least one ride, by the quickest ride of each pair: (node, minutes, target)."""
+    from waymark.operators.network import shortest_paths
+
+    seeds = egress.select((F.col("node") * 2 + 1).alias("node"), F.col("minutes").alias("cost"), "target")
+    found = shortest_paths(layered_edges(pairs, walks), seeds)
+    return found.where("node % 2 = 0").select(F.expr("node div 2").alias("node"), F.col("cost").alias("minutes"), "target")
