@@ -12,12 +12,13 @@ import base64
 from functools import lru_cache
 from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from waymark.llm.common import list_array, map_batches, texts_of, tidy, with_fields
+from waymark.llm.common import list_array, map_batches, ranges, texts_of, tidy, with_fields
 
 #: Pieces whose encoding a worker keeps in each of two generations; used pieces move to the younger one.
 CACHE_PIECES = 300_000
@@ -36,15 +37,15 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        # the lengths of tokens by their last bytes, longest first, so that few token starts have to be tried
-        lengths: dict[bytes, set[int]] = {}
-        for token in ranks:
-            lengths.setdefault(token[-3:], set()).add(len(token))
-        self.short = {e: tuple(n for n in (2, 1) if e[-n:] in ranks and n <= len(e)) for e in {t[-2:] for t in ranks} | {t[-1:] for t in ranks}}
-        self.lengths = {e: (*sorted((n for n in found if n > 2), reverse=True), *self.short.get(e[-2:], (1,))) for e, found in lengths.items() if len(e) == 3}
+        # finds all tokens that end at each byte in one pass
+        self.ending = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), (i, len(token)))
+        self.ending.make_automaton()
         self._spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
+        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _merge(self, data: bytes, stop: int) -> list[bytes]:
         """Plain merging by rank until ``stop`` parts are left or nothing merges; only used on single tokens."""
@@ -119,30 +120,27 @@ class PrefixBPE:
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Completes ``last`` (the last token of each prefix, from length 1) for the prefixes of ``data``."""
-        token_of, pair_of, lengths, short = self.ranks.get, self._pairs.get, self.lengths.get, self.short.get
-        for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
-            found = -1
-            tried = (lengths(data[end - 3 : end]) if end > 2 else None) or short(data[max(0, end - 2) : end], (1,))
-            for length in tried:
-                start = end - length
-                if start < 0:
-                    continue
-                token = token_of(data[start:end])
-                if token is None:
-                    continue
-                if start:
-                    left = last[start - 1]
-                    holds = pair_of(left << 20 | token)
-                    if holds is None:
-                        holds = self.pair_holds(left, token)
-                else:
-                    holds = self.reachable(token)
-                if holds:
-                    found = token
-                    break
-            if found < 0:
-                raise ValueError("a byte has no token")
-            last.append(found)
+        stop, done, pair_of = len(data) if upto is None else upto, len(last), self._pairs.get
+        if done >= stop:
+            return last
+        for end, (token, length) in self.ending.iter(data.decode("latin-1"), max(0, done - self.longest), stop):
+            if end < done:
+                continue
+            if end > done:
+                break
+            start = end + 1 - length
+            if start:
+                left = last[start - 1]
+                holds = pair_of(left << 20 | token)
+                if holds is None:
+                    holds = self.pair_holds(left, token)
+            else:
+                holds = self.reachable(token)
+            if holds:
+                last.append(token)
+                done += 1
+        if done < stop:
+            raise ValueError("a byte has no token")
         return last
 
     def tokens(self, data: bytes, last: list[int]) -> list[int]:
@@ -163,6 +161,22 @@ class PrefixBPE:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of many id lists at once (ids one after another, and how many each list has): a binary column."""
+        if self._table is None:
+            known = sorted(self.bytes_of)
+            sizes = np.zeros(known[-1] + 1 if known else 1, np.int64)
+            sizes[known] = [len(self.bytes_of[i]) for i in known]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            self._table = np.frombuffer(b"".join(self.bytes_of[i] for i in known), np.uint8), starts, sizes
+        data, starts, sizes = self._table
+        lengths = sizes[ids]
+        if len(ids) and not lengths.all():
+            raise KeyError("an id has no token")
+        out = data[ranges(starts[ids], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
 
 class Buffer:
     """A piece under edit: its bytes and each prefix's last token. Appends cost only the new bytes."""
@@ -272,8 +286,11 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
         own = codec(ranks_path, pattern).bpe
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column(ids_col)
-            return batch.append_column("decoded", pa.array([own.decode(x or ()) for x in column.to_pylist()], pa.binary()))
+            lists = [x or () for x in batch.column(ids_col).to_pylist()]
+            flat = np.asarray([i for x in lists for i in x], np.int64)
+            if len(flat) and flat.min() < 0:
+                raise KeyError("an id is below 0")
+            return batch.append_column("decoded", own.decode_all(flat, np.asarray([len(x) for x in lists], np.int64)))
 
         return step
 
@@ -296,9 +313,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
             coded = [own.encode(t) for t in texts_of(batch.column(text_col))]
             lengths = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
             flat = np.frombuffer(b"".join(coded), "<i4")
-            ends = np.cumsum(lengths)
-            back = [own.bpe.decode(flat[e - n : e].tolist()) for e, n in zip(ends, lengths, strict=True)]
-            columns = [batch.column(c) for c in rest] + [list_array(pa.array(flat), lengths), pa.array(back, pa.binary())]
+            columns = [batch.column(c) for c in rest] + [list_array(pa.array(flat), lengths), own.bpe.decode_all(flat, lengths)]
             return pa.RecordBatch.from_arrays(columns, [*rest, "ids", "decoded"])
 
         return step
