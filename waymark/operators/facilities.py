@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text
@@ -140,9 +140,26 @@ def address_groups(addresses: DataFrame, key: str, building: str = "pand_id", pr
 
 
 def nearest_house_number(wanted: DataFrame, addresses: DataFrame, id_col: str, equal: Sequence[str], number: str, candidate_number: str, candidate_id: str, tie: Sequence[Column] = ()) -> DataFrame:
-    """For each wanted row the candidate with equal keys whose number is nearest; ties by ``tie``, then by id."""
-    pairs = wanted.join(addresses, list(equal)).withColumn("afstand", F.abs(F.col(candidate_number) - F.col(number))).where("afstand is not null")
-    return first_per_key(pairs, [id_col], [F.col("afstand"), *tie, F.col(candidate_id)]).select(id_col, candidate_id, "afstand")
+    """For each wanted row the candidate with equal keys whose number is nearest; ties by ``tie`` (ascending), then by id.
+
+    Of each number one candidate can win; they and the wanted numbers go on one line per key, where the nearest from below
+    and from above are filled in. So a key costs a sort of its rows, however many pairs it has.
+    """
+    keys = [F.col(c) for c in equal]
+    rank = F.struct(*[t.alias(f"t{k}") for k, t in enumerate(tie)], F.col(candidate_id).alias("id"))
+    best = addresses.where(F.col(candidate_number).isNotNull()).groupBy(*keys, F.col(candidate_number).cast("bigint").alias("_n")).agg(F.min(rank).alias("_best"))
+    kind = best.schema["_best"].dataType
+    asks = wanted.where(F.col(number).isNotNull()).select(*keys, F.col(number).cast("bigint").alias("_n"), F.lit(1).alias("_ask"), F.col(id_col).alias("_id"), F.lit(None).cast(kind).alias("_best"))
+    line = asks.unionByName(best.withColumn("_ask", F.lit(0)).withColumn("_id", F.lit(None).cast(asks.schema["_id"].dataType)))
+    found = F.when(F.col("_ask") == 0, F.struct("_n", "_best"))
+
+    def nearest(order: Column) -> Column:
+        return F.last(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    sides = [F.struct(F.abs(side["_n"] - F.col("_n")).alias("afstand"), side["_best"].alias("best")) for side in (F.col("_below"), F.col("_above"))]
+    filled = line.withColumn("_below", nearest(F.col("_n").asc())).withColumn("_above", nearest(F.col("_n").desc())).where("_ask = 1")
+    chosen = filled.withColumn("_pick", F.array_min(F.filter(F.array(*sides), lambda x: x["afstand"].isNotNull()))).where("_pick is not null")
+    return chosen.select(F.col("_id").alias(id_col), F.col("_pick.best.id").alias(candidate_id), F.col("_pick.afstand").alias("afstand"))
 
 
 def match_schools(schools: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -160,7 +177,7 @@ def match_schools(schools: DataFrame, addresses: DataFrame) -> DataFrame:
     # one nearest-number candidate per widening set; each is an equi-join on its keys
     base = schools.select("school_id", "number", "postcode_key", "street_key", "town_key").where("number is not null")
     other = addresses.select("pand_id", F.col("number").alias("_number"), "postcode_key", "street_key", "town_key", "heeft_onderwijsfunctie").where("_number is not null")
-    tie = [F.coalesce("heeft_onderwijsfunctie", F.lit(False)).desc()]
+    tie = [~F.coalesce("heeft_onderwijsfunctie", F.lit(False))]
     near = {"adres_postcode_straat_huisnummer_nearest": ("postcode_key", "street_key"), "adres_postcode_huisnummer_nearest": ("postcode_key",), "adres_woonplaats_huisnummer_nearest": ("town_key",)}
     for k, (name, equal) in enumerate(near.items()):
         found = nearest_house_number(base.select("school_id", "number", *equal), other.select("pand_id", "_number", "heeft_onderwijsfunctie", *equal), "school_id", equal, "number", "_number", "pand_id", tie)
@@ -213,7 +230,5 @@ def stops_as_facilities(stops: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Facilities with a place, numbered from 1 in an explicit order; longitude and latitude to eight decimals."""
-    from pyspark.sql import Window
-
     rows = df.where("lon is not null and lat is not null")
     return rows.withColumn(f"{name}_id", F.row_number().over(Window.orderBy(*order))).withColumn(f"{name}_lon", F.bround("lon", 8)).withColumn(f"{name}_lat", F.bround("lat", 8))

@@ -59,7 +59,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (),
     """Least cost from every node to its nearest target along directed edges: (keys, node, cost, target, next_node).
 
     ``edges`` has (keys, src, dst, weight), ``seeds`` (keys, node, cost, target). Nodes beyond ``cutoff`` or without a way
-    don't occur. Ties go to the smaller target, then the smaller next node. ``next_node`` is null at seeds.
+    don't occur. Ties go to the smaller target, then to the next node found in fewer rounds, then to the smaller one. ``next_node`` is null at seeds.
     """
     keys = list(keys)
     order = F.struct(F.col("cost"), F.col("target"), F.col("next_node"))

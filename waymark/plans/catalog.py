@@ -314,12 +314,12 @@ def address_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.best_candidate(rows, [("adres_exact", F.col("_en") == 1, F.col("_e")), ("adres_meerdere", F.col("_en") > 1, F.col("_e")), ("postcode", F.col("_pn") > 0, F.col("_p"))]).select("c_custkey", "match", "match_type")
 
 
-@query("""WITH a AS (SELECT p_partkey, p_brand, p_size FROM part), w AS (SELECT p_partkey AS id, p_brand, p_size * 2 AS nummer FROM part WHERE p_partkey % 5 = 0)
-SELECT w.id, a.p_partkey, abs(a.p_size - w.nummer) AS afstand FROM w JOIN a USING (p_brand) QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(a.p_size - w.nummer), a.p_partkey) = 1""")
+@query("""WITH w AS (SELECT s_suppkey AS id, s_nationkey AS land, CAST(floor(s_acctbal) AS BIGINT) AS nummer FROM supplier), a AS (SELECT c_custkey, c_nationkey AS land, CAST(floor(c_acctbal) AS BIGINT) AS n FROM customer)
+SELECT w.id, a.c_custkey, abs(a.n - w.nummer) AS afstand FROM w JOIN a USING (land) QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(a.n - w.nummer), a.c_custkey) = 1""")
 def nearest_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    wanted = a.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), "p_brand", (F.col("p_size") * 2).alias("nummer"))
-    return facilities.nearest_house_number(wanted, a, "id", ["p_brand"], "nummer", "p_size", "p_partkey")
+    a = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("land"), F.floor("c_acctbal").alias("n"))
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("land"), F.floor("s_acctbal").alias("nummer"))
+    return facilities.nearest_house_number(wanted, a, "id", ["land"], "nummer", "n", "c_custkey")
 
 
 @query("""SELECT p_partkey, lower(trim(p_name)) AS naam, CASE WHEN contains(lower(p_type), 'brushed') THEN false WHEN contains(lower(p_type), 'brass') OR contains(lower(p_type), 'steel') THEN true WHEN p_size >= 40 THEN true ELSE false END AS geschikt,
@@ -367,17 +367,17 @@ def grid_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("vec_id < rid").select("vec_id", "rid", "afstand_m")
 
 
-@query(f"""WITH {_PLACES}, d AS (SELECT a.vec_id, b.vec_id AS rid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS afstand_m FROM p a JOIN p b ON b.vec_id % 10 = 0 AND a.vec_id <> b.vec_id)
+@query(f"""WITH {_PLACES}, d AS (SELECT a.vec_id, b.vec_id AS rid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS afstand_m FROM p a JOIN p b ON a.vec_id <> b.vec_id)
 SELECT * FROM d WHERE afstand_m <= 2500 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY afstand_m, rid) = 1""")
 def knn1_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spatial.within_distance(_places(spark, sf_dir), _places(spark, sf_dir, "r").where("rid % 10 = 0"), 2500.0).where("vec_id <> rid")
+    pairs = spatial.within_distance(_places(spark, sf_dir), _places(spark, sf_dir, "r"), 2500.0).where("vec_id <> rid")
     return relational.first_per_key(pairs, ["vec_id"], [F.col("afstand_m"), F.col("rid")]).select("vec_id", "rid", "afstand_m")
 
 
-@query(f"""WITH {_PLACES}, r AS (SELECT vec_id AS buurt, x AS xmin, y AS ymin, x + 3000 + vec_id % 7 * 500 AS xmax, y + 2000 AS ymax FROM p WHERE vec_id % 20 = 0)
+@query(f"""WITH {_PLACES}, r AS (SELECT vec_id AS buurt, x AS xmin, y AS ymin, x + 1000 + vec_id % 7 * 500 AS xmax, y + 2000 AS ymax FROM p)
 SELECT p.vec_id, r.buurt FROM p JOIN r ON p.x > xmin AND p.x < xmax AND p.y > ymin AND p.y < ymax""")
 def pip_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _places(spark, sf_dir, "r").where("rid % 20 = 0").withColumn("xm", F.col("rx") + 3000 + F.col("rid") % 7 * 500).withColumn("ym", F.col("ry") + 2000)
+    r = _places(spark, sf_dir, "r").withColumn("xm", F.col("rx") + 1000 + F.col("rid") % 7 * 500).withColumn("ym", F.col("ry") + 2000)
     corner = lambda a, b: geometry.point(F.col(a), F.col(b))
     polygons = r.select(F.col("rid").alias("buurt"), F.array(F.array(corner("rx", "ry"), corner("xm", "ry"), corner("xm", "ym"), corner("rx", "ym"), corner("rx", "ry"))).alias("polygon"))
     return spatial.points_in_polygons(_places(spark, sf_dir), polygons, size=2000.0).select("vec_id", "buurt")
@@ -399,18 +399,19 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.directed_edges(ways)
 
 
-def _seeds(spark: SparkSession, sf_dir: str, every: int = 9, but: int = -1) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where(f"s_suppkey % {every} = 0 and s_suppkey <> {but}").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).cast("double").alias("cost"), F.col("s_suppkey").alias("target"))
+def _seeds(spark: SparkSession, sf_dir: str, but: int = -1) -> DataFrame:
+    """Suppliers with a large balance are the facilities; ``but`` closes those of one nation."""
+    return table(spark, sf_dir, "supplier").where(f"s_acctbal > 4500 and s_nationkey <> {but}").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).cast("double").alias("cost"), F.col("s_suppkey").alias("target"))
 
 
 _GRAPH = """l AS (SELECT l_suppkey AS u, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS v, l_quantity AS w FROM lineitem),
 e AS (SELECT src, dst, min(w) AS w FROM (SELECT u AS src, v AS dst, w FROM l WHERE v IS NOT NULL AND u <> v UNION ALL SELECT v, u, w FROM l WHERE v IS NOT NULL AND u <> v AND w % 2 = 0) GROUP BY ALL)"""
 
 
-def _search(every: int = 9, but: int = -1, name: str = "d", cutoff: str = "") -> str:
+def _search(but: int = -1, name: str = "d", cutoff: str = "") -> str:
     """Recursive least costs with the nearest target: states (node, cost, target) until nothing gets better."""
     return f"""{name}(node, cost, target) USING KEY (node) AS (
-  SELECT s_suppkey, CAST(s_suppkey % 4 AS DOUBLE), s_suppkey FROM supplier WHERE s_suppkey % {every} = 0 AND s_suppkey <> {but}
+  SELECT s_suppkey, CAST(s_suppkey % 4 AS DOUBLE), s_suppkey FROM supplier WHERE s_acctbal > 4500 AND s_nationkey <> {but}
   UNION SELECT src, k.c, k.t FROM (SELECT e.src, min({{'c': {name}.cost + e.w, 't': {name}.target}}) AS k FROM {name} JOIN e ON e.dst = {name}.node GROUP BY e.src) x
   LEFT JOIN recurring.{name} r ON r.node = x.src WHERE (r.node IS NULL OR k.c < r.cost OR (k.c = r.cost AND k.t < r.target)) {cutoff})"""
 
