@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,6 +29,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def _own_folder(prefix: str) -> str:
+    """A temporary folder of this process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints: the cluster's ``spark.checkpoint.dir``, else one of our own.
 
@@ -40,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     chosen = spark.conf.get("spark.checkpoint.dir", None)
     if not chosen:
         local = sc.master.startswith("local[") or sc.master == "local"
-        chosen = tempfile.mkdtemp(prefix="waymark-checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        chosen = _own_folder("waymark-checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(chosen)
     return sc.getCheckpointDir() or chosen
 
@@ -56,7 +65,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_waymark_shipped", False):
         return
-    target = Path(tempfile.mkdtemp(prefix="waymark-ship-")) / "waymark.zip"
+    target = Path(_own_folder("waymark-ship-")) / "waymark.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(_PACKAGE.rglob("*.py")):
             archive.write(source, str(Path("waymark") / source.relative_to(_PACKAGE)))
