@@ -211,6 +211,31 @@ def test_passages(spark):
     assert passages.repeated(df.limit(0)).count() == 0
 
 
+def made_words(seed):
+    """A function that gives so many random words."""
+    rng = random.Random(seed)
+    return lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+
+
+def test_passages_behind_a_stray_match(spark):
+    text = made_words(21)
+    rows, want = [], set()
+    for k in range(40):
+        stray, shared = text(12), text(60)
+        rows += [(2 * k, " ".join(text(50) + stray + text(25) + shared + text(30))), (2 * k + 1, " ".join(text(40) + stray + text(28) + shared + text(20)))]
+        want.add((2 * k + 1, " ".join(shared)))
+    texts = dict(rows)
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc, texts[r.doc][r.start : r.stop]) for r in got} == want
+
+
+def test_alignment_keeps_exact_part_of_unlike_run():
+    text = made_words(22)
+    head, body = text(6), text(60)
+    a, b = head + text(11) + head + text(11) + head + text(11) + body, head + text(11) + head + text(11) + head + text(11) + body
+    assert any(i0 <= 51 and i1 == 111 and alike >= passages.MIN_ALIKE for i0, i1, _, _, alike in passages.align(a, b, [(0, 0), (51, 51)]))
+
+
 def test_chain_equals_quadratic():
     random.seed(12)
     for _ in range(40):

@@ -85,7 +85,12 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Collinear chains of matches sorted by (x, y): (first x, last x, first y, last y) of each, in characters.
+    """Collinear chains of matches sorted by (x, y): (first x, last x, first y, last y) of each."""
+    return [(int(x[m].min()), int(x[m].max()), int(y[m[0]]), int(y[m[-1]])) for m in chained(x, y)]
+
+
+def chained(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Collinear chains of matches sorted by (x, y): the indices of each one's matches.
 
     The score of a match is its weight plus the best score of a match before it in both texts, less the
     cost of the gap between them. With cost linear in both coordinates, that best is a prefix maximum over
@@ -100,7 +105,7 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     begin = np.flatnonzero(head)
     tail = np.concatenate([begin[1:], [len(x)]]) - 1
     again = np.lexsort((sy[begin], sx[begin]))
-    x, y, reach, weight = sx[begin][again], sy[begin][again], sx[tail][again].tolist(), (tail - begin + 1)[again].tolist()
+    x, y, members = sx[begin][again], sy[begin][again], [order[a : b + 1] for a, b in zip(begin[again], tail[again], strict=True)]
     n = len(x)
     ranks = np.searchsorted(np.unique(y), y) + 1
     size = int(ranks.max())
@@ -140,15 +145,15 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
         start = 0
         for t in range(1, len(line) + 1):
             if t == len(line) or xs[line[t]] - xs[line[t - 1]] > MAX_GAP or ys[line[t]] - ys[line[t - 1]] > MAX_GAP:
-                a, b = line[start], line[t - 1]
-                if sum(weight[m] for m in line[start:t]) >= MIN_MATCHES:
-                    out.append((xs[a], max(reach[m] for m in line[start:t]), ys[a], ys[b]))
+                found = np.concatenate([members[m] for m in line[start:t]])
+                if len(found) >= MIN_MATCHES:
+                    out.append(found)
                 start = t
     return out
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of matches sorted by (doc, source, x, y); keeps one pair's matches beyond a batch."""
+    """Chains of matches sorted by (doc, source, x, y), with all their matches; keeps one pair's matches beyond a batch."""
     carry: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch | None:
@@ -156,11 +161,13 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k in np.flatnonzero(np.diff(border) >= MIN_MATCHES):
             own = rows[border[k] : border[k + 1]]
-            out += [(int(own[0, 0]), int(own[0, 1]), *line) for line in chain(own[:, 2], own[:, 3])]
+            for m in chained(own[:, 2], own[:, 3]):
+                x, y = own[m, 2], own[m, 3]
+                out.append((int(own[0, 0]), int(own[0, 1]), int(x.min()), int(x.max()), int(y.min()), int(y.max()), own[m, 2:].astype(np.int32).tobytes()))
         if not out:
             return None
-        names = ["doc", "source", "x_from", "x_to", "y_from", "y_to"]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32()) for i in range(6)], names)
+        names = ["doc", "source", "x_from", "x_to", "y_from", "y_to", "path"]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32() if i < 6 else pa.binary()) for i in range(7)], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -181,18 +188,20 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _walk(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int, int]:
-    """Aligns forward from words i and j; returns where the aligned parts end and how many words agreed.
+def _walk(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Aligns forward from words i and j; returns the runs of agreeing words (i, j, length).
 
     Equal words go together; behind a difference, the nearest place within ``LOOK`` words of both sides is
     taken where ``AGREE`` words agree again. Without one the alignment ends behind the last agreement.
     """
-    agreed, n, m = 0, len(a), len(b)
-    end_i, end_j = i, j
+    runs, n, m = [], len(a), len(b)
     while i < n and j < m:
-        if a[i] == b[j]:
-            agreed, i, j = agreed + 1, i + 1, j + 1
-            end_i, end_j = i, j
+        size = 0
+        while i + size < n and j + size < m and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            runs.append((i, j, size))
+            i, j = i + size, j + size
             continue
         for far in range(1, 2 * LOOK + 1):
             for skip in sorted(range(max(0, far - LOOK), min(LOOK, far) + 1), key=lambda s: abs(2 * s - far)):
@@ -205,15 +214,46 @@ def _walk(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int, int]:
             break
         else:
             break
-    return end_i, end_j, agreed
+    return runs
+
+
+def _runs_around(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int, int]]:
+    """The runs of agreeing words before and behind words i of ``a`` and j of ``b``."""
+    return [(i - p - n, j - q - n, n) for p, q, n in reversed(_walk(a[:i][::-1], b[:j][::-1], 0, 0))] + _walk(a, b, i, j)
 
 
-def align(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int, int, int, float]:
-    """The passage around words i of ``a`` and j of ``b``: its ends in both, and the share of words that agree."""
-    end_i, end_j, right = _walk(a, b, i, j)
-    back_i, back_j, left = _walk(a[:i][::-1], b[:j][::-1], 0, 0)
-    size = max(end_i - i + back_i, end_j - j + back_j)
-    return i - back_i, end_i, j - back_j, end_j, (right + left) / size if size else 0.0
+def _alike_parts(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, float]]:
+    """Runs as pieces in which at least ``MIN_ALIKE`` of the words agree: their ends in both, and that share.
+
+    Runs that are less alike together are cut where they lie farthest apart.
+    """
+    left = [runs] if runs else []
+    while left:
+        part = left.pop()
+        (i0, j0, _), (i1, j1, n) = part[0], part[-1]
+        alike = sum(r[2] for r in part) / max(i1 + n - i0, j1 + n - j0)
+        if alike >= MIN_ALIKE:
+            yield i0, i1 + n, j0, j1 + n, alike
+            continue
+        gaps = [max(r[0] - q[0] - q[2], r[1] - q[1] - q[2]) for q, r in zip(part, part[1:])]
+        at = gaps.index(max(gaps)) + 1
+        left += [part[:at], part[at:]]
+
+
+def align(a: list[str], b: list[str], path: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """The passages along matches (word of ``a``, word of ``b``) of one chain: their ends in both, and the share of words that agree.
+
+    Where an alignment ends, the next one starts at the chain's next match that none has reached.
+    """
+    met: set[tuple[int, int]] = set()
+    out = []
+    for i, j in path:
+        if (i, j) in met:
+            continue
+        runs = _runs_around(a, b, i, j)
+        met.update((p + t, q + t) for p, q, n in runs for t in range(n))
+        out += [p for p in _alike_parts(runs) if p[1] - p[0] >= MIN_PIECE]
+    return list(dict.fromkeys(out))
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +265,10 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, a_from, a_to = spans_of(r["x_text"])
             b, b_from, b_to = spans_of(r["y_text"])
             low_x, low_y = max(0, r["x_from"] - PAD), max(0, r["y_from"] - PAD)
-            i, j = int(np.searchsorted(a_from, r["x_from"] - low_x)), int(np.searchsorted(b_from, r["y_from"] - low_y))
-            if i >= len(a) or j >= len(b):
-                continue
-            i0, i1, j0, j1, alike = align(a, b, i, j)
-            if i1 - i0 >= MIN_PIECE and alike >= MIN_ALIKE:
+            path = np.frombuffer(r["path"], np.int32).reshape(-1, 2)
+            i, j = np.searchsorted(a_from, path[:, 0] - low_x), np.searchsorted(b_from, path[:, 1] - low_y)
+            inside = (i < len(a)) & (j < len(b))
+            for i0, i1, j0, j1, alike in align(a, b, list(zip(i[inside].tolist(), j[inside].tolist(), strict=True))):
                 out.append((r["doc"], low_x + int(a_from[i0]), low_x + int(a_to[i1 - 1]), i1 - i0, alike, r["source"], low_y + int(b_from[j0]), low_y + int(b_to[j1 - 1])))
         if out:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
@@ -280,13 +319,13 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = every.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
     first = checkpointed(first.select(F.col("seed").alias("known"), F.col("first.doc").alias("source"), F.col("first.at").alias("y")))
     matches = every.join(first, (every["seed"] == first["known"]) & (every["doc"] > first["source"])).select("doc", "source", F.col("at").alias("x"), "y")
-    chains = checkpointed(matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "x", "y").mapInArrow(_chains, "doc bigint, source bigint, x_from int, x_to int, y_from int, y_to int"))
+    chains = checkpointed(matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "x", "y").mapInArrow(_chains, "doc bigint, source bigint, x_from int, x_to int, y_from int, y_to int, path binary"))
     key = ["doc", "source", "x_from", "y_from"]
     size = F.greatest(F.col("x_to") - F.col("x_from"), F.col("y_to") - F.col("y_from")).alias("size")
-    wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), size).unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), size))
+    wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), size, "path").unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), size, F.lit(None).cast("binary").alias("path")))
     low = F.greatest(F.lit(0), F.col("begin") - PAD)
-    cut = docs.withColumnRenamed("doc", "_doc").join(wanted, F.col("_doc") == F.col("owner")).select(*key, "side", F.substring("text", low + 1, F.col("begin") + F.col("size") + 2 * PAD - low).alias("part"))
-    sides = cut.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("part"))).alias("x_text"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("y_text"))
+    cut = docs.withColumnRenamed("doc", "_doc").join(wanted, F.col("_doc") == F.col("owner")).select(*key, "side", "path", F.substring("text", low + 1, F.col("begin") + F.col("size") + 2 * PAD - low).alias("part"))
+    sides = cut.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("part"))).alias("x_text"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("y_text"), F.max("path").alias("path"))
     pieces = sides.mapInArrow(_align, "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int")
     by_doc = pieces.groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "words", "alike", "source", "source_start", "source_stop")).alias("pieces"))
     return map_batches(by_doc, lambda: _merge, "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int")
