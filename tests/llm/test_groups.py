@@ -146,6 +146,17 @@ def test_simhash_by_similarity(spark):
         assert c == i or want[i] == want[c]
 
 
+def test_simhash_compares_equal_fingerprints(spark):
+    text = made_words(23)
+    line = text(9)
+    rows = [(k, " ".join(line * 300 + text(40))) for k in range(6)]
+    rows += [(6, rows[2][1]), (7, None), (8, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(df, corpus_pipeline.SHINGLE, corpus_pipeline.BITS, corpus_pipeline.DISTANCE, corpus_pipeline.EXPECTED, corpus_pipeline.LEAST).collect()
+    assert len({r.fingerprint for r in found if r.doc_id < 7}) == 1
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2, 7: 7, 8: 7}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))

@@ -67,20 +67,28 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
     return np.packbits(total * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(df: DataFrame, shingle: int = 3, bits: int = 64, text_col: str = "text") -> DataFrame:
-    """Replaces the text by ``fingerprint`` binary; null texts count as empty."""
-    df = tidy(df, [text_col], ["fingerprint"])
+def fingerprints(df: DataFrame, shingle: int = 3, bits: int = 64, text_col: str = "text", sets: bool = False) -> DataFrame:
+    """Replaces the text by ``fingerprint`` binary; null texts count as empty.
+
+    With ``sets`` also ``shape`` binary, a 128-bit hash of the set of shingles: fingerprints count repeated shingles, so texts
+    that repeat one line have equal ones whatever else they say.
+    """
+    more = ["fingerprint", "shape"] if sets else ["fingerprint"]
+    df = tidy(df, [text_col], more)
     rest = [c for c in df.columns if c != text_col]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints = [fingerprint(shingle_hashes(t, shingle), bits) for t in texts_of(batch.column(text_col))]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(prints, pa.binary())], [*rest, "fingerprint"])
+            hashes = [shingle_hashes(t, shingle) for t in texts_of(batch.column(text_col))]
+            made = [[fingerprint(h, bits) for h in hashes]]
+            if sets:
+                made.append([xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(m, pa.binary()) for m in made)], [*rest, *more])
 
         return step
 
     kept = df.select(*[f"`{c}`" for c in rest])
-    return map_batches(df, make, with_fields(kept, "fingerprint binary"))
+    return map_batches(df, make, with_fields(kept, ", ".join(f"{c} binary" for c in more)))
 
 
 @dataclass(frozen=True)
@@ -310,7 +318,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
     """Components of documents whose fingerprints differ in at most ``distance`` bits.
 
     Returns a row per document: ``id_col``, fingerprint binary, component_id (the smallest id reachable by links, itself
-    included). Equal fingerprints are one class and always linked; empty and null texts have the zero
+    included). Equal fingerprints are one class and always linked (with ``least``, equal shingle sets); empty and null texts have the zero
     fingerprint and are linked like any other. Repeated rows come out each. Rows with a null id belong
     to their class but never name a component; a class of null ids only has a null component. Other columns are ignored.
 
@@ -320,13 +328,14 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
     is a link if the Jaccard similarity of its shingle sets is at least ``least``.
     """
     docs = tidy(df, [id_col, text_col]).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
-    prints = checkpointed(fingerprints(docs, shingle, bits))
-    classes = checkpointed(prints.groupBy("fingerprint").agg(F.min(id_col).alias("id")).where("id is not null"))
+    same = ["fingerprint"] if least is None else ["fingerprint", "shape"]
+    prints = checkpointed(fingerprints(docs, shingle, bits, sets=least is not None))
+    classes = checkpointed(prints.groupBy(*same).agg(F.min(id_col).alias("id")).where("id is not null"))
     rows = classes.count()
     blocks = pigeonhole(bits, distance, rows) if expected is None else sampled(bits, distance, expected, rows)
     pairs = links(classes, blocks)
     if least is not None:
         pairs = _alike(checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), docs.withColumnRenamed(id_col, "id"), shingle, least)
     found = components(pairs)
-    named = classes.join(found, classes["id"] == found["node"], "left").select(F.col("fingerprint").alias("_print"), F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, prints["fingerprint"] == named["_print"], "left").select(id_col, "fingerprint", "component_id")
+    named = classes.join(found, classes["id"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("component", "id").alias("component_id"))
+    return prints.join(named, [prints[c] == named[f"_{c}"] for c in same], "left").select(id_col, "fingerprint", "component_id")
