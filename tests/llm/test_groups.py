@@ -157,6 +157,23 @@ def test_simhash_compares_equal_fingerprints(spark):
     assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2, 7: 7, 8: 7}
 
 
+def test_simhash_tries_other_partners(spark):
+    rng, text = random.Random(24), made_words(24)
+    base = text(160)
+    texts = []
+    for _ in range(300):
+        v = list(base)
+        for at in rng.sample(range(160), rng.randint(2, 5)):
+            v[at] = text(1)[0]
+        texts.append(v)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = brute_components(300, [(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, corpus_pipeline.SHINGLE, corpus_pipeline.BITS, corpus_pipeline.DISTANCE, corpus_pipeline.EXPECTED, corpus_pipeline.LEAST).collect()}
+    assert len(set(want)) > 20
+    assert [found[i] for i in range(300)] == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))

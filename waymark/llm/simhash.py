@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ASCII_LOWER, components, map_batches, release_memory, texts_of, tidy, with_fields
+from waymark.llm.common import ASCII_LOWER, components, map_batches, ranges, release_memory, texts_of, tidy, with_fields
 from waymark.session import checkpointed, ship_package
 
 SEED = 42
@@ -27,6 +27,8 @@ SEED = 42
 SHORT_RUN = 24
 #: Rows of a bucket that are split further by the bits that the bucket leaves open.
 SPLIT_AT = 2048
+#: Rows of a tile; two tiles of a group of near copies are compared in one task.
+TILE = 1024
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -280,12 +282,8 @@ def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(blocks), "a bigint, b bigint, d int")
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of documents (id, text) whose shingle sets have a Jaccard similarity of at least ``least``.
-
-    Only the pairs' documents are hashed again; what meets the pairs in two joins are their sets of 32-bit
-    shingle hashes.
-    """
+def _shingle_sets(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The sets of 32-bit shingle hashes of the documents (id, text) in pairs (a, b): rows (id, shingles), sorted binary."""
     owners = pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).distinct()
     texts = docs.join(owners, docs["id"] == owners["owner"], "left_semi").select("id", "text").dropDuplicates(["id"])
 
@@ -296,7 +294,11 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> Dat
 
         return step
 
-    sets = checkpointed(map_batches(texts, make, "id bigint, shingles binary"))
+    return checkpointed(map_batches(texts, make, "id bigint, shingles binary"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of documents whose shingle sets have a Jaccard similarity of at least ``least``."""
     left, right = (sets.select(F.col("id").alias(f"_{end}"), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
     sided = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "x").join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
 
@@ -314,6 +316,64 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> Dat
     return map_batches(sided, compare, "a bigint, b bigint")
 
 
+def grown(words: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, distance: int, least: float, first: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join rows with different labels: all pairs within ``distance`` bits and at least ``least`` alike, but
+    those that earlier links connect already. Where ``first`` says there are two sides, pairs of one side are left out."""
+    sizes = np.asarray([len(s) for s in sets], np.int64)
+    names, codes = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    label, mark, edges = np.unique(labels, return_inverse=True)[1], np.zeros(len(names), bool), []
+    two = bool(first.any() and not first.all())
+    for at in range(len(words) - 1):
+        rest = np.arange(at + 1, len(words))
+        rest = rest[label[rest] != label[at]]
+        if two:
+            rest = rest[first[rest] != first[at]]
+        rest = rest[np.bitwise_count(words[rest] ^ words[at]).sum(axis=1, dtype=np.int32) <= distance]
+        if not len(rest):
+            continue
+        own = codes[starts[at] : starts[at] + sizes[at]]
+        mark[own] = True
+        hits = np.concatenate([[0], np.cumsum(mark[codes[ranges(starts[rest], sizes[rest])]], dtype=np.int64)])
+        ends = np.cumsum(sizes[rest])
+        both = hits[ends] - hits[ends - sizes[rest]]
+        mark[own] = False
+        for k in rest[both >= least * (sizes[at] + sizes[rest] - both)].tolist():
+            if label[k] != label[at]:
+                edges.append((at, k))
+                label[label == label[k]] = label[at]
+    return edges
+
+
+def _unfinished(proposed: DataFrame, linked: DataFrame, prints: DataFrame, sets: DataFrame, distance: int, least: float) -> DataFrame:
+    """More links (a, b), in groups of rows that proposals connect and accepted links don't.
+
+    A bucket's forest proposes one partner of a row, and where that one is rejected another may be alike. So all pairs
+    of such a group with different components so far are tested. A large group is dealt into tiles of about ``TILE``
+    rows, and each two tiles meet in one task; no join makes the pairs.
+    """
+    group, done = components(proposed), components(linked)
+    rows = group.select("node", F.col("component").alias("g")).join(done.select(F.col("node").alias("_node"), F.col("component").alias("c")), F.col("node") == F.col("_node"), "left").select("node", "g", F.coalesce("c", "node").alias("c"))
+    rows = checkpointed(rows)
+    parts = rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select(F.col("g").alias("_g"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    own = rows.join(parts, F.col("g") == F.col("_g")).select("node", "g", "c", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    full = own.join(sets, own["node"] == sets["id"]).drop("id").join(prints.select("id", "fingerprint"), F.col("node") == F.col("id")).drop("id")
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("g", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "c", "fingerprint", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, label = table.column("node").to_numpy(), table.column("c").to_numpy()
+        edges = []
+        if (label != label[0]).any():
+            words = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
+            sets = [np.frombuffer(s or b"", np.uint32) for s in table.column("shingles").to_pylist()]
+            edges = grown(words, sets, label, distance, least, table.column("tile").to_numpy() == table.column("p").to_numpy())
+        pair = np.asarray(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[pair[:, 0]], "b": ids[pair[:, 1]]})
+
+    return dealt.groupBy("g", "p", "q").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: int = 2, expected: float | None = None, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose fingerprints differ in at most ``distance`` bits.
 
@@ -325,7 +385,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
     Without ``expected`` the blocks guarantee that no link is lost; with it (the share of bits in which the
     least similar pairs of interest differ) they are sampled, for distances that no blocks can guarantee.
     With ``least`` fingerprints only propose, by the edges of a minimum spanning forest of each bucket: a pair of them
-    is a link if the Jaccard similarity of its shingle sets is at least ``least``.
+    is a link if the Jaccard similarity of its shingle sets is at least ``least``. Where proposals are rejected, all other pairs
+    within the distance in what they connect are tested too, unless they are connected already.
     """
     docs = tidy(df, [id_col, text_col]).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
     same = ["fingerprint"] if least is None else ["fingerprint", "shape"]
@@ -335,7 +396,10 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
     blocks = pigeonhole(bits, distance, rows) if expected is None else sampled(bits, distance, expected, rows)
     pairs = links(classes, blocks)
     if least is not None:
-        pairs = _alike(checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), docs.withColumnRenamed(id_col, "id"), shingle, least)
+        proposed = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        sets = _shingle_sets(proposed, docs.withColumnRenamed(id_col, "id"), shingle)
+        pairs = checkpointed(_alike(proposed, sets, least))
+        pairs = pairs.unionByName(_unfinished(proposed, pairs, classes, sets, distance, least))
     found = components(pairs)
     named = classes.join(found, classes["id"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, [prints[c] == named[f"_{c}"] for c in same], "left").select(id_col, "fingerprint", "component_id")
