@@ -264,6 +264,19 @@ def test_alignment_keeps_exact_part_of_unlike_run():
     assert any(i0 <= 51 and i1 == 111 and alike >= passages.MIN_ALIKE for i0, i1, _, _, alike in passages.align(a, b, [(0, 0), (51, 51)]))
 
 
+def test_passages_of_long_words(spark):
+    rng = random.Random(25)
+    text = lambda n: ["".join(rng.choice("abcdefghijé") for _ in range(60)) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(20):
+        shared = text(100)
+        rows += [(2 * k, " ".join(text(20) + shared + text(20))), (2 * k + 1, " ".join(text(30) + shared + text(10)))]
+        want.add((2 * k + 1, " ".join(shared)))
+    texts = dict(rows)
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc, texts[r.doc][r.start : r.stop]) for r in got} == want
+
+
 def test_chain_equals_quadratic():
     random.seed(12)
     for _ in range(40):

@@ -25,9 +25,11 @@ from waymark.session import checkpointed, ship_package
 K, WINDOW = 5, 16
 #: Matches below which two documents can't share a passage.
 MIN_MATCHES = 2
-#: Cost of a character of gap (mean of both sides), weight of a seed, and the longest gap inside a chain, in characters.
+#: Units of length that a word counts, however long it is: what a usual word has in characters, with its space.
+UNIT = 6
+#: Cost of a unit of gap (mean of both sides), weight of a seed, and the longest gap inside a chain, in units.
 GAP_COST, SEED_WEIGHT, MAX_GAP = 0.02, 5.0, 320
-#: Characters read beyond both ends of a chain, for the alignment to go on.
+#: Units read beyond both ends of a chain, for the alignment to go on.
 PAD = 240
 #: A passage has at least so many words, of which this share is alike; pieces of one may come from several documents.
 MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
@@ -35,6 +37,7 @@ MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
 LOOK, AGREE = 12, 3
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").finditer
+_LEADING = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}"
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -45,12 +48,12 @@ def spans_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the kept seeds and where they start in code points."""
+    """Hashes of the kept seeds and where they start: the number of the word << 32 | code points before it."""
     data = text.encode("utf-8", "surrogatepass").lower()
     found = data.split()
     n = len(found) - K + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     each = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     rolled = np.zeros(n, np.uint64)
     for j in range(K):
@@ -67,11 +70,11 @@ def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))[kept]
     if len(raw) != len(text):
         begin = (np.cumsum((raw & 0xC0) != 0x80) - 1)[begin]
-    return rolled[kept].view(np.int64), begin.astype(np.int32)
+    return rolled[kept].view(np.int64), kept.astype(np.int64) << 32 | begin
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """Rows (seed bigint, doc bigint, at int) of documents (doc, text)."""
+    """Rows (seed bigint, doc bigint, at bigint) of documents (doc, text)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -81,7 +84,7 @@ def seeds(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return map_batches(docs.where("doc is not null").select("doc", "text"), make, "seed bigint, doc bigint, at int")
+    return map_batches(docs.where("doc is not null").select("doc", "text"), make, "seed bigint, doc bigint, at bigint")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -161,9 +164,11 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k in np.flatnonzero(np.diff(border) >= MIN_MATCHES):
             own = rows[border[k] : border[k + 1]]
-            for m in chained(own[:, 2], own[:, 3]):
-                x, y = own[m, 2], own[m, 3]
-                out.append((int(own[0, 0]), int(own[0, 1]), int(x.min()), int(x.max()), int(y.min()), int(y.max()), own[m, 2:].astype(np.int32).tobytes()))
+            own = own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
+            places = (own[:, 2:] & 0xFFFFFFFF).astype(np.int32)
+            for m in chained((own[:, 2] >> 32) * UNIT, (own[:, 3] >> 32) * UNIT):
+                x, y = places[m, 0], places[m, 1]
+                out.append((int(own[0, 0]), int(own[0, 1]), int(x.min()), int(x.max()), int(y.min()), int(y.max()), places[m].tobytes()))
         if not out:
             return None
         names = ["doc", "source", "x_from", "x_to", "y_from", "y_to", "path"]
@@ -264,7 +269,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             a, a_from, a_to = spans_of(r["x_text"])
             b, b_from, b_to = spans_of(r["y_text"])
-            low_x, low_y = max(0, r["x_from"] - PAD), max(0, r["y_from"] - PAD)
+            low_x, low_y = r["x_low"], r["y_low"]
             path = np.frombuffer(r["path"], np.int32).reshape(-1, 2)
             i, j = np.searchsorted(a_from, path[:, 0] - low_x), np.searchsorted(b_from, path[:, 1] - low_y)
             inside = (i < len(a)) & (j < len(b))
@@ -321,11 +326,13 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     matches = every.join(first, (every["seed"] == first["known"]) & (every["doc"] > first["source"])).select("doc", "source", F.col("at").alias("x"), "y")
     chains = checkpointed(matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "x", "y").mapInArrow(_chains, "doc bigint, source bigint, x_from int, x_to int, y_from int, y_to int, path binary"))
     key = ["doc", "source", "x_from", "y_from"]
-    size = F.greatest(F.col("x_to") - F.col("x_from"), F.col("y_to") - F.col("y_from")).alias("size")
-    wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), size, "path").unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), size, F.lit(None).cast("binary").alias("path")))
-    low = F.greatest(F.lit(0), F.col("begin") - PAD)
-    cut = docs.withColumnRenamed("doc", "_doc").join(wanted, F.col("_doc") == F.col("owner")).select(*key, "side", "path", F.substring("text", low + 1, F.col("begin") + F.col("size") + 2 * PAD - low).alias("part"))
-    sides = cut.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("part"))).alias("x_text"), F.max(F.when(F.col("side") == 1, F.col("part"))).alias("y_text"), F.max("path").alias("path"))
+    wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), F.col("x_to").alias("end"), "path").unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), F.col("y_to").alias("end"), F.lit(None).cast("binary").alias("path")))
+    ahead = F.length(F.regexp_extract(F.reverse(F.substring("text", F.lit(1), F.col("begin"))), _LEADING % (PAD // UNIT), 0))
+    behind = F.length(F.regexp_extract(F.substring("text", F.col("end") + 1, F.length("text")), _LEADING % (PAD // UNIT + K), 0))
+    cut = docs.withColumnRenamed("doc", "_doc").join(wanted, F.col("_doc") == F.col("owner")).withColumn("low", F.col("begin") - ahead)
+    cut = cut.select(*key, "side", "path", "low", F.substring("text", F.col("low") + 1, F.col("end") + behind - F.col("low")).alias("part"))
+    of = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
+    sides = cut.groupBy(*key).agg(of(0, "part").alias("x_text"), of(1, "part").alias("y_text"), of(0, "low").alias("x_low"), of(1, "low").alias("y_low"), F.max("path").alias("path"))
     pieces = sides.mapInArrow(_align, "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int")
     by_doc = pieces.groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "words", "alike", "source", "source_start", "source_stop")).alias("pieces"))
     return map_batches(by_doc, lambda: _merge, "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int")
