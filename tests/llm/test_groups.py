@@ -277,6 +277,20 @@ def test_passages_of_long_words(spark):
     assert {(r.doc, texts[r.doc][r.start : r.stop]) for r in got} == want
 
 
+def test_passages_of_lines_known_elsewhere(spark):
+    text = made_words(26)
+    rows, want = [], set()
+    for k in range(40):
+        lines = [text(15) for _ in range(4)]
+        shared = [w for line in lines for w in line]
+        rows += [(10 * k + n, " ".join(text(20) + line + text(20))) for n, line in enumerate(lines)]
+        rows += [(10 * k + 4, " ".join(text(30) + shared + text(20))), (10 * k + 5, " ".join(text(20) + shared + text(30)))]
+        want.add((10 * k + 5, " ".join(shared)))
+    texts = dict(rows)
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc, texts[r.doc][r.start : r.stop]) for r in got} == want
+
+
 def test_chain_equals_quadratic():
     random.seed(12)
     for _ in range(40):

@@ -1,7 +1,7 @@
 """Substring deduplication by collinear chaining.
 
 Seeds are hashes of k consecutive words, thinned to window minima (minimizers), so that any shared run of
-K + WINDOW - 1 words has a common seed. A join gives every seed the first document that has it; matches of one
+K + WINDOW - 1 words has a common seed. Joins give every seed, and every longer run of them, the first document that has it; matches of one
 document with another are chained in order with gap costs, the best predecessor read from a Fenwick tree
 of prefix maxima, and each chain is aligned word by word over its gaps and beyond its ends. Passages that are
 alike enough and long enough come out, exact and fuzzy ones.
@@ -87,6 +87,55 @@ def seeds(docs: DataFrame) -> DataFrame:
     return map_batches(docs.where("doc is not null").select("doc", "text"), make, "seed bigint, doc bigint, at bigint")
 
 
+def long_runs(doc: np.ndarray, seed: np.ndarray, x: np.ndarray, source: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of seeds over at least ``MIN_PIECE`` words, one from each seed of a document if it has that many behind it.
+
+    Takes seeds sorted by (doc, x) with their first occurrence (source, y). Returns the index of the first and the
+    last seed of each run, its hash, and whether one stretch of the source is the first occurrence of both ends already.
+    """
+    word = x >> 32
+    place = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (1 << 32) + word
+    last = np.searchsorted(place, place + (MIN_PIECE - K))
+    begin = np.flatnonzero(last < len(doc))
+    begin = begin[place[last[begin]] - place[begin] <= MAX_GAP // UNIT]
+    end = last[begin]
+    mixed = seed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    until = np.cumsum(mixed * np.uint64(0xBF58476D1CE4E5B9))
+    run = (until[end] - until[begin]) ^ mixed[begin] * np.uint64(0x94D049BB133111EB) ^ (place[end] - place[begin]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    run ^= run >> np.uint64(32)
+    known = (source[begin] == source[end]) & ((y[end] >> 32) - (y[begin] >> 32) == word[end] - word[begin])
+    return begin, end, run.view(np.int64), known
+
+
+def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of seeds sorted by (doc, x); keeps one document's seeds beyond a batch."""
+    names = ["doc", "seed", "x", "source", "y"]
+
+    def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
+        doc, seed, x, source, y = rows
+        begin, end, run, known = long_runs(doc, seed, x, source, y)
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(doc[begin]), pa.array(x[begin]), pa.array(x[end]), pa.array(source[begin], mask=~known), pa.array(y[begin], mask=~known)], ["run", "doc", "x", "x_end", "source", "y"])
+
+    carry: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in names]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last == 0 and carry and carry[-1][0][-1] == rows[0][0]:
+            carry.append(rows)
+            continue
+        whole = [np.concatenate([c[i] for c in carry] + [r[:last]]) for i, r in enumerate(rows)]
+        carry = [[r[last:] for r in rows]]
+        if len(whole[0]):
+            yield solve(whole)
+    if carry:
+        yield solve([np.concatenate([c[i] for c in carry]) for i in range(len(names))])
+    carry.clear()
+    release_memory()
+
+
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Collinear chains of matches sorted by (x, y): (first x, last x, first y, last y) of each."""
     return [(int(x[m].min()), int(x[m].max()), int(y[m[0]]), int(y[m[-1]])) for m in chained(x, y)]
@@ -316,14 +365,20 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     and must have one text. Other columns are ignored; an empty table gives no rows.
 
     A seed meets its first occurrence only, so a passage that thousands share gives a match for each of them, not for each
-    pair. First occurrences are pre-aggregated before their shuffle, and the join back can be split where a seed is hot.
+    pair. A seed's first occurrence may stand outside the passage, in a text that has one line of it, so runs of seeds over
+    ``MIN_PIECE`` words meet their own first occurrence too. First occurrences are pre-aggregated before their shuffle, and the join back can be split where a seed is hot.
     """
     ship_package(df.sparkSession)
     docs = tidy(df, [id_col, text_col]).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     every = seeds(docs)
     first = every.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
     first = checkpointed(first.select(F.col("seed").alias("known"), F.col("first.doc").alias("source"), F.col("first.at").alias("y")))
-    matches = every.join(first, (every["seed"] == first["known"]) & (every["doc"] > first["source"])).select("doc", "source", F.col("at").alias("x"), "y")
+    shared = checkpointed(every.join(first, (every["seed"] == first["known"]) & (every["doc"] >= first["source"])).select("doc", "seed", F.col("at").alias("x"), "source", "y"))
+    runs = shared.repartition("doc").sortWithinPartitions("doc", "x").mapInArrow(_long_runs, "run bigint, doc bigint, x bigint, x_end bigint, source bigint, y bigint")
+    one = runs.groupBy("run").agg(F.min(F.struct("doc", "x", "x_end")).alias("one"), F.max("doc").alias("last")).where("one.doc < last").select(F.col("run").alias("_run"), "one")
+    more = runs.join(one, F.col("run") == F.col("_run")).where("doc > one.doc and not (source <=> one.doc and y <=> one.x)")
+    more = more.select("doc", F.col("one.doc").alias("source"), F.explode(F.array(F.struct("x", F.col("one.x").alias("y")), F.struct(F.col("x_end").alias("x"), F.col("one.x_end").alias("y")))).alias("end")).select("doc", "source", "end.x", "end.y")
+    matches = shared.where("doc > source").select("doc", "source", "x", "y").unionByName(more)
     chains = checkpointed(matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "x", "y").mapInArrow(_chains, "doc bigint, source bigint, x_from int, x_to int, y_from int, y_to int, path binary"))
     key = ["doc", "source", "x_from", "y_from"]
     wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), F.col("x_to").alias("end"), "path").unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), F.col("y_to").alias("end"), F.lit(None).cast("binary").alias("path")))
