@@ -35,6 +35,8 @@ PAD = 240
 MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
 #: How far the alignment looks behind a difference, and how many words must agree there.
 LOOK, AGREE = 12, 3
+#: Words skipped on both sides behind a difference, nearest first.
+_SKIPS = [(skip, far - skip) for far in range(1, 2 * LOOK + 1) for skip in sorted(range(max(0, far - LOOK), min(LOOK, far) + 1), key=lambda s, far=far: abs(2 * s - far))]
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _LEADING = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}"
@@ -257,15 +259,11 @@ def _walk(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int, in
             runs.append((i, j, size))
             i, j = i + size, j + size
             continue
-        for far in range(1, 2 * LOOK + 1):
-            for skip in sorted(range(max(0, far - LOOK), min(LOOK, far) + 1), key=lambda s: abs(2 * s - far)):
-                p, q = i + skip, j + far - skip
-                if p + AGREE <= n and q + AGREE <= m and a[p : p + AGREE] == b[q : q + AGREE]:
-                    i, j = p, q
-                    break
-            else:
-                continue
-            break
+        for skip, other in _SKIPS:
+            p, q = i + skip, j + other
+            if p + AGREE <= n and q + AGREE <= m and a[p] == b[q] and a[p : p + AGREE] == b[q : q + AGREE]:
+                i, j = p, q
+                break
         else:
             break
     return runs
@@ -297,12 +295,12 @@ def _alike_parts(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, i
 def align(a: list[str], b: list[str], path: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
     """The passages along matches (word of ``a``, word of ``b``) of one chain: their ends in both, and the share of words that agree.
 
-    Where an alignment ends, the next one starts at the chain's next match that none has reached.
+    Where an alignment ends, the next one starts at the chain's next match that none has reached and no passage of ``a`` covers.
     """
     met: set[tuple[int, int]] = set()
     out = []
     for i, j in path:
-        if (i, j) in met:
+        if (i, j) in met or any(p[0] <= i and i + K <= p[1] for p in out):
             continue
         runs = _runs_around(a, b, i, j)
         met.update((p + t, q + t) for p, q, n in runs for t in range(n))
