@@ -295,12 +295,12 @@ def _alike_parts(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, i
 def align(a: list[str], b: list[str], path: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
     """The passages along matches (word of ``a``, word of ``b``) of one chain: their ends in both, and the share of words that agree.
 
-    Where an alignment ends, the next one starts at the chain's next match that none has reached and no passage of ``a`` covers.
+    Where an alignment ends, the next one starts at the chain's next match that none has reached.
     """
     met: set[tuple[int, int]] = set()
     out = []
     for i, j in path:
-        if (i, j) in met or any(p[0] <= i and i + K <= p[1] for p in out):
+        if (i, j) in met:
             continue
         runs = _runs_around(a, b, i, j)
         met.update((p + t, q + t) for p, q, n in runs for t in range(n))
