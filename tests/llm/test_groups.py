@@ -38,10 +38,18 @@ def tokens(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_token_ids_equal_library():
+    rng, own = random.Random(5), packing.encoding(JSON, P.PATTERN)
+    parts = ["word", " word", "<|endoftext|>", "<|endoftext|", "|>", "<", "é", "日本", "12", "\n", "\t", "  ", "\x00\x07", "\u2028", "a" * 400, " " * 300, "don't", "😀"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert [*own.encode_to_numpy(text, allowed_special="all").tolist(), 0] == tokens(text)
+    assert tokens("a <|endoftext|> b")[2] == 50256
+
+
 def test_packing(spark):
     random.seed(6)
     rows = [(i, " ".join(random.choice(["word", "é", "日本", "12", "\n", "<|endoftext|>"]) for _ in range(random.randint(0, 90)))) for i in range(80)]

@@ -21,26 +21,43 @@ from pyspark.sql import functions as F
 from waymark.llm.common import map_batches, texts_of, tidy, with_fields
 from waymark.session import checkpointed
 
+
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a byte-level tokenizer file, whose ids follow the order of its merges.
 
     The file writes each byte as a printable character: bytes that are printable as themselves, the
     others, in order, from U+0100 on.
     """
-    with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+    vocabulary, added = _read(path)["model"]["vocab"], added_tokens(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token not in added}
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings and ids of the file's added tokens, each of which is one id wherever it stands in a text.
+
+    Tokens that the file wants matched in another way than by their very characters are refused.
+    """
+    added = _read(path)["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that aren't matched literally: {odd}")
+    return {t["content"]: t["id"] for t in added}
 
 
 @lru_cache(maxsize=2)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     """The tokenizer file's encoding, once for each worker process.
 
-    It gives the ids that the tokenizers library gives, which the tests compare, at a quarter of the CPU time.
+    It gives the ids that the tokenizers library gives with its default settings, added tokens included, which the
+    tests compare, at a quarter of the CPU time.
     """
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens=added_tokens(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -73,7 +90,7 @@ def pieces(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 204
             rows, piece, start, length, kept, rank = [], [], [], [], [], []
             texts = texts_of(batch.column("text"))
             for at, text in enumerate(texts):
-                whole = memoryview(own.encode_to_numpy(text).astype("<u4", copy=False).tobytes() + end)
+                whole = memoryview(own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes() + end)
                 for k, (a, n) in enumerate(cut(len(whole) // 4, capacity)):
                     ids = whole[4 * a : 4 * (a + n)]
                     rows.append(at)
