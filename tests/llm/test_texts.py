@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -158,3 +160,75 @@ def test_toxicity_learns(spark):
     empty = toxicity.train(d.limit(0), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert toxicity.score(d.limit(0), empty).count() == 0 and empty.features == 0
 
+
+def plain_buckets(text):
+    data = b" " + b" ".join(text.encode().lower().split()) + b" "
+    out = set()
+    for size in toxicity.ORDERS:
+        for at in range(len(data) - size + 1):
+            rolled = 0
+            for c in data[at : at + size]:
+                rolled = rolled * 0x100000001B3 + c & (1 << 64) - 1
+            out.add(((rolled ^ size) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - toxicity.BITS)
+    return out
+
+
+def plain_scores(texts, toxic, prior, asked):
+    """The same classifier with dictionaries and dense rows."""
+    found = [plain_buckets(t) for t in texts]
+    n = [toxic.count(False), toxic.count(True)]
+    counts = {}
+    for own, label in zip(found, toxic, strict=True):
+        for g in own:
+            counts.setdefault(g, [0, 0])[label] += 1
+    ratio = {g: math.log((c[1] + 1) / (n[1] + 2)) - math.log((c[0] + 1) / (n[0] + 2)) for g, c in counts.items()}
+    names = sorted(g for g, c in counts.items() if sum(c) >= 3 and abs(ratio[g]) / math.sqrt(1 / (c[1] + 1) + 1 / (c[0] + 1)) >= toxicity.MIN_Z)
+    x = np.asarray([[ratio[g] if g in own else 0.0 for g in names] for own in found])
+    y = np.asarray(toxic, float)
+    w, b = np.zeros(len(names)), math.log(n[1] / n[0])
+    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        slope = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g = np.append(x.T @ slope + toxicity.RIDGE * w / len(y), slope.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        w, b = w - move[:-1], b - move[-1]
+    shift = math.log(prior / (1 - prior)) - math.log(n[1] / n[0])
+    return [1 / (1 + math.exp(-(b + shift + sum(w[k] * ratio[g] for k, g in enumerate(names) if g in (own := plain_buckets(t)))))) for t in asked]
+
+
+def toxic_rows(n=400):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("aeioutnrs") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for i in range(n):
+        text = [word() for _ in range(30)]
+        if i % 3 == 0:
+            text[rng.randrange(30)] = rng.choice(["scumbag", "Idiotic"])
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    return rows
+
+
+def test_toxicity_equals_plain_form_and_never_sees_held_out_labels(spark):
+    rows = toxic_rows()
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    scores = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(i, 1 if flip and i in held else y) for i, _, y in rows], "doc_id bigint, toxic int")
+        scores.append({r.doc_id: r.score for r in toxicity.score(d, toxicity.train(d, labels)).collect()})
+    assert scores[0] == scores[1]
+    free = sorted((t, bool(y)) for i, t, y in rows if i not in held)
+    want = plain_scores([t for t, _ in free], [y for _, y in free], sum(y for _, y in free) / len(free), [t for _, t, _ in rows])
+    assert len(set(want)) > 1 and all(abs(scores[0][i] - s) < 1e-5 for (i, _, _), s in zip(rows, want, strict=True))
+
+
+def test_toxicity_bounds_of_the_fit(spark):
+    rows = toxic_rows()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, f"zz {k}") for k in range(3000)], "doc_id bigint, text string")
+    free = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert toxicity.train(d, labels).texts == len(free)
+    assert toxicity.train(d, labels, max_texts=50).texts == 100
+    shortest = [sorted(len(t) for i, t, y in rows if y == label and zlib.crc32(str(i).encode()) % 5) for label in (0, 1)]
+    assert toxicity.train(d, labels, max_bytes=5000).texts == sum(int((np.cumsum(s) <= 5000).sum()) for s in shortest)

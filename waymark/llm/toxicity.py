@@ -12,23 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import ASCII_LOWER, map_batches, texts_of, tidy, with_fields
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-#: The fit sees at most so many labelled texts of each class, by the hash of their id; scoring sees everything.
-MAX_TEXTS = 4000
-#: Labelled texts above so many characters are not fitted on, which bounds what the driver holds.
-MAX_CHARS = 60_000
-MIN_Z = 3.0
-#: At most so many n-grams take part, those that stand out most.
-FEATURES = 4096
+#: An n-gram takes part if its log-count ratio is so many standard errors from 0: of 2^20 buckets, chance lets about one pass.
+MIN_Z = 5.0
 RIDGE = 2.0
-#: Steps and step size of the fit.
-STEPS, RATE = 120, 0.05
+#: Steps and step size of the fit, and how many features of texts a step looks at together.
+STEPS, RATE, CHUNK = 120, 0.05, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -88,26 +83,29 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     ratio = np.log((count[1] + 1) / (n1 + 2)) - np.log((count[0] + 1) / (n0 + 2))
     z = ratio / np.sqrt(1 / (count[1] + 1) + 1 / (count[0] + 1))
     chosen = np.flatnonzero((np.abs(z) >= MIN_Z) & (count.sum(0) >= 3))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:FEATURES]])
     at = np.full(1 << BITS, -1, np.int32)
     at[chosen] = np.arange(len(chosen))
-    columns, rows = [], []
-    for i, text in enumerate(texts):
-        own = at[grams.buckets(text)]
-        own = own[own >= 0]
-        columns.append(own)
-        rows.append(np.full(len(own), i, np.int32))
-    col, row = np.concatenate(columns), np.concatenate(rows)
     scale = ratio[chosen]
-    del columns, rows, count, at
-    value = scale[col].astype(np.float32)
+    columns = []
+    for text in texts:
+        own = at[grams.buckets(text)]
+        columns.append(own[own >= 0])
+    sizes = np.asarray([len(c) for c in columns], np.int64)
+    columns = np.concatenate(columns)
+    del count, at, ratio, z
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)), [len(texts)]]))
+    parts = [(low, high, columns[ends[low] - sizes[low] : ends[high - 1]], np.repeat(np.arange(high - low), sizes[low:high])) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
     y = toxic.astype(np.float64)
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, STEPS + 1):
-        logit = np.bincount(row, value * w[col], len(y)) + b
-        slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
-        gradient = np.append(np.bincount(col, value * slope[row], len(chosen)) + RIDGE * w / len(y), slope.sum())
+        scaled, gradient = w * scale, np.append(RIDGE * w / len(y), 0.0)
+        for low, high, col, row in parts:
+            logit = np.bincount(row, scaled[col], high - low) + b
+            slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[low:high]) / len(y)
+            gradient[:-1] += scale * np.bincount(col, slope[row], len(chosen))
+            gradient[-1] += slope.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w -= move[:-1]
@@ -121,22 +119,26 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on a bounded sample of labelled texts whose ids are not held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_texts: int = 4000, max_bytes: int = 16 << 20) -> Model:
+    """Fits on a bounded sample of labelled texts whose ids are not held out; labels of held-out ids are never looked at.
 
-    Of each class at most ``MAX_TEXTS`` labels with the smallest hashes are taken; rows without a label or
-    id don't count, an id labelled twice counts as toxic if it once is, and of repeated documents each is
-    fitted on. The sample's ids (bounded) are broadcast to the scan.
+    The bounds are for each class: ``max_texts`` labelled ids, those with the smallest hashes, and of their texts the shortest
+    whose UTF-8 bytes add up to ``max_bytes`` at most. Every n-gram that stands out in the sample takes part. Rows without a
+    label or id don't count, an id labelled twice counts as toxic if it once is, and of rows that share an id the text
+    that sorts first is fitted on. Null texts are left out. The share of toxic ids among all labelled ones that aren't held
+    out is the prior. No documents or no labels give a model without n-grams. The sample's ids are broadcast to the scan.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    totals = {int(r["_label"]): int(r["n"]) for r in known.where("_label in (0, 1)").groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    free = known.where(~held_out(id_col))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label")).where("_label in (0, 1)")
+    totals = {int(r["_label"]): int(r["n"]) for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     sample = None
     for label in (0, 1):
-        part = free.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(MAX_TEXTS)
+        part = known.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(max_texts)
         sample = part if sample is None else sample.unionByName(part)
-    texts = tidy(docs, [id_col, text_col]).select(id_col, F.col(text_col).alias("_text"))
-    rows = texts.where(F.col("_text").isNotNull() & (F.length("_text") <= MAX_CHARS)).join(F.broadcast(sample), id_col).select("_text", "_label").toArrow()
+    texts = tidy(docs, [id_col, text_col]).select(id_col, F.col(text_col).alias("_text")).where("_text is not null")
+    # at most 2 * max_texts rows from here on
+    found = texts.join(F.broadcast(sample), id_col).groupBy(id_col, "_label").agg(F.min("_text").alias("_text"))
+    running = Window.partitionBy("_label").orderBy(F.octet_length("_text"), id_col)
+    rows = found.withColumn("_bytes", F.sum(F.octet_length("_text").cast("bigint")).over(running)).where(F.col("_bytes") <= max_bytes).select("_text", "_label").toArrow()
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     # one order whatever the partitions, so that sums and so the model are the same each time
     pairs = sorted(zip(rows.column("_text").to_pylist(), rows.column("_label").to_pylist(), strict=True))
