@@ -40,6 +40,14 @@ def tidy(df: DataFrame, needed: Iterable[str], reserved: Iterable[str] = ()) ->
     return df.toDF(*names).select(*[F.col(f"`{c}`") for c in stay])
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores behind it until no column of ``df`` is so named."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def with_fields(df: DataFrame, more: str) -> StructType:
     """The schema of ``df`` and more fields, given as DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -1,15 +1,17 @@
 """Substring deduplication by collinear chaining.
 
 Seeds are hashes of k consecutive words, thinned to window minima (minimizers), so that any shared run of
-K + WINDOW - 1 words has a common seed. Joins give every seed, and every longer run of them, the first document that has it; matches of one
-document with another are chained in order with gap costs, the best predecessor read from a Fenwick tree
-of prefix maxima, and each chain is aligned word by word over its gaps and beyond its ends. Passages that are
-alike enough and long enough come out, exact and fuzzy ones.
+K + WINDOW - 1 words has a common seed and any run of K + 2 * WINDOW - 1 words has two. A shuffle by seed gives every seed, and every
+pair of seeds some words apart, the first document that has it; matches of one document with another are chained in order
+with gap costs, the best predecessor read from a Fenwick tree of prefix maxima. Each chain is aligned from match to match
+and beyond its ends: equal words extend the matches, and a sparse dynamic programme (longest common subsequence of words)
+fills the gaps between them. The stretches of an alignment that pay are passages, exact and fuzzy ones.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,39 +20,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import CHUNK_ROWS, map_batches, release_memory, texts_of, tidy
-from waymark.session import checkpointed, ship_package
+from waymark.llm.common import CHUNK_ROWS, map_batches, release_memory, texts_of, tidy, unused_name
+from waymark.session import checkpointed, ship_package, written
 
-#: Words of a seed, and seeds of which the smallest is kept.
-K, WINDOW = 5, 16
+#: Words of a seed, and seeds of which the smallest is kept; ``COARSE`` is the window of those that begin or end pairs of seeds.
+K, WINDOW, COARSE = 5, 8, 16
 #: Matches below which two documents can't share a passage.
 MIN_MATCHES = 2
-#: Units of length that a word counts, however long it is: what a usual word has in characters, with its space.
-UNIT = 6
-#: Cost of a unit of gap (mean of both sides), weight of a seed, and the longest gap inside a chain, in units.
-GAP_COST, SEED_WEIGHT, MAX_GAP = 0.02, 5.0, 320
-#: Units read beyond both ends of a chain, for the alignment to go on.
-PAD = 240
+#: Cost of a word of gap (mean of both sides), weight of a seed, and the longest gap inside a chain, in words.
+GAP_COST, SEED_WEIGHT, MAX_GAP = 0.12, 5.0, 53
+#: Words read beyond both ends of a chain, and code points that they may have, for the alignment to go on.
+PAD, PAD_CHARS = 64, 8192
 #: A passage has at least so many words, of which this share is alike; pieces of one may come from several documents.
 MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
-#: How far the alignment looks behind a difference, and how many words must agree there.
-LOOK, AGREE = 12, 3
-#: Words skipped on both sides behind a difference, nearest first.
-_SKIPS = [(skip, far - skip) for far in range(1, 2 * LOOK + 1) for skip in sorted(range(max(0, far - LOOK), min(LOOK, far) + 1), key=lambda s, far=far: abs(2 * s - far))]
+#: One of so many documents is asked which seeds are frequent, and at most so many seeds are dealt out row by row; results don't depend on either.
+SAMPLE, HOT_SEEDS, HOT_ROWS = 64, 20_000, 32
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _LEADING = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}"
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def spans_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words (A-Z in lower case) with their starts and stops in code points."""
-    found = [(m.group(), m.start(), m.end()) for m in _WORD(text)]
-    return [w.translate(_UPPER) for w, _, _ in found], np.asarray([a for _, a, _ in found], np.int64), np.asarray([b for _, _, b in found], np.int64)
+def words_of(text: str) -> list[bytes]:
+    """Words (A-Z in lower case) as bytes."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _minima(rolled: np.ndarray, window: int) -> np.ndarray:
+    if len(rolled) <= window:
+        return np.asarray([int(rolled.argmin())])
+    windows = np.lib.stride_tricks.sliding_window_view(rolled, window)
+    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
 def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the kept seeds and where they start: the number of the word << 32 | code points before it."""
+    """Hashes of the kept seeds and where they start: the number of the word << 32 | code points before it << 1 | coarse."""
     data = text.encode("utf-8", "surrogatepass").lower()
     found = data.split()
     n = len(found) - K + 1
@@ -62,17 +65,15 @@ def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    if n <= WINDOW:
-        kept = np.asarray([int(rolled.argmin())])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(rolled, WINDOW)
-        kept = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    kept = _minima(rolled, WINDOW)
+    coarse = np.zeros(n, np.int64)
+    coarse[_minima(rolled, COARSE)] = 1
     raw = np.frombuffer(data, np.uint8)
     inside = (raw != 32) & ((raw < 9) | (raw > 13))
     begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))[kept]
     if len(raw) != len(text):
         begin = (np.cumsum((raw & 0xC0) != 0x80) - 1)[begin]
-    return rolled[kept].view(np.int64), kept.astype(np.int64) << 32 | begin
+    return rolled[kept].view(np.int64), kept.astype(np.int64) << 32 | begin << 1 | coarse[kept]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -89,25 +90,83 @@ def seeds(docs: DataFrame) -> DataFrame:
     return map_batches(docs.where("doc is not null").select("doc", "text"), make, "seed bigint, doc bigint, at bigint")
 
 
+def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, seed, x, source, y) of seeds that several documents have, from rows sorted by (seed, doc, at).
+
+    The first row of a seed is its source. Beyond a batch only the first document's rows of one seed are kept. Rows of hot seeds,
+    which are not together in one task, come out without a source.
+    """
+    names = ["seed", "doc", "at"]
+    carry = [np.zeros(0, np.int64) for _ in names]
+    opened: tuple[int, int, int] | None = None  # seed and first occurrence, of a seed whose rows come out already
+
+    def made(seed, doc, at, source, y, hot) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(seed), pa.array(at), pa.array(source, mask=hot), pa.array(y, mask=hot)], ["doc", "seed", "x", "source", "y"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        hot = batch.column("hot").to_numpy(zero_copy_only=False)
+        rows = [batch.column(c).to_numpy() for c in names]
+        if hot.any():
+            seed, doc, at = (r[hot] for r in rows)
+            yield made(seed, doc, at, doc, at, np.ones(len(doc), bool))
+        seed, doc, at = (np.concatenate([c, r[~hot]]) for c, r in zip(carry, rows, strict=True))
+        if not len(seed):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        stop = np.concatenate([start[1:], [len(seed)]])
+        source, y = doc[start], at[start]
+        several = doc[stop - 1] > source
+        if opened is not None and opened[0] == seed[0]:
+            source[0], y[0], several[0] = opened[1], opened[2], True
+        if several[-1]:
+            carry, opened = [c[:0] for c in carry], (int(seed[-1]), int(source[-1]), int(y[-1]))
+        else:
+            carry, opened = [r[start[-1] :] for r in (seed, doc, at)], None
+        take = np.repeat(several, stop - start)
+        if take.any():
+            yield made(seed[take], doc[take], at[take], np.repeat(source, stop - start)[take], np.repeat(y, stop - start)[take], np.zeros(int(take.sum()), bool))
+    release_memory()
+
+
+def shared_seeds(docs: DataFrame) -> DataFrame:
+    """Rows (doc, seed, x, source, y) of the seeds of documents (doc, text) that an earlier one or a later one has too; source is the first.
+
+    All rows of a seed meet in one task, sorted, which keeps no more than one document's rows of it. Seeds that a sample
+    of the documents finds frequent are dealt out row by row instead, and get their first occurrence from a small aggregate.
+    """
+    spark = docs.sparkSession
+    often = seeds(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)).groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+    hot = spark.createDataFrame([(int(r["seed"]),) for r in often.orderBy(F.desc("n"), "seed").limit(HOT_SEEDS).collect()], "hot_seed bigint")
+    every = seeds(docs).join(F.broadcast(hot), F.col("seed") == F.col("hot_seed"), "left").select("seed", "doc", "at", F.col("hot_seed").isNotNull().alias("hot"))
+    dealt = every.repartition(F.when(F.col("hot"), F.xxhash64("doc", "at")).otherwise(F.col("seed"))).sortWithinPartitions("seed", "doc", "at")
+    found = written(dealt.mapInArrow(_first_occurrences, "doc bigint, seed bigint, x bigint, source bigint, y bigint"), "seeds")
+    first = found.where("source is null").groupBy("seed").agg(F.min(F.struct("doc", "x")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").select(F.col("seed").alias("hot_seed"), "first")
+    # at most HOT_SEEDS rows
+    filled = found.join(F.broadcast(first), F.col("seed") == F.col("hot_seed"), "left")
+    return filled.select("doc", "seed", "x", F.coalesce("source", "first.doc").alias("source"), F.coalesce("y", "first.x").alias("y")).where("source is not null")
+
+
 def long_runs(doc: np.ndarray, seed: np.ndarray, x: np.ndarray, source: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of seeds over at least ``MIN_PIECE`` words, one from each seed of a document if it has that many behind it.
+    """Pairs of coarse seeds that span at least ``MIN_PIECE`` words: from each one to the first that is far enough behind it.
 
     Takes seeds sorted by (doc, x) with their first occurrence (source, y). Returns the index of the first and the
-    last seed of each run, its hash, and whether one stretch of the source is the first occurrence of both ends already.
+    last seed of each pair, its hash (both seeds and the words between), and whether one stretch of the source is the first occurrence of both.
     """
+    own = np.flatnonzero(x & 1)
+    doc, seed, x, source, y = doc[own], seed[own], x[own], source[own], y[own]
     word = x >> 32
-    place = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * (1 << 32) + word
+    place = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))[: len(doc)] * (1 << 32) + word
     last = np.searchsorted(place, place + (MIN_PIECE - K))
     begin = np.flatnonzero(last < len(doc))
-    begin = begin[place[last[begin]] - place[begin] <= MAX_GAP // UNIT]
+    begin = begin[place[last[begin]] - place[begin] <= MAX_GAP]
     end = last[begin]
-    mixed = seed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(31)
-    until = np.cumsum(mixed * np.uint64(0xBF58476D1CE4E5B9))
-    run = (until[end] - until[begin]) ^ mixed[begin] * np.uint64(0x94D049BB133111EB) ^ (place[end] - place[begin]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    far = word[end] - word[begin]
+    run = (seed.view(np.uint64)[begin] * np.uint64(0x9E3779B97F4A7C15)) ^ (seed.view(np.uint64)[end] * np.uint64(0x94D049BB133111EB) + far.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     run ^= run >> np.uint64(32)
-    known = (source[begin] == source[end]) & ((y[end] >> 32) - (y[begin] >> 32) == word[end] - word[begin])
-    return begin, end, run.view(np.int64), known
+    known = (source[begin] == source[end]) & ((y[end] >> 32) - (y[begin] >> 32) == far)
+    return own[begin], own[end], run.view(np.int64), known
 
 
 def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +266,7 @@ def chained(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of matches sorted by (doc, source, x, y), with all their matches; keeps one pair's matches beyond a batch."""
+    """Chains of matches sorted by (doc, source, x, y): where they begin and end, and all matches, in words from the first; keeps one pair's matches beyond a batch."""
     carry: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch | None:
@@ -216,10 +275,10 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(np.diff(border) >= MIN_MATCHES):
             own = rows[border[k] : border[k + 1]]
             own = own[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])]
-            places = (own[:, 2:] & 0xFFFFFFFF).astype(np.int32)
-            for m in chained((own[:, 2] >> 32) * UNIT, (own[:, 3] >> 32) * UNIT):
-                x, y = places[m, 0], places[m, 1]
-                out.append((int(own[0, 0]), int(own[0, 1]), int(x.min()), int(x.max()), int(y.min()), int(y.max()), places[m].tobytes()))
+            places, numbers = (own[:, 2:] & 0xFFFFFFFF) >> 1, own[:, 2:] >> 32
+            for m in chained(numbers[:, 0], numbers[:, 1]):
+                (x, y), path = places[m].T, numbers[m] - numbers[m].min(axis=0)
+                out.append((int(own[0, 0]), int(own[0, 1]), int(x.min()), int(x.max()), int(y.min()), int(y.max()), path.astype(np.int32).tobytes()))
         if not out:
             return None
         names = ["doc", "source", "x_from", "x_to", "y_from", "y_to", "path"]
@@ -244,34 +303,79 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _walk(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int, int]]:
-    """Aligns forward from words i and j; returns the runs of agreeing words (i, j, length).
+def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists of words, as pairs of places (Hunt and Szymanski, 1977).
 
-    Equal words go together; behind a difference, the nearest place within ``LOOK`` words of both sides is
-    taken where ``AGREE`` words agree again. Without one the alignment ends behind the last agreement.
+    Only pairs of equal words are looked at: the shortest end of a subsequence of each length is kept.
     """
-    runs, n, m = [], len(a), len(b)
-    while i < n and j < m:
-        size = 0
-        while i + size < n and j + size < m and a[i + size] == b[j + size]:
-            size += 1
-        if size:
-            runs.append((i, j, size))
-            i, j = i + size, j + size
+    places: dict[bytes, list[int]] = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    ends: list[int] = []
+    last: list[tuple] = []
+    for i, w in enumerate(a):
+        for j in reversed(places.get(w, ())):
+            k = bisect_left(ends, j)
+            node = (i, j, last[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                last.append(node)
+            else:
+                ends[k], last[k] = j, node
+    out, node = [], last[-1] if last else None
+    while node is not None:
+        out.append((node[0], node[1]))
+        node = node[2]
+    return out[::-1]
+
+
+def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The runs of agreeing words (i, j, length) of an alignment through matches that follow each other in both texts."""
+    anchors, i_end, j_end = [], 0, 0
+    for i, j in line:
+        if i < i_end or j < j_end:
             continue
-        for skip, other in _SKIPS:
-            p, q = i + skip, j + other
-            if p + AGREE <= n and q + AGREE <= m and a[p] == b[q] and a[p : p + AGREE] == b[q : q + AGREE]:
-                i, j = p, q
-                break
-        else:
-            break
+        while i > i_end and j > j_end and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        n = 0
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        if n:
+            anchors.append((i, j, n))
+            i_end, j_end = i + n, j + n
+    runs, i_end, j_end = [], 0, 0
+    for i, j, n in [*anchors, (len(a), len(b), 0)]:
+        if i > i_end and j > j_end:
+            for p, q in common(a[i_end:i], b[j_end:j]):
+                p, q = p + i_end, q + j_end
+                if runs and runs[-1][0] + runs[-1][2] == p and runs[-1][1] + runs[-1][2] == q:
+                    runs[-1] = (*runs[-1][:2], runs[-1][2] + 1)
+                else:
+                    runs.append((p, q, 1))
+        if n:
+            runs.append((i, j, n))
+        i_end, j_end = i + n, j + n
     return runs
 
 
-def _runs_around(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int, int]]:
-    """The runs of agreeing words before and behind words i of ``a`` and j of ``b``."""
-    return [(i - p - n, j - q - n, n) for p, q, n in reversed(_walk(a[:i][::-1], b[:j][::-1], 0, 0))] + _walk(a, b, i, j)
+def _paying(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """All maximal stretches of runs in which words that agree outweigh those that differ (Ruzzo and Tompa, 1999)."""
+    found: list[tuple[int, int, int, int]] = []  # score before and behind, first and last run
+    total = 0
+    for k, (i, j, n) in enumerate(runs):
+        if k:
+            p, q, m = runs[k - 1]
+            total -= max(i - p - m, j - q - m)
+        before, low, total = total, k, total + n
+        while True:
+            at = next((t for t in range(len(found) - 1, -1, -1) if found[t][0] < before), -1)
+            if at < 0 or found[at][1] >= total:
+                found.append((before, total, low, k))
+                break
+            before, low = found[at][0], found[at][2]
+            del found[at:]
+    for _, _, low, high in found:
+        yield runs[low : high + 1]
 
 
 def _alike_parts(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, float]]:
@@ -279,10 +383,12 @@ def _alike_parts(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, i
 
     Runs that are less alike together are cut where they lie farthest apart.
     """
-    left = [runs] if runs else []
+    left = [runs]
     while left:
         part = left.pop()
         (i0, j0, _), (i1, j1, n) = part[0], part[-1]
+        if i1 + n - i0 < MIN_PIECE:
+            continue
         alike = sum(r[2] for r in part) / max(i1 + n - i0, j1 + n - j0)
         if alike >= MIN_ALIKE:
             yield i0, i1 + n, j0, j1 + n, alike
@@ -292,19 +398,20 @@ def _alike_parts(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, i
         left += [part[:at], part[at:]]
 
 
-def align(a: list[str], b: list[str], path: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """The passages along matches (word of ``a``, word of ``b``) of one chain: their ends in both, and the share of words that agree.
+def align(a: list[bytes], b: list[bytes], path: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """The passages along matches (word of ``a``, word of ``b``) of one chain, by place: their ends in both, and the share of words that agree.
 
-    Where an alignment ends, the next one starts at the chain's next match that none has reached.
+    Matches that go back in ``b``, where ``a`` repeats what ``b`` has once, begin a new alignment.
     """
-    met: set[tuple[int, int]] = set()
+    lines: list[list[tuple[int, int]]] = []
+    for i, j in sorted(path):
+        if not lines or j <= lines[-1][-1][1]:
+            lines.append([])
+        lines[-1].append((i, j))
     out = []
-    for i, j in path:
-        if (i, j) in met:
-            continue
-        runs = _runs_around(a, b, i, j)
-        met.update((p + t, q + t) for p, q, n in runs for t in range(n))
-        out += [p for p in _alike_parts(runs) if p[1] - p[0] >= MIN_PIECE]
+    for line in lines:
+        for stretch in _paying(_along(a, b, line)):
+            out += _alike_parts(stretch)
     return list(dict.fromkeys(out))
 
 
@@ -312,16 +419,19 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(low, CHUNK_ROWS) for b in batches for low in range(0, b.num_rows, CHUNK_ROWS)):
         out = []
         for r in batch.to_pylist():
-            if r["x_text"] is None or r["y_text"] is None:
+            x_text, y_text, low_x, low_y = r["x_text"], r["y_text"], r["x_low"], r["y_low"]
+            if x_text is None or y_text is None:
                 continue
-            a, a_from, a_to = spans_of(r["x_text"])
-            b, b_from, b_to = spans_of(r["y_text"])
-            low_x, low_y = r["x_low"], r["y_low"]
-            path = np.frombuffer(r["path"], np.int32).reshape(-1, 2)
-            i, j = np.searchsorted(a_from, path[:, 0] - low_x), np.searchsorted(b_from, path[:, 1] - low_y)
-            inside = (i < len(a)) & (j < len(b))
-            for i0, i1, j0, j1, alike in align(a, b, list(zip(i[inside].tolist(), j[inside].tolist(), strict=True))):
-                out.append((r["doc"], low_x + int(a_from[i0]), low_x + int(a_to[i1 - 1]), i1 - i0, alike, r["source"], low_y + int(b_from[j0]), low_y + int(b_to[j1 - 1])))
+            a, b = words_of(x_text), words_of(y_text)
+            i_first, j_first = len(words_of(x_text[: r["x_from"] - low_x])), len(words_of(y_text[: r["y_from"] - low_y]))
+            path = np.frombuffer(r["path"], np.int32).reshape(-1, 2) + np.asarray([i_first, j_first])
+            path = path[(path[:, 0] < len(a)) & (path[:, 1] < len(b))]
+            found = align(a, b, list(map(tuple, path.tolist())))
+            if not found:
+                continue
+            (a_from, a_to), (b_from, b_to) = (list(zip(*((m.start(), m.end()) for m in _WORD(t)), strict=True)) for t in (x_text, y_text))
+            for i0, i1, j0, j1, alike in found:
+                out.append((r["doc"], low_x + a_from[i0], low_x + a_to[i1 - 1], i1 - i0, alike, r["source"], low_y + b_from[j0], low_y + b_to[j1 - 1]))
         if out:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc", "start", "stop", "words", "alike", "source", "source_start", "source_stop"])
@@ -354,24 +464,39 @@ def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), *(pa.array([p[n] for _, p in rows], k) for n, k in names)], ["doc", *(n for n, _ in names)])
 
 
+def _several_texts(docs: DataFrame) -> DataFrame | None:
+    """Ids (_id) that have different texts in ``docs`` (doc, text), with the hash of the text that counts; None if there are none."""
+    hashed = docs.where("doc is not null").select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("doc").agg(F.min("h").alias("_counts"), F.max("h").alias("_other"))
+    odd = checkpointed(hashed.where("_counts <> _other").select(F.col("doc").alias("_id"), "_counts"))
+    return odd if odd.head(1) else None
+
+
+def _counting(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
+    if odd is None:
+        return docs
+    return docs.join(odd, F.col("doc") == F.col("_id"), "left").where(F.col("_counts").isNull() | (F.col("_counts") == F.xxhash64(F.coalesce("text", F.lit(""))))).drop("_id", "_counts")
+
+
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that an earlier document (by id) has too, exactly or with few words changed.
 
     Returns a row per passage: doc bigint, start int, stop int (code points), words int, alike double,
     source bigint, source_start int, source_stop int. The first document that has a passage keeps it and isn't listed for it. Null
-    and empty texts and rows with a null id have no passages; rows that share an id count as one document
-    and must have one text. Other columns are ignored; an empty table gives no rows.
+    and empty texts and rows with a null id have no passages. Rows that share an id count as one document; if their texts
+    differ, the one with the smallest xxhash64 is that document's, and the others are not searched. Other columns are ignored; an empty table gives no rows.
 
     A seed meets its first occurrence only, so a passage that thousands share gives a match for each of them, not for each
-    pair. A seed's first occurrence may stand outside the passage, in a text that has one line of it, so runs of seeds over
-    ``MIN_PIECE`` words meet their own first occurrence too. First occurrences are pre-aggregated before their shuffle, and the join back can be split where a seed is hot.
+    pair. A seed's first occurrence may stand outside the passage, in a text that has one line of it, so pairs of seeds over
+    ``MIN_PIECE`` words meet their own first occurrence too.
     """
-    ship_package(df.sparkSession)
     docs = tidy(df, [id_col, text_col]).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    every = seeds(docs)
-    first = every.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
-    first = checkpointed(first.select(F.col("seed").alias("known"), F.col("first.doc").alias("source"), F.col("first.at").alias("y")))
-    shared = checkpointed(every.join(first, (every["seed"] == first["known"]) & (every["doc"] >= first["source"])).select("doc", "seed", F.col("at").alias("x"), "source", "y"))
+    return _repeated(docs, _several_texts(docs))
+
+
+def _repeated(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
+    ship_package(docs.sparkSession)
+    docs = _counting(docs, odd)
+    shared = shared_seeds(docs)
     runs = shared.repartition("doc").sortWithinPartitions("doc", "x").mapInArrow(_long_runs, "run bigint, doc bigint, x bigint, x_end bigint, source bigint, y bigint")
     one = runs.groupBy("run").agg(F.min(F.struct("doc", "x", "x_end")).alias("one"), F.max("doc").alias("last")).where("one.doc < last").select(F.col("run").alias("_run"), "one")
     more = runs.join(one, F.col("run") == F.col("_run")).where("doc > one.doc and not (source <=> one.doc and y <=> one.x)")
@@ -380,8 +505,9 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     chains = checkpointed(matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "x", "y").mapInArrow(_chains, "doc bigint, source bigint, x_from int, x_to int, y_from int, y_to int, path binary"))
     key = ["doc", "source", "x_from", "y_from"]
     wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), F.col("x_to").alias("end"), "path").unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), F.col("y_to").alias("end"), F.lit(None).cast("binary").alias("path")))
-    ahead = F.length(F.regexp_extract(F.reverse(F.substring("text", F.lit(1), F.col("begin"))), _LEADING % (PAD // UNIT), 0))
-    behind = F.length(F.regexp_extract(F.substring("text", F.col("end") + 1, F.length("text")), _LEADING % (PAD // UNIT + K), 0))
+    near = F.greatest(F.col("begin") - PAD_CHARS, F.lit(0))
+    ahead = F.length(F.regexp_extract(F.reverse(F.substring("text", near + 1, F.col("begin") - near)), _LEADING % PAD, 0))
+    behind = F.length(F.regexp_extract(F.substring("text", F.col("end") + 1, F.lit(PAD_CHARS)), _LEADING % (PAD + K), 0))
     cut = docs.withColumnRenamed("doc", "_doc").join(wanted, F.col("_doc") == F.col("owner")).withColumn("low", F.col("begin") - ahead)
     cut = cut.select(*key, "side", "path", "low", F.substring("text", F.col("low") + 1, F.col("end") + behind - F.col("low")).alias("part"))
     of = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
@@ -394,24 +520,33 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every repeated passage cut out of its text, but for the first document that has it.
 
-    No row goes: a document that only repeats others keeps an empty text.
+    No row and no column goes: a document that only repeats others keeps an empty text, null texts stay null, and rows
+    whose text isn't the one that counts for their id (see ``repeated``) stay as they are.
     """
-    df = tidy(df, [id_col, text_col], ["_doc", "_cuts"])
-    cuts = checkpointed(repeated(df, id_col, text_col).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts")).withColumnRenamed("doc", "_doc"))
-    both = df.join(cuts, F.col(id_col).cast("bigint") == F.col("_doc"), "left").drop("_doc")
+    df = tidy(df, [id_col, text_col])
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    odd = _several_texts(docs)
+    own, spans = unused_name(df, "cut_doc"), unused_name(df, "cut_spans")
+    cuts = checkpointed(_repeated(docs, odd).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans)))
+    counts = F.lit(True)
+    if odd is not None:
+        wanted = unused_name(df, "cut_counts")
+        cuts = cuts.join(odd, F.col("doc") == F.col("_id"), "left").select("doc", spans, F.col("_counts").alias(wanted))
+        counts = F.col(wanted).isNull() | (F.col(wanted) == F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    both = df.join(cuts.withColumnRenamed("doc", own), (F.col(id_col).cast("bigint") == F.col(own)) & counts, "left").select(*[F.col(f"`{c}`") for c in df.columns], spans)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(text_col)
         texts = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
-            if spans and text:
+        for text, found in zip(batch.column(at).to_pylist(), batch.column(spans).to_pylist(), strict=True):
+            if found and text:
                 parts, done = [], 0
-                for s in spans:
+                for s in found:
                     parts.append(text[done : s["start"]])
                     done = max(done, s["stop"])
                 text = "".join([*parts, text[done:]])
             texts.append(text)
         batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-        return batch.select([c for c in batch.schema.names if c != "_cuts"])
+        return batch.select([c for c in batch.schema.names if c != spans])
 
-    return map_batches(both, lambda: step, both.drop("_cuts").schema)
+    return map_batches(both, lambda: step, df.schema)
