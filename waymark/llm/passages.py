@@ -31,10 +31,14 @@ MIN_MATCHES = 2
 GAP_COST, SEED_WEIGHT, MAX_GAP = 0.12, 5.0, 53
 #: Words read beyond both ends of a chain, and code points that they may have, for the alignment to go on.
 PAD, PAD_CHARS = 64, 8192
+#: Words of a gap that is still looked into.
+WIDEST = 256
 #: A passage has at least so many words, of which this share is alike; pieces of one may come from several documents.
 MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
 #: One of so many documents is asked which seeds are frequent, and at most so many seeds are dealt out row by row; results don't depend on either.
 SAMPLE, HOT_SEEDS, HOT_ROWS = 64, 20_000, 32
+#: Stands for a source that isn't known yet, in arrays.
+OPEN = np.iinfo(np.int64).min
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _LEADING = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}"
@@ -130,8 +134,9 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     release_memory()
 
 
-def shared_seeds(docs: DataFrame) -> DataFrame:
-    """Rows (doc, seed, x, source, y) of the seeds of documents (doc, text) that an earlier one or a later one has too; source is the first.
+def shared_seeds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches (doc, x, source, y) of the seeds of documents (doc, text) with their first occurrence, if in an earlier
+    document, and pairs of seeds (run, doc, x, x_end, source, y) with their source where both have one stretch of it.
 
     All rows of a seed meet in one task, sorted, which keeps no more than one document's rows of it. Seeds that a sample
     of the documents finds frequent are dealt out row by row instead, and get their first occurrence from a small aggregate.
@@ -141,11 +146,14 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
     hot = spark.createDataFrame([(int(r["seed"]),) for r in often.orderBy(F.desc("n"), "seed").limit(HOT_SEEDS).collect()], "hot_seed bigint")
     every = seeds(docs).join(F.broadcast(hot), F.col("seed") == F.col("hot_seed"), "left").select("seed", "doc", "at", F.col("hot_seed").isNotNull().alias("hot"))
     dealt = every.repartition(F.when(F.col("hot"), F.xxhash64("doc", "at")).otherwise(F.col("seed"))).sortWithinPartitions("seed", "doc", "at")
-    found = written(dealt.mapInArrow(_first_occurrences, "doc bigint, seed bigint, x bigint, source bigint, y bigint"), "seeds")
-    first = found.where("source is null").groupBy("seed").agg(F.min(F.struct("doc", "x")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").select(F.col("seed").alias("hot_seed"), "first")
+    known = dealt.mapInArrow(_first_occurrences, "doc bigint, seed bigint, x bigint, source bigint, y bigint")
+    found = written(known.repartition("doc").sortWithinPartitions("doc", "x").mapInArrow(_by_document, "doc bigint, x bigint, source bigint, y bigint, name bigint, x_end bigint"), "seeds")
+    matches = found.where("x_end is null and source is not null").select("doc", "x", "source", "y")
+    opened = found.where("x_end is null and source is null").select("doc", "x", "name")
     # at most HOT_SEEDS rows
-    filled = found.join(F.broadcast(first), F.col("seed") == F.col("hot_seed"), "left")
-    return filled.select("doc", "seed", "x", F.coalesce("source", "first.doc").alias("source"), F.coalesce("y", "first.x").alias("y")).where("source is not null")
+    first = opened.groupBy("name").agg(F.min(F.struct("doc", "x")).alias("first")).select(F.col("name").alias("hot_seed"), F.col("first.doc").alias("source"), F.col("first.x").alias("y"))
+    filled = opened.join(F.broadcast(first), F.col("name") == F.col("hot_seed")).where("doc > source").select("doc", "x", "source", "y")
+    return matches.unionByName(filled), found.where("x_end is not null").select(F.col("name").alias("run"), "doc", "x", "x_end", "source", "y")
 
 
 def long_runs(doc: np.ndarray, seed: np.ndarray, x: np.ndarray, source: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -165,24 +173,32 @@ def long_runs(doc: np.ndarray, seed: np.ndarray, x: np.ndarray, source: np.ndarr
     far = word[end] - word[begin]
     run = (seed.view(np.uint64)[begin] * np.uint64(0x9E3779B97F4A7C15)) ^ (seed.view(np.uint64)[end] * np.uint64(0x94D049BB133111EB) + far.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     run ^= run >> np.uint64(32)
-    known = (source[begin] == source[end]) & ((y[end] >> 32) - (y[begin] >> 32) == far)
+    known = (source[begin] != OPEN) & (source[begin] == source[end]) & ((y[end] >> 32) - (y[begin] >> 32) == far)
     return own[begin], own[end], run.view(np.int64), known
 
 
-def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of seeds sorted by (doc, x); keeps one document's seeds beyond a batch."""
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From shared seeds sorted by (doc, x): a row per match with an earlier document, with its seed where the source is open, and a row per pair
+    of seeds, with its hash and end; keeps one document's seeds beyond a batch."""
     names = ["doc", "seed", "x", "source", "y"]
 
     def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
         doc, seed, x, source, y = rows
         begin, end, run, known = long_runs(doc, seed, x, source, y)
-        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(doc[begin]), pa.array(x[begin]), pa.array(x[end]), pa.array(source[begin], mask=~known), pa.array(y[begin], mask=~known)], ["run", "doc", "x", "x_end", "source", "y"])
+        opened = source == OPEN
+        match = np.flatnonzero(opened | (doc > source))
+        n = np.arange(len(match) + len(begin)) < len(match)
+        take = np.concatenate([match, begin])
+        lone = np.concatenate([opened[match], ~known])
+        values = [doc[take], x[take], np.concatenate([seed[match], run]), np.concatenate([np.zeros(len(match), np.int64), x[end]])]
+        columns = [pa.array(values[0]), pa.array(values[1]), pa.array(source[take], mask=lone), pa.array(y[take], mask=lone), pa.array(values[2], mask=n & ~lone), pa.array(values[3], mask=n)]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "x", "source", "y", "name", "x_end"])
 
     carry: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(c).to_numpy() for c in names]
+        rows = [batch.column(c).fill_null(OPEN).to_numpy() for c in names]
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         if last == 0 and carry and carry[-1][0][-1] == rows[0][0]:
             carry.append(rows)
@@ -330,7 +346,10 @@ def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
 
 
 def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """The runs of agreeing words (i, j, length) of an alignment through matches that follow each other in both texts."""
+    """The runs of agreeing words (i, j, length) of an alignment through matches that follow each other in both texts.
+
+    It goes on for ``PAD`` words beyond the first and the last match. Gaps of over ``WIDEST`` words, over which no stretch pays, stay gaps.
+    """
     anchors, i_end, j_end = [], 0, 0
     for i, j in line:
         if i < i_end or j < j_end:
@@ -343,9 +362,12 @@ def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[
         if n:
             anchors.append((i, j, n))
             i_end, j_end = i + n, j + n
-    runs, i_end, j_end = [], 0, 0
-    for i, j, n in [*anchors, (len(a), len(b), 0)]:
-        if i > i_end and j > j_end:
+    if not anchors:
+        return []
+    runs, i_end, j_end = [], max(0, anchors[0][0] - PAD), max(0, anchors[0][1] - PAD)
+    i, j, n = anchors[-1]
+    for i, j, n in [*anchors, (min(len(a), i + n + PAD), min(len(b), j + n + PAD), 0)]:
+        if i_end < i <= i_end + WIDEST and j_end < j <= j_end + WIDEST:
             for p, q in common(a[i_end:i], b[j_end:j]):
                 p, q = p + i_end, q + j_end
                 if runs and runs[-1][0] + runs[-1][2] == p and runs[-1][1] + runs[-1][2] == q:
@@ -496,12 +518,11 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _repeated(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
     ship_package(docs.sparkSession)
     docs = _counting(docs, odd)
-    shared = shared_seeds(docs)
-    runs = shared.repartition("doc").sortWithinPartitions("doc", "x").mapInArrow(_long_runs, "run bigint, doc bigint, x bigint, x_end bigint, source bigint, y bigint")
-    one = runs.groupBy("run").agg(F.min(F.struct("doc", "x", "x_end")).alias("one"), F.max("doc").alias("last")).where("one.doc < last").select(F.col("run").alias("_run"), "one")
+    matches, runs = shared_seeds(docs)
+    one = checkpointed(runs.groupBy("run").agg(F.min(F.struct("doc", "x", "x_end")).alias("one"), F.max("doc").alias("last")).where("one.doc < last").select(F.col("run").alias("_run"), "one"))
     more = runs.join(one, F.col("run") == F.col("_run")).where("doc > one.doc and not (source <=> one.doc and y <=> one.x)")
     more = more.select("doc", F.col("one.doc").alias("source"), F.explode(F.array(F.struct("x", F.col("one.x").alias("y")), F.struct(F.col("x_end").alias("x"), F.col("one.x_end").alias("y")))).alias("end")).select("doc", "source", "end.x", "end.y")
-    matches = shared.where("doc > source").select("doc", "source", "x", "y").unionByName(more)
+    matches = matches.select("doc", "source", "x", "y").unionByName(more)
     chains = checkpointed(matches.repartition("doc", "source").sortWithinPartitions("doc", "source", "x", "y").mapInArrow(_chains, "doc bigint, source bigint, x_from int, x_to int, y_from int, y_to int, path binary"))
     key = ["doc", "source", "x_from", "y_from"]
     wanted = chains.select(*key, F.col("doc").alias("owner"), F.lit(0).alias("side"), F.col("x_from").alias("begin"), F.col("x_to").alias("end"), "path").unionByName(chains.select(*key, F.col("source").alias("owner"), F.lit(1).alias("side"), F.col("y_from").alias("begin"), F.col("y_to").alias("end"), F.lit(None).cast("binary").alias("path")))
