@@ -31,8 +31,8 @@ MIN_MATCHES = 2
 GAP_COST, SEED_WEIGHT, MAX_GAP = 0.12, 5.0, 53
 #: Words read beyond both ends of a chain, and code points that they may have, for the alignment to go on.
 PAD, PAD_CHARS = 64, 8192
-#: Words of a gap that is still looked into.
-WIDEST = 256
+#: Words of a gap that is still looked into, and words that an alignment goes on at a time beyond its matches.
+WIDEST, STEP = 256, 16
 #: A passage has at least so many words, of which this share is alike; pieces of one may come from several documents.
 MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
 #: One of so many documents is asked which seeds are frequent, and at most so many seeds are dealt out row by row; results don't depend on either.
@@ -320,7 +320,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of words, as pairs of places (Hunt and Szymanski, 1977).
+    """A longest common subsequence of words, as pairs of places (Hunt and Szymanski, 1977).
 
     Only pairs of equal words are looked at: the shortest end of a subsequence of each length is kept.
     """
@@ -348,7 +348,7 @@ def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
 def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """The runs of agreeing words (i, j, length) of an alignment through matches that follow each other in both texts.
 
-    It goes on for ``PAD`` words beyond the first and the last match. Gaps of over ``WIDEST`` words, over which no stretch pays, stay gaps.
+    It goes on for up to ``PAD`` words beyond the first and the last match. Gaps of over ``WIDEST`` words, over which no stretch pays, stay gaps.
     """
     anchors, i_end, j_end = [], 0, 0
     for i, j in line:
@@ -364,20 +364,42 @@ def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[
             i_end, j_end = i + n, j + n
     if not anchors:
         return []
-    runs, i_end, j_end = [], max(0, anchors[0][0] - PAD), max(0, anchors[0][1] - PAD)
-    i, j, n = anchors[-1]
-    for i, j, n in [*anchors, (min(len(a), i + n + PAD), min(len(b), j + n + PAD), 0)]:
+    i, j, _ = anchors[0]
+    ahead = _beyond(a[max(0, i - PAD) : i][::-1], b[max(0, j - PAD) : j][::-1])
+    pairs = [(i - 1 - p, j - 1 - q) for p, q in reversed(ahead)]
+    i_end, j_end = i, j
+    for i, j, n in anchors:
         if i_end < i <= i_end + WIDEST and j_end < j <= j_end + WIDEST:
-            for p, q in common(a[i_end:i], b[j_end:j]):
-                p, q = p + i_end, q + j_end
-                if runs and runs[-1][0] + runs[-1][2] == p and runs[-1][1] + runs[-1][2] == q:
-                    runs[-1] = (*runs[-1][:2], runs[-1][2] + 1)
-                else:
-                    runs.append((p, q, 1))
-        if n:
-            runs.append((i, j, n))
+            pairs += [(i_end + p, j_end + q) for p, q in common(a[i_end:i], b[j_end:j])]
+        pairs += zip(range(i, i + n), range(j, j + n))
         i_end, j_end = i + n, j + n
-    return runs
+    pairs += [(i_end + p, j_end + q) for p, q in _beyond(a[i_end : i_end + PAD], b[j_end : j_end + PAD])]
+    runs = []
+    for p, q in pairs:
+        if runs and runs[-1][0] + runs[-1][2] == p and runs[-1][1] + runs[-1][2] == q:
+            runs[-1][2] += 1
+        else:
+            runs.append([p, q, 1])
+    return [tuple(r) for r in runs]
+
+
+def _beyond(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of places that go on from the beginning of two lists, ``STEP`` words at a time, as long as words that agree outweigh those that differ."""
+    out: list[tuple[int, int]] = []
+    i = j = 0
+    while i < len(a) and j < len(b):
+        score, top, keep, p, q = 0, 0, 0, -1, -1
+        found = common(a[i : i + STEP], b[j : j + STEP])
+        for k, (x, y) in enumerate(found, 1):
+            score += 1 - max(x - p, y - q) + 1
+            p, q = x, y
+            if score > top:
+                top, keep = score, k
+        if not keep:
+            break
+        out += [(i + x, j + y) for x, y in found[:keep]]
+        i, j = out[-1][0] + 1, out[-1][1] + 1
+    return out
 
 
 def _paying(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -451,9 +473,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = align(a, b, list(map(tuple, path.tolist())))
             if not found:
                 continue
-            (a_from, a_to), (b_from, b_to) = (list(zip(*((m.start(), m.end()) for m in _WORD(t)), strict=True)) for t in (x_text, y_text))
+            x, y = ([m.span() for m in _WORD(t)] for t in (x_text, y_text))
             for i0, i1, j0, j1, alike in found:
-                out.append((r["doc"], low_x + a_from[i0], low_x + a_to[i1 - 1], i1 - i0, alike, r["source"], low_y + b_from[j0], low_y + b_to[j1 - 1]))
+                out.append((r["doc"], low_x + x[i0][0], low_x + x[i1 - 1][1], i1 - i0, alike, r["source"], low_y + y[j0][0], low_y + y[j1 - 1][1]))
         if out:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc", "start", "stop", "words", "alike", "source", "source_start", "source_stop"])
