@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import mih, packing, passages, pq, simhash
+from tests.llm.test_texts import plain_scores
+from waymark.llm import mih, packing, passages, pii, pq, simhash
 from waymark.llm.common import Forest, components
 
 JSON = P.path("byte_bpe_50k.json")
@@ -182,6 +183,20 @@ def test_simhash_tries_other_partners(spark):
     assert [found[i] for i in range(300)] == want
 
 
+def test_simhash_deals_large_buckets(spark, monkeypatch):
+    rng = random.Random(27)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(300)}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(prints)], "id bigint, fingerprint binary")
+    want = brute_components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    for split in (2048, 20):
+        monkeypatch.setattr(simhash, "SPLIT_AT", split)
+        monkeypatch.setattr(simhash, "SAMPLE", 16 if split > 20 else 1)
+        found = simhash.links(df, simhash.pigeonhole(64, 2, len(prints))).collect()
+        assert brute_components(len(prints), [(r.a, r.b) for r in found]) == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))
@@ -445,3 +460,89 @@ def test_passages_of_ids_with_several_texts(spark):
     assert [g[1] for g in got if g[0] == 3] == ["", ""] and [g[1] for g in got if g[0] == 0] == [shared]
     two = [g[1] for g in got if g[0] == 2]
     assert rows[2][1] in two and (("begin " in two) or ("begin " + shared in two))
+
+
+def run_stages(spark, folder, rows, schema, labels):
+    """The result of each stage, as rows; every stage's columns are those of the documents."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, out = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, folder)
+        made.write.parquet(f"{folder}/{k}.parquet")
+        docs = spark.read.parquet(f"{folder}/{k}.parquet")
+        assert k == 4 or docs.columns == columns
+        out.append(docs.collect())
+    return out
+
+
+def plain_pipeline(rows, labels):
+    """What the stages must give, document by document: rows (id, text) after each of the first four, and the tokens of the fifth."""
+    scores = dict(zip([i for i, _ in rows], plain_scores([t for t, _ in labels], [y for _, y in labels], sum(y for _, y in labels) / len(labels), [t or "" for _, t in rows]), strict=True))
+    kept = [(i, t) for i, t in rows if scores[i] < 0.5]
+    first = list(kept)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in kept]
+    alike = [(a, b) for a in range(len(kept)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group = brute_components(len(kept), alike)
+    kept = [r for n, r in enumerate(kept) if group[n] == n]
+    second = list(kept)
+    seen, third = set(), []
+    for i, t in kept:
+        words = (t or "").split(" ")
+        runs = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        gone = {w for k, run in enumerate(runs) if run in seen for w in range(k, k + 50)}
+        seen |= set(runs)
+        out = "".join(" " + w for k, w in enumerate(words) if k not in gone) if gone else None
+        third.append((i, t if not gone else out.strip()))
+    fourth = [(i, t and pii.redact(t, pii.find_spans(t))) for i, t in third]
+    return first, second, third, fourth, {i: len(tokens(t or "")) for i, t in fourth}
+
+
+def test_pipeline_equals_plain_form(spark, tmp_path):
+    rng, text = random.Random(41), made_words(41)
+    rows, toxic = [], set()
+    passage, base = text(80), text(150)
+    for i in range(240):
+        words = text(rng.randint(60, 90))
+        if i % 4 == 0:
+            words[rng.randrange(50)] = rng.choice(["scumbag", "idiotic"])
+            toxic.add(i)
+        elif i % 8 == 1:
+            words = words[:30] + passage + words[30:]
+        elif i % 8 == 2:
+            words = list(base)
+            for at in rng.sample(range(150), rng.randint(0, 2)):
+                words[at] = text(1)[0]
+        elif i % 8 == 3:
+            words[7] = rng.choice(["a.b@c.nl", "+31 6 1234 5678", "10.0.0.1"])
+        rows.append((i, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, " ".join(text(20_000)))]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, _doc int, _cuts string, pii string, _score string, score int, other_0 int, fingerprint string, cut_doc int"
+    full = [(i, t, "nl", "s", len(t) if t is not None else None, i, "c", "p", "x", 1, 2, "f", 3) for i, t in rows]
+    labels = [(i, 0, int(i in toxic)) for i, _ in rows[:240]]
+    free = sorted((t, bool(y)) for (i, t), (_, _, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5)
+    got = run_stages(spark, str(tmp_path), full, names, labels)
+    *want, sizes = plain_pipeline(rows, free)
+    assert {i for i, _ in rows[:240]} - {i for i, _ in want[0]} >= {i for i in toxic if zlib.crc32(str(i).encode()) % 5}
+    for k in range(4):
+        assert sorted(r.doc_id for r in got[k]) == [i for i, _ in want[k]]
+        texts = dict(want[k])
+        for r in got[k]:
+            squeezed = lambda t: t if t is None else " ".join(t.split())  # noqa: E731  a cut leaves both spaces
+            assert squeezed(r.text) == squeezed(texts[r.doc_id]), (k, r.doc_id)
+            assert r.n_chars == (None if r.text is None else len(r.text))
+            assert (r._doc, r._cuts, r.pii, r._score, r.score, r.other_0, r.fingerprint, r.cut_doc) == (r.doc_id, "c", "p", "x", 1, 2, "f", 3)
+    packed = {}
+    for r in got[4]:
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+    assert set(packed) == set(sizes) and all(abs(packed[i] - n) <= 2 for i, n in sizes.items())
+    assert len({r.sequence_id for r in got[4]}) == -(-sum(packed.values()) // 2048)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    assert run_stages(spark, str(tmp_path / "a"), [], schema, []) == [[]] * 5
+    odd = [(None, None, None, None, None), (None, "a b", None, None, None), (5, "a b", "x", None, 3), (5, "a b", "x", None, 3), (5, "c d", "x", None, 3)]
+    got = run_stages(spark, str(tmp_path / "b"), odd, schema, [])
+    assert [len(g) for g in got] == [5] * 5

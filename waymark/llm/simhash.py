@@ -27,6 +27,8 @@ SEED = 42
 SHORT_RUN = 24
 #: Rows of a bucket that are split further by the bits that the bucket leaves open.
 SPLIT_AT = 2048
+#: One of so many fingerprints is asked which buckets are large; those of over two tiles are dealt to many tasks, at most so many buckets.
+SAMPLE, HOT_KEYS = 16, 20_000
 #: Rows of a tile; two tiles of a group of near copies are compared in one task.
 TILE = 1024
 
@@ -119,13 +121,13 @@ def pigeonhole(bits: int, distance: int, rows: int) -> Blocks:
     return Blocks(bits, distance, chosen, True)
 
 
-def sampled(bits: int, distance: int, expected: float, rows: int, recall: float = 0.98) -> Blocks:
+def sampled(bits: int, distance: int, expected: float, rows: int, recall: float = 0.995) -> Blocks:
     """Blocks for distances too large for a guarantee: random bit subsets, as many as ``recall`` needs.
 
     A pair in which a share ``expected`` of the bits differs meets in at least one block with probability
-    ``recall``; closer pairs meet more surely. Keys get longer with the rows, to stay selective.
+    ``recall``; closer pairs meet more surely. Keys get longer with the rows: unrelated rows meet about 16 to a bucket.
     """
-    width = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
+    width = max(12, math.ceil(math.log2(max(rows, 2))) - 4)
     meets = (1 - expected) ** width
     count = math.ceil(math.log(1 - recall) / math.log(1 - meets))
     rng = np.random.default_rng(20240229)
@@ -260,7 +262,8 @@ def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
 
     With sampled blocks it is a minimum one and ``d`` the distance; with exact blocks ``d`` has no meaning.
     Every row goes out once for each block; a key's rows meet in one task, sorted, and are compared there
-    without leaving out any pair. Fingerprints should be distinct, so that copies don't fill a bucket.
+    without leaving out any pair. Buckets that a sample finds large are dealt into tiles of about ``SPLIT_AT`` rows, and each two
+    tiles meet in a task, so every pair still does. Fingerprints should be distinct, so that copies don't fill a bucket.
     """
     ship_package(prints.sparkSession)
     chosen = blocks.chosen
@@ -278,7 +281,19 @@ def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
 
         return step
 
-    keyed = map_batches(prints.select("id", "fingerprint"), make, "key bigint, id bigint, fingerprint binary")
+    spark, kind = prints.sparkSession, "key bigint, id bigint, fingerprint binary"
+    some = map_batches(prints.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "fingerprint"), make, kind)
+    large = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > 2 * SPLIT_AT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    keyed = map_batches(prints.select("id", "fingerprint"), make, kind)
+    if large:
+        # at most HOT_KEYS rows
+        hot = F.broadcast(spark.createDataFrame([(int(r["key"]), -(-int(r["n"]) * SAMPLE // SPLIT_AT)) for r in large], "_key bigint, tiles int"))
+        tile = F.pmod(F.xxhash64("id"), "tiles")
+        dealt = keyed.join(hot, F.col("key") == F.col("_key"), "left").select("key", "id", "fingerprint", "tiles", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("other"))
+        # the block's number stays in the upper bits
+        two = F.xxhash64("key", F.least(tile, "other"), F.greatest(tile, "other")).bitwiseAND(F.lit((1 << 48) - 1))
+        block = F.shiftleft(F.shiftright("key", 48), 48)
+        keyed = dealt.select(F.when(F.col("tiles").isNull(), F.col("key")).otherwise(block.bitwiseOR(two)).alias("key"), "id", "fingerprint")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(blocks), "a bigint, b bigint, d int")
 
 
