@@ -10,7 +10,6 @@ fills the gaps between them. The stretches of an alignment that pay are passages
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ MIN_MATCHES = 2
 #: Cost of a word of gap (mean of both sides), weight of a seed, and the longest gap inside a chain, in words.
 GAP_COST, SEED_WEIGHT, MAX_GAP = 0.12, 5.0, 53
 #: Words read beyond both ends of a chain, and code points that they may have, for the alignment to go on.
-PAD, PAD_CHARS = 64, 8192
+PAD, PAD_CHARS = 64, 4096
 #: Words of a gap that is still looked into, and words that an alignment goes on at a time beyond its matches.
 WIDEST, STEP = 256, 16
 #: A passage has at least so many words, of which this share is alike; pieces of one may come from several documents.
@@ -40,7 +39,6 @@ SAMPLE, HOT_SEEDS, HOT_ROWS = 64, 20_000, 32
 #: Stands for a source that isn't known yet, in arrays.
 OPEN = np.iinfo(np.int64).min
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _LEADING = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}"
 
 
@@ -49,6 +47,16 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def places_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in code points."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
+    border = np.flatnonzero(inside[1:] != inside[:-1])
+    if len(raw) != len(text):
+        border = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[border]
+    return border[::2], border[1::2]
+
+
 def _minima(rolled: np.ndarray, window: int) -> np.ndarray:
     if len(rolled) <= window:
         return np.asarray([int(rolled.argmin())])
@@ -366,21 +374,25 @@ def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[
         return []
     i, j, _ = anchors[0]
     ahead = _beyond(a[max(0, i - PAD) : i][::-1], b[max(0, j - PAD) : j][::-1])
-    pairs = [(i - 1 - p, j - 1 - q) for p, q in reversed(ahead)]
+    runs = _as_runs([(i - 1 - p, j - 1 - q) for p, q in reversed(ahead)], 0, 0)
     i_end, j_end = i, j
     for i, j, n in anchors:
         if i_end < i <= i_end + WIDEST and j_end < j <= j_end + WIDEST:
-            pairs += [(i_end + p, j_end + q) for p, q in common(a[i_end:i], b[j_end:j])]
-        pairs += zip(range(i, i + n), range(j, j + n))
+            runs += _as_runs(common(a[i_end:i], b[j_end:j]), i_end, j_end)
+        runs.append((i, j, n))
         i_end, j_end = i + n, j + n
-    pairs += [(i_end + p, j_end + q) for p, q in _beyond(a[i_end : i_end + PAD], b[j_end : j_end + PAD])]
-    runs = []
+    return runs + _as_runs(_beyond(a[i_end : i_end + PAD], b[j_end : j_end + PAD]), i_end, j_end)
+
+
+def _as_runs(pairs: list[tuple[int, int]], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Pairs of places, counted from i and j, as runs (i, j, length)."""
+    runs: list[tuple[int, int, int]] = []
     for p, q in pairs:
-        if runs and runs[-1][0] + runs[-1][2] == p and runs[-1][1] + runs[-1][2] == q:
-            runs[-1][2] += 1
+        if runs and runs[-1][0] + runs[-1][2] == p + i and runs[-1][1] + runs[-1][2] == q + j:
+            runs[-1] = (p + i - runs[-1][2], q + j - runs[-1][2], runs[-1][2] + 1)
         else:
-            runs.append([p, q, 1])
-    return [tuple(r) for r in runs]
+            runs.append((p + i, q + j, 1))
+    return runs
 
 
 def _beyond(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
@@ -473,9 +485,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = align(a, b, list(map(tuple, path.tolist())))
             if not found:
                 continue
-            x, y = ([m.span() for m in _WORD(t)] for t in (x_text, y_text))
+            (x_begin, x_end), (y_begin, y_end) = places_of(x_text), places_of(y_text)
             for i0, i1, j0, j1, alike in found:
-                out.append((r["doc"], low_x + x[i0][0], low_x + x[i1 - 1][1], i1 - i0, alike, r["source"], low_y + y[j0][0], low_y + y[j1 - 1][1]))
+                out.append((r["doc"], low_x + int(x_begin[i0]), low_x + int(x_end[i1 - 1]), i1 - i0, alike, r["source"], low_y + int(y_begin[j0]), low_y + int(y_end[j1 - 1])))
         if out:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc", "start", "stop", "words", "alike", "source", "source_start", "source_stop"])
