@@ -219,6 +219,29 @@ def test_embeddings(spark):
     assert pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_more_lists_than_probes(spark):
+    """Links and components against all pairs, where a vector visits 16 of 40 lists; one group is dense and two dimensions are mixed."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(1200, 32))
+    x = np.concatenate([c + rng.normal(size=(8, 32)) * rng.choice([0.2, 0.3, 0.4]) for c in centre] + [centre[0] + rng.normal(size=(800, 32)) * 0.15])
+    small = np.concatenate([c[:12] + rng.normal(size=(4, 12)) * 0.2 for c in centre[:50]])
+    assert len(x) // pq.LIST_ROWS > 2 * pq.PROBES
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(100_000 + i, r.tolist()) for i, r in enumerate(small)]
+    got = {r.vec_id: r for r in pq.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    want, right, found = 0, 0, 0
+    for first, part in ((0, x), (100_000, small)):
+        u = part / np.linalg.norm(part, axis=1)[:, None]
+        near = u @ u.T >= 0.9
+        np.fill_diagonal(near, False)
+        names = brute_components(len(part), list(zip(*np.nonzero(np.triu(near)), strict=True)))
+        want += int(near.sum())
+        found += sum(got[first + i].n_links for i in range(len(part)))
+        assert all(got[first + i].n_links <= near[i].sum() for i in range(len(part)))
+        right += sum(got[first + i].component_id == first + names[i] for i in range(len(part)))
+    assert found >= 0.99 * want and right >= 0.99 * len(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 70))
@@ -235,6 +258,9 @@ def test_top_k(spark):
         assert [(d, i) for _, d, i in sorted(got[q])] == want
     assert set(got) == {0, 10, 100}
     assert mih.top_k(df.limit(0), asked, 7, "vec_id", "code").count() == 0 and mih.top_k(df, asked.limit(0), 7, "vec_id", "code").count() == 0
+    mixed = df.unionByName(spark.createDataFrame([(5000, [1.0] * 130, 1), (5001, [1.0], 1)], "vec_id bigint, embedding array<float>, rank int").withColumn("code", mih.sign_code("embedding")))
+    rows_of = lambda t: sorted(tuple(r) for r in t.collect())
+    assert rows_of(mih.top_k(mixed, mixed.where("vec_id in (0, 10, 5000)"), 7, "vec_id", "code")) == rows_of(mih.top_k(df.where("size(code) = 2"), asked.where("vec_id in (0, 10)"), 7, "vec_id", "code"))
     few = mih.top_k(df.where("vec_id < 3"), asked, 7, "vec_id", "code").where("query_id = 0").count()
     assert few == 2
 

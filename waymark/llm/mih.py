@@ -58,16 +58,18 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", co
         t = tidy(t, [id_col, code_col]).select(F.col(id_col).cast("bigint").alias("id"), F.col(code_col).alias("code"))
         return t.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
 
+    rows = clean(df)
+    usual = rows.groupBy(F.size("code").alias("words")).agg(F.count("*").alias("n")).where("words > 0").orderBy(F.desc("n"), "words").first()
+    if usual is None:
+        return spark.createDataFrame([], "query_id bigint, neighbor_id bigint, distance int, rank int")
+    fits = F.size("code") == usual["words"]
     by_code = Window.partitionBy("code").orderBy("id")
-    members = checkpointed(clean(df).withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= k + 1).select("id", "code", "place"))
-    codes = checkpointed(members.groupBy("code").agg(F.count("*").alias("n")).withColumn("code_id", F.xxhash64("code")))
+    members = checkpointed(rows.where(fits).withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= k + 1).select("id", "code", "place"))
+    # a code is known by its smallest id
+    codes = checkpointed(members.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("code_id")))
     buckets = checkpointed(codes.select("code_id", "code", "n", F.explode(_segments("code")).alias("s")).select("code_id", "code", "n", "s.segment", "s.value"))
-    asked = checkpointed(clean(queries).select(F.col("id").alias("query_id"), F.col("code").alias("query")))
-    first = asked.select("query").first()
-    total = codes.count()
-    if first is None or not total:
-        return spark.createDataFrame([], "query_id bigint, neighbor_id bigint, distance int, rank int")
-    segments = len(first["query"]) * (64 // SEGMENT_BITS)
+    asked = checkpointed(clean(queries).where(fits).select(F.col("id").alias("query_id"), F.col("code").alias("query")))
+    segments = int(usual["words"]) * (64 // SEGMENT_BITS)
     open_queries = asked
     found = spark.createDataFrame([], "query_id bigint, code_id bigint, n bigint, distance int")
     for radius in range(SEGMENT_BITS + 1):
@@ -84,5 +86,6 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", co
         if not open_queries.head(1):
             break
     ranked = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    rows = found.join(members.select(F.xxhash64("code").alias("code_id"), F.col("id").alias("neighbor_id")), "code_id").where("neighbor_id <> query_id")
+    named = members.join(codes.select(F.col("code").alias("_code"), "code_id"), F.col("code") == F.col("_code")).select("code_id", F.col("id").alias("neighbor_id"))
+    rows = found.join(named, "code_id").where("neighbor_id <> query_id")
     return rows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", "rank")

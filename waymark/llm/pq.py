@@ -4,6 +4,9 @@ Unit vectors are assigned to coarse inverted lists; each residual is stored as o
 A query visits the lists nearest to it, reads asymmetric distances to their codes from lookup tables and
 drops a candidate only if its distance minus the candidate's own quantisation error exceeds the radius,
 which the triangle inequality makes safe. What is left is ranked again by the exact cosine in double precision.
+
+A task that compares a list's members with its visitors gives out how many links each of them has there, and a spanning
+forest of these links: never more rows than it has read, however dense a group of vectors is.
 """
 
 from __future__ import annotations
@@ -102,54 +105,85 @@ def usable(col: str):
     return F.expr(f"coalesce(size(`{col}`) > 0 and forall(`{col}`, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(`{col}`, x -> x <> 0), false)")
 
 
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of links (a, b) between 0..n-1: each node with the smallest one that it reaches."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, a, low[b])
+        np.minimum.at(low, b, low[a])
+        low = low[low]
+        if (low == before).all():
+            break
+    node = np.flatnonzero(low != np.arange(n))
+    return node, low[node]
+
+
 def _join(index: Index, least: float):
-    """The co-group function of one block of a list's members and one block of queries that visit it."""
+    """The co-group function of one block of a list's members and one block of queries that visit it.
+
+    A pair meets in the list of either one if the other visits it. It counts for both where the member's own visit to the
+    query's list can't find it, and otherwise for the query here and for the member there.
+    """
     radius = np.sqrt(max(0.0, 2 - 2 * least))
 
     def run(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found_a, found_b = [], []
-        if len(members) and len(queries):
-            x = np.stack(members["vector"].to_numpy()).astype(np.float64)
-            q = np.stack(queries["wanted"].to_numpy()).astype(np.float64)
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            q /= np.sqrt((q * q).sum(1))[:, None]
-            code = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(x), -1)
-            bound = (radius + members["off"].to_numpy() + 1e-5) ** 2
-            ids, asks = members["id"].to_numpy(), queries["ask"].to_numpy()
-            residual = index.pad((q - index.lists[key[0]]).astype(np.float32))
-            m, _, w = index.codebook.shape
-            for low in range(0, len(q), 256):
-                part = residual[low : low + 256]
-                far = np.zeros((len(part), len(x)), np.float32)
-                for j in range(m):
-                    sub = part[:, j * w : (j + 1) * w]
-                    book = index.codebook[j]
-                    table = (sub**2).sum(1)[:, None] - 2 * sub @ book.T + (book**2).sum(1)[None]
-                    far += np.take(table, code[:, j], axis=1)
-                rows, cols = np.nonzero(far <= bound[None])
-                for a in range(0, len(rows), 1 << 16):
-                    r, c = rows[a : a + (1 << 16)] + low, cols[a : a + (1 << 16)]
-                    near = ((q[r] * x[c]).sum(1) >= least) & (asks[r] != ids[c])
-                    found_a.append(asks[r[near]])
-                    found_b.append(ids[c[near]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        if not len(members) or not len(queries):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+        x = np.stack(members["vector"].to_numpy()).astype(np.float64)
+        q = np.stack(queries["wanted"].to_numpy()).astype(np.float64)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        q /= np.sqrt((q * q).sum(1))[:, None]
+        code = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(x), -1)
+        bound = (radius + members["off"].to_numpy() + 1e-5) ** 2
+        ids, asks = members["id"].to_numpy(), queries["ask"].to_numpy()
+        copies, ask_copies = members["n"].to_numpy(), queries["ask_n"].to_numpy()
+        visits, home = np.stack(members["probes"].to_numpy()), queries["ask_home"].to_numpy()
+        names, place = np.unique(np.concatenate([ids, asks]), return_inverse=True)
+        at_member, at_query = place[: len(ids)], place[len(ids) :]
+        links, low = np.zeros(len(names), np.int64), np.arange(len(names))
+        residual = index.pad((q - index.lists[key[0]]).astype(np.float32))
+        m, _, w = index.codebook.shape
+        for start in range(0, len(q), 256):
+            part = residual[start : start + 256]
+            far = np.zeros((len(part), len(x)), np.float32)
+            for j in range(m):
+                sub = part[:, j * w : (j + 1) * w]
+                book = index.codebook[j]
+                table = (sub**2).sum(1)[:, None] - 2 * sub @ book.T + (book**2).sum(1)[None]
+                far += np.take(table, code[:, j], axis=1)
+            rows, cols = np.nonzero(far <= bound[None])
+            edges = []
+            for k in range(0, len(rows), 1 << 16):
+                r, c = rows[k : k + (1 << 16)] + start, cols[k : k + (1 << 16)]
+                near = ((q[r] * x[c]).sum(1) >= least) & (asks[r] != ids[c])
+                r, c = r[near], c[near]
+                np.add.at(links, at_query[r], copies[c])
+                lone = ~(visits[c] == home[r][:, None]).any(axis=1)
+                np.add.at(links, at_member[c[lone]], ask_copies[r[lone]])
+                edges.append((at_query[r], at_member[c]))
+            if edges:
+                known = np.flatnonzero(low != np.arange(len(low)))
+                node, root = _forest(len(names), np.concatenate([known, *(e[0] for e in edges)]), np.concatenate([low[known], *(e[1] for e in edges)]))
+                low[node] = root
+        joined, linked = np.flatnonzero(low != np.arange(len(low))), np.flatnonzero(links)
+        return pd.DataFrame({"a": np.concatenate([names[joined], names[linked]]), "b": np.concatenate([names[low[joined]], names[linked]]), "links": np.concatenate([np.zeros(len(joined), np.int64), links[linked]])})
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a > b, of distinct vectors (id bigint, vector array) with a cosine of at least ``least``.
+def similar(vectors: DataFrame, least: float) -> DataFrame:
+    """How distinct vectors (id bigint, vector array, n bigint) with a cosine of at least ``least`` hang together.
 
-    All vectors must be usable and of one dimension. A list and its queries are compared in blocks of
-    bounded size, so that a list that holds a third of all vectors is the work of many tasks.
+    Rows (a, b, links): edges of spanning forests, a > b and links 0; and, with a = b, links of a vector to others, each
+    counted ``n`` times, to be added up. All vectors must be usable and of one dimension. A list and its queries are
+    compared in blocks of bounded size, so that a list that holds a third of all vectors is the work of many tasks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     rows = vectors.count()
     if not rows:
-        return spark.createDataFrame([], "a bigint, b bigint")
+        return spark.createDataFrame([], "a bigint, b bigint, links bigint")
     width = len(vectors.select("vector").first()[0])
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(min(TRAIN_ROWS, max(1024, TRAIN_BYTES // (8 * width)))).select("vector").toArrow()
     index = fit(unit(sample.column("vector").combine_chunks()), rows)
@@ -163,23 +197,22 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
             near = own.nearest(x.astype(np.float32), PROBES)
             code, off = own.encode(x.astype(np.float32), near[:, 0])
             probes = list_array(pa.array(near.ravel().astype(np.int32)), np.full(len(x), near.shape[1]))
-            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), probes, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off)], ["id", "vector", "probes", "code", "off"])
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), batch.column("n"), probes, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off)], ["id", "vector", "n", "probes", "code", "off"])
 
         return step
 
     kind = dict(vectors.dtypes)["vector"]
-    coded = checkpointed(map_batches(vectors.select("id", "vector"), make, f"id bigint, vector {kind}, probes array<int>, code binary, off double"))
+    coded = checkpointed(map_batches(vectors.select("id", "vector", "n"), make, f"id bigint, vector {kind}, n bigint, probes array<int>, code binary, off double"))
     # how many members and visits each list has: as many counts as lists, at most 4096
     count = coded.select(F.explode(F.transform("probes", lambda p, i: F.struct(p.alias("list"), (i == 0).cast("int").alias("own")))).alias("p")).groupBy("p.list").agg(F.sum("p.own").alias("members"), F.count("*").alias("visits"))
     split = spark.createDataFrame([(int(r["list"]), max(1, -(-int(r["members"]) // BLOCK)), max(1, -(-int(r["visits"]) // BLOCK))) for r in count.collect()], "list int, member_blocks int, query_blocks int")
     spread = F.broadcast(split)
     home = F.col("probes")[0]
-    members = coded.withColumn("list", home).join(spread, "list").select("list", F.pmod(F.xxhash64("id"), "member_blocks").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "id", "vector", "code", "off")
-    asked = coded.select(F.col("id").alias("ask"), F.col("vector").alias("wanted"), F.explode("probes").alias("list")).join(spread, "list")
-    queries = asked.select(F.col("list").alias("q_list"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("q_mb"), F.pmod(F.xxhash64(F.col("ask") + 1), "query_blocks").cast("int").alias("q_qb"), "ask", "wanted")
+    members = coded.withColumn("list", home).join(spread, "list").select("list", F.pmod(F.xxhash64("id"), "member_blocks").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "id", "vector", "n", "probes", "code", "off")
+    asked = coded.select(F.col("id").alias("ask"), F.col("vector").alias("wanted"), F.col("n").alias("ask_n"), home.alias("ask_home"), F.explode("probes").alias("list")).join(spread, "list")
+    queries = asked.select(F.col("list").alias("q_list"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("q_mb"), F.pmod(F.xxhash64(F.col("ask") + 1), "query_blocks").cast("int").alias("q_qb"), "ask", "wanted", "ask_n", "ask_home")
     find = _join(index, least)
-    pairs = members.groupBy("list", "mb", "qb").cogroup(queries.groupBy("q_list", "q_mb", "q_qb")).applyInPandas(find, "a bigint, b bigint")
-    return pairs.distinct()
+    return members.groupBy("list", "mb", "qb").cogroup(queries.groupBy("q_list", "q_mb", "q_qb")).applyInPandas(find, "a bigint, b bigint, links bigint")
 
 
 def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -189,17 +222,23 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     found through the index), component_id (smallest id reachable by links, itself included), kept (whether
     it is that one). Equal vectors are one class, compared once and linked with each other; a row that occurs
     twice counts as two vectors. Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing. Rows with a null id take part in counts only. All vectors must have one dimension. Other columns
-    are ignored; an empty table gives no rows.
+    link with nothing, and vectors of different dimensions not with each other; each dimension has an index of its own.
+    Rows with a null id take part in counts only. Other columns are ignored; an empty table gives no rows.
     """
     rows = tidy(df, [id_col, vector_col]).select(F.col(id_col).cast("bigint").alias(id_col), F.col(vector_col).alias("vector"))
     good = rows.where(usable("vector"))
     classes = checkpointed(good.groupBy("vector").agg(F.min(id_col).alias("id"), F.count("*").alias("n")).where("id is not null"))
-    pairs = checkpointed(similar_pairs(classes.select("id", "vector"), least))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("id").alias("b"), "n")
-    degree = both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    found = components(pairs)
+    distinct = classes.select("id", "vector", "n")
+    # as many passes as there are dimensions, one as a rule
+    widths = [int(r["w"]) for r in distinct.groupBy(F.size("vector").alias("w")).count().orderBy("w").collect()]
+    found = None
+    for width in widths:
+        part = checkpointed(similar(distinct.where(F.size("vector") == width), least))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], "a bigint, b bigint, links bigint")
+    degree = found.where("a = b").groupBy("a").agg(F.sum("links").alias("others"))
+    found = components(found.where("a <> b").select("a", "b"))
     named = (
         classes.join(degree, classes["id"] == degree["a"], "left")
         .join(found, classes["id"] == found["node"], "left")
