@@ -191,7 +191,7 @@ def test_simhash_deals_large_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(prints)], "id bigint, fingerprint binary")
     want = brute_components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
     for split in (2048, 20):
-        monkeypatch.setattr(simhash, "SPLIT_AT", split)
+        monkeypatch.setattr(simhash, "BUCKET_TILE", split)
         monkeypatch.setattr(simhash, "SAMPLE", 16 if split > 20 else 1)
         found = simhash.links(df, simhash.pigeonhole(64, 2, len(prints))).collect()
         assert brute_components(len(prints), [(r.a, r.b) for r in found]) == want

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ SEED = 42
 SHORT_RUN = 24
 #: Rows of a bucket that are split further by the bits that the bucket leaves open.
 SPLIT_AT = 2048
-#: One of so many fingerprints is asked which buckets are large; those of over two tiles are dealt to many tasks, at most so many buckets.
-SAMPLE, HOT_KEYS = 16, 20_000
+#: One of so many fingerprints is asked which buckets are large; those of over two tiles of so many rows are dealt to many tasks, at most so many buckets.
+SAMPLE, BUCKET_TILE, HOT_KEYS = 16, 8192, 20_000
+#: Sampled blocks that are met first; what they join closely is not compared again on the others.
+FIRST_BLOCKS = 10
 #: Rows of a tile; two tiles of a group of near copies are compared in one task.
 TILE = 1024
 
@@ -151,8 +153,9 @@ def _forest(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _tree(words: np.ndarray, distance: int) -> list[tuple[int, int, int]]:
-    """A minimum spanning forest of all pairs of rows within ``distance`` bits (Prim); every row's nearest one is in it."""
+def _tree(words: np.ndarray, labels: np.ndarray, distance: int) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest of all pairs of rows within ``distance`` bits (Prim), where rows of one label are joined
+    already. With labels of their own, every row's nearest one is in it."""
     left = np.arange(len(words))
     gap = np.full(len(words), distance + 1, np.int32)
     near = np.full(len(words), -1)
@@ -160,11 +163,12 @@ def _tree(words: np.ndarray, distance: int) -> list[tuple[int, int, int]]:
     while len(left):
         k = int(gap.argmin())
         at = int(left[k])
-        if near[k] >= 0:
+        if near[k] >= 0 and gap[k] >= 0:
             edges.append((int(near[k]), at, int(gap[k])))
         keep = np.arange(len(left)) != k
         left, gap, near = left[keep], gap[keep], near[keep]
         far = np.bitwise_count(words[left] ^ words[at]).sum(axis=1, dtype=np.int32)
+        far[labels[left] == labels[at]] = -1
         closer = far < gap
         gap[closer], near[closer] = far[closer], at
     return edges
@@ -193,9 +197,9 @@ def _links(blocks: Blocks):
     everything = np.arange(blocks.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        carry: list[tuple[np.ndarray, ...]] = []
 
-        def solve(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch | None:
+        def solve(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, labels: np.ndarray) -> pa.RecordBatch | None:
             border = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             sizes = np.diff(border)
             out_a, out_b, out_d = [], [], []
@@ -205,6 +209,7 @@ def _links(blocks: Blocks):
                 same = np.flatnonzero((keys[shift:] == keys[:-shift]) & short[shift:])
                 if not len(same):
                     break
+                same = same[labels[same] != labels[same + shift]]
                 far = np.bitwise_count(words[same] ^ words[same + shift]).sum(axis=1, dtype=np.int32)
                 near = same[far <= blocks.distance]
                 out_a.append(ids[near])
@@ -216,7 +221,7 @@ def _links(blocks: Blocks):
                     open_bits = np.setdiff1d(everything, blocks.chosen[int(keys[low]) >> 48])
                     edges = [(a, b, 0) for a, b in _bucket(words[low:high], blocks.distance, open_bits)]
                 else:
-                    edges = _tree(words[low:high], blocks.distance)
+                    edges = _tree(words[low:high], labels[low:high], blocks.distance)
                 if edges:
                     pair = np.asarray(edges, np.int64)
                     out_a.append(ids[pair[:, 0] + low])
@@ -226,8 +231,8 @@ def _links(blocks: Blocks):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_d))], ["a", "b", "d"])
 
-        def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            parts = [np.concatenate([c[i] for c in carry]) for i in range(3)]
+        def joined() -> tuple[np.ndarray, ...]:
+            parts = [np.concatenate([c[i] for c in carry]) for i in range(4)]
             carry.clear()
             return tuple(parts)
 
@@ -237,14 +242,15 @@ def _links(blocks: Blocks):
             keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
             column = batch.column("fingerprint")
             data = np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(len(keys), -1)
+            labels = batch.column("label").to_numpy() if "label" in batch.schema.names else ids
             last = int(np.searchsorted(keys, keys[-1]))
             if last == 0 and carry and carry[-1][0][0] == keys[0]:
-                carry.append((keys, ids, data))
+                carry.append((keys, ids, data, labels))
                 continue
-            carry.append((keys[:last], ids[:last], data[:last]))
+            carry.append((keys[:last], ids[:last], data[:last], labels[:last]))
             whole = joined()
             done = solve(*whole) if len(whole[0]) else None
-            carry.append((keys[last:], ids[last:], data[last:]))
+            carry.append((keys[last:], ids[last:], data[last:], labels[last:]))
             if done is not None:
                 yield done
         if carry:
@@ -260,13 +266,14 @@ def _links(blocks: Blocks):
 def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
     """Links (a, b, d) among rows (id bigint, fingerprint binary) within the distance: a spanning forest for each key.
 
-    With sampled blocks it is a minimum one and ``d`` the distance; with exact blocks ``d`` has no meaning.
+    With sampled blocks it is a minimum one and ``d`` the distance; with exact blocks ``d`` has no meaning. A column ``label``
+    (bigint, sampled blocks only) names rows that are joined already: a forest has no links between rows of one label.
     Every row goes out once for each block; a key's rows meet in one task, sorted, and are compared there
-    without leaving out any pair. Buckets that a sample finds large are dealt into tiles of about ``SPLIT_AT`` rows, and each two
+    without leaving out any pair. Buckets that a sample finds large are dealt into tiles of about ``BUCKET_TILE`` rows, and each two
     tiles meet in a task, so every pair still does. Fingerprints should be distinct, so that copies don't fill a bucket.
     """
     ship_package(prints.sparkSession)
-    chosen = blocks.chosen
+    chosen, more = blocks.chosen, [c for c in prints.columns if c == "label"]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -277,23 +284,23 @@ def links(prints: DataFrame, blocks: Blocks) -> DataFrame:
                 value = flat[:, list(block)].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64))
                 keys[:, t] = value | t << 48
             row = pa.array(np.repeat(np.arange(n), len(chosen)))
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(row), batch.column("fingerprint").take(row)], ["key", "id", "fingerprint"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(c).take(row) for c in ("id", "fingerprint", *more))], ["key", "id", "fingerprint", *more])
 
         return step
 
-    spark, kind = prints.sparkSession, "key bigint, id bigint, fingerprint binary"
-    some = map_batches(prints.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "fingerprint"), make, kind)
-    large = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > 2 * SPLIT_AT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
-    keyed = map_batches(prints.select("id", "fingerprint"), make, kind)
+    spark, kind = prints.sparkSession, "key bigint, id bigint, fingerprint binary" + ", label bigint" * len(more)
+    some = map_batches(prints.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "fingerprint", *more), make, kind)
+    large = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > 2 * BUCKET_TILE).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    keyed = map_batches(prints.select("id", "fingerprint", *more), make, kind)
     if large:
         # at most HOT_KEYS rows
-        hot = F.broadcast(spark.createDataFrame([(int(r["key"]), -(-int(r["n"]) * SAMPLE // SPLIT_AT)) for r in large], "_key bigint, tiles int"))
+        hot = F.broadcast(spark.createDataFrame([(int(r["key"]), -(-int(r["n"]) * SAMPLE // BUCKET_TILE)) for r in large], "_key bigint, tiles int"))
         tile = F.pmod(F.xxhash64("id"), "tiles")
-        dealt = keyed.join(hot, F.col("key") == F.col("_key"), "left").select("key", "id", "fingerprint", "tiles", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("other"))
+        dealt = keyed.join(hot, F.col("key") == F.col("_key"), "left").select("key", "id", "fingerprint", *more, "tiles", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("other"))
         # the block's number stays in the upper bits
         two = F.xxhash64("key", F.least(tile, "other"), F.greatest(tile, "other")).bitwiseAND(F.lit((1 << 48) - 1))
         block = F.shiftleft(F.shiftright("key", 48), 48)
-        keyed = dealt.select(F.when(F.col("tiles").isNull(), F.col("key")).otherwise(block.bitwiseOR(two)).alias("key"), "id", "fingerprint")
+        keyed = dealt.select(F.when(F.col("tiles").isNull(), F.col("key")).otherwise(block.bitwiseOR(two)).alias("key"), "id", "fingerprint", *more)
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(blocks), "a bigint, b bigint, d int")
 
 
@@ -389,6 +396,17 @@ def _unfinished(proposed: DataFrame, linked: DataFrame, prints: DataFrame, sets:
     return dealt.groupBy("g", "p", "q").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _proposed(prints: DataFrame, blocks: Blocks, expected: float | None) -> DataFrame:
+    """Links of all blocks; with sampled ones those of the first blocks, and of the others what these leave apart."""
+    if blocks.exact or len(blocks.chosen) <= FIRST_BLOCKS:
+        return links(prints, blocks).select("a", "b")
+    first = checkpointed(links(prints, replace(blocks, chosen=blocks.chosen[:FIRST_BLOCKS])))
+    close = expected * blocks.bits - 1.5 * math.sqrt(expected * (1 - expected) * blocks.bits)
+    joined = components(first.where(F.col("d") <= close).select("a", "b"))
+    labelled = checkpointed(prints.join(joined, prints["id"] == joined["node"], "left").select("id", "fingerprint", F.coalesce("component", "id").alias("label")))
+    return first.select("a", "b").unionByName(links(labelled, replace(blocks, chosen=blocks.chosen[FIRST_BLOCKS:])).select("a", "b"))
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: int = 2, expected: float | None = None, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose fingerprints differ in at most ``distance`` bits.
 
@@ -400,7 +418,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
     Without ``expected`` the blocks guarantee that no link is lost; with it (the share of bits in which the
     least similar pairs of interest differ) they are sampled, for distances that no blocks can guarantee.
     With ``least`` fingerprints only propose, by the edges of a minimum spanning forest of each bucket: a pair of them
-    is a link if the Jaccard similarity of its shingle sets is at least ``least``. Where proposals are rejected, all other pairs
+    is a link if the Jaccard similarity of its shingle sets is at least ``least``. The first blocks' forests are made first; what they
+    join by clearly fewer bits than ``expected`` isn't proposed again. Where proposals are rejected, all other pairs
     within the distance in what they connect are tested too, unless they are connected already.
     """
     docs = tidy(df, [id_col, text_col]).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
@@ -409,8 +428,10 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
     classes = checkpointed(prints.groupBy(*same).agg(F.min(id_col).alias("id")).where("id is not null"))
     rows = classes.count()
     blocks = pigeonhole(bits, distance, rows) if expected is None else sampled(bits, distance, expected, rows)
-    pairs = links(classes, blocks)
-    if least is not None:
+    if least is None:
+        pairs = links(classes, blocks)
+    else:
+        pairs = _proposed(classes, blocks, expected)
         proposed = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         sets = _shingle_sets(proposed, docs.withColumnRenamed(id_col, "id"), shingle)
         pairs = checkpointed(_alike(proposed, sets, least))
