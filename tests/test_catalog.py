@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans import catalog
+from waymark.plans import catalog, catalog_core  # noqa: F401  both register queries
 
 SF = "/root/testdata/sf0.001"
 

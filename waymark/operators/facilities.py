@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text
-from waymark.operators.relational import best_candidate, first_per_key
+from waymark.operators.relational import best_candidate, dense_numbers, first_per_key
 from waymark.operators.spatial import nearest_edges
 
 #: Words that make or break a facility of each kind.
@@ -231,4 +231,4 @@ def stops_as_facilities(stops: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Facilities with a place, numbered from 1 in an explicit order; longitude and latitude to eight decimals."""
     rows = df.where("lon is not null and lat is not null")
-    return rows.withColumn(f"{name}_id", F.row_number().over(Window.orderBy(*order))).withColumn(f"{name}_lon", F.bround("lon", 8)).withColumn(f"{name}_lat", F.bround("lat", 8))
+    return dense_numbers(rows, order, f"{name}_id").withColumn(f"{name}_lon", F.bround("lon", 8)).withColumn(f"{name}_lat", F.bround("lat", 8))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.functions import text
 from waymark.operators.relational import best_candidate, cascade, first_per_key, latest_valid, split_set, valid_in_years
 from waymark.operators.spatial import points_in_polygons
+from waymark.sources.files import register_objects
 
 #: States of buildings that count, and the use code of dwellings.
 IN_USE = ("Pand in gebruik", "Verbouwing pand")
@@ -148,3 +149,37 @@ def still_valid(df: DataFrame, end: str, day: str) -> DataFrame:
     return df.where(when.isNull() | (when >= F.lit(day).cast("timestamp")))
 
 
+#: Columns of a building and the register's elements they come from.
+BUILDING_FIELDS = {
+    "pand_id": "identificatie",
+    "bouwjaar": "oorspronkelijkBouwjaar",
+    "pand_status": "status",
+    "pand_documentdatum": "documentdatum",
+    "pand_documentnummer": "documentnummer",
+    "pand_geconstateerd": "geconstateerd",
+    "pand_voorkomen_id": "voorkomenidentificatie",
+    "pand_begin_geldigheid": "beginGeldigheid",
+    "pand_eind_geldigheid": "eindGeldigheid",
+    "pand_tijdstip_registratie": "tijdstipRegistratie",
+    "pand_eind_registratie": "eindRegistratie",
+    "pand_tijdstip_registratie_lv": "tijdstipRegistratieLV",
+    "pand_tijdstip_eind_registratie_lv": "tijdstipEindRegistratieLV",
+    "pand_geometrie_poslist": "posList",
+}
+
+
+def building_rows(spark: SparkSession, paths: str | Sequence[str], most: int | None = None) -> DataFrame:
+    """Buildings of the register's archives: the archive and the file that each comes from, and ``BUILDING_FIELDS``."""
+    return register_objects(spark, paths, "Pand", BUILDING_FIELDS, most=most, origin=("zip_bestand", "xml_bestand"))
+
+
+def town_per_building(links: DataFrame) -> DataFrame:
+    """The town of each building from the link table, by normalised id; of several the first by name, empty ones don't count."""
+    rows = links.select(text.plain_id(F.col("pand_id")).alias("_pand"), F.col("pand_id"), text.blank_to_null(F.col("woonplaats_naam")).alias("woonplaats_naam"))
+    return rows.where("_pand <> '' and woonplaats_naam is not null").groupBy("_pand").agg(F.min(F.struct("woonplaats_naam", "pand_id")).alias("_first")).select("_first.pand_id", "_first.woonplaats_naam")
+
+
+def in_municipalities(buildings: DataFrame, codes: Sequence[str], column: str = "gemeentecode") -> DataFrame:
+    """Buildings of some municipalities, their codes written in any form; without codes all of them."""
+    wanted = [c.strip().upper().removeprefix("GM").rjust(4, "0") for c in codes]
+    return buildings.where(text.municipality_code(F.col(column)).isin(*wanted)) if wanted else buildings

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text, times
+from waymark.session import checkpointed
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], source: str) -> DataFrame:
@@ -140,6 +141,23 @@ def active_services(calendar: DataFrame | None, exceptions: DataFrame, day: str)
     return regular.union(added).distinct().join(removed, "service_id", "left_anti")
 
 
+def dense_numbers(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in an explicit order, without a window over the whole table.
+
+    Rows are dealt by ranges of the order and sorted; the driver sees one count per range, and each range begins behind those before it.
+    """
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = {int(r["p"]): int(r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for p in sorted(counts):
+        offsets.append((p, before))
+        before += counts[p]
+    # as many rows as ranges
+    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint"))
+    return ranged.join(base, part == F.col("_part")).withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows, the same ones each time: those whose key hashes lowest with the seed."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.functions import text
-from waymark.operators.spatial import points_in_polygons, within_distance
+from waymark.operators.spatial import _cells, points_in_polygons
 
 #: Flag columns of each vehicle, forward and backward.
 VEHICLES = {"voetganger": "vtgngr", "fiets": "fiets", "snorfiets": "snrfts", "bromfiets": "brmfts", "motorfiets": "mtrfts", "personenauto": "auto", "motorvoertuigen_met_aanhanger": "aanhngr", "vrachtauto": "vrchtt", "autobus": "autobs", "landbouwvoertuigen": "lndbw"}
@@ -139,12 +139,31 @@ def merged(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.unionByName(extra, allowMissingColumns=True)
 
 
-def shared_with_cars(ways: DataFrame, cars: DataFrame, near: float = 1.0) -> DataFrame:
-    """Whether a way is shared with cars: the same segment id, or its middle within ``near`` metres of a car way's points."""
-    middle = g.interpolate(F.col("line"), g.length(F.col("line")) / 2)
+def _apart(s: Column, t: Column) -> Column:
+    """Distance of two straight segments: 0 where they cross, else the least of their ends from the other one."""
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    crosses = (turn(s["a"], s["b"], t["a"]) * turn(s["a"], s["b"], t["b"]) < 0) & (turn(t["a"], t["b"], s["a"]) * turn(t["a"], t["b"], s["b"]) < 0)
+    ends = [g.project(p["x"], p["y"], F.array(o["a"], o["b"]))["distance"] for p, o in ((s["a"], t), (s["b"], t), (t["a"], s), (t["b"], s))]
+    return F.when(crosses, 0.0).otherwise(F.least(*ends))
+
+
+def shared_with_cars(ways: DataFrame, cars: DataFrame, near: float = 1.0, most: float = 25.0) -> DataFrame:
+    """Whether ways are shared with cars: the same segment id, or any part of them within ``near`` metres of a car way.
+
+    Adds ``afstand_tot_auto_m`` (null beyond ``most``), ``overlap_met_auto``, ``overlap_auto_wvk_id`` (the smallest id of the car ways that near)
+    and ``gedeeld_met_auto``. Straight parts of both meet on grid cells, parts of long lines in each cell that their box touches.
+    """
+    size = max(4 * most, 1.0)
+
+    def spread(df: DataFrame, name: str, grow: float) -> DataFrame:
+        each = df.withColumn(name, F.explode(g.segments(F.col("line")))).drop("line")
+        a, b = F.col(f"{name}.a"), F.col(f"{name}.b")
+        return each.withColumn(f"_{name}_cell", F.explode(_cells(F.least(a["x"], b["x"]) - grow, F.least(a["y"], b["y"]) - grow, F.greatest(a["x"], b["x"]) + grow, F.greatest(a["y"], b["y"]) + grow, size)))
+
+    left = spread(ways.select(F.col("edge_id").alias("_e"), "line"), "s", 0.0)
+    right = spread(cars.select(F.col("wvk_id").alias("_auto"), "line"), "t", most)
+    pairs = left.join(right, F.col("_s_cell") == F.col("_t_cell")).withColumn("_far", _apart(F.col("s"), F.col("t"))).where(F.col("_far") <= most)
+    close = pairs.groupBy("_e").agg(F.min("_far").alias("afstand_tot_auto_m"), F.min(F.when(F.col("_far") <= near, F.col("_auto"))).alias("overlap_auto_wvk_id"), F.bool_or(F.col("_far") <= near).alias("_over"))
     ids = cars.select(F.col("wvk_id").alias("_car")).where("_car is not null").distinct()
-    points = ways.select(F.col("edge_id").alias("_e"), middle["x"].alias("x"), middle["y"].alias("y"))
-    spots = cars.select(F.explode("line").alias("p")).select(F.col("p.x").alias("rx"), F.col("p.y").alias("ry"))
-    close = within_distance(points, spots, near).select("_e").distinct()
-    rows = ways.join(ids, F.col("wvk_id") == F.col("_car"), "left").join(close, F.col("edge_id") == F.col("_e"), "left")
-    return rows.withColumn("gedeeld_met_auto", F.col("_car").isNotNull() | F.col("_e").isNotNull()).drop("_car", "_e")
+    rows = ways.join(ids, F.col("wvk_id") == F.col("_car"), "left").join(close, F.col("edge_id") == F.col("_e"), "left").withColumn("overlap_met_auto", F.coalesce("_over", F.lit(False)))
+    return rows.withColumn("gedeeld_met_auto", F.col("_car").isNotNull() | F.col("overlap_met_auto")).drop("_car", "_e", "_over")

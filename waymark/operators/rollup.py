@@ -168,3 +168,9 @@ def published(df: DataFrame, internal: Sequence[str] = (), prefixes: Sequence[st
     keep = [c for c in df.columns if c not in internal and not c.startswith(tuple(prefixes))]
     taken = set(keep)
     return df.select(*[F.col(c).alias(c[len(strip) :] if c.startswith(strip) and c[len(strip) :] not in taken else c) for c in keep])
+
+
+def area_layer(areas: DataFrame, summary: DataFrame, keys: Sequence[str], mode: str, water: str = "is_waterbuurt") -> DataFrame:
+    """Area polygons with their roll-up, whether there is one, and the mode's code; areas of water are left out."""
+    rows = areas.join(summary, list(keys), "left").withColumn("heeft_analyse", F.col("panden_aantal").isNotNull()).withColumn("modaliteit_code", F.lit(classes.MODE_CODES.get(mode, "mul")))
+    return rows.where(~F.coalesce(F.col(water), F.lit(False))).drop(water) if water in areas.columns else rows

@@ -113,8 +113,10 @@ def connections(edges: DataFrame, services: DataFrame | None, nodes: DataFrame,
 
 
 def stop_nodes(stops: DataFrame, node: str = "node_id", ids: str = "stop_ids") -> DataFrame:
-    """stop_id to node from a node's list of stop ids; of a repeated stop id the last node counts."""
-    return stops.select(F.col(node).alias("node"), F.explode(F.split(F.col(ids), ",")).alias("_id")).select(F.trim("_id").alias("stop_id"), "node").where("stop_id <> ''").groupBy("stop_id").agg(F.max("node").alias("node"))
+    """stop_id to node from a node's list of stop ids; of a repeated stop id the last node counts, in the order of the table's rows."""
+    each = stops.withColumn("_row", F.monotonically_increasing_id()).select(F.col(node).alias("node"), "_row", F.posexplode(F.split(F.col(ids), ",")).alias("_pos", "_id"))
+    named = each.select(F.trim("_id").alias("stop_id"), "node", F.struct("_row", "_pos").alias("_at")).where("stop_id <> ''")
+    return named.groupBy("stop_id").agg(F.max_by("node", "_at").alias("node"))
 
 
 def transfers(stops: DataFrame, radius: float = 250.0, speed: float = 80.0) -> DataFrame:

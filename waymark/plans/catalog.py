@@ -391,12 +391,15 @@ def haversine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(meter + 0.5).cast("bigint").alias("meter"))
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of consecutive lines of an order are joined by an edge both ways where quantities are even, else one way."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of consecutive lines of an order are joined by a way, open both ways where quantities are even, else one way."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.lead("l_suppkey").over(line).alias("v"), F.col("l_quantity").alias("minutes"))
-    ways = rows.where("v is not null and u <> v").select("u", "v", "minutes", F.lit(True).alias("forward"), (F.col("minutes") % 2 == 0).alias("backward"), (F.col("u") * 1000000 + F.col("v")).alias("edge_id"))
-    return network.directed_edges(ways)
+    return rows.where("v is not null and u <> v").select("u", "v", "minutes", F.lit(True).alias("forward"), (F.col("minutes") % 2 == 0).alias("backward"), (F.col("u") * 1000000 + F.col("v")).alias("edge_id"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.directed_edges(_lines(spark, sf_dir))
 
 
 def _seeds(spark: SparkSession, sf_dir: str, but: int = -1) -> DataFrame:

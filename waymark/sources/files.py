@@ -129,28 +129,31 @@ def is_metric(df: DataFrame, x: str = "x") -> bool:
     return bool(df.where(F.abs(F.col(x)) > 1000).head(1))
 
 
-def register_objects(spark: SparkSession, paths: str | Sequence[str], name: str, fields: dict[str, str], lists: Sequence[str] = (), most: int | None = None) -> DataFrame:
+def register_objects(spark: SparkSession, paths: str | Sequence[str], name: str, fields: dict[str, str], lists: Sequence[str] = (), most: int | None = None, origin: tuple[str, str] | None = None) -> DataFrame:
     """Objects ``name`` from XML files in zip archives: a row per object, a column per field.
 
     ``fields`` maps columns to local element names, found at any depth and in any namespace: the first with text;
-    those in ``lists`` collect all texts. Archives go one to a task and are parsed as a stream. ``most`` caps the files per archive.
+    those in ``lists`` collect all texts. Archives go one to a task and are parsed as a stream. ``most`` caps the files per archive;
+    ``origin`` names two more columns, for the archive and the file in it.
     """
     ship_package(spark)
-    schema = ", ".join(f"{c} array<string>" if c in lists else f"{c} string" for c in fields)
-    binary = spark.read.format("binaryFile").load(paths).select("content")
+    names = [*(origin or ()), *fields]
+    schema = ", ".join(f"{c} array<string>" if c in lists else f"{c} string" for c in names)
+    binary = spark.read.format("binaryFile").load(paths).select("path", "content")
     many = frozenset(lists)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for found in objects_in(bytes(content), name, most):
-                    rows.append([[t for t in texts_in(found, tag)] if c in many else next(texts_in(found, tag), None) for c, tag in fields.items()])
+                for member, found in objects_in(bytes(content), name, most):
+                    where = [path.rsplit("/", 1)[-1], member or path.rsplit("/", 1)[-1]] if origin else []
+                    rows.append(where + [[t for t in texts_in(found, tag)] if c in many else next(texts_in(found, tag), None) for c, tag in fields.items()])
                     if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=list(fields))
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=list(fields))
+                    yield pd.DataFrame(rows, columns=names)
 
     return binary.mapInPandas(run, schema)
 
@@ -166,23 +169,33 @@ def texts_in(element, name: str) -> Iterator[str]:
             yield e.text.strip()
 
 
-def objects_in(archive: bytes, name: str, most: int | None = None) -> Iterator:
-    """Elements with a local name from all XML members of an archive (or from an XML file itself), cleared once read."""
+def objects_in(archive: bytes, name: str, most: int | None = None) -> Iterator[tuple[str, object]]:
+    """Elements with a local name, and the member they stand in, from all XML members of an archive (or from an XML file itself, as member '').
+
+    What has been read is let go, so memory holds one object at a time.
+    """
     from xml.etree import ElementTree
 
-    def elements(stream) -> Iterator:
-        for _, e in ElementTree.iterparse(stream):
+    def elements(member: str, stream) -> Iterator:
+        above = []
+        for event, e in ElementTree.iterparse(stream, events=("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
             if local_name(e.tag) == name:
-                yield e
+                yield member, e
                 e.clear()
+                if above:
+                    above[-1].remove(e)
 
     if not zipfile.is_zipfile(io.BytesIO(archive)):
-        yield from elements(io.BytesIO(archive))
+        yield from elements("", io.BytesIO(archive))
         return
     with zipfile.ZipFile(io.BytesIO(archive)) as z:
         for member in [m for m in sorted(z.namelist()) if m.lower().endswith(".xml")][:most]:
             with z.open(member) as stream:
-                yield from elements(stream)
+                yield from elements(member, stream)
 
 
 def first_object(objects: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

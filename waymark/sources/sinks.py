@@ -16,15 +16,24 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace(df: DataFrame, path: str, kind: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
-    """Writes beside ``path`` and then takes its place, so readers see the old table or the new one."""
+    """Writes beside ``path`` and then takes its place. The old table is moved aside and goes only once the new one is there.
+
+    Between the two renames there is no table for a moment; readers never see a half-written one, and if the
+    second fails the old one comes back.
+    """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     writer = df.write.format(kind).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(staged)
     target, fs = _fs(spark, path)
-    fs.delete(target, True)
+    aside = _fs(spark, f"{staged}.old")[0]
+    moved = fs.exists(target) and fs.rename(target, aside)
     if not fs.rename(_fs(spark, staged)[0], target):
+        if moved:
+            fs.rename(aside, target)
         raise OSError(f"can't move {staged} to {path}")
+    if moved:
+        fs.delete(aside, True)
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -56,10 +65,10 @@ def polygon_geometry(polygon: Column) -> Column:
 
 def unique_feature_ids(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """A new dense ``id`` by an explicit order; the old one stays as ``bron_id``."""
-    from pyspark.sql import Window
+    from waymark.operators.relational import dense_numbers
 
     named = df.withColumnRenamed("id", "bron_id") if "id" in df.columns else df
-    return named.withColumn("id", F.row_number().over(Window.orderBy(*order)))
+    return dense_numbers(named, order, "id")
 
 
 def xml_rows(df: DataFrame, name: str) -> DataFrame:
@@ -71,8 +80,8 @@ def xml_rows(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"<{name}>"), *[element(c) for c in df.columns], F.lit(f"</{name}>")).alias("value"))
 
 
-#: The limits of a spreadsheet's cell and sheet name.
-CELL, SHEET = 32_767, 31
+#: Fixed value: the longest name of a sheet.
+SHEET = 31
 
 
 def sheet_name(name: str) -> str:
@@ -80,19 +89,19 @@ def sheet_name(name: str) -> str:
 
 
 def sheet_rows(df: DataFrame) -> DataFrame:
-    """Texts without control characters and cut to a cell, doubles without NaN and infinities."""
+    """Texts without control characters, doubles without NaN and infinities."""
     def safe(c: str, kind: str) -> Column:
         if kind == "string":
-            return F.substring(F.regexp_replace(F.col(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), 1, CELL)
+            return F.regexp_replace(F.col(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
         return F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)) if kind in ("double", "float") else F.col(c)
 
     return df.select(*[safe(c, k).alias(c) for c, k in df.dtypes])
 
 
 def workbook(tables: dict[str, DataFrame], path: str) -> None:
-    """One CSV folder per sheet: a report of any size; report tables are small, but nothing here depends on that."""
+    """One CSV folder per sheet, in as many files as the table has partitions."""
     for name, df in tables.items():
-        csv(sheet_rows(df).coalesce(1), f"{path.rstrip('/')}/{sheet_name(name)}")
+        csv(sheet_rows(df), f"{path.rstrip('/')}/{sheet_name(name)}")
 
 
 def legend(title: str, items: Sequence[tuple[str, str]], width: int = 320) -> str:
