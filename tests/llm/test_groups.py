@@ -7,12 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_texts import plain_scores
-from waymark.llm import mih, packing, passages, pii, pq, simhash
+from waymark.llm import common, mih, packing, passages, pii, pq, simhash
 from waymark.llm.common import Forest, components
 
 JSON = P.path("byte_bpe_50k.json")
@@ -25,7 +26,10 @@ def brute_components(n, linked):
     return [f.find(i) for i in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [250_000, 40])
+def test_components(spark, monkeypatch, task_edges):
+    """In one task, and in several that leave rounds to do."""
+    monkeypatch.setattr(common, "TASK_EDGES", task_edges)
     random.seed(4)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(5, 5), (i := 298, i + 1)] + [(400 + k, 401 + k) for k in range(60)]
     df = spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint")

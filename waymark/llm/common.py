@@ -14,6 +14,8 @@ from waymark.session import checkpointed, ship_package
 
 #: Rows of a batch that a function works on at once, which bounds what a worker holds beside the batch.
 CHUNK_ROWS = 1024
+#: Edges that one task turns into stars at a time: some ten MB.
+TASK_EDGES = 250_000
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -124,18 +126,46 @@ class Forest:
         return True
 
 
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0..n-1 the smallest one that it reaches by links (a, b)."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, a, low[b])
+        np.minimum.at(low, b, low[a])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: each node but the smallest of its component there, with that one."""
+    found = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if found:
+        a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+        names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = least_reachable(len(names), place[: len(a)], place[len(a) :])
+        node = np.flatnonzero(low != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[node]), pa.array(names[low[node]])], ["a", "b"])
+    release_memory()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, component), component the smallest node.
 
-    Alternating large and small stars (Kiveris et al. 2014): each round hooks neighbours to the smallest
+    Edges are dealt to tasks, ``TASK_EDGES`` to each, and every task turns its own into stars. What several tasks leave goes
+    through alternating large and small stars (Kiveris et al. 2014): each round hooks neighbours to the smallest
     node seen. All state is an edge table, kept in reliable checkpoints; minima are pre-aggregated before
     each shuffle and hub nodes meet their one minimum in a join that AQE can split, so no task gathers the
     neighbours of a node. Self-links and nulls are ignored; isolated nodes don't occur in the result.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)
+    tasks = max(1, -(-e.count() // TASK_EDGES))
+    ship_package(e.sparkSession)
+    e = checkpointed(e.repartition(tasks).mapInArrow(_stars, "a bigint, b bigint"))
     signature = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if tasks > 1 else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -147,7 +177,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         signature = now
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     member = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     root = e.select(F.col("b").alias("node")).distinct().join(member, "node", "left_anti").select("node", F.col("node").alias("component"))
     return member.unionByName(root)

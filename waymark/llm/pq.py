@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import components, list_array, map_batches, tidy
+from waymark.llm.common import components, least_reachable, list_array, map_batches, tidy
 from waymark.session import checkpointed, ship_package
 
 #: The index is fitted on at most so many distinct vectors, and so many bytes of them; all are indexed.
@@ -105,20 +105,6 @@ def usable(col: str):
     return F.expr(f"coalesce(size(`{col}`) > 0 and forall(`{col}`, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(`{col}`, x -> x <> 0), false)")
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of links (a, b) between 0..n-1: each node with the smallest one that it reaches."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        np.minimum.at(low, a, low[b])
-        np.minimum.at(low, b, low[a])
-        low = low[low]
-        if (low == before).all():
-            break
-    node = np.flatnonzero(low != np.arange(n))
-    return node, low[node]
-
-
 def _join(index: Index, least: float):
     """The co-group function of one block of a list's members and one block of queries that visit it.
 
@@ -164,8 +150,7 @@ def _join(index: Index, least: float):
                 edges.append((at_query[r], at_member[c]))
             if edges:
                 known = np.flatnonzero(low != np.arange(len(low)))
-                node, root = _forest(len(names), np.concatenate([known, *(e[0] for e in edges)]), np.concatenate([low[known], *(e[1] for e in edges)]))
-                low[node] = root
+                low = least_reachable(len(names), np.concatenate([known, *(e[0] for e in edges)]), np.concatenate([low[known], *(e[1] for e in edges)]))
         joined, linked = np.flatnonzero(low != np.arange(len(low))), np.flatnonzero(links)
         return pd.DataFrame({"a": np.concatenate([names[joined], names[linked]]), "b": np.concatenate([names[low[joined]], names[linked]]), "links": np.concatenate([np.zeros(len(joined), np.int64), links[linked]])})
 
