@@ -15,9 +15,9 @@ from waymark.llm.queries import packed
 from waymark.session import ensure_checkpoint_dir, written
 
 #: SimHash for 5-word shingles: of 256 bits, texts with a Jaccard similarity of 0.8 differ in 15.15 % (the
-#: angle between their shingle sets is 27 degrees), that is 39 bits with a standard error of 6. Pairs up to four
+#: angle between their shingle sets is 27 degrees), that is 39 bits with a standard error of 6. Pairs up to three
 #: standard errors above are proposed, and those with an exact similarity of at least 0.8 are links.
-SHINGLE, BITS, DISTANCE, EXPECTED, LEAST = 5, 256, 64, 0.1515, 0.8
+SHINGLE, BITS, DISTANCE, EXPECTED, LEAST = 5, 256, 56, 0.1515, 0.8
 
 
 def _plain(docs: DataFrame) -> DataFrame:
