@@ -311,3 +311,20 @@ def test_legends_and_settings():
         config.parse_modes("vliegtuig")
     with pytest.raises(ValueError):
         config.Facility("onbekend").norm("auto")
+
+
+def test_shared_with_a_straight_car_way(spark):
+    """Car ways a hundred metres long between their points; ways beside, across, far from and on them."""
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    kind = "array<struct<x:double,y:double>>"
+    cars = spark.createDataFrame([(7, line((0, 0), (100, 0))), (9, line((0, 50), (100, 150)))], f"wvk_id bigint, line {kind}")
+    rows = [(1, None, line((40, 0.9), (60, 0.9))), (2, None, line((50, -30), (50, 30))), (3, None, line((40, 10), (60, 10))), (4, None, line((40, 400), (60, 400))), (5, 9, line((500, 500), (501, 501))), (6, None, line((49, 101), (51, 99)))]
+    got = {r.edge_id: r for r in roads.shared_with_cars(spark.createDataFrame(rows, f"edge_id bigint, wvk_id bigint, line {kind}"), cars).collect()}
+    assert {k: (r.overlap_met_auto, r.overlap_auto_wvk_id, r.gedeeld_met_auto) for k, r in got.items()} == {1: (True, 7, True), 2: (True, 7, True), 3: (False, None, False), 4: (False, None, False), 5: (False, None, True), 6: (True, 9, True)}
+    assert abs(got[1].afstand_tot_auto_m - 0.9) < 1e-9 and got[2].afstand_tot_auto_m == 0 and abs(got[3].afstand_tot_auto_m - 10) < 1e-9 and got[4].afstand_tot_auto_m is None
+
+
+def test_dense_numbers(spark):
+    rows = relational.dense_numbers(spark.range(1000).withColumn("k", (F.col("id") * 37) % 101), [F.col("k").desc(), F.col("id")], "nr").orderBy("nr").collect()
+    assert [r.nr for r in rows] == list(range(1, 1001)) and [(-r.k, r.id) for r in rows] == sorted((-r.k, r.id) for r in rows)
+    assert relational.dense_numbers(spark.range(0), [F.col("id")], "nr").count() == 0

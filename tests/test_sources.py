@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from waymark.operators import facilities
+from waymark.operators import facilities, register
 from waymark.sources import files, sinks
 from waymark.streaming import slots
 
@@ -57,6 +57,27 @@ def test_zipped_register(spark, tmp_path):
     assert [(r.id, r.doelen) for r in rows] == [("1", ["a", "b"]), ("2", [])]
 
 
+def test_building_rows(spark, tmp_path):
+    one = "<x:Pand><x:identificatie>{}</x:identificatie><x:oorspronkelijkBouwjaar>1999</x:oorspronkelijkBouwjaar><x:tijdstipRegistratieLV>t</x:tijdstipRegistratieLV><g><posList>1 2 3 4</posList></g></x:Pand>"
+    with zipfile.ZipFile(tmp_path / "pnd.zip", "w") as z:
+        for k in (1, 2):
+            z.writestr(f"{k}.xml", '<r xmlns:x="u">' + "".join(one.format(10 * k + n) for n in range(2)) + "</r>")
+    df = register.building_rows(spark, str(tmp_path / "pnd.zip"))
+    rows = df.orderBy("pand_id").collect()
+    assert len(df.columns) == 16 and df.columns[:3] == ["zip_bestand", "xml_bestand", "pand_id"]
+    assert [(r.zip_bestand, r.xml_bestand, r.pand_id) for r in rows] == [("pnd.zip", "1.xml", "10"), ("pnd.zip", "1.xml", "11"), ("pnd.zip", "2.xml", "20"), ("pnd.zip", "2.xml", "21")]
+    assert (rows[0].bouwjaar, rows[0].pand_geometrie_poslist, rows[0].pand_tijdstip_registratie_lv, rows[0].pand_status) == ("1999", "1 2 3 4", "t", None)
+
+
+def test_replace_keeps_the_old_table_until_the_new_one_is_there(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace(spark.range(3), path)
+    sinks.replace(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+    long = sinks.sheet_rows(spark.range(1).select(F.repeat(F.lit("a"), 40_000).alias("x"))).first().x
+    assert len(long) == 40_000
+
+
 def test_gtfs_folder(spark, tmp_path):
     for name in files.GTFS_REQUIRED:
         (tmp_path / f"{name}.txt").write_text(",".join(files.GTFS_COLUMNS[name][:2]) + ",other\n1,2,3\n")

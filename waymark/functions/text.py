@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 TRUE_WORDS = ("true", "1", "ja", "yes")
 #: Texts that stand for a missing value.
 MISSING_WORDS = ("nan", "none", "<na>")
-#: Street abbreviations by whole word.
-STREET_WORDS = {"burg": "burgemeester", "burg.": "burgemeester", "str": "straat", "str.": "straat", "wg": "weg", "wg.": "weg", "ln": "laan", "ln.": "laan", "strjitte": "straat"}
+#: Street abbreviations by whole word, and the province's own words.
+STREET_WORDS = {"burg": "burgemeester", "burg.": "burgemeester", "str": "straat", "str.": "straat", "wg": "weg", "wg.": "weg", "ln": "laan", "ln.": "laan"}
+STREET_VARIANTS = {"strjitte": "straat"}
 #: Initials, and particles.
 STREET_INITIALS = {"b": "bartholomeus", "j": "johan", "w": "willem"}
 STREET_PARTICLES = {"vd": "van der", "v": "van"}
@@ -101,7 +102,7 @@ def street(c: Column) -> Column:
     """Street names to compare: abbreviations, attached endings, initials and particles written out, ij as y."""
 
     def word(w: Column) -> Column:
-        w = _lookup(STREET_WORDS, w)
+        w = _lookup(STREET_VARIANTS, _lookup(STREET_WORDS, w))
         ending = w  # the longest ending is asked last, so it is decided first
         for end, full in sorted(STREET_ENDINGS.items(), key=lambda e: len(e[0])):
             ending = F.when((F.length(w) > len(end) + 1) & w.endswith(end), F.concat(F.left(w, F.length(w) - len(end)), F.lit(full))).otherwise(ending)

@@ -8,19 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.functions.classes import MODES
 
-#: Norms in minutes by facility for car, cycle, transit with cycle, transit with walk, walk.
-_NORMS = (
-    (("supermarkt",), (10, 10, 15, 15, 15)),
-    (("apotheek", "huisarts"), (10, 10, 20, 20, 15)),
-    (("ziekenhuis",), (20, 25, 30, 30, 20)),
-    (("recreatief_groen", "ov"), (15, 15, 15, 15, 15)),
-    (("sport",), (30, 30, 30, 30, 30)),
-    (("basisonderwijs",), (10, 10, 10, 10, 10)),
-    (("vo", "vmbo", "mavo", "havo", "vwo", "pro", "brugjaar"), (15, 25, 30, 30, 25)),
-    (("mbo",), (25, 25, 40, 40, 25)),
-    (("hbo", "wo"), (35, 25, 45, 45, 15)),
-)
-NORMS: dict[str, dict[str, int]] = {name: dict(zip(("auto", "fiets", "ov_fiets", "ov_lopen", "lopen"), values, strict=True)) for names, values in _NORMS for name in names}
+#: Norms in minutes by facility and mode.
+NORMS: dict[str, dict[str, int]] = {
+    "supermarkt": {"auto": 10, "fiets": 10, "ov_fiets": 15, "ov_lopen": 15, "lopen": 15},
+    "apotheek": {"auto": 10, "fiets": 10, "ov_fiets": 20, "ov_lopen": 20, "lopen": 15},
+    "huisarts": {"auto": 10, "fiets": 10, "ov_fiets": 20, "ov_lopen": 20, "lopen": 15},
+    "ziekenhuis": {"auto": 20, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 20},
+    "recreatief_groen": {"auto": 15, "fiets": 15, "ov_fiets": 15, "ov_lopen": 15, "lopen": 15},
+    "ov": {"auto": 15, "fiets": 15, "ov_fiets": 15, "ov_lopen": 15, "lopen": 15},
+    "sport": {"auto": 30, "fiets": 30, "ov_fiets": 30, "ov_lopen": 30, "lopen": 30},
+    "basisonderwijs": {"auto": 10, "fiets": 10, "ov_fiets": 10, "ov_lopen": 10, "lopen": 10},
+    "vo": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "vmbo": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "mavo": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "havo": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "vwo": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "pro": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "brugjaar": {"auto": 15, "fiets": 25, "ov_fiets": 30, "ov_lopen": 30, "lopen": 25},
+    "mbo": {"auto": 25, "fiets": 25, "ov_fiets": 40, "ov_lopen": 40, "lopen": 25},
+    "hbo": {"auto": 35, "fiets": 25, "ov_fiets": 45, "ov_lopen": 45, "lopen": 15},
+    "wo": {"auto": 35, "fiets": 25, "ov_fiets": 45, "ov_lopen": 45, "lopen": 15},
+}
 #: Facilities for which some municipalities have a cycling norm of their own, in minutes.
 CYCLING_EXCEPTION = {"facilities": ("ov", "recreatief_groen", "sport"), "minutes": 10}
 
