@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, licenses, pii, toxicity
+from waymark.llm import bpe, chat, common, licenses, pii, toxicity
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 CODEC = bpe.codec(RANKS, P.PATTERN)
@@ -232,3 +232,12 @@ def test_toxicity_bounds_of_the_fit(spark):
     assert toxicity.train(d, labels, max_texts=50).texts == 100
     shortest = [sorted(len(t) for i, t, y in rows if y == label and zlib.crc32(str(i).encode()) % 5) for label in (0, 1)]
     assert toxicity.train(d, labels, max_bytes=5000).texts == sum(int((np.cumsum(s) <= 5000).sum()) for s in shortest)
+
+
+def test_chunks_are_bounded_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(common, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 10)
+    texts = ["aaa", None, "bbbb", "cc", "dd", "e" * 30, "", "f", "g", "h", "i", "j"]
+    batch = common.pa.RecordBatch.from_arrays([common.pa.array(texts), common.pa.array(range(len(texts)))], ["text", "id"])
+    assert list(common.chunks(batch)) == [(0, 4), (4, 5), (5, 6), (6, 10), (10, 12)]
+    assert list(common.chunks(batch.slice(0, 0))) == []

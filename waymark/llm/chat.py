@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ranges, tidy
+from waymark.llm.common import list_array, ranges, tidy
 from waymark.session import ship_package
 
 #: The template's control strings.
@@ -89,27 +89,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a = max(a + 1, int(np.searchsorted(ends, begins[a] + CHUNK_BYTES, "right"))) if ends[b - 1] - begins[a] > CHUNK_BYTES else b
         # positions in code points: bytes that continue a character don't count
         points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
-        rows = {"conv_id": [], "slice": [], "chunk": [], "turns": [], "formatted": [], "loss": []}
-        for a, b in zip(first, [*first[1:], n], strict=True):
-            origin = points[begins[a]]
-            rows["conv_id"].append(None if nulls[a] else int(keys[a]))
-            rows["slice"].append(part)
-            rows["chunk"].append(chunk)
-            rows["turns"].append(int(b - a))
-            rows["formatted"].append(out[begins[a] : ends[b - 1]].tobytes().decode())
-            rows["loss"].append([{"start": int(points[text_from[i]] - origin), "stop": int(points[text_to[i]] - origin)} for i in range(a, b) if loss[i]])
-            chunk += 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows["conv_id"], pa.int64()),
-                pa.array(rows["slice"], pa.int32()),
-                pa.array(rows["chunk"], pa.int32()),
-                pa.array(rows["turns"], pa.int32()),
-                pa.array(rows["formatted"], pa.string()),
-                pa.array(rows["loss"], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-            ],
-            ["conv_id", "slice", "chunk", "turns", "formatted", "loss"],
-        )
+        first = np.asarray(first)
+        marked = np.flatnonzero(loss)
+        row = np.searchsorted(first, marked, "right") - 1
+        origin = points[begins[first]][row]
+        spans = pa.StructArray.from_arrays([pa.array((points[at[marked]] - origin).astype(np.int32)) for at in (text_from, text_to)], ["start", "stop"])
+        # the buffer itself becomes the column: only its offsets are new
+        offsets = np.concatenate([begins[first], ends[-1:]]).astype(np.int32)
+        columns = {
+            "conv_id": ids.take(pa.array(first)),
+            "slice": pa.array(np.full(len(first), part, np.int32)),
+            "chunk": pa.array(np.arange(chunk, chunk + len(first), dtype=np.int32)),
+            "turns": pa.array(np.diff(np.append(first, n)).astype(np.int32)),
+            "formatted": pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out)),
+            "loss": list_array(spans, np.bincount(row, minlength=len(first))),
+        }
+        chunk += len(first)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def format_turns(df: DataFrame) -> DataFrame:

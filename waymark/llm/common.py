@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 from waymark.session import checkpointed, ship_package
 
 #: Rows of a batch that a function works on at once, which bounds what a worker holds beside the batch.
-CHUNK_ROWS = 1024
+CHUNK_ROWS, CHUNK_BYTES = 1024, 64 << 20
 #: Edges that one task turns into stars at a time: some ten MB.
 TASK_EDGES = 250_000
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -55,15 +56,30 @@ def with_fields(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Rows (from, to) to work on at once: ``CHUNK_ROWS`` or as many as have ``CHUNK_BYTES`` of text, one at least."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    behind = np.cumsum(size)
+    low = 0
+    while low < batch.num_rows:
+        limit = behind[low] - size[low] + CHUNK_BYTES
+        high = max(low + 1, min(low + CHUNK_ROWS, int(np.searchsorted(behind, limit, "right"))))
+        yield low, high
+        low = high
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with a batch function that each task makes once; it sees at most ``CHUNK_ROWS`` rows at a time."""
+    """``mapInArrow`` with a batch function that each task makes once; it sees the rows of ``chunks`` at a time."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for low in range(0, batch.num_rows, CHUNK_ROWS):
-                yield step(batch.slice(low, CHUNK_ROWS))
+            for low, high in chunks(batch):
+                yield step(batch.slice(low, high - low))
         del step
         release_memory()
 
