@@ -72,6 +72,7 @@ access AS (
 """
 _PCT = "CASE WHEN {b} > 0 THEN {a} * 100.0 / {b} ELSE 0.0 END"
 _BAND = "CASE WHEN {p} >= 0 AND {p} < 20 THEN '0-20%' WHEN {p} >= 20 AND {p} < 40 THEN '20-40%' WHEN {p} >= 40 AND {p} < 60 THEN '40-60%' WHEN {p} >= 60 AND {p} < 80 THEN '60-80%' WHEN {p} >= 80 AND {p} <= 100 THEN '80-100%' ELSE 'geen data' END"
+_COLOUR = "CASE WHEN {p} >= 0 AND {p} < 20 THEN '#d73027' WHEN {p} >= 20 AND {p} < 40 THEN '#fc8d59' WHEN {p} >= 40 AND {p} < 60 THEN '#fee08b' WHEN {p} >= 60 AND {p} < 80 THEN '#d9ef8b' WHEN {p} >= 80 AND {p} <= 100 THEN '#1a9850' ELSE '#bdbdbd' END"
 _AGG = """count(pand_id) AS panden_aantal, count(minutes) AS panden_met_reistijd, count(*) FILTER (WHERE within) AS panden_binnen_norm,
        CAST(median(minutes) AS DOUBLE) AS reistijd_mediaan_min, CAST(quantile_cont(minutes, 0.9) AS DOUBLE) AS reistijd_p90_min"""
 
@@ -83,9 +84,9 @@ def _areas(by: str) -> str:
 @query(f"""WITH {_ACCESS}, {_areas("gemeente, buurt, modus")}
 SELECT *, CAST({_PCT.format(a="panden_met_reistijd", b="panden_aantal")} AS DOUBLE) AS percentage_met_reistijd,
        CAST({_PCT.format(a="panden_binnen_norm", b="panden_aantal")} AS DOUBLE) AS percentage_binnen_norm,
-       {_BAND.format(p="(panden_binnen_norm * 100.0 / panden_aantal)")} AS klasse FROM areas""")
+       {_BAND.format(p="(panden_binnen_norm * 100.0 / panden_aantal)")} AS klasse, {_COLOUR.format(p="(panden_binnen_norm * 100.0 / panden_aantal)")} AS kleur FROM areas""")
 def area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.area_summary(access(spark, sf_dir), ["gemeente", "buurt", "modus"]).drop("kleur")
+    return rollup.area_summary(access(spark, sf_dir), ["gemeente", "buurt", "modus"])
 
 
 @query(f"""WITH {_ACCESS}, areas AS (
@@ -93,9 +94,9 @@ def area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM access GROUP BY GROUPING SETS ((gemeente, buurt), (gemeente)))
 SELECT *, CAST({_PCT.format(a="panden_met_reistijd", b="panden_aantal")} AS DOUBLE) AS percentage_met_reistijd,
        CAST({_PCT.format(a="panden_binnen_norm", b="panden_aantal")} AS DOUBLE) AS percentage_binnen_norm,
-       {_BAND.format(p="(panden_binnen_norm * 100.0 / panden_aantal)")} AS klasse FROM areas""")
+       {_BAND.format(p="(panden_binnen_norm * 100.0 / panden_aantal)")} AS klasse, {_COLOUR.format(p="(panden_binnen_norm * 100.0 / panden_aantal)")} AS kleur FROM areas""")
 def area_rollup_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.area_rollup(access(spark, sf_dir), "buurt", "gemeente").drop("kleur")
+    return rollup.area_rollup(access(spark, sf_dir), "buurt", "gemeente")
 
 
 _RANKED = f"""WITH {_ACCESS}, areas AS (SELECT modus, buurt, count(pand_id) AS panden_aantal, count(*) FILTER (WHERE within) AS panden_binnen_norm FROM access GROUP BY modus, buurt),
