@@ -66,8 +66,8 @@ def id_width(tokenizer_path: str, pattern: str, end_id: int) -> str:
     return "<u2" if max(end_id, encoding(tokenizer_path, pattern).max_token_value) < 65536 else "<u4"
 
 
-def cuts(at: np.ndarray, n: np.ndarray, pace: np.ndarray, phase: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where rounds cut documents at ``at`` .. ``at + n`` of their queues: (document, from, to, round) of every slice.
+def cuts(at: np.ndarray, n: np.ndarray, total: np.ndarray, pace: np.ndarray, phase: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where rounds cut documents at ``at`` .. ``at + n`` of their queues of ``total`` ids: (document, from, to, round) of every slice.
 
     ``pace`` is the credit of a round. From ``least`` on, round t ends at floor(t * pace); below, ids leave in slices that end at
     multiples of ``least``, as soon as ``phase``, the credit at the start, and the rounds' credits cover them.
@@ -87,7 +87,8 @@ def cuts(at: np.ndarray, n: np.ndarray, pace: np.ndarray, phase: np.ndarray, lea
     last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
     stop[last] = (at + n)[row[last]]
     credit, own = pace[row], fine[row]
-    turn = np.maximum(1, np.ceil((stop - np.where(own, 0.0, phase[row])) / credit)).astype(np.int64)
+    covered = np.where(own, stop, np.minimum(-(-stop // least) * least, total[row]) - phase[row])
+    turn = np.maximum(1, np.ceil(covered / credit)).astype(np.int64)
     # the first round that ends at ``stop`` or behind it, whatever the division rounded to
     turn -= own & (turn > 1) & (np.floor((turn - 1) * credit) >= stop)
     turn += own & (np.floor(turn * credit) < stop)
@@ -107,8 +108,9 @@ def _slices(queues: DataFrame, id_col: str, least: int, kind: str | None) -> Dat
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, n = (batch.column(c).to_numpy() for c in ("at", "tokens"))
-            phase = np.asarray([phase_of(s, t, least) for s, t in zip(batch.column("source").to_pylist(), batch.column("total").to_pylist(), strict=True)], np.float64)
-            row, start, stop, turn = cuts(at, n, batch.column("pace").to_numpy(), phase, least)
+            total = batch.column("total").to_numpy()
+            phase = np.asarray([phase_of(s, t, least) for s, t in zip(batch.column("source").to_pylist(), total.tolist(), strict=True)], np.float64)
+            row, start, stop, turn = cuts(at, n, total, batch.column("pace").to_numpy(), phase, least)
             index, within = pa.array(row), start - at[row]
             columns = [batch.column(c).take(index) for c in (id_col, "source", "tokens")] + [pa.array(x) for x in (start, within, stop - start, turn, (turn - 1) // BLOCK_ROUNDS)]
             if kind:
