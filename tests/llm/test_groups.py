@@ -166,10 +166,29 @@ def test_simhash_compares_equal_fingerprints(spark):
     rows += [(6, rows[2][1]), (7, None), (8, " ")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = simhash.near_duplicates(df, corpus_pipeline.SHINGLE, corpus_pipeline.BITS, corpus_pipeline.DISTANCE, corpus_pipeline.EXPECTED, corpus_pipeline.LEAST).collect()
-    assert len({r.fingerprint for r in found if r.doc_id < 7}) == 1
+    # the repeated line's five shingles weigh no more than five of the others
+    assert len({r.fingerprint for r in found if r.doc_id < 7}) == 6
     assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2, 7: 7, 8: 7}
 
 
+def test_simhash_repeated_lines(spark):
+    """Against brute force over shingle sets: copies in which one line stands many more times."""
+    text = made_words(31)
+    texts = []
+    for k in range(20):
+        w = text(300)
+        line = text(12)
+        texts += [w + line, w + line * 30]
+        if k % 4 == 0:
+            texts.append(w[:240] + text(60) + line * 10)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = brute_components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(set(want)) < len(texts) - 15
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, corpus_pipeline.SHINGLE, corpus_pipeline.BITS, corpus_pipeline.DISTANCE, corpus_pipeline.EXPECTED, corpus_pipeline.LEAST).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_simhash_tries_other_partners(spark):
     rng, text = random.Random(24), made_words(24)
     base = text(160)
@@ -223,6 +242,20 @@ def test_embeddings(spark):
     assert pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size(spark):
+    """Components so small or large that their squares leave the range of doubles link as their directions do."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(100 + i, (r * 1e-3).tolist()) for i, r in enumerate(x[:20])]
+    rows += [(200, [1e-200] * 8), (201, [3e-200] * 8), (202, [1e200] * 7 + [1.1e200]), (203, (x[0] * 1e250).tolist())]
+    got = {r.vec_id: r for r in pq.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    u = np.asarray([np.asarray(v) / np.abs(v).max() for _, v in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    assert [got[i].n_links for i, _ in rows] == (near.sum(1) - 1).tolist()
+    assert {got[i].component_id for i in (200, 201, 202)} == {200} and got[203].component_id == got[0].component_id
+
+
 def test_embeddings_with_more_lists_than_probes(spark):
     """Links and components against all pairs, where a vector visits 16 of 40 lists; one group is dense and two dimensions are mixed."""
     rng = np.random.default_rng(3)

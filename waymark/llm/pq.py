@@ -96,7 +96,14 @@ def fit(sample: np.ndarray, rows: int) -> Index:
 def unit(column: pa.Array) -> np.ndarray:
     """Rows of an Arrow list column as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+    return unit_rows(flat.reshape(len(column), -1))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors. Each is divided by its largest component first, so no square overflows or vanishes."""
+    if not x.size:
+        return x
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -116,10 +123,8 @@ def _join(index: Index, least: float):
     def run(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(queries):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-        x = np.stack(members["vector"].to_numpy()).astype(np.float64)
-        q = np.stack(queries["wanted"].to_numpy()).astype(np.float64)
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        q /= np.sqrt((q * q).sum(1))[:, None]
+        x = unit_rows(np.stack(members["vector"].to_numpy()).astype(np.float64))
+        q = unit_rows(np.stack(queries["wanted"].to_numpy()).astype(np.float64))
         code = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(x), -1)
         bound = (radius + members["off"].to_numpy() + 1e-5) ** 2
         ids, asks = members["id"].to_numpy(), queries["ask"].to_numpy()

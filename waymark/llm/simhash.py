@@ -76,8 +76,8 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
 def fingerprints(df: DataFrame, shingle: int = 3, bits: int = 64, text_col: str = "text", sets: bool = False) -> DataFrame:
     """Replaces the text by ``fingerprint`` binary; null texts count as empty.
 
-    With ``sets`` also ``shape`` binary, a 128-bit hash of the set of shingles: fingerprints count repeated shingles, so texts
-    that repeat one line have equal ones whatever else they say.
+    With ``sets`` every distinct shingle counts once, so that fingerprints are as near as the sets are alike however often a
+    text repeats a line, and there is also ``shape`` binary, a 128-bit hash of the set.
     """
     more = ["fingerprint", "shape"] if sets else ["fingerprint"]
     df = tidy(df, [text_col], more)
@@ -86,9 +86,11 @@ def fingerprints(df: DataFrame, shingle: int = 3, bits: int = 64, text_col: str
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashes = [shingle_hashes(t, shingle) for t in texts_of(batch.column(text_col))]
+            if sets:
+                hashes = [np.unique(h) for h in hashes]
             made = [[fingerprint(h, bits) for h in hashes]]
             if sets:
-                made.append([xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes])
+                made.append([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes])
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(m, pa.binary()) for m in made)], [*rest, *more])
 
         return step
@@ -417,7 +419,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, bits: int = 64, distance: i
 
     Without ``expected`` the blocks guarantee that no link is lost; with it (the share of bits in which the
     least similar pairs of interest differ) they are sampled, for distances that no blocks can guarantee.
-    With ``least`` fingerprints only propose, by the edges of a minimum spanning forest of each bucket: a pair of them
+    With ``least`` fingerprints are those of the distinct shingles and only propose, by the edges of a minimum spanning forest of each bucket: a pair of them
     is a link if the Jaccard similarity of its shingle sets is at least ``least``. The first blocks' forests are made first; what they
     join by clearly fewer bits than ``expected`` isn't proposed again. Where proposals are rejected, all other pairs
     within the distance in what they connect are tested too, unless they are connected already.
