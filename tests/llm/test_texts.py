@@ -115,6 +115,10 @@ def test_licenses(spark):
     found = {r.doc_id: (r.base_labels, r.labels) for r in licenses.scan(docs(spark, fuzzy)).collect()}
     assert found == {1: ("", "gpl-3"), 2: ("", ""), 3: ("apache-2", "apache-2")}
     assert licenses.scan(docs(spark, [])).count() == 0
+    notices = "\n".join(f"{k}: {phrase}" for k in range(1500) for phrase, _ in (*licenses.BASE_PHRASES, *licenses.TEMPLATES))
+    (r,) = licenses.scan(docs(spark, [(1, notices)])).collect()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(notices)
+    assert set(r.labels.split(",")) == {label for _, label in (*licenses.BASE_PHRASES, *licenses.TEMPLATES)}
 
 
 @given(st.lists(st.sampled_from(["<", "</", "s>", "[", "/", "INST]", "\\", "a", "</s>", "[INST]", "é", "\n"]), max_size=12))

@@ -110,11 +110,14 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     read = map_batches(df, make, schema)
     # place 0 of each array stands for the row itself, so that rows without hits stay
     each = read.select("_row", id_col, "n_words", "proof", F.posexplode("hashes").alias("_place", "_hash"))
+    # hits are sorted before they are added up: only the row itself carries the words that prove them
+    each = each.withColumn("proof", F.when(F.col("_place") == 0, F.col("proof")))
     table = spark.createDataFrame(rows, "hash bigint, template int, position int")
     hits = each.join(F.broadcast(table), (each["_hash"] == table["hash"]) & (each["_place"] > 0), "left").where("_place = 0 or template is not null")
     is_row = F.col("_place") == 0
-    votes = hits.groupBy("_row", id_col, "template", (F.col("_place") - 1 - F.col("position")).alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, position))").alias("mask"), F.max(F.when(is_row, F.col("n_words"))).alias("n_words"), F.first(F.when(is_row, F.col("proof")), ignorenulls=True).alias("proof"))
-    per_row = votes.groupBy("_row", id_col).agg(F.max("n_words").alias("n_words"), F.first("proof", ignorenulls=True).alias("proof"), F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "mask"))).alias("votes"))
+    votes = hits.groupBy("_row", id_col, "template", (F.col("_place") - 1 - F.col("position")).alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, position))").alias("mask"), F.max(F.when(is_row, F.col("n_words"))).alias("n_words"), F.collect_list("proof").alias("proof"))
+    # lists of one or none: unlike first(), they don't copy a long text's proof at every row they meet
+    per_row = votes.groupBy("_row", id_col).agg(F.max("n_words").alias("n_words"), F.get(F.collect_list(F.get("proof", F.lit(0))), F.lit(0)).alias("proof"), F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "mask"))).alias("votes"))
     return map_batches(per_row, lambda: _judge(id_col), with_fields(per_row.select(id_col, "n_words"), "n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"))
 
 
