@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import classes
-from waymark.operators import access, facilities, isochrones, maplayers, network, register, relational, reports, roads, rollup, spatial, transit
+from waymark.operators import access, facilities, isochrones, maplayers, network, profiles, register, relational, reports, roads, rollup, spatial, transit
 from waymark.plans import config, legends, run
 
 
@@ -140,7 +140,7 @@ def test_transit_profile(spark):
     rides = spark.createDataFrame([(8 * h, 8 * h + 600, 1, 2), (8 * h + 900 - 60, 8 * h + 1000, 3, 4), (8 * h + 960, 8 * h + 1200, 3, 4)], "dep bigint, arr bigint, src bigint, dst bigint")
     walks = spark.createDataFrame([(2, 3, 2.0)], "src bigint, dst bigint, minutes double")
     egress = spark.createDataFrame([(0, 4, 4.0, 77), (0, 1, 1.0, 77)], "key bigint, node bigint, minutes double, target bigint")
-    day = transit.departure_profiles(rides, walks, egress, 3.0).collect()
+    day = profiles.departure_profiles(rides, walks, egress, 3.0).collect()
     got = {(r.node, r.sec): (round(r.minutes, 6), r.target) for r in day}
     # boarding at A must ride although walking from A takes one minute
     assert got[(1, 8 * h)] == (24.0, 77) and got[(3, 8 * h + 960)] == (8.0, 77)

@@ -1,14 +1,12 @@
 """Public transport: timetable tables to stop-to-stop edges, summaries, and travel-time profiles over a day.
 
-Profiles come from a reverse connection scan. Connections of one day are read backwards; each stop keeps its best
-onward minutes for every later moment. The scan is grouped by target set, so many facilities run in parallel.
+Profiles come from the scan of ``profiles``; here they become statistics over departure slots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,6 @@ from waymark.functions import geometry as g
 from waymark.functions import text, times
 from waymark.operators.relational import groups_with_hit
 from waymark.operators.spatial import nearest, within_distance
-from waymark.session import ship_package
 
 #: Route types with their modes, operators that count, and the seconds that replace a bus ride of none.
 ROUTE_MODES = {"2": "train", "3": "bus", "4": "ferry"}
@@ -129,86 +126,6 @@ def transfers(stops: DataFrame, radius: float = 250.0, speed: float = 80.0) -> D
 PROFILE = "key bigint, node bigint, sec bigint, minutes double, target bigint"
 
 
-def _scan(rides: pd.DataFrame, walks: dict[int, list[tuple[int, float]]], egress: pd.DataFrame, least: int, key: int) -> pd.DataFrame:
-    """Best minutes to a target for each departure event (node, sec) at which a ride is boarded.
-
-    Rides by falling departure; staying seated or changing at the same stop costs the wait only, changing to another
-    stop also the walk and the least transfer time. ``onward[n]`` holds (sec, minutes, target) with rising sec.
-    """
-    goal = {int(r.node): (float(r.minutes), int(r.target)) for r in egress.itertuples()}
-    onward: dict[int, list[tuple[int, float, int]]] = {}
-
-    def at(node: int, sec: int) -> tuple[float, int] | None:
-        """Best minutes from a stop reached at ``sec`` to a target by another ride there."""
-        line = onward.get(node)
-        if not line:
-            return None
-        low, high = 0, len(line)  # falling departure: later ones first
-        while low < high:
-            mid = (low + high) // 2
-            if line[mid][0] >= sec:
-                low = mid + 1
-            else:
-                high = mid
-        if not low:
-            return None
-        dep, minutes, target = line[low - 1]
-        return (dep - sec) / 60 + minutes, target
-
-    out = []
-    for dep, arr, src, dst in rides[["dep", "arr", "src", "dst"]].sort_values(["dep", "arr", "src", "dst"], ascending=[False, False, True, True]).itertuples(index=False):
-        options = []
-        if dst in goal:
-            options.append(goal[dst])
-        if (same := at(dst, arr)) is not None:
-            options.append(same)
-        for other, walk in walks.get(dst, ()):
-            ready = arr + round(walk * 60) + least
-            if (there := at(other, ready)) is not None:
-                options.append(((ready - arr) / 60 + there[0], there[1]))
-        if not options:
-            continue
-        rest, target = min(options)
-        minutes = (arr - dep) / 60 + rest
-        line = onward.setdefault(src, [])
-        if line:
-            # waiting for the next event at this stop may be better than this ride
-            wait = (line[-1][0] - dep) / 60 + line[-1][1]
-            if wait <= minutes and line[-1][0] != dep:
-                minutes, target = wait, line[-1][2]
-        if line and line[-1][0] == dep:
-            if minutes < line[-1][1]:
-                line[-1] = (dep, minutes, target)
-        else:
-            line.append((dep, minutes, target))
-    for node, line in onward.items():
-        out += [(key, node, sec, minutes, target) for sec, minutes, target in line]
-    return pd.DataFrame(out, columns=["key", "node", "sec", "minutes", "target"])
-
-
-def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, min_transfer_min: float = 3.0) -> DataFrame:
-    """Minutes to the nearest target from every departure (key, node, sec): PROFILE rows.
-
-    ``egress`` (key, node, minutes, target) has walks from stops to targets; every key is scanned on its own. One day's rides and
-    walks are the fixed input of each scan: they are what a timetable holds, and are collected once to be broadcast.
-    """
-    spark = rides.sparkSession
-    ship_package(spark)
-    day = rides.select("dep", "arr", "src", "dst").toPandas()
-    by_stop: dict[int, list[tuple[int, float]]] = {}
-    for src, dst, minutes in walks.select("src", "dst", "minutes").toPandas().itertuples(index=False):
-        by_stop.setdefault(int(src), []).append((int(dst), float(minutes)))
-    shared = spark.sparkContext.broadcast((day, by_stop))
-    least = int(round(min_transfer_min * 60))
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        timetable, stops = shared.value
-        return _scan(timetable, stops, own, least, int(key[0]))
-
-    best = egress.groupBy("key", "node").agg(F.min(F.struct("minutes", "target")).alias("_b")).select("key", "node", "_b.minutes", "_b.target")
-    return best.groupBy("key").applyInPandas(run, PROFILE)
-
-
 def slot_profiles(profile: DataFrame, start: int, end: int, step_min: int = 15) -> DataFrame:
     """Statistics per stop over departure slots: each slot takes the first event at or after it, wait included.
 

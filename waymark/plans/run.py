@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import municipality_code
-from waymark.operators import access, rollup, transit
+from waymark.operators import access, profiles, rollup, transit
 from waymark.plans.config import CYCLING_EXCEPTION, Facility, RunConfig, column_name
 from waymark.session import written
 
@@ -55,10 +55,10 @@ def all_modes(inputs: Inputs, facility: Facility, config: RunConfig = RunConfig(
     if wanted and inputs.stops is not None and inputs.rides is not None:
         egress = access.stop_egress(inputs.stops, inputs.facilities, inputs.walk, radius=config.max_snap_m)
         walks = transit.transfers(inputs.stops, config.max_transfer_m)
-        day = transit.departure_profiles(inputs.rides, walks, egress, config.min_transfer_min)
-        profiles = written(transit.slot_profiles(day, config.window_start, config.window_end, config.step_min), "profiles")
+        day = profiles.departure_profiles(inputs.rides, walks, egress, config.min_transfer_min, profiles.stop_regions(inputs.stops))
+        by_slot = written(transit.slot_profiles(day, config.window_start, config.window_end, config.step_min), "profiles")
         for mode in wanted:
-            by_stop = access.by_transit(inputs.buildings, inputs.stops, profiles, nets[mode[3:]], mode, facility.norm(mode), config.max_snap_m)
+            by_stop = access.by_transit(inputs.buildings, inputs.stops, by_slot, nets[mode[3:]], mode, facility.norm(mode), config.max_snap_m)
             out[mode] = access.transit_or_direct(by_stop, out[mode[3:]], facility.norm(mode[3:]), facility.norm(mode))
     rows = None
     for mode in config.modes:
