@@ -1,6 +1,6 @@
-"""Isochrones: bands of buildings or edges by minutes, and their areas as grid cells.
+"""Isochrones: bands of buildings or edges by minutes, and their areas as grid cells or polygons.
 
-Areas are rasters. A cell belongs to a band if a building of it lies within the reach of the cell's middle, and to the first
+Edges are cut where a band's limit falls on them, so the pieces of all bands are as long as what is reached. Areas are rasters. A cell belongs to a band if a building of it lies within the reach of the cell's middle, and to the first
 band that has it. Counts and band limits are exact; outlines follow the grid.
 """
 
@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import geometry as g
 from waymark.functions.classes import band_of
+from waymark.operators import dissolve
+
+
+#: Pieces of a smaller share of their way are rounding errors.
+SHORTEST = 1e-9
 
 
 def building_bands(access: DataFrame, limits: Sequence[float], minutes: str = "total_min", within: str = "within") -> DataFrame:
@@ -50,6 +56,55 @@ def cell_outlines(cells: DataFrame, keys: Sequence[str] = (), size: float = 50.0
     return border.select(*keys, "band", at("cx", "ax"), at("cy", "ay"), at("cx", "bx"), at("cy", "by"))
 
 
+def cell_polygons(cells: DataFrame, keys: Sequence[str] = (), size: float = 50.0) -> DataFrame:
+    """The areas of each band's cells as polygons with holes: (keys, band, part, polygon, area, holes). Cells that only touch are parts of their own."""
+    by = [*keys, "band"]
+    return dissolve.polygons(dissolve.rings(cell_outlines(cells, keys, size), by), by, size * 100)
+
+
+def cell_difference(cells: DataFrame, other: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Cells that ``other`` doesn't have, whatever their band there."""
+    return cells.join(other.select(*keys, "cx", "cy").distinct(), [*keys, "cx", "cy"], "left_anti")
+
+
+def reached_pieces(ways: DataFrame, costs: DataFrame, limits: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Pieces of ways by band: (keys, edge_id, band, via, van_m, tot_m, line), metres from u on.
+
+    ``ways`` has edge_id, u, v, minutes, length_m, forward, backward and line, ``costs`` (keys, node, cost) the minutes from each node to a target, by ``shortest_paths`` or
+    with what a ride takes added at its stops. A place on a way leaves it over u against its direction or over v along it, whichever is
+    quicker; ``via`` tells, and both meet where they take the same. Bands go from a limit, exclusive, to the next, inclusive.
+    """
+    keys = list(keys)
+    u, v = (costs.select(*[F.col(k).alias(f"_{end}{k}") for k in keys], F.col("node").alias(f"_{end}"), F.col("cost").alias(f"_c{end}")) for end in "uv")
+    sides = []
+    for end, costs_of, free in (("u", u, "backward"), ("v", v, "forward")):
+        part = ways.where(F.col(free) & F.col("minutes").isNotNull()).join(costs_of, F.col(end) == F.col(f"_{end}"))
+        sides.append(part.select(*[F.col(f"_{end}{k}").alias(k) for k in keys], "edge_id", F.lit(end).alias("_end"), F.col(f"_c{end}").alias("_c")))
+    met = sides[0].unionByName(sides[1]).groupBy(*keys, "edge_id").agg(F.min(F.when(F.col("_end") == "u", F.col("_c"))).alias("_cu"), F.min(F.when(F.col("_end") == "v", F.col("_c"))).alias("_cv"))
+    rows = met.join(ways.select("edge_id", "minutes", "length_m", "line"), "edge_id")
+    m = F.col("minutes")
+
+    def kept(share: Column, most: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(most, share))
+
+    def within(limit: float, cost: Column) -> Column:
+        """How much of a way, from one end on, takes at most ``limit`` minutes."""
+        return F.when(m > 0, (F.lit(float(limit)) - cost) / m).otherwise(F.when(cost <= limit, 1.0).otherwise(0.0))
+
+    both = F.when(m > 0, kept((F.col("_cv") + m - F.col("_cu")) / (2 * m), F.lit(1.0))).otherwise(F.when(F.col("_cu") <= F.col("_cv"), 1.0).otherwise(0.0))
+    meet = F.when(F.col("_cv").isNull(), 1.0).when(F.col("_cu").isNull(), 0.0).otherwise(both)
+    found = []
+    for k, high in enumerate(limits):
+        for via, cost, most in (("u", F.col("_cu"), F.col("_meet")), ("v", F.col("_cv"), 1 - F.col("_meet"))):
+            near = F.lit(0.0) if k == 0 else kept(within(limits[k - 1], cost), most)
+            far = kept(within(high, cost), most)
+            low, top = (near, far) if via == "u" else (1 - far, 1 - near)
+            found.append(F.when(cost.isNotNull() & (far - near > SHORTEST), F.struct(F.lit(k + 1).alias("band"), F.lit(via).alias("via"), low.alias("_low"), top.alias("_top"), (low * F.col("length_m")).alias("van_m"), (top * F.col("length_m")).alias("tot_m"))))
+    pieces = rows.withColumn("_meet", meet).withColumn("_p", F.explode(F.array(*found))).where("_p is not null").select(*keys, "edge_id", "_p.*", "line")
+    whole = g.length(F.col("line"))
+    return pieces.withColumn("line", g.substring(F.col("line"), F.col("_low") * whole, F.col("_top") * whole)).drop("_low", "_top")
+
+
 def multimodal(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The union over modes: each cell with the lowest band of any mode."""
     return cells.groupBy(*keys, "cx", "cy").agg(F.min("band").alias("band"))

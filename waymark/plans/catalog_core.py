@@ -142,7 +142,7 @@ def school_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCHOOLS = """s AS (SELECT s_suppkey AS id, s_suppkey % 9 AS pc, s_suppkey % 5 AS st, s_suppkey % 4 AS pl, s_suppkey % 23 AS nr FROM supplier),
-a AS (SELECT c_custkey AS pand, c_custkey % 4 = 0 AS ok, c_custkey % 11 AS pc, c_custkey % 6 AS st, c_custkey % 5 AS pl, c_custkey * 7 % 31 AS nr FROM customer WHERE c_custkey % 3 <> 1 AND c_custkey <= 150)"""
+a AS (SELECT c_custkey AS pand, c_custkey % 4 = 0 AS ok, c_custkey % 11 AS pc, c_custkey % 6 AS st, c_custkey % 5 AS pl, c_custkey * 7 % 311 AS nr FROM customer WHERE c_custkey % 3 <> 1)"""
 
 
 def _best_of(keys: str, name: str) -> str:
@@ -165,7 +165,7 @@ def school_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [F.struct(key("pc", "nr", "st").alias("exact"), key("pc", "nr").alias("basic"), key("pl", "st", "nr").alias("town")).alias("keys"), F.col("nr").alias("number"), F.col("pc").cast("string").alias("postcode_key"), F.col("st").cast("string").alias("street_key"), F.col("pl").cast("string").alias("town_key")]
     k = lambda c, m: (F.col(c) % m)
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("school_id"), k("s_suppkey", 9).alias("pc"), k("s_suppkey", 5).alias("st"), k("s_suppkey", 4).alias("pl"), k("s_suppkey", 23).alias("nr")).select("school_id", *parts)
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 1 and c_custkey <= 150").select(F.col("c_custkey").alias("pand_id"), (k("c_custkey", 4) == 0).alias("heeft_onderwijsfunctie"), k("c_custkey", 11).alias("pc"), k("c_custkey", 6).alias("st"), k("c_custkey", 5).alias("pl"), (F.col("c_custkey") * 7 % 31).alias("nr")).select("pand_id", "heeft_onderwijsfunctie", *parts)
+    a = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 1").select(F.col("c_custkey").alias("pand_id"), (k("c_custkey", 4) == 0).alias("heeft_onderwijsfunctie"), k("c_custkey", 11).alias("pc"), k("c_custkey", 6).alias("st"), k("c_custkey", 5).alias("pl"), (F.col("c_custkey") * 7 % 311).alias("nr")).select("pand_id", "heeft_onderwijsfunctie", *parts)
     return facilities.match_schools(s, a).select("school_id", "pand_id", "bag_match_type", "bag_match_betrouwbaarheid", "bag_gevalideerd")
 
 
@@ -276,7 +276,7 @@ def map_walkways(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The street grid: a way to the right of every crossing and one upwards, if the other crossing exists.
 _GRID = """g AS (SELECT s_suppkey AS k, s_suppkey % 10 * 100.0 AS x, s_suppkey // 10 * 100.0 AS y FROM supplier),
 ways AS (SELECT a.k * 10 + d.range AS edge_id, a.k AS u, b.k AS v, CAST(1 + a.k % 5 AS DOUBLE) AS minutes, a.k % 7 <> 0 AS forward, a.k % 3 <> 0 AS backward, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM g a, range(2) d, g b WHERE b.k = a.k + CASE WHEN d.range = 0 THEN 1 ELSE 10 END AND (d.range = 1 OR a.k % 10 <> 9)),
-c AS (SELECT c_custkey AS id, c_custkey * 37 % 1000 + c_custkey % 7 * 0.1373 + 0.29 AS x, c_custkey * 53 % 1000 + 0.53 AS y FROM customer WHERE c_custkey <= 600),
+c AS (SELECT c_custkey AS id, c_custkey * 37 % 1000 + c_custkey % 7 * 0.1373 + 0.29 AS x, c_custkey * 53 % 1000 + 0.53 + c_custkey // 1500 * 1000 AS y FROM customer),
 near AS (SELECT c.id, w.*, greatest(0.0, least(1.0, ((c.x - ax) * (bx - ax) + (c.y - ay) * (by_ - ay)) / 10000.0)) AS share, c.x AS px, c.y AS py FROM c, ways w),
 found AS (SELECT *, sqrt((px - (ax + share * (bx - ax))) * (px - (ax + share * (bx - ax))) + (py - (ay + share * (by_ - ay))) * (py - (ay + share * (by_ - ay)))) AS snap_m FROM near),
 placed AS (SELECT * FROM found WHERE snap_m <= 60 QUALIFY row_number() OVER (PARTITION BY id ORDER BY snap_m, edge_id) = 1)"""
@@ -294,7 +294,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> access.RoadNetwork:
 
 def _buildings(spark: SparkSession, sf_dir: str, name: str = "pand_id") -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where("c_custkey <= 600").select(k.alias(name), (k * 37 % 1000 + k % 7 * 0.1373 + 0.29).alias("x"), (k * 53 % 1000 + 0.53).alias("y"))
+    return table(spark, sf_dir, "customer").select(k.alias(name), (k * 37 % 1000 + k % 7 * 0.1373 + 0.29).alias("x"), (k * 53 % 1000 + 0.53 + F.floor(k / 1500) * 1000).alias("y"))
 
 
 def _fine(c: Column) -> Column:
