@@ -75,13 +75,14 @@ q AS (SELECT *, CASE WHEN cv IS NULL THEN 1.0 WHEN cu IS NULL THEN 0.0 ELSE grea
 lim(band, low, high) AS (VALUES (1, -1.0, 3.0), (2, 3.0, 6.0), (3, 6.0, 9.0)),
 p AS (SELECT edge_id, band, 'u' AS via, CASE WHEN band = 1 THEN 0.0 ELSE greatest(0.0, least(meet, (low - cu) / m)) END AS near, greatest(0.0, least(meet, (high - cu) / m)) AS far FROM q, lim WHERE cu IS NOT NULL
   UNION ALL SELECT edge_id, band, 'v', CASE WHEN band = 1 THEN 0.0 ELSE greatest(0.0, least(1 - meet, (low - cv) / m)) END, greatest(0.0, least(1 - meet, (high - cv) / m)) FROM q, lim WHERE cv IS NOT NULL)
-SELECT edge_id, band, via, CAST(round(100 * CASE WHEN via = 'u' THEN near ELSE 1 - far END * 100000000) AS BIGINT) AS van, CAST(round(100 * CASE WHEN via = 'u' THEN far ELSE 1 - near END * 100000000) AS BIGINT) AS tot FROM p WHERE far - near > 0.000000001""")
+SELECT edge_id, band, via, CAST(round(100 * CASE WHEN via = 'u' THEN near ELSE 1 - far END * 100000000 + 0.25) AS BIGINT) AS van, CAST(round(100 * CASE WHEN via = 'u' THEN far ELSE 1 - near END * 100000000 + 0.25) AS BIGINT) AS tot FROM p WHERE far - near > 0.000000001""")
 def isochrone_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = catalog_core._grid(spark, sf_dir)
     places = catalog_core._buildings(spark, sf_dir, "target").where("target % 40 = 0")
     costs = network.shortest_paths(net.edges, network.seed_costs(access.on_network(places, net, "target", 60.0), F.lit(80.0)), cutoff=9.0)
+    fine = lambda c: F.round(c * 100000000 + 0.25).cast("bigint")  # noqa: E731  halves, which are frequent, aren't on the edge of rounding
     got = isochrones.reached_pieces(net.ways, costs, [3.0, 6.0, 9.0])
-    return got.select("edge_id", "band", "via", catalog_core._fine(F.col("van_m")).alias("van"), catalog_core._fine(F.col("tot_m")).alias("tot"))
+    return got.select("edge_id", "band", "via", fine(F.col("van_m")).alias("van"), fine(F.col("tot_m")).alias("tot"))
 
 
 _CELLS = catalog.SQL["isochrone_cells"]
