@@ -1,4 +1,4 @@
-"""Driver queries of departure profiles, journeys, network isochrones and dissolved areas; each beside its SQL.
+"""Driver queries of departure profiles, journeys, car access, example routes, network isochrones and dissolved areas; each beside its SQL.
 
 Events are rides: each leaves its user's stop at its time of day and takes between five minutes and half an hour. Ways, buildings and
 facilities are those of ``catalog_core``'s street grid.
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry
-from waymark.operators import access, isochrones, network, profiles
+from waymark.operators import access, isochrones, network, profiles, routes
 from waymark.plans import catalog, catalog_core
 from waymark.plans.catalog import query, table
 
@@ -102,3 +102,61 @@ def isochrone_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = isochrones.cell_polygons(catalog.isochrone_cells(spark, sf_dir), size=1000.0)
     around = F.aggregate("polygon", F.lit(0.0), lambda s, ring: s + geometry.length(ring))
     return found.groupBy("band").agg(F.count("*").alias("vlakken"), F.sum("holes").alias("gaten"), F.round(F.sum("area")).cast("bigint").alias("oppervlak"), F.round(F.sum(around)).cast("bigint").alias("omtrek"))
+
+
+def _car(spark: SparkSession, sf_dir: str) -> tuple[access.RoadNetwork, access.RoadNetwork]:
+    walk = catalog_core._grid(spark, sf_dir)
+    return walk, access.RoadNetwork.of("auto", walk.ways.withColumn("minutes", F.col("minutes") / 4), 833.33)
+
+
+#: Facilities stand at every 40th building and parking places at every 25th; cars take a quarter of the time.
+_CAR = f"""{catalog_core._GRID}, {catalog_core._SEEDS}, {catalog_core._COSTS}, shop AS (SELECT id AS target, x, y FROM c WHERE id % 40 = 0),
+byway AS (SELECT id, total_min AS way FROM ({catalog_core._origin('(SELECT * FROM placed WHERE id % 25 = 0)')})),
+line AS (SELECT c.id, min(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y))) / 80.0 AS line FROM c JOIN shop s ON c.id % 25 = 0 AND (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 640000 GROUP BY c.id),
+lot AS (SELECT c.id AS target, round_even(CASE WHEN line IS NOT NULL AND (way IS NULL OR way > 10 OR line < way) THEN line ELSE way END, 2) AS walk_min, line IS NOT NULL AND (way IS NULL OR way > 10 OR line < way) AS straight FROM c LEFT JOIN byway ON byway.id = c.id LEFT JOIN line ON line.id = c.id WHERE c.id % 25 = 0),
+lots AS (SELECT * FROM lot WHERE walk_min <= 10),
+seeds2 AS (SELECT node, min({{'c': cost, 't': target}}) AS k FROM (SELECT u AS node, target, share * minutes / 4 + (snap_m / 833.33 + walk_min) AS cost FROM placed JOIN lots ON target = id WHERE forward UNION ALL SELECT v, target, (1 - share) * minutes / 4 + (snap_m / 833.33 + walk_min) FROM placed JOIN lots ON target = id WHERE backward) GROUP BY node),
+d2(node, cost, target) USING KEY (node) AS (SELECT node, k.c, k.t FROM seeds2
+  UNION SELECT src, k.c, k.t FROM (SELECT e.src, min({{'c': d2.cost + e.w / 4, 't': d2.target}}) AS k FROM d2 JOIN e ON e.dst = d2.node GROUP BY e.src) x
+  LEFT JOIN recurring.d2 r ON r.node = x.src WHERE r.node IS NULL OR k.c < r.cost OR (k.c = r.cost AND k.t < r.target)),
+tried AS (SELECT p.id, p.edge_id, p.snap_m, least(CASE WHEN backward THEN share * minutes / 4 + a.cost END, CASE WHEN forward THEN (1 - share) * minutes / 4 + b.cost END) + snap_m / 833.33 AS t FROM (SELECT * FROM found WHERE snap_m <= 60) p LEFT JOIN d2 a ON a.node = p.u LEFT JOIN d2 b ON b.node = p.v),
+own AS (SELECT p.id, t FROM tried JOIN placed p ON p.id = tried.id AND p.edge_id = tried.edge_id), best AS (SELECT id, min(t) AS t FROM tried GROUP BY id),
+car AS (SELECT c.id, CASE WHEN own.id IS NULL THEN NULL WHEN (own.t IS NULL OR own.t > 5) AND (own.t IS NULL OR best.t < own.t) THEN best.t ELSE own.t END AS t FROM c LEFT JOIN own ON own.id = c.id LEFT JOIN best ON best.id = c.id)"""
+
+
+@query(f"WITH RECURSIVE {_CAR} SELECT target AS parking, CAST(round(walk_min * 100) AS BIGINT) AS honderdsten, CASE WHEN straight THEN 'luchtlijn_fallback' ELSE 'netwerk' END AS walk_source FROM lots")
+def parking_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk, _ = _car(spark, sf_dir)
+    got = access.parking_targets(*_lots_and_shops(spark, sf_dir), walk, 10.0, 60.0)
+    return got.select(F.col("target").alias("parking"), F.round(F.col("walk_min") * 100).cast("bigint").alias("honderdsten"), "walk_source")
+
+
+def _lots_and_shops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return catalog_core._buildings(spark, sf_dir, "parking").where("parking % 25 = 0"), catalog_core._buildings(spark, sf_dir, "target").where("target % 40 = 0")
+
+
+@query(f"WITH RECURSIVE {_CAR} SELECT id AS pand_id, CAST(round(round_even(t, 2) * 100) AS BIGINT) AS honderdsten, t IS NOT NULL AS reachable, coalesce(t <= 5, false) AS within FROM car")
+def car_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk, car = _car(spark, sf_dir)
+    lots, shops = _lots_and_shops(spark, sf_dir)
+    got = access.by_car(catalog_core._buildings(spark, sf_dir), shops, lots, car, walk, 5.0, 10.0, 60.0)
+    return got.select("pand_id", F.round(F.col("total_min") * 100).cast("bigint").alias("honderdsten"), "reachable", "within")
+
+
+@query(f"WITH RECURSIVE {_CAR} SELECT id AS pand_id, CAST(round(t * 1000000) AS BIGINT) AS miljoensten, true AS loopt FROM car WHERE t IS NOT NULL")
+def car_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by car and on foot: the drive's legs and the walk add up to the search's result, and the walk's own legs to its rounded minutes."""
+    walk, car = _car(spark, sf_dir)
+    lots, shops = _lots_and_shops(spark, sf_dir)
+    homes = catalog_core._buildings(spark, sf_dir)
+    sums = routes.car_routes(homes, shops, lots, car, walk, 5.0, 10.0, 60.0).groupBy("id").agg(F.sum(F.when(F.col("modus") == "auto", F.col("minutes"))).alias("drive"), F.sum(F.when(F.col("modus") != "auto", F.col("minutes"))).alias("foot"))
+    found = access.by_car(homes, shops, lots, car, walk, 5.0, 10.0, 60.0).select("pand_id", "walk_min")
+    both = sums.join(found, F.col("id") == F.col("pand_id"))
+    return both.select("pand_id", F.round((F.col("drive") + F.col("walk_min")) * 1000000).cast("bigint").alias("miljoensten"), (F.abs(F.col("foot") - F.col("walk_min")) < 0.00501).alias("loopt"))
+
+
+@query(f"WITH RECURSIVE {catalog_core._GRID}, {catalog_core._SEEDS}, {catalog_core._COSTS}, o AS ({catalog_core._origin('placed')}) SELECT id AS pand_id, CAST(round(total_min * 1000000 + 0.25) AS BIGINT) AS miljoensten, CAST(1 AS BIGINT) AS aanlopen, CAST(1 AS BIGINT) AS uitlopen FROM o WHERE total_min IS NOT NULL")
+def walking_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Example routes on foot: the minutes of all legs, and how many lead to and from the network."""
+    got = routes.direct_routes(catalog_core._buildings(spark, sf_dir), _lots_and_shops(spark, sf_dir)[1], catalog_core._grid(spark, sf_dir), 60.0)
+    return got.groupBy(F.col("id").alias("pand_id")).agg(F.round(F.sum("minutes") * 1000000 + 0.25).cast("bigint").alias("miljoensten"), F.count_if(F.col("kind") == "aanloop").alias("aanlopen"), F.count_if(F.col("kind") == "uitloop").alias("uitlopen"))
