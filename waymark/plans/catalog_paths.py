@@ -155,8 +155,8 @@ def car_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("pand_id", F.round((F.col("drive") + F.col("walk_min")) * 1000000).cast("bigint").alias("miljoensten"), (F.abs(F.col("foot") - F.col("walk_min")) < 0.00501).alias("loopt"))
 
 
-@query(f"WITH RECURSIVE {catalog_core._GRID}, {catalog_core._SEEDS}, {catalog_core._COSTS}, o AS ({catalog_core._origin('placed')}) SELECT id AS pand_id, CAST(round(total_min * 1000000 + 0.25) AS BIGINT) AS miljoensten, CAST(1 AS BIGINT) AS aanlopen, CAST(1 AS BIGINT) AS uitlopen FROM o WHERE total_min IS NOT NULL")
+@query(f"WITH RECURSIVE {catalog_core._GRID}, {catalog_core._SEEDS}, {catalog_core._COSTS}, o AS ({catalog_core._origin('placed')}) SELECT id AS pand_id, CAST(round(total_min * 1000000 + 0.1) AS BIGINT) AS miljoensten, CAST(1 AS BIGINT) AS aanlopen, CAST(1 AS BIGINT) AS uitlopen FROM o WHERE total_min IS NOT NULL")
 def walking_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Example routes on foot: the minutes of all legs, and how many lead to and from the network."""
     got = routes.direct_routes(catalog_core._buildings(spark, sf_dir), _lots_and_shops(spark, sf_dir)[1], catalog_core._grid(spark, sf_dir), 60.0)
-    return got.groupBy(F.col("id").alias("pand_id")).agg(F.round(F.sum("minutes") * 1000000 + 0.25).cast("bigint").alias("miljoensten"), F.count_if(F.col("kind") == "aanloop").alias("aanlopen"), F.count_if(F.col("kind") == "uitloop").alias("uitlopen"))
+    return got.groupBy(F.col("id").alias("pand_id")).agg(F.round(F.sum("minutes") * 1000000 + 0.1).cast("bigint").alias("miljoensten"), F.count_if(F.col("kind") == "aanloop").alias("aanlopen"), F.count_if(F.col("kind") == "uitloop").alias("uitlopen"))
