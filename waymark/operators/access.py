@@ -10,23 +10,38 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators import network
+from waymark.operators import network, regions
 from waymark.operators.relational import first_per_key
 from waymark.operators.spatial import nearest_edges, snap, within_distance
 
 
 @dataclass(frozen=True)
 class RoadNetwork:
-    """A mode's ways (edge_id, u, v, minutes, length_m, forward, backward, line), its edges, and its speed off the network."""
+    """A mode's ways (edge_id, u, v, minutes, length_m, forward, backward, line), its edges, and its speed off the network.
+
+    With ``regions`` (node, region) searches go region by region, else by rounds over all nodes.
+    """
 
     name: str
     ways: DataFrame
     edges: DataFrame
     snap_speed: float
+    regions: DataFrame | None = None
 
     @staticmethod
-    def of(name: str, ways: DataFrame, snap_speed: float) -> RoadNetwork:
-        return RoadNetwork(name, ways, network.directed_edges(ways), snap_speed)
+    def of(name: str, ways: DataFrame, snap_speed: float, region_m: float | None = None) -> RoadNetwork:
+        """A network of ways; ``region_m`` cuts it into squares of so many metres, by the ends of the ways' lines."""
+        if region_m is None:
+            return RoadNetwork(name, ways, network.directed_edges(ways), snap_speed)
+        end = lambda node, at: F.struct(F.col(node).alias("node"), at["x"].alias("x"), at["y"].alias("y"))
+        nodes = ways.select(F.explode(F.array(end("u", F.element_at("line", 1)), end("v", F.element_at("line", -1)))).alias("_n")).select("_n.*")
+        return RoadNetwork(name, ways, network.directed_edges(ways), snap_speed, regions.node_regions(nodes, region_m))
+
+    def search(self, seeds: DataFrame, cutoff: float | None = None) -> DataFrame:
+        """Least costs from every node to its nearest seed, as ``network.shortest_paths`` has them."""
+        if self.regions is None:
+            return network.shortest_paths(self.edges, seeds, cutoff=cutoff)
+        return regions.regional_paths(self.edges, seeds, self.regions, cutoff=cutoff)
 
 
 def on_network(points: DataFrame, net: RoadNetwork, id_col: str, radius: float = 250.0) -> DataFrame:
@@ -48,7 +63,7 @@ def direct(buildings: DataFrame, facilities: DataFrame, net: RoadNetwork, mode:
     """
     speed = F.lit(net.snap_speed)
     seeds = network.seed_costs(on_network(facilities, net, "target", radius), speed, F.col(extra) if extra else None)
-    costs = network.shortest_paths(net.edges, seeds)
+    costs = net.search(seeds)
     placed = on_network(buildings, net, "pand_id", radius)
     first = network.origin_costs(placed, costs, speed)
     candidates = nearest_edges(buildings, net.ways, radius)
@@ -65,7 +80,7 @@ def parking_targets(parking: DataFrame, facilities: DataFrame, walk: RoadNetwork
     """
     speed = F.lit(walk.snap_speed)
     seeds = network.seed_costs(on_network(facilities, walk, "target", radius), speed)
-    costs = network.shortest_paths(walk.edges, seeds, cutoff=most_min)
+    costs = walk.search(seeds, most_min)
     placed = on_network(parking.select(F.col("parking").alias("pand_id"), "x", "y"), walk, "pand_id", radius)
     by_way = network.origin_costs(placed, costs, speed).select(F.col("pand_id").alias("parking"), F.col("total_min").alias("way_min"), F.col("target").alias("way_target"))
     other = facilities.select(F.col("target").alias("line_target"), F.col("x").alias("rx"), F.col("y").alias("ry"))
@@ -123,7 +138,7 @@ def transit_or_direct(transit: DataFrame, straight: DataFrame, direct_norm: floa
 def stop_egress(stops: DataFrame, facilities: DataFrame, walk: RoadNetwork, key: int = 0, radius: float = 250.0) -> DataFrame:
     """Minutes on foot from stops to the nearest facility: (key, node, minutes, target), for the departure profiles."""
     speed = F.lit(walk.snap_speed)
-    costs = network.shortest_paths(walk.edges, network.seed_costs(on_network(facilities, walk, "target", radius), speed))
+    costs = walk.search(network.seed_costs(on_network(facilities, walk, "target", radius), speed))
     placed = on_network(stops.select(F.col("node").alias("pand_id"), "x", "y"), walk, "pand_id", radius)
     found = network.origin_costs(placed, costs, speed).where("total_min is not null")
     return found.select(F.lit(key).cast("bigint").alias("key"), F.col("pand_id").alias("node"), F.col("total_min").alias("minutes"), "target")

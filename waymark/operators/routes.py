@@ -34,7 +34,7 @@ def _ends(placed: DataFrame) -> Column:
 def legs(origins: DataFrame, tree: DataFrame, net: RoadNetwork, targets: DataFrame, extra: str | None = None) -> DataFrame:
     """The legs of routes: (id, leg, modus, kind, edge_id, from_node, to_node, minutes).
 
-    ``origins`` (id, edge_id, u, v, minutes, length_m, position_m, snap_m, node, target) come from ``origin_costs``, ``tree`` from the ``shortest_paths`` of ``net`` and ``targets`` from
+    ``origins`` (id, edge_id, u, v, minutes, length_m, position_m, snap_m, node, target) come from ``origin_costs``, ``tree`` from a ``search`` of ``net`` and ``targets`` from
     ``on_network`` (with the ``extra`` minutes that the search had behind the target). Kinds are aanloop, deel (a part of a way), weg and
     uitloop; extra minutes aren't a leg. Origins without a way have none.
     """
@@ -64,7 +64,7 @@ def direct_routes(buildings: DataFrame, facilities: DataFrame, net: RoadNetwork,
     """The legs behind ``access.direct``: each building's way to its nearest facility; with ``norm`` after the second try of slow ones."""
     speed = F.lit(net.snap_speed)
     targets = checkpointed(on_network(facilities, net, "target", radius))
-    tree = checkpointed(network.shortest_paths(net.edges, network.seed_costs(targets, speed)))
+    tree = checkpointed(net.search(network.seed_costs(targets, speed)))
     return legs(_origins(buildings, net, tree, radius, norm), tree, net, targets)
 
 
@@ -86,7 +86,7 @@ def car_routes(buildings: DataFrame, facilities: DataFrame, parking: DataFrame,
     c = F.col
     places = checkpointed(parking_targets(parking, facilities, walk, most_walk_min, radius))
     placed = checkpointed(on_network(places, car, "target", radius))
-    tree = checkpointed(network.shortest_paths(car.edges, network.seed_costs(placed, F.lit(car.snap_speed), c("walk_min"))))
+    tree = checkpointed(car.search(network.seed_costs(placed, F.lit(car.snap_speed), c("walk_min"))))
     starts = checkpointed(_origins(buildings, car, tree, radius, norm))
     drive = legs(starts, tree, car, placed, "walk_min")
     parked = starts.where("target is not null").select("id", c("target").alias("_place")).join(places.select(c("target").alias("_p"), "x", "y", "facility", "walk_min", "walk_source"), c("_place") == c("_p"))

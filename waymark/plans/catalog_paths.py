@@ -1,4 +1,4 @@
-"""Driver queries of departure profiles, journeys, car access, example routes, network isochrones and dissolved areas; each beside its SQL.
+"""Driver queries of departure profiles, journeys, searches by regions, car access, example routes, network isochrones and dissolved areas; each beside its SQL.
 
 Events are rides: each leaves its user's stop at its time of day and takes between five minutes and half an hour. Ways, buildings and
 facilities are those of ``catalog_core``'s street grid.
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry
-from waymark.operators import access, isochrones, network, profiles, routes
+from waymark.operators import access, isochrones, network, profiles, regions, routes
 from waymark.plans import catalog, catalog_core
 from waymark.plans.catalog import query, table
 
@@ -160,3 +160,19 @@ def walking_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Example routes on foot: the minutes of all legs, and how many lead to and from the network."""
     got = routes.direct_routes(catalog_core._buildings(spark, sf_dir), _lots_and_shops(spark, sf_dir)[1], catalog_core._grid(spark, sf_dir), 60.0)
     return got.groupBy(F.col("id").alias("pand_id")).agg(F.round(F.sum("minutes") * 1000000 + 0.1).cast("bigint").alias("miljoensten"), F.count_if(F.col("kind") == "aanloop").alias("aanlopen"), F.count_if(F.col("kind") == "uitloop").alias("uitlopen"))
+
+
+@query(catalog.SQL["sssp_multi_source"])
+def regional_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multi-source search, with the suppliers of a nation as a region."""
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").cast("bigint").alias("region"))
+    return regions.regional_paths(catalog._graph(spark, sf_dir), catalog._seeds(spark, sf_dir), nations).select("node", "cost", "target")
+
+
+@query(catalog.SQL["direct_access"])
+def regional_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walking times on the street grid, cut into squares of 400 m."""
+    net = access.RoadNetwork.of("lopen", catalog_core._grid(spark, sf_dir).ways, 80.0, 400.0)
+    places = catalog_core._buildings(spark, sf_dir, "target").where("target % 40 = 0")
+    got = access.direct(catalog_core._buildings(spark, sf_dir), places, net, "lopen", 4.0, radius=60.0)
+    return got.select("pand_id", F.round(F.col("total_min") * 100).cast("bigint").alias("honderdsten"), "reachable", "within", "modus")
