@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry
-from waymark.operators import access, isochrones, network, profiles, regions, routes
+from waymark.operators import access, isochrones, network, profiles, regions, routes, streets
 from waymark.plans import catalog, catalog_core
 from waymark.plans.catalog import query, table
 
@@ -176,3 +176,38 @@ def regional_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = catalog_core._buildings(spark, sf_dir, "target").where("target % 40 = 0")
     got = access.direct(catalog_core._buildings(spark, sf_dir), places, net, "lopen", 4.0, radius=60.0)
     return got.select("pand_id", F.round(F.col("total_min") * 100).cast("bigint").alias("honderdsten"), "reachable", "within", "modus")
+
+
+def _street_elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers are crossings: ways of ten of them in a row, every fifth one way, with byways between rows; parts lie on rings of four, every other one way."""
+    k, p, far = F.col("c_custkey"), F.col("p_partkey"), 1_000_000_000
+    customer, part = table(spark, sf_dir, "customer").select(k), table(spark, sf_dir, "part").select(p)
+    at = lambda c, base: (c.alias("node"), (base + c % 100 * 0.001).alias("x"), (53 + F.floor(c / 100) * 0.001).alias("y"))
+    nodes = customer.select(*at(k, 5.0)).unionByName(part.select((p + far).alias("node"), *at(p, 6.0)[1:]))
+    tags = lambda name, one: F.create_map(F.lit("highway"), F.lit(name), F.lit("oneway"), F.when(one, "yes").otherwise("no")).alias("tags")
+    row = F.floor(k / 10)
+    rows = customer.select(row.alias("way_id")).distinct().select("way_id", F.sequence(F.col("way_id") * 10, F.col("way_id") * 10 + 10).alias("nodes"), tags("residential", F.col("way_id") % 5 == 0))
+    byways = customer.where(k % 35 == 0).select((far + k).alias("way_id"), F.array(k, k + 77).alias("nodes"), tags("path", F.lit(False)))
+    q = F.col("_q")
+    rings = part.select(F.floor(p / 4).alias("_q")).groupBy("_q").agg(F.count("*").alias("_n")).where("_n = 4").select((2 * far + q).alias("way_id"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3), F.lit(0)), lambda i: far + q * 4 + i).alias("nodes"), tags("cycleway", q % 2 == 0))
+    return nodes, rows.unionByName(byways).unionByName(rings)
+
+
+@query("""WITH RECURSIVE raw AS (SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_custkey // 10 AS way, a.c_custkey // 10 % 5 = 0 AS one FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1
+  UNION ALL SELECT a.c_custkey, b.c_custkey, 1000000000 + a.c_custkey, false FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 77 WHERE a.c_custkey % 35 = 0
+  UNION ALL SELECT 1000000000 + p_partkey, 1000000000 + CASE WHEN p_partkey % 4 = 3 THEN p_partkey - 3 ELSE p_partkey + 1 END, 2000000000 + p_partkey // 4, p_partkey // 4 % 2 = 0 FROM (SELECT p_partkey FROM part QUALIFY count(*) OVER (PARTITION BY p_partkey // 4) = 4)),
+place AS (SELECT c_custkey AS n, 5.0 + c_custkey % 100 * 0.001 AS x, 53 + c_custkey // 100 * 0.001 AS y FROM customer UNION ALL SELECT 1000000000 + p_partkey, 6.0 + p_partkey % 100 * 0.001, 53 + p_partkey // 100 * 0.001 FROM part),
+s AS MATERIALIZED (SELECT d.*, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(CAST(q.y - p.y AS DOUBLE)) / 2), 2) + cos(radians(CAST(p.y AS DOUBLE))) * cos(radians(CAST(q.y AS DOUBLE))) * pow(sin(radians(CAST(q.x - p.x AS DOUBLE)) / 2), 2))) AS m
+  FROM (SELECT a AS src, b AS dst, way FROM raw UNION SELECT b, a, way FROM raw WHERE NOT one) d JOIN place p ON p.n = d.src JOIN place q ON q.n = d.dst),
+met AS (SELECT n, count(DISTINCT o) AS near, sum(out) AS outs, count(*) AS every FROM (SELECT src AS n, dst AS o, 1 AS out FROM s UNION ALL SELECT dst, src, 0 FROM s) GROUP BY n),
+between_ AS MATERIALIZED (SELECT n FROM met WHERE near = 2 AND (every = 4 OR every = 2 AND outs = 1) AND NOT (n >= 1000000000 AND n % 4 = 0)),
+walk(u, second, src, dst, m, n) AS (SELECT src, dst, src, dst, m, 1 FROM s WHERE src NOT IN (SELECT n FROM between_)
+  UNION ALL SELECT w.u, w.second, s.src, s.dst, w.m + s.m, w.n + 1 FROM walk w JOIN between_ b ON b.n = w.dst JOIN s ON s.src = w.dst AND s.dst <> w.src),
+done AS (SELECT u, second, src AS last, dst AS v, m, n FROM walk WHERE dst NOT IN (SELECT n FROM between_)),
+k AS (SELECT *, (u, second, last, v) <= (v, last, second, u) AS own FROM done)
+SELECT CASE WHEN own THEN u ELSE v END AS u, CASE WHEN own THEN second ELSE last END AS tweede, CASE WHEN own THEN v ELSE u END AS v, CAST(max(n) AS BIGINT) AS delen, CAST(round(max(m) * 100 + 0.23) AS BIGINT) AS centimeters, bool_or(own) AS forward, bool_or(NOT own) AS backward FROM k GROUP BY ALL""")
+def street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways open to cyclists, contracted to edges between junctions; rings without a junction start at their least node."""
+    nodes, ways = _street_elements(spark, sf_dir)
+    got = streets.contracted(streets.street_segments(streets.of_kind(ways, "bike"), nodes))
+    return got.select("u", F.col("nodes")[1].alias("tweede"), "v", (F.size("nodes") - 1).cast("bigint").alias("delen"), F.round(F.col("length_m") * 100 + 0.23).cast("bigint").alias("centimeters"), "forward", "backward")
