@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry
-from waymark.operators import access, isochrones, network, profiles, regions, routes, streets
+from waymark.operators import access, isochrones, network, profiles, regions, routes, streets, validity
 from waymark.plans import catalog, catalog_core
 from waymark.plans.catalog import query, table
 
@@ -211,3 +211,35 @@ def street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, ways = _street_elements(spark, sf_dir)
     got = streets.contracted(streets.street_segments(streets.of_kind(ways, "bike"), nodes))
     return got.select("u", F.col("nodes")[1].alias("tweede"), "v", (F.size("nodes") - 1).cast("bigint").alias("delen"), F.round(F.col("length_m") * 100 + 0.23).cast("bigint").alias("centimeters"), "forward", "backward")
+
+
+@query("""WITH line AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 50, (l_suppkey * 7 + l_linenumber * 13) % 50) AS k, CAST(l_partkey % 50 AS BIGINT) AS x, CAST((l_suppkey * 7 + l_linenumber * 13) % 50 AS BIGINT) AS y FROM lineitem),
+raw AS (SELECT o, 0 AS ring, k, x, y FROM line UNION ALL SELECT o, 0, 1000000, x, y FROM line WHERE k = 1 AND o % 11 <> 0
+  UNION ALL SELECT o, 1, i.k, o % 50 + i.dx * (1 + o % 3), o * 3 % 50 + i.dy * (1 + o % 3) FROM (SELECT DISTINCT o FROM line WHERE o % 3 = 0), (VALUES (1, 0, 0), (2, 1, 0), (3, 0, 1), (4, 0, 0)) i(k, dx, dy)),
+p AS MATERIALIZED (SELECT o, ring, x, y, row_number() OVER w AS k, count(*) OVER (PARTITION BY o, ring) AS n FROM (SELECT * FROM raw WINDOW w AS (PARTITION BY o, ring ORDER BY k) QUALIFY NOT coalesce(lag(x) OVER w = x AND lag(y) OVER w = y, false)) WINDOW w AS (PARTITION BY o, ring ORDER BY k)),
+s AS MATERIALIZED (SELECT * FROM (SELECT o, ring, k, n, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM p WINDOW w AS (PARTITION BY o, ring ORDER BY k)) WHERE bx IS NOT NULL),
+j AS (SELECT s.o, s.ring AS r1, t.ring AS r2, s.k AS k1, t.k AS k2, s.n, s.ax, s.ay, s.bx, s.by_, t.ax AS cx, t.ay AS cy, t.bx AS dx, t.by_ AS dy,
+  sign((s.bx - s.ax) * (t.ay - s.ay) - (s.by_ - s.ay) * (t.ax - s.ax)) AS abc, sign((s.bx - s.ax) * (t.by_ - s.ay) - (s.by_ - s.ay) * (t.bx - s.ax)) AS abd,
+  sign((t.bx - t.ax) * (s.ay - t.ay) - (t.by_ - t.ay) * (s.ax - t.ax)) AS cda, sign((t.bx - t.ax) * (s.by_ - t.ay) - (t.by_ - t.ay) * (s.bx - t.ax)) AS cdb
+  FROM s JOIN s t ON t.o = s.o AND (s.ring < t.ring OR s.ring = t.ring AND s.k < t.k)),
+b AS (SELECT *, least(greatest(ax, bx), greatest(cx, dx)) - greatest(least(ax, bx), least(cx, dx)) AS wx, least(greatest(ay, by_), greatest(cy, dy)) - greatest(least(ay, by_), least(cy, dy)) AS wy,
+  k1 = 1 AND k2 = n - 1 AND ax = dx AND ay = dy AS closing, k2 = k1 + 1 AS next,
+  abd = 0 AND (ax - bx) * (dx - bx) + (ay - by_) * (dy - by_) > 0 AS back, abc = 0 AND (bx - ax) * (cx - ax) + (by_ - ay) * (cy - ay) > 0 AS turned FROM j),
+f AS (SELECT o, r2 AS ring, CASE WHEN r1 < r2 THEN CASE WHEN abc * abd < 0 AND cda * cdb < 0 OR abc = 0 AND abd = 0 AND wx >= 0 AND wy >= 0 AND greatest(wx, wy) > 0 THEN 'ringen_kruisen' END
+  WHEN CASE WHEN next THEN back OR closing AND turned WHEN closing THEN turned ELSE wx >= 0 AND wy >= 0 AND abc * abd <= 0 AND cda * cdb <= 0 END THEN 'zelfdoorsnijding' END AS fault FROM b),
+h AS (SELECT p.o, p.x, p.y, count(*) FILTER ((s.ay > p.y) <> (s.by_ > p.y) AND p.x < (s.bx - s.ax) * CAST(p.y - s.ay AS DOUBLE) / (s.by_ - s.ay) + s.ax) AS crossed,
+  count(*) FILTER ((s.bx - s.ax) * (p.y - s.ay) = (s.by_ - s.ay) * (p.x - s.ax) AND p.x BETWEEN least(s.ax, s.bx) AND greatest(s.ax, s.bx) AND p.y BETWEEN least(s.ay, s.by_) AND greatest(s.ay, s.by_)) AS touched
+  FROM (SELECT DISTINCT o, x, y FROM p WHERE ring = 1) p JOIN s ON s.o = p.o AND s.ring = 0 GROUP BY ALL)
+SELECT o AS id, CAST(ring AS BIGINT) AS ring, fault FROM (SELECT DISTINCT * FROM f WHERE fault IS NOT NULL UNION ALL SELECT DISTINCT o, 1, 'gat_buiten' FROM h WHERE crossed % 2 = 0 AND touched = 0 UNION ALL SELECT DISTINCT o, ring, 'te_kort' FROM p WHERE n < 4
+  UNION ALL SELECT o, ring, 'open' FROM p WHERE n > 1 GROUP BY o, ring HAVING arg_min(x, k) <> arg_max(x, k) OR arg_min(y, k) <> arg_max(y, k))""")
+def polygon_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines are the points of a ring, left open in every 11th order; every third order has a triangle as its hole."""
+    o = F.col("l_orderkey")
+    at = geometry.point(F.col("l_partkey") % 50, (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13) % 50)
+    rings = table(spark, sf_dir, "lineitem").groupBy(o).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), at.alias("p")))).alias("_l"))
+    shell = F.transform("_l", lambda v: v["p"])
+    shell = F.when(o % 11 == 0, shell).otherwise(F.concat(shell, F.slice(shell, 1, 1)))
+    corner = lambda dx, dy: geometry.point(o % 50 + dx * (1 + o % 3), o * 3 % 50 + dy * (1 + o % 3))
+    hole = F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(0, 0))
+    polygons = rings.select(o.alias("id"), F.when(o % 3 == 0, F.array(shell, hole)).otherwise(F.array(shell)).alias("polygon"))
+    return validity.ring_faults(polygons, "id").select("id", F.col("ring").cast("bigint").alias("ring"), "fault")
