@@ -1,7 +1,8 @@
-"""Writers: Parquet tables, GeoJSON and XML text, CSV per sheet, and legends. Nothing half-written becomes visible."""
+"""Writers: Parquet tables, GeoJSON and XML as text rows or one document, CSV per sheet, and legends. Nothing half-written becomes visible."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from xml.sax.saxutils import escape
@@ -41,14 +42,67 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
+def document(df: DataFrame, value: Column, path: str, order: Sequence[Column], head: str, foot: str, between: str = "") -> None:
+    """One text file of a head, a text ``value`` per row in an explicit order, with ``between`` in front of all but the first, and a foot.
+
+    Tasks write parts; the commit streams them, a megabyte at a time, into one file beside ``path``, which then takes its place in one step. If
+    anything fails before that, the old file stays, and what was written beside it goes.
+    """
+    from waymark.operators.relational import dense_numbers
+
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    parts, fs = _fs(spark, staged)
+    one, target = _fs(spark, f"{staged}.one")[0], _fs(spark, path)[0]
+    hadoop = spark._jvm.org.apache.hadoop
+    try:
+        numbered = dense_numbers(df, order, "_number")
+        numbered.select(F.when(F.col("_number") == 1, value).otherwise(F.concat(F.lit(between), value)).alias("value")).write.text(staged)
+        out = fs.create(one)
+        try:
+            out.write(bytearray(head.encode()))
+            for name in sorted(f.getPath().getName() for f in fs.listStatus(parts)):
+                if name.startswith("part-"):
+                    part = fs.open(hadoop.fs.Path(parts, name))
+                    try:
+                        hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                    finally:
+                        part.close()
+            out.write(bytearray(foot.encode()))
+        finally:
+            out.close()
+        kind = getattr(hadoop.fs, "Options$Rename")
+        options = spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(one), fs.makeQualified(target), options)
+    finally:
+        fs.delete(parts, True)
+        fs.delete(one, False)
+
+
+def geojson_document(df: DataFrame, path: str, geometry: Column, order: Sequence[Column], properties: Sequence[str] | None = None, members: dict | None = None) -> None:
+    """One GeoJSON document of all features; ``members`` stand in front of them, as a name or a reference system does."""
+    start = json.dumps({"type": "FeatureCollection", **(members or {})}, ensure_ascii=False)[:-1]
+    document(df, _feature(geometry, properties if properties is not None else df.columns), path, order, f'{start}, "features": [\n', "]}\n", ",")
+
+
+def xml_document(df: DataFrame, path: str, root: str, name: str, order: Sequence[Column]) -> None:
+    """One XML document: a ``root`` element with an element per row."""
+    document(df, _record(name, df.columns), path, order, f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}>\n', f"</{root}>\n")
+
+
 def csv(df: DataFrame, path: str) -> None:
     replace(df, path, "csv", header=True)
 
 
+def _feature(geometry: Column, properties: Sequence[str]) -> Column:
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")))
+
+
 def geojson_features(df: DataFrame, geometry: Column, properties: Sequence[str] | None = None) -> DataFrame:
     """A row of GeoJSON text per feature (``value``): newline-delimited, so that a table of any size can be written in parts."""
-    names = properties if properties is not None else df.columns
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*names).alias("properties"), geometry.alias("geometry"))).alias("value"))
+    return df.select(_feature(geometry, properties if properties is not None else df.columns).alias("value"))
 
 
 def point_geometry(x: Column, y: Column) -> Column:
@@ -71,13 +125,17 @@ def unique_feature_ids(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return dense_numbers(named, order, "id")
 
 
-def xml_rows(df: DataFrame, name: str) -> DataFrame:
-    """A row of XML text per record (``value``), elements in column order, nulls left out."""
+def _record(name: str, columns: Sequence[str]) -> Column:
     def element(c: str) -> Column:
         safe = F.replace(F.replace(F.replace(F.col(f"`{c}`").cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
         return F.coalesce(F.concat(F.lit(f"<{c}>"), safe, F.lit(f"</{c}>")), F.lit(""))
 
-    return df.select(F.concat(F.lit(f"<{name}>"), *[element(c) for c in df.columns], F.lit(f"</{name}>")).alias("value"))
+    return F.concat(F.lit(f"<{name}>"), *[element(c) for c in columns], F.lit(f"</{name}>"))
+
+
+def xml_rows(df: DataFrame, name: str) -> DataFrame:
+    """A row of XML text per record (``value``), elements in column order, nulls left out."""
+    return df.select(_record(name, df.columns).alias("value"))
 
 
 #: Fixed value: the longest name of a sheet.
