@@ -93,10 +93,7 @@ def test_elements(spark, tmp_path):
     assert [(r.element_id, r.lon, r.tags["name"]) for r in got] == [(1, 5.0, "a"), (2, 6.0, "b")]
 
 
-def test_pages_and_endpoints():
-    data = list(range(7))
-    assert list(files.pages(lambda o, n: data[o : o + n], 3)) == data
-
+def test_endpoints():
     def ask(url):
         if url == "bad":
             raise OSError("down")

@@ -168,6 +168,57 @@ BUILDING_FIELDS = {
 }
 
 
+#: The same for towns, streets, addresses and units.
+TOWN_FIELDS = {"woonplaats_id": "identificatie", "woonplaats_naam": "naam"}
+STREET_FIELDS = {"openbare_ruimte_id": "identificatie", "openbare_ruimte_naam": "naam", "openbare_ruimte_type": "type", "woonplaats_id": "WoonplaatsRef"}
+ADDRESS_FIELDS = {
+    "nummeraanduiding_id": "identificatie",
+    "openbare_ruimte_id": "OpenbareRuimteRef",
+    "huisnummer": "huisnummer",
+    "huisletter": "huisletter",
+    "huisnummertoevoeging": "huisnummertoevoeging",
+    "postcode": "postcode",
+    "nummeraanduiding_status": "status",
+}
+UNIT_FIELDS = {
+    "pand_refs": "PandRef",
+    "verblijfsobject_id": "identificatie",
+    "nummeraanduiding_id": "NummeraanduidingRef",
+    "gebruiksdoelen": "gebruiksdoel",
+    "oppervlakte": "oppervlakte",
+    "verblijfsobject_status": "status",
+    "vbo_voorkomen_id": "voorkomenidentificatie",
+    "vbo_begin_geldigheid": "beginGeldigheid",
+    "vbo_eind_geldigheid": "eindGeldigheid",
+    "vbo_tijdstip_registratie": "tijdstipRegistratie",
+    "vbo_eind_registratie": "eindRegistratie",
+    "positie": "pos",
+}
+
+
+def register_tables(spark: SparkSession, folder: str, most: int | None = None) -> dict[str, DataFrame]:
+    """Towns, streets, addresses, units (a row per building) and buildings of a folder of register archives, told by their names."""
+    def rows(kind: str, name: str, fields: dict[str, str], lists: Sequence[str] = ()) -> DataFrame:
+        return register_objects(spark, f"{folder.rstrip('/')}/9999{kind}*.zip", name, fields, lists, most)
+
+    towns = rows("WPL", "Woonplaats", TOWN_FIELDS).withColumn("woonplaats_id", text.padded(F.coalesce("woonplaats_id", F.lit("")), 4))
+    units = units_per_building(rows("VBO", "Verblijfsobject", UNIT_FIELDS, ["pand_refs", "gebruiksdoelen"]))
+    return {
+        "woonplaatsen": towns,
+        "openbare_ruimtes": rows("OPR", "OpenbareRuimte", STREET_FIELDS),
+        "nummeraanduidingen": rows("NUM", "Nummeraanduiding", ADDRESS_FIELDS),
+        "verblijfsobjecten": units,
+        "panden": building_rows(spark, f"{folder.rstrip('/')}/9999PND*.zip", most),
+    }
+
+
+def register_of(spark: SparkSession, folder: str, relations: DataFrame, municipalities: Sequence[str], years: Sequence[int], most: int | None = None) -> dict[str, DataFrame]:
+    """The register's tables for the towns of some municipalities, and ``koppeltabel``, their units with address, street and town."""
+    t = register_tables(spark, folder, most)
+    kept = selection(towns_of(relations, municipalities, years), t["woonplaatsen"], t["openbare_ruimtes"], t["nummeraanduidingen"], t["verblijfsobjecten"], t["panden"])
+    return kept | {"koppeltabel": link_table(kept["verblijfsobjecten"], kept["nummeraanduidingen"], kept["openbare_ruimtes"], kept["woonplaatsen"])}
+
+
 def building_rows(spark: SparkSession, paths: str | Sequence[str], most: int | None = None) -> DataFrame:
     """Buildings of the register's archives: the archive and the file that each comes from, and ``BUILDING_FIELDS``."""
     return register_objects(spark, paths, "Pand", BUILDING_FIELDS, most=most, origin=("zip_bestand", "xml_bestand"))

@@ -1,24 +1,24 @@
-"""Tables in files: discovery by name, text tables with pruned columns, GeoJSON, timetables, address registers.
+"""Tables in files and services: discovery by name, text tables with pruned columns, GeoJSON, timetables, address registers, paged answers.
 
-Readers go through Spark's file sources wherever the format allows, so paths may lie in any store and reads split. Zipped XML
-and GeoPackage files are opened whole, one per task.
+Readers go through Spark's file sources wherever the format allows, so paths may lie in any store and reads split. Zipped XML is read
+by member, GeoPackage layers by row range, services by page.
 """
 
 from __future__ import annotations
 
-import io
+import json
 import re
-import struct
-import zipfile
-from collections.abc import Iterator, Sequence
+import warnings
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import text
 from waymark.operators.relational import available, first_per_key
-from waymark.session import ship_package
+from waymark.session import ship_package, written
+from waymark.sources import datasources
 
 #: Columns kept of each timetable file, and the files that must be there.
 GTFS_COLUMNS = {
@@ -44,6 +44,22 @@ def listing(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(path) if re.search(pattern, s.getPath().getName()))
 
 
+def matches(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Files that paths, patterns or folders stand for; a path without any is an error."""
+    jvm = spark._jvm
+    out = []
+    for given in [paths] if isinstance(paths, str) else paths:
+        path = jvm.org.apache.hadoop.fs.Path(given)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = []
+        for found in fs.globStatus(path) or []:
+            files += [s for s in (fs.listStatus(found.getPath()) if found.isDirectory() else [found]) if s.isFile() and not s.getPath().getName().startswith((".", "_"))]
+        if not files:
+            raise FileNotFoundError(given)
+        out += sorted(s.getPath().toString() for s in files)
+    return out
+
+
 def newest(spark: SparkSession, folder: str, pattern: str, year: int | None = None) -> str:
     """The file whose name has the requested year, else the largest one, as the pattern's first group."""
     found = {int(re.search(pattern, p.rsplit("/", 1)[-1])[1]): p for p in listing(spark, folder, pattern)}
@@ -100,8 +116,16 @@ GEOMETRY = "struct<type:string,coordinates:string>"
 
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features with declared properties (DDL), ``kind`` (point, line, polygon), ``x``, ``y``, ``line`` and ``polygon``; multi-geometries a row per part."""
-    doc = json_document(spark, path, f"features array<struct<properties:struct<{properties}>,geometry:{GEOMETRY}>>")
-    f = doc.select(F.explode("features").alias("f")).where("f.geometry is not null")
+    doc = json_document(spark, path, f"features array<struct<{_feature_type(properties)}>>")
+    return _parts(doc.select(F.explode("features").alias("f")))
+
+
+def _feature_type(properties: str) -> str:
+    return f"properties:struct<{properties}>,geometry:{GEOMETRY}"
+
+
+def _parts(features: DataFrame) -> DataFrame:
+    f = features.where("f.geometry is not null")
     p = "array<double>"
     kind = F.col("f.geometry.type")
     raw = F.col("f.geometry.coordinates")
@@ -129,159 +153,73 @@ def is_metric(df: DataFrame, x: str = "x") -> bool:
     return bool(df.where(F.abs(F.col(x)) > 1000).head(1))
 
 
-def register_objects(spark: SparkSession, paths: str | Sequence[str], name: str, fields: dict[str, str], lists: Sequence[str] = (), most: int | None = None, origin: tuple[str, str] | None = None) -> DataFrame:
-    """Objects ``name`` from XML files in zip archives: a row per object, a column per field.
-
-    ``fields`` maps columns to local element names, found at any depth and in any namespace: the first with text;
-    those in ``lists`` collect all texts. Archives go one to a task and are parsed as a stream. ``most`` caps the files per archive;
-    ``origin`` names two more columns, for the archive and the file in it.
-    """
+def _loaded(spark: SparkSession, source, plan: dict, schema: str = "value string") -> DataFrame:
     ship_package(spark)
-    names = [*(origin or ()), *fields]
-    schema = ", ".join(f"{c} array<string>" if c in lists else f"{c} string" for c in names)
-    binary = spark.read.format("binaryFile").load(paths).select("path", "content")
-    many = frozenset(lists)
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).options(plan=json.dumps(plan), schema=schema).load()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                for member, found in objects_in(bytes(content), name, most):
-                    where = [path.rsplit("/", 1)[-1], member or path.rsplit("/", 1)[-1]] if origin else []
-                    rows.append(where + [[t for t in texts_in(found, tag)] if c in many else next(texts_in(found, tag), None) for c, tag in fields.items()])
-                    if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
 
-    return binary.mapInPandas(run, schema)
-
-
-def local_name(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
-def texts_in(element, name: str) -> Iterator[str]:
-    """Non-empty texts of the descendants with a local name, in document order."""
-    for e in element.iter():
-        if local_name(e.tag) == name and e.text and e.text.strip():
-            yield e.text.strip()
-
-
-def objects_in(archive: bytes, name: str, most: int | None = None) -> Iterator[tuple[str, object]]:
-    """Elements with a local name, and the member they stand in, from all XML members of an archive (or from an XML file itself, as member '').
+def register_objects(spark: SparkSession, paths: str | Sequence[str], name: str, fields: dict[str, str], lists: Sequence[str] = (), most: int | None = None, origin: tuple[str, str] | None = None, bundle: int = datasources.BUNDLE_BYTES) -> DataFrame:
+    """Objects ``name`` from XML files in zip archives: a row per object, a column per field.
 
-    What has been read is let go, so memory holds one object at a time.
+    ``fields`` maps columns to local element names, found at any depth and in any namespace: the first with text;
+    those in ``lists`` collect all texts. Paths may be patterns or folders. A task streams the members of one archive that ``bundle`` compressed
+    bytes hold, or a larger one. ``most`` caps the files per archive; ``origin`` names two more columns, for the archive and the file in it.
     """
-    from xml.etree import ElementTree
-
-    def elements(member: str, stream) -> Iterator:
-        above = []
-        for event, e in ElementTree.iterparse(stream, events=("start", "end")):
-            if event == "start":
-                above.append(e)
-                continue
-            above.pop()
-            if local_name(e.tag) == name:
-                yield member, e
-                e.clear()
-                if above:
-                    above[-1].remove(e)
-
-    if not zipfile.is_zipfile(io.BytesIO(archive)):
-        yield from elements("", io.BytesIO(archive))
-        return
-    with zipfile.ZipFile(io.BytesIO(archive)) as z:
-        for member in [m for m in sorted(z.namelist()) if m.lower().endswith(".xml")][:most]:
-            with z.open(member) as stream:
-                yield from elements(member, stream)
+    schema = ", ".join(f"`{c}` array<string>" if c in lists else f"`{c}` string" for c in [*(origin or ()), *fields])
+    plan = {"paths": matches(spark, paths), "name": name, "fields": fields, "lists": list(lists), "most": most, "origin": bool(origin), "bundle": bundle}
+    return _loaded(spark, datasources.RegisterObjects, plan, schema)
 
 
 def first_object(objects: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return first_per_key(objects.where(text.blank_to_null(F.col(key)).isNotNull()), [key], order)
 
 
-def geopackage(spark: SparkSession, path: str, columns: dict[str, str], layer: str | None = None) -> DataFrame:
+def geopackage(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str], layer: str | None = None, rows: int = 100_000) -> DataFrame:
     """A layer of GeoPackage files: declared columns (name to type), kind, x, y, line and polygon as in ``geojson``.
 
-    Without a layer name the file must have one feature layer. Each file is read by one task, in pages of rows.
+    Without a layer name the file must have one feature layer. On a mounted file system every ``rows`` row numbers are a task; a file in
+    another store is read by one task from a copy on its disk.
     """
-    ship_package(spark)
     p = "struct<x:double,y:double>"
     schema = ", ".join([*(f"`{c}` {t}" for c, t in columns.items()), "part int", "kind string", "x double", "y double", f"line array<{p}>", f"polygon array<array<{p}>>"])
+    return _loaded(spark, datasources.GeoPackage, {"paths": matches(spark, path), "columns": list(columns), "layer": layer, "rows": rows}, schema)
+
+
+def paged(
+    spark: SparkSession,
+    urls: str | Sequence[str],
+    schema: str,
+    records: Sequence[str] = (),
+    size: int | None = 50_000,
+    readers: int = 4,
+    parameters: tuple[str, str] = ("$offset", "$limit"),
+    query: dict[str, str] | None = None,
+    timeout: float = 60,
+    waits: Sequence[float] = (),
+    optional: bool = False,
+) -> DataFrame:
+    """Records of a JSON service as rows of ``schema``, by page: each of ``readers`` tasks asks every so many-th page until one isn't full.
+
+    ``records`` leads to the list in an answer, ``parameters`` name offset and limit; without a size there is one request. Pages must come in a
+    fixed order, which services give by a parameter in ``query``. The first of ``urls`` that answers counts; all are asked again after each wait in ``waits``.
+    An optional service that fails gives an empty table, never a part of one: its rows are written to the shared folder first.
+    """
+    plan = {"urls": [urls] if isinstance(urls, str) else list(urls), "records": list(records), "size": size, "readers": readers, "offset": parameters[0], "limit": parameters[1], "query": query or {}, "timeout": timeout, "waits": list(waits)}
+    rows = _loaded(spark, datasources.Pages, plan)
+    if optional:
+        try:
+            rows = written(rows, "pages")
+        except PySparkException as error:
+            warnings.warn(f"{plan['urls'][0]} left out: {str(error)[:500]}", stacklevel=2)
+            rows = spark.createDataFrame([], "value string")
+    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sqlite3
-
-        for batch in batches:
-            for content in batch["content"]:
-                db = sqlite3.connect(":memory:")
-                db.deserialize(bytes(content))
-                layers = [r[0] for r in db.execute("select table_name from gpkg_contents where data_type = 'features'")]
-                if layer is None and len(layers) != 1 or layer is not None and layer not in layers:
-                    raise ValueError(f"layers: {', '.join(layers)}")
-                at = layer or layers[0]
-                shape = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", (at,)).fetchone()[0]
-                chosen = ", ".join(f'"{c}"' for c in (*columns, shape))
-                cursor = db.execute(f'select {chosen} from "{at}"')  # noqa: S608
-                while page := cursor.fetchmany(2000):
-                    out = []
-                    for *values, blob in page:
-                        if blob is not None:
-                            out += [[*values, k, *g] for k, g in enumerate(geometries(bytes(blob)))]
-                    yield pd.DataFrame(out, columns=[*columns, "part", "kind", "x", "y", "line", "polygon"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
-def geometries(blob: bytes) -> list[tuple]:
-    """(kind, x, y, line, polygon) for each single geometry in a GeoPackage blob; empty ones give nothing."""
-    flags = blob[3]
-    start = 8 + (0, 32, 48, 48, 64)[flags >> 1 & 7]
-    return [] if flags >> 4 & 1 else _wkb(blob, start)[0]
-
-
-def _wkb(b: bytes, at: int) -> tuple[list[tuple], int]:
-    order = "<" if b[at] else ">"
-    kind = struct.unpack_from(order + "I", b, at + 1)[0]
-    flat, wide = kind % 1000 & 0xFF, 2 + (1 if kind // 1000 in (1, 2) or kind & 0xC0000000 in (0x80000000, 0x40000000) else 2 if kind // 1000 == 3 or kind & 0xC0000000 == 0xC0000000 else 0)
-    at += 5
-
-    def count() -> int:
-        nonlocal at
-        at += 4
-        return struct.unpack_from(order + "I", b, at - 4)[0]
-
-    def points(n: int) -> list[dict]:
-        nonlocal at
-        values = struct.unpack_from(f"{order}{n * wide}d", b, at)
-        at += 8 * n * wide
-        return [{"x": values[i], "y": values[i + 1]} for i in range(0, n * wide, wide)]
-
-    if flat == 1:
-        p = points(1)[0]
-        return [("point", p["x"], p["y"], None, None)], at
-    if flat == 2:
-        return [("line", None, None, points(count()), None)], at
-    if flat == 3:
-        return [("polygon", None, None, None, [points(count()) for _ in range(count())])], at
-    out: list[tuple] = []
-    for _ in range(count()):
-        more, at = _wkb(b, at)
-        out += more
-    return out, at
-
-
-def pages(fetch, size: int = 50_000):
-    """All rows of a paged source: ``fetch(offset, size)`` until a page is short."""
-    offset = 0
-    while True:
-        page = fetch(offset, size)
-        yield from page
-        if len(page) < size:
-            return
-        offset += size
+def feature_service(spark: SparkSession, urls: str | Sequence[str], properties: str, size: int | None = None, optional: bool = True, **options) -> DataFrame:
+    """Features of a GeoJSON service, as rows of ``geojson``."""
+    features = paged(spark, urls, f"struct<{_feature_type(properties)}>", ("features",), size, parameters=("startIndex", "count"), optional=optional, **options)
+    return _parts(features.select(F.struct("properties", "geometry").alias("f")))
 
 
 def first_answer(urls: Sequence[str], ask):

@@ -10,6 +10,9 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.session import ship_package
+from waymark.sources import datasources
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,6 +29,10 @@ def replace(df: DataFrame, path: str, kind: str = "parquet", partition_by: Seque
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     writer = df.write.format(kind).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(staged)
+    _swap(spark, staged, path)
+
+
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
     target, fs = _fs(spark, path)
     aside = _fs(spark, f"{staged}.old")[0]
     moved = fs.exists(target) and fs.rename(target, aside)
@@ -71,16 +78,49 @@ def document(df: DataFrame, value: Column, path: str, order: Sequence[Column], h
             out.write(bytearray(foot.encode()))
         finally:
             out.close()
-        kind = getattr(hadoop.fs, "Options$Rename")
-        options = spark.sparkContext._gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        context = hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(one), fs.makeQualified(target), options)
+        _overwrite(spark, fs, one, target)
     finally:
         fs.delete(parts, True)
         fs.delete(one, False)
 
 
+def _overwrite(spark: SparkSession, fs, one, target) -> None:
+    """Renames one file to another's place in one step."""
+    hadoop = spark._jvm.org.apache.hadoop
+    kind = getattr(hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(one), fs.makeQualified(target), options)
+
+
+def geopackage(df: DataFrame, path: str, layer: str, srs: int = 28992, files: int | None = None) -> None:
+    """A layer as a folder of GeoPackages, a file for each task: columns kind, x, y, line and polygon as read, all others as attributes.
+
+    ``files`` deals the rows anew; one file, which a task then makes alone, stands at ``path`` itself. What stood there goes only once the new layer is whole.
+    """
+    spark = df.sparkSession
+    p = "struct<x:double,y:double>"
+    for c, kind in (("x", "double"), ("y", "double"), ("line", f"array<{p}>"), ("polygon", f"array<array<{p}>>")):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(kind))
+    rows = df.repartition(files) if files else df
+    target, fs = _fs(spark, path)
+    staged = fs.makeQualified(_fs(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}")[0])
+    ship_package(spark)
+    spark.dataSource.register(datasources.GeoPackage)
+    plan = json.dumps({"layer": layer, "srs": srs, "staged": staged.toString()})
+    try:
+        rows.write.format(datasources.GeoPackage.name()).mode("append").options(plan=plan, schema=rows.schema.simpleString()).save()
+        parts = [s.getPath() for s in fs.listStatus(staged) if s.getPath().getName().endswith(".gpkg")]
+        if files == 1:
+            _overwrite(spark, fs, parts[0], target)
+        else:
+            _swap(spark, staged.toString(), path)
+    finally:
+        fs.delete(staged, True)
+
+
 def geojson_document(df: DataFrame, path: str, geometry: Column, order: Sequence[Column], properties: Sequence[str] | None = None, members: dict | None = None) -> None:
     """One GeoJSON document of all features; ``members`` stand in front of them, as a name or a reference system does."""
     start = json.dumps({"type": "FeatureCollection", **(members or {})}, ensure_ascii=False)[:-1]
