@@ -79,7 +79,7 @@ def diagnosis(areas: DataFrame, area: Sequence[str], modes: Sequence[str] = clas
     shares = [F.col(m) for m in modes]
     low = [F.when(F.col(m) < classes.SIGNAL, F.lit(m)) for m in modes]
     few = F.size(F.filter(F.array(*low), lambda m: m.isNotNull())).cast("bigint")
-    out = wide.withColumn("beste_percentage", F.greatest(*shares)).withColumn("slechtste_percentage", F.least(*shares)).withColumn("aantal_modaliteiten_onvoldoende", few).withColumn("modaliteiten_onvoldoende", F.concat_ws(", ", *low))
+    out = wide.withColumn("beste_percentage", F.array_max(F.array(*shares))).withColumn("slechtste_percentage", F.array_min(F.array(*shares))).withColumn("aantal_modaliteiten_onvoldoende", few).withColumn("modaliteiten_onvoldoende", F.concat_ws(", ", *low))
     kinds = classes.problem_type(*[F.col(m) for m in ("lopen", "fiets", "auto", "ov_lopen", "ov_fiets")], few) if set(classes.MODES) <= set(modes) else F.lit(None).cast("string")
     return out.withColumn("probleemtype", kinds).withColumn("ernstklasse", classes.severity(F.col("beste_percentage"), F.col("slechtste_percentage"), few))
 
@@ -121,6 +121,7 @@ def building_flags(access: DataFrame, keys: Sequence[str], mode: str = "modus",
         wide = wide.where(F.col("_rows") == len(modes))
     has = {m: F.coalesce(F.col(f"_{m}"), F.lit(False)) for m in modes}
     n = sum((h.cast("bigint") for h in has.values()), F.lit(0).cast("bigint"))
+    has |= {m: F.lit(False) for m in classes.MODES if m not in has}
     active, transit = has["lopen"] | has["fiets"], has["ov_lopen"] | has["ov_fiets"]
     return wide.select(*keys, n.alias("aantal_voldoende"), (n == 0).alias("geen"), (n == len(modes)).alias("alle"), (has["auto"] & (n == 1)).alias("alleen_auto"), (has["auto"] & ~active & ~transit).alias("autoafhankelijk"), active.alias("lopen_of_fiets"), (transit & ~active & ~has["auto"]).alias("alleen_ov"))
 

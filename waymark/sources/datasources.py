@@ -193,7 +193,11 @@ class GeoPackageReader(DataSourceReader):
             return
         with database(partition.path) as db:
             layer, shape = self._layer(db)
-            chosen = ", ".join(quoted(c) for c in (*self.plan["columns"], shape))
+            there = {r[1].lower() for r in db.execute(f"pragma table_info({quoted(layer)})")}
+            # a quoted name that isn't there would be taken for a text
+            if lacking := [c for c in self.plan["columns"] if c.lower() not in there and c not in self.plan["optional"]]:
+                raise ValueError(f"{partition.path}: missing columns {', '.join(lacking)}")
+            chosen = ", ".join(quoted(c) if c.lower() in there else "null" for c in (*self.plan["columns"], shape))
             bounds = "" if partition.low is None else f" where rowid >= {int(partition.low)} and rowid < {int(partition.high)}"
             for *values, blob in db.execute(f"select {chosen} from {quoted(layer)}{bounds}"):  # noqa: S608
                 if blob is not None:

@@ -175,15 +175,15 @@ def first_object(objects: DataFrame, key: str, order: Sequence[Column]) -> DataF
     return first_per_key(objects.where(text.blank_to_null(F.col(key)).isNotNull()), [key], order)
 
 
-def geopackage(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str], layer: str | None = None, rows: int = 100_000) -> DataFrame:
+def geopackage(spark: SparkSession, path: str | Sequence[str], columns: dict[str, str], layer: str | None = None, rows: int = 100_000, optional: Sequence[str] = ()) -> DataFrame:
     """A layer of GeoPackage files: declared columns (name to type), kind, x, y, line and polygon as in ``geojson``.
 
-    Without a layer name the file must have one feature layer. On a mounted file system every ``rows`` row numbers are a task; a file in
+    Without a layer name the file must have one feature layer. A column that it lacks is an error, or null if it is ``optional``. On a mounted file system every ``rows`` row numbers are a task; a file in
     another store is read by one task from a copy on its disk.
     """
     p = "struct<x:double,y:double>"
     schema = ", ".join([*(f"`{c}` {t}" for c, t in columns.items()), "part int", "kind string", "x double", "y double", f"line array<{p}>", f"polygon array<array<{p}>>"])
-    return _loaded(spark, datasources.GeoPackage, {"paths": matches(spark, path), "columns": list(columns), "layer": layer, "rows": rows}, schema)
+    return _loaded(spark, datasources.GeoPackage, {"paths": matches(spark, path), "columns": list(columns), "optional": list(optional), "layer": layer, "rows": rows}, schema)
 
 
 def paged(
