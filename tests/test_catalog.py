@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans import catalog, catalog_core, catalog_paths  # noqa: F401  all register queries
+from waymark.plans import catalog, catalog_core, catalog_paths, catalog_run  # noqa: F401  all register queries
 
 SF = "/root/testdata/sf0.001"
 
