@@ -232,3 +232,30 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Facilities with a place, numbered from 1 in an explicit order; longitude and latitude to eight decimals."""
     rows = df.where("lon is not null and lat is not null")
     return dense_numbers(rows, order, f"{name}_id").withColumn(f"{name}_lon", F.bround("lon", 8)).withColumn(f"{name}_lat", F.bround("lat", 8))
+
+
+#: Columns that may hold a facility's place or address, in their order.
+PLACE_COLUMNS = {
+    "onderwijs": ("bag_gekozen_woonplaats", "woonplaats_naam", "PLAATSNAAM", "bag_basis_woonplaats_naam"),
+    "ov": ("ov_adres", "officiele_halte_naam", "stop_names", "naam"),
+}
+OTHER_PLACE_COLUMNS = ("addr:city", "woonplaats_naam", "bag_gekozen_woonplaats", "PLAATSNAAM", "name", "naam")
+ADDRESS_COLUMNS = {"onderwijs": ("bag_basis_straatnaam", "bag_basis_huisnummer", "bag_basis_woonplaats_naam", "STRAATNAAM", "HUISNUMMER-TOEVOEGING", "PLAATSNAAM")}
+OTHER_ADDRESS_COLUMNS = ("addr:street", "addr:housenumber", "addr:city")
+
+
+def with_place(df: DataFrame, name: str, towns: DataFrame | None = None) -> DataFrame:
+    """``<name>_plaats``: the town of the facility's building (towns: pand_id, woonplaats_naam, each building once), else its first filled column; empty if there is none.
+
+    ``<name>_adres``: the register's address where the layer has that column, else the filled address columns in a row.
+    """
+    there = lambda columns: [F.col(f"`{c}`") for c in columns if c in df.columns]
+    own = there(PLACE_COLUMNS.get(name, OTHER_PLACE_COLUMNS))
+    rows, place = df, text.first_filled(*own) if own else F.lit(None).cast("string")
+    if towns is not None and "pand_id" in df.columns:
+        known = towns.select(text.plain_id(F.col("pand_id")).alias("_pand"), text.blank_to_null(F.col("woonplaats_naam")).alias("_town"))
+        rows = df.join(known, text.plain_id(F.col("pand_id")) == F.col("_pand"), "left").drop("_pand")
+        place = F.coalesce(F.col("_town"), place)
+    parts = there(ADDRESS_COLUMNS.get(name, OTHER_ADDRESS_COLUMNS))
+    address = F.trim("adres_bag") if "adres_bag" in df.columns else F.regexp_replace(text.address_line(*parts), r"\s+", " ") if parts else F.lit("")
+    return rows.withColumn(f"{name}_plaats", F.trim(F.coalesce(place, F.lit("")))).withColumn(f"{name}_adres", F.coalesce(address, F.lit(""))).drop("_town")

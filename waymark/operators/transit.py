@@ -70,6 +70,22 @@ def corrected_edges(edges: DataFrame, seconds: str = "seconds", mode: str = "mod
     return edges.withColumn("original_seconds", F.col(seconds)).withColumn(seconds, fixed.cast("bigint")).withColumn("delta_seconds", F.col(seconds) - F.col("original_seconds")).withColumn("travel_time_min", F.col(seconds) / 60.0)
 
 
+def manual_times(edges: DataFrame, corrections: Sequence[dict], minutes: str = "travel_time_min") -> DataFrame:
+    """Minutes set by hand between two stops of an operator's lines, in either direction; the last correction that fits counts.
+
+    A correction has operator, line_ids, halte_a, halte_b (parts of stop names, compared by their plain words), travel_time_min and reden.
+    Adds ``travel_time_source`` (manual_correction, else as it was or null) and ``travel_time_correction_note``.
+    """
+    a, b = text.simple_words(F.col("stop_name")), text.simple_words(F.col("next_stop_name"))
+    time, source, note = F.col(minutes), F.col("travel_time_source") if "travel_time_source" in edges.columns else F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in corrections:
+        one, other = text.simple_words(F.lit(c["halte_a"])), text.simple_words(F.lit(c["halte_b"]))
+        between = (a.contains(one) & b.contains(other)) | (a.contains(other) & b.contains(one))
+        fits = F.coalesce((F.col("operator") == c["operator"]) & F.col("line_id").cast("string").isin(*c["line_ids"]) & between, F.lit(False))
+        time, source, note = F.when(fits, float(c["travel_time_min"])).otherwise(time), F.when(fits, "manual_correction").otherwise(source), F.when(fits, c["reden"]).otherwise(note)
+    return edges.withColumns({minutes: time, "travel_time_source": source, "travel_time_correction_note": note})
+
+
 def edge_distance(edges: DataFrame) -> DataFrame:
     """Straight-line metres between from and to coordinates, and an edge id."""
     return edges.withColumn("distance_m", g.haversine(F.col("from_stop_lat"), F.col("from_stop_lon"), F.col("to_stop_lat"), F.col("to_stop_lon"))).withColumn("edge_id", F.concat_ws("_", "trip_id", "stop_sequence", "from_stop_id", "to_stop_id"))

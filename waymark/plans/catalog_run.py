@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry
-from waymark.operators import access, maplayers, register, reports, roads, spatial
+from waymark.operators import access, facilities, maplayers, register, reports, roads, spatial, transit
 from waymark.plans import catalog, catalog_core
 from waymark.plans.catalog import query, table
 from waymark.plans.catalog_core import _BOXES, _COSTS, _GRID, _SEEDS, _buildings, _grid, _origin
@@ -179,3 +179,32 @@ def report_weakest_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = reports.complete_runs(rows)
     got = reports.weakest_modes(reports.mode_table(whole), reports.insufficient_counts(whole))
     return got.select("facility", "modus", "zwakste_modaliteit", "positie_binnen_modaliteit")
+
+
+#: Corrections of the made stops below; the second overrules the first between stops 1 and 2.
+_BY_HAND = (
+    {"operator": "Arriva", "line_ids": ["1", "2", "3"], "halte_a": "Halte 1", "halte_b": "halte", "travel_time_min": 7, "reden": "ruim"},
+    {"operator": "Arriva", "line_ids": ["2"], "halte_a": "HALTE, 2", "halte_b": "halte 1", "travel_time_min": 2.5, "reden": "krap"},
+)
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'NS' ELSE 'Arriva' END AS operator, CAST(l_partkey % 5 AS VARCHAR) AS line_id, CAST(l_partkey % 4 AS VARCHAR) AS a, CASE WHEN l_suppkey % 11 <> 0 THEN CAST(l_suppkey % 4 AS VARCHAR) END AS b, CAST(l_quantity AS DOUBLE) AS t FROM lineitem),
+f AS (SELECT *, coalesce(operator = 'Arriva' AND line_id IN ('1', '2', '3') AND (a = '1' OR b = '1') AND b IS NOT NULL, false) AS ruim, coalesce(operator = 'Arriva' AND line_id = '2' AND (a = '1' AND b = '2' OR a = '2' AND b = '1'), false) AS krap FROM e)
+SELECT l_orderkey, l_linenumber, line_id, a, b, CASE WHEN krap THEN 2.5 WHEN ruim THEN 7.0 ELSE t END AS travel_time_min, CASE WHEN krap OR ruim THEN 'manual_correction' ELSE 'dienstregeling' END AS travel_time_source, CASE WHEN krap THEN 'krap' WHEN ruim THEN 'ruim' END AS travel_time_correction_note FROM f""")
+def manual_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides between four stops, some set by hand."""
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    other = F.when(s % 11 != 0, (s % 4).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(s % 3 == 0, "NS").otherwise("Arriva").alias("operator"), (p % 5).alias("line_id"), (p % 4).cast("string").alias("a"), other.alias("b"), F.col("l_quantity").cast("double").alias("travel_time_min"), F.concat(F.lit(" Halte-"), p % 4).alias("stop_name"), F.concat(F.lit("HALTE  "), other).alias("next_stop_name"), F.lit("dienstregeling").alias("travel_time_source"))
+    return transit.manual_times(rows, _BY_HAND).drop("operator", "stop_name", "next_stop_name").withColumn("line_id", F.col("line_id").cast("string"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS pand_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS plaats FROM supplier)
+SELECT c_custkey AS id, coalesce(t.plaats, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, c_name) AS apotheek_plaats, concat_ws(' ', CASE WHEN c_custkey % 2 = 0 THEN 'Lange Straat' END, CAST(c_custkey % 90 AS VARCHAR), CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END) AS apotheek_adres FROM customer LEFT JOIN t ON t.pand_id = c_custkey""")
+def places_of_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are facilities, in a building of a supplier's number if there is one."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(k.cast("string"), F.lit(".0")).alias("pand_id"), F.when(k % 3 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(" ").alias("addr:city"), F.col("c_name").alias("name"), F.when(k % 2 == 0, "Lange  Straat ").alias("addr:street"), (k % 90).cast("string").alias("addr:housenumber"))
+    s = F.col("s_suppkey")
+    towns = table(spark, sf_dir, "supplier").select(s.cast("string").alias("pand_id"), F.when(s % 4 != 0, F.col("s_name")).otherwise("").alias("woonplaats_naam"))
+    return facilities.with_place(rows, "apotheek", towns).select("id", "apotheek_plaats", "apotheek_adres")
