@@ -69,3 +69,22 @@ def test_invalid_ones_are_named(spark):
     with pytest.raises(ValueError, match=r"1 invalid buildings: 9 \(zelfdoorsnijding\)"):
         validity.valid_only(bad, "id", source="buildings")
     assert not validity.ring_faults(good.where(F.lit(False)), "id").collect()
+
+
+def test_few_segments_are_compared_in_their_row(spark, monkeypatch):
+    """Nothing is shuffled by cells where polygons are small, and both ways find the same."""
+    df = spark.createDataFrame([(k, floats(rings)) for k, (rings, _) in enumerate(CASES.values())], POLYGON)
+    found = {}
+    for few in (64, 1):
+        monkeypatch.setattr(validity, "FEW", few)
+        found[few] = {(r.id, r.ring, r.fault) for r in validity.ring_faults(df, "id").collect()}
+    assert found[64] == found[1]
+    monkeypatch.setattr(validity, "FEW", 64)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero, far = F.lit(0), F.col("id") + 1
+    rows = spark.range(200).select("id", F.array(F.array(at(zero, zero), at(far, far), at(far, zero), at(zero, far), at(zero, zero))).alias("polygon"))
+    checkpoints = []
+    real = validity.checkpointed
+    monkeypatch.setattr(validity, "checkpointed", lambda d: checkpoints.append(d.columns) or real(d))
+    assert validity.ring_faults(rows, "id").count() == 200
+    assert checkpoints == [["_key", "_rings", "_flat", "_all"]]
