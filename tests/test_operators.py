@@ -328,3 +328,20 @@ def test_dense_numbers(spark):
     rows = relational.dense_numbers(spark.range(1000).withColumn("k", (F.col("id") * 37) % 101), [F.col("k").desc(), F.col("id")], "nr").orderBy("nr").collect()
     assert [r.nr for r in rows] == list(range(1, 1001)) and [(-r.k, r.id) for r in rows] == sorted((-r.k, r.id) for r in rows)
     assert relational.dense_numbers(spark.range(0), [F.col("id")], "nr").count() == 0
+
+
+def test_times_on_the_edge_of_rounding(spark):
+    """Halves go to even by the hundredfold, also where a sum misses them by its last bit; shares of an edge are those of its one part."""
+    values = [15.165000000000001, 9.585, 14.374999999999998, 7.195, None]
+    rows = spark.createDataFrame([(v,) for v in values], "total_min double").withColumn("network_min", F.col("total_min"))
+    got = [r.total_min for r in access.norm_tested(rows, F.lit(10)).collect()]
+    assert got == [None if v is None else round(v * 100) / 100 for v in values]
+
+    line = "array(named_struct('x', 0.0000, 'y', 0.0000), named_struct('x', 100.0000, 'y', 0.0000)) as line"
+    ways = spark.range(1).selectExpr("id as edge_id", "1L as u", "2L as v", "3D as minutes", "100D as length_m", "true as forward", "true as backward", line)
+    points = spark.range(1, 8000, 37).selectExpr("id", "cast(id / 100 as decimal(13,4)) as x", "cast(1 as decimal(13,4)) as y")
+    placed = spatial.nearest_edges(points, ways, 60.0)
+    costs = network.seed_costs(placed.withColumn("target", F.col("id")), F.lit(80.0)).where("node = 1").collect()
+    assert len(costs) == 217
+    for r in costs:
+        assert r.cost == r.target / 10000 * 3 + 1 / 80

@@ -95,20 +95,32 @@ def within(px: Column, py: Column, polygon: Column) -> Column:
     return odd & ~F.exists(parts, on_edge)
 
 
-def project(px: Column, py: Column, line: Column) -> Column:
-    """struct(distance, position): how far a point is from a line, and the metres along it to the nearest place."""
-    start = F.struct(F.lit(float("inf")).alias("distance"), F.lit(0.0).alias("position"), F.lit(0.0).alias("done"))
+def parts(line: Column) -> Column:
+    """The straight parts of a line as numbers: array of struct(ax, ay, dx, dy, size)."""
+    flat = F.transform(segments(line), lambda s: F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"), distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]).alias("size")))
+    return F.when(F.size(line) > 1, flat)
+
+
+def project_parts(px: Column, py: Column, pieces: Column) -> Column:
+    """struct(distance, position, before, share, size) of a point and a line's ``parts``: how far it is, the metres along to the nearest place, and those before that
+    place's part, its share of the part, and the part's size. Every step binds its values, so nothing is worked out twice."""
+    share = lambda s: F.when(s["size"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["ax"]) * s["dx"] + (py - s["ay"]) * s["dy"]) / (s["size"] * s["size"])))).otherwise(0.0)
+    placed = F.transform(pieces, lambda s: F.struct(*[s[c].alias(c) for c in ("ax", "ay", "dx", "dy", "size")], share(s).alias("share")))
+    tried = F.transform(placed, lambda s: F.struct(distance(px, py, s["ax"] + s["share"] * s["dx"], s["ay"] + s["share"] * s["dy"]).alias("far"), s["share"].alias("share"), s["size"].alias("size")))
+    start = F.struct(F.lit(float("inf")).alias("distance"), F.lit(0.0).alias("before"), F.lit(0.0).alias("share"), F.lit(0.0).alias("size"), F.lit(0.0).alias("done"))
 
     def step(s: Column, part: Column) -> Column:
-        ax, ay, bx, by = part["a"]["x"], part["a"]["y"], part["b"]["x"], part["b"]["y"]
-        size = distance(ax, ay, bx, by)
-        share = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / (size * size)))).otherwise(0.0)
-        far = distance(px, py, ax + share * (bx - ax), ay + share * (by - ay))
-        nearer = far < s["distance"]
-        return F.struct(F.when(nearer, far).otherwise(s["distance"]).alias("distance"), F.when(nearer, s["done"] + share * size).otherwise(s["position"]).alias("position"), (s["done"] + size).alias("done"))
-
-    found = F.aggregate(segments(line), start, step)
-    return F.struct(found["distance"].alias("distance"), found["position"].alias("position"))
+        took = lambda new, old: F.when(part["far"] < s["distance"], new).otherwise(old)
+        return F.struct(took(part["far"], s["distance"]).alias("distance"), took(s["done"], s["before"]).alias("before"), took(part["share"], s["share"]).alias("share"), took(part["size"], s["size"]).alias("size"), (s["done"] + part["size"]).alias("done"))
+
+    return F.aggregate(tried, start, step, lambda s: F.struct(s["distance"].alias("distance"), (s["before"] + s["share"] * s["size"]).alias("position"), s["before"].alias("before"), s["share"].alias("share"), s["size"].alias("size")))
+
+
+def project(px: Column, py: Column, line: Column) -> Column:
+    """struct(distance, position): how far a point is from a line, and the metres along it to the nearest place."""
+    start = F.array(F.struct(F.lit(0)))
+    found = F.transform(F.transform(start, lambda _: project_parts(px, py, parts(line))), lambda f: F.struct(f["distance"].alias("distance"), f["position"].alias("position")))
+    return found[0]
 
 
 def interpolate(line: Column, position: Column) -> Column:

@@ -49,10 +49,15 @@ def on_network(points: DataFrame, net: RoadNetwork, id_col: str, radius: float =
     return snap(points, net.ways, id_col, "edge_id", radius)
 
 
+def two_decimals(minutes: Column) -> Column:
+    """Rounded to two decimals, halves to even, by the hundredfold as pandas does it; by its written digits a half that a sum misses by its last bit would go the wrong way."""
+    return F.rint(minutes * 100.0) / 100.0
+
+
 def norm_tested(rows: DataFrame, norm: Column) -> DataFrame:
     """reachable, within (before rounding), and times rounded to two decimals."""
     total = F.col("total_min")
-    return rows.withColumn("norm_min", norm.cast("double")).withColumn("reachable", total.isNotNull()).withColumn("within", F.coalesce(total <= F.col("norm_min"), F.lit(False))).withColumn("network_min", F.bround("network_min", 2)).withColumn("total_min", F.bround(total, 2))
+    return rows.withColumn("norm_min", norm.cast("double")).withColumn("reachable", total.isNotNull()).withColumn("within", F.coalesce(total <= F.col("norm_min"), F.lit(False))).withColumn("network_min", two_decimals(F.col("network_min"))).withColumn("total_min", two_decimals(total))
 
 
 def direct(buildings: DataFrame, facilities: DataFrame, net: RoadNetwork, mode: str, norm: float, row_norm: Column | None = None, radius: float = 250.0, extra: str | None = None) -> DataFrame:
@@ -88,7 +93,7 @@ def parking_targets(parking: DataFrame, facilities: DataFrame, walk: RoadNetwork
     rows = parking.join(by_way, "parking", "left").join(straight, F.col("parking") == F.col("_p"), "left").drop("_p")
     line = F.col("line_min").isNotNull() & (F.col("way_min").isNull() | (F.col("line_min") < F.col("way_min")))
     minutes = F.when(line, F.col("line_min")).otherwise(F.col("way_min"))
-    out = rows.select(F.col("parking").alias("target"), "x", "y", F.bround(minutes, 2).alias("walk_min"), F.when(line, F.col("line_target")).otherwise(F.col("way_target")).alias("facility"), F.when(line, "luchtlijn_fallback").otherwise("netwerk").alias("walk_source"))
+    out = rows.select(F.col("parking").alias("target"), "x", "y", two_decimals(minutes).alias("walk_min"), F.when(line, F.col("line_target")).otherwise(F.col("way_target")).alias("facility"), F.when(line, "luchtlijn_fallback").otherwise("netwerk").alias("walk_source"))
     return out.where(F.col("walk_min").isNotNull() & (F.col("walk_min") <= most_min))
 
 

@@ -40,12 +40,19 @@ def directed_edges(ways: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return best.select(*keys, "src", "dst", F.col("_best.minutes").alias("weight"), F.col("_best.edge_id").alias("edge_id"))
 
 
+def _share(placed: DataFrame) -> Column:
+    """What lies before a place, as a share of its edge: ``position_share`` where it is known, which has no rounding of metres in it."""
+    if "position_share" in placed.columns:
+        return F.col("position_share")
+    return F.when(F.col("length_m") > 0, F.col("position_m") / F.col("length_m")).otherwise(0.0)
+
+
 def seed_costs(snapped: DataFrame, speed: Column, extra: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Seeds (keys, node, cost, target) of targets on edges: from u where the edge may be driven forward, from v backward.
 
     ``snapped`` has target, u, v, minutes, length_m, position_m, snap_m, forward and backward.
     """
-    share = F.when(F.col("length_m") > 0, F.col("position_m") / F.col("length_m")).otherwise(0.0)
+    share = _share(snapped)
     last = F.col("snap_m") / speed + (F.lit(0.0) if extra is None else F.coalesce(extra, F.lit(0.0)))
     ends = F.array(
         F.when(F.col("forward"), F.struct(F.col("u").alias("node"), (share * F.col("minutes") + last).alias("cost"))),
@@ -95,7 +102,7 @@ def origin_costs(origins: DataFrame, costs: DataFrame, speed: Column, keys: Sequ
     origins without a way have nulls.
     """
     keys = list(keys)
-    share = F.when(F.col("length_m") > 0, F.col("position_m") / F.col("length_m")).otherwise(0.0)
+    share = _share(origins)
     u = costs.select(*[F.col(k).alias(f"_u{k}") for k in keys], F.col("node").alias("_un"), F.col("cost").alias("_uc"), F.col("target").alias("_ut"))
     v = costs.select(*[F.col(k).alias(f"_v{k}") for k in keys], F.col("node").alias("_vn"), F.col("cost").alias("_vc"), F.col("target").alias("_vt"))
 

@@ -51,14 +51,27 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "p
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, radius: float, line: str = "line", xy: tuple[str, str] = ("x", "y"), size: float | None = None) -> DataFrame:
-    """All (point, edge) pairs within ``radius`` with ``snap_m`` and ``position_m`` along the edge."""
+    """All (point, edge) pairs within ``radius`` with ``snap_m`` and ``position_m`` along the edge; where edges have a ``length_m``, also ``position_share`` of it.
+
+    Points are dealt out by cell over all of the session's shuffle partitions, since few small files of points make many pairs. A box
+    about the edge is tested in the join; what remains is projected once.
+    """
     size = size or max(radius, 1.0)
     xs, ys = F.transform(F.col(line), lambda p: p["x"]), F.transform(F.col(line), lambda p: p["y"])
-    spread = edges.withColumn("_cell", F.explode(_cells(F.array_min(xs) - radius, F.array_min(ys) - radius, F.array_max(xs) + radius, F.array_max(ys) + radius, size)))
+    low, high = (F.array_min(xs) - radius, F.array_min(ys) - radius), (F.array_max(xs) + radius, F.array_max(ys) + radius)
+    slack = 1e-6 * radius + 1e-6
+    boxes = {"_x1": low[0] - slack, "_y1": low[1] - slack, "_x2": high[0] + slack, "_y2": high[1] + slack}
+    spread = edges.withColumns({**boxes, "_parts": g.parts(F.col(line))}).withColumn("_cell", F.explode(_cells(*low, *high, size)))
     placed = _in_cells(points, *xy, size, "_p")
-    pairs = placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy"))).drop("_pcx", "_pcy", "_cell")
-    found = g.project(F.col(xy[0]), F.col(xy[1]), F.col(line))
-    return pairs.withColumn("_hit", found).withColumn("snap_m", F.col("_hit.distance")).withColumn("position_m", F.col("_hit.position")).drop("_hit").where(F.col("snap_m") <= radius)
+    placed = placed.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_pcx", "_pcy")
+    near = F.col(xy[0]).between(F.col("_x1"), F.col("_x2")) & F.col(xy[1]).between(F.col("_y1"), F.col("_y2"))
+    pairs = placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & near).drop("_pcx", "_pcy", "_cell", *boxes)
+    hit = F.filter(F.array(g.project_parts(F.col(xy[0]), F.col(xy[1]), F.col("_parts"))), lambda h: h["distance"] <= radius)
+    found = pairs.select("*", F.inline(hit)).drop("_parts").withColumnsRenamed({"distance": "snap_m", "position": "position_m"})
+    if "length_m" in edges.columns:
+        # a line of one part has exactly its share
+        found = found.withColumn("position_share", F.when(F.col("length_m") > 0, F.col("before") / F.col("length_m") + F.col("share") * (F.col("size") / F.col("length_m"))).otherwise(0.0))
+    return found.drop("before", "share", "size")
 
 
 def snap(points: DataFrame, edges: DataFrame, point_id: str, edge_id: str = "edge_id", radius: float = 250.0, line: str = "line", xy: tuple[str, str] = ("x", "y")) -> DataFrame:

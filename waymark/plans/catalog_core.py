@@ -282,9 +282,13 @@ found AS (SELECT *, sqrt((px - (ax + share * (bx - ax))) * (px - (ax + share * (
 placed AS (SELECT * FROM found WHERE snap_m <= 60 QUALIFY row_number() OVER (PARTITION BY id ORDER BY snap_m, edge_id) = 1)"""
 
 
+#: Coordinates are decimals, as in SQL; doubles would differ in their last digits, which decide where times lie on the edge of rounding.
+METRES = "decimal(13,4)"
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> access.RoadNetwork:
     k = F.col("s_suppkey")
-    at = lambda c: geometry.point(c % 10 * 100, F.floor(c / 10) * 100)
+    at = lambda c: F.struct((c % 10 * 100).cast(METRES).alias("x"), (F.floor(c / 10) * 100).cast(METRES).alias("y"))
     s = table(spark, sf_dir, "supplier").select(k)
     both = s.withColumn("d", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("v", F.when(F.col("d") == 0, k + 1).otherwise(k + 10)).where((F.col("d") == 1) | (k % 10 != 9))
     there = both.join(s.select(k.alias("_v")), F.col("v") == F.col("_v"))
@@ -294,7 +298,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> access.RoadNetwork:
 
 def _buildings(spark: SparkSession, sf_dir: str, name: str = "pand_id") -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias(name), (k * 37 % 1000 + k % 7 * 0.1373 + 0.29).alias("x"), (k * 53 % 1000 + 0.53 + F.floor(k / 1500) * 1000).alias("y"))
+    return table(spark, sf_dir, "customer").select(k.alias(name), (k * 37 % 1000 + k % 7 * 0.1373 + 0.29).cast(METRES).alias("x"), (k * 53 % 1000 + 0.53 + F.floor(k / 1500) * 1000).cast(METRES).alias("y"))
 
 
 def _fine(c: Column) -> Column:
