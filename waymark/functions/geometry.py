@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_000.0
+#: Lines may have decimal coordinates; what is cut from them has doubles.
+LINE = "array<struct<x:double,y:double>>"
 
 
 def point(x: Column, y: Column) -> Column:
@@ -125,6 +127,7 @@ def project(px: Column, py: Column, line: Column) -> Column:
 
 def interpolate(line: Column, position: Column) -> Column:
     """The point at so many metres along a line, kept within its ends."""
+    line = line.cast(LINE)
     start = F.struct(F.lit(0.0).alias("done"), line[0].alias("p"), F.lit(False).alias("found"))
 
     def step(s: Column, part: Column) -> Column:
@@ -139,6 +142,7 @@ def interpolate(line: Column, position: Column) -> Column:
 
 def substring(line: Column, start: Column, stop: Column) -> Column:
     """The part of a line between two positions; the other way round if stop lies before start."""
+    line = line.cast(LINE)
     low, high = F.least(start, stop), F.greatest(start, stop)
     marked = F.aggregate(
         segments(line),
