@@ -345,3 +345,14 @@ def test_times_on_the_edge_of_rounding(spark):
     assert len(costs) == 217
     for r in costs:
         assert r.cost == r.target / 10000 * 3 + 1 / 80
+
+
+def test_pairs_of_small_tables_are_made_by_many_tasks(spark):
+    """One partition of points and one of edges: the pairs are still dealt out by cell, whichever side is broadcast."""
+    line = "array(named_struct('x', id * 100D, 'y', 0D), named_struct('x', id * 100D + 100D, 'y', 0D)) as line"
+    ways = spark.range(200).coalesce(1).selectExpr("id as edge_id", line)
+    points = spark.range(20_000).coalesce(1).selectExpr("id as pand_id", "id * 1D as x", "5D as y")
+    got = spatial.nearest_edges(points, ways, 60.0)
+    used = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1
+    assert got.groupBy("pand_id").agg(F.min("snap_m").alias("m")).where("m = 5").count() == 20_000

@@ -53,8 +53,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "p
 def nearest_edges(points: DataFrame, edges: DataFrame, radius: float, line: str = "line", xy: tuple[str, str] = ("x", "y"), size: float | None = None) -> DataFrame:
     """All (point, edge) pairs within ``radius`` with ``snap_m`` and ``position_m`` along the edge; where edges have a ``length_m``, also ``position_share`` of it.
 
-    Points are dealt out by cell over all of the session's shuffle partitions, since few small files of points make many pairs. A box
-    about the edge is tested in the join; what remains is projected once.
+    Both sides are dealt out by cell over all of the session's shuffle partitions, since few small files make many pairs, whichever side is broadcast.
+    A box about the edge is tested in the join; what remains is projected once.
     """
     size = size or max(radius, 1.0)
     xs, ys = F.transform(F.col(line), lambda p: p["x"]), F.transform(F.col(line), lambda p: p["y"])
@@ -63,7 +63,8 @@ def nearest_edges(points: DataFrame, edges: DataFrame, radius: float, line: str
     boxes = {"_x1": low[0] - slack, "_y1": low[1] - slack, "_x2": high[0] + slack, "_y2": high[1] + slack}
     spread = edges.withColumns({**boxes, "_parts": g.parts(F.col(line))}).withColumn("_cell", F.explode(_cells(*low, *high, size)))
     placed = _in_cells(points, *xy, size, "_p")
-    placed = placed.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_pcx", "_pcy")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed, spread = placed.repartition(n, "_pcx", "_pcy"), spread.repartition(n, F.col("_cell.cx"), F.col("_cell.cy"))
     near = F.col(xy[0]).between(F.col("_x1"), F.col("_x2")) & F.col(xy[1]).between(F.col("_y1"), F.col("_y2"))
     pairs = placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & near).drop("_pcx", "_pcy", "_cell", *boxes)
     hit = F.filter(F.array(g.project_parts(F.col(xy[0]), F.col(xy[1]), F.col("_parts"))), lambda h: h["distance"] <= radius)
