@@ -356,3 +356,17 @@ def test_pairs_of_small_tables_are_made_by_many_tasks(spark):
     used = got.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used > 1
     assert got.groupBy("pand_id").agg(F.min("snap_m").alias("m")).where("m = 5").count() == 20_000
+
+
+def test_car_ways_near_many_ways_are_found_by_many_tasks(spark, monkeypatch):
+    """The pairs of ways and car ways are dealt out by cell; the least distance and id stay those of all pairs."""
+    used = []
+    real = roads.dealt
+    monkeypatch.setattr(roads, "dealt", lambda df, *cell: used.append(cell) or real(df, *cell))
+    line = lambda y: f"array(named_struct('x', id * 10D, 'y', {y}D), named_struct('x', id * 10D + 3D, 'y', {y}D)) as line"
+    ways = spark.range(300).coalesce(1).selectExpr("id as edge_id", "cast(null as bigint) as wvk_id", line(0.5))
+    cars = spark.range(0, 300, 2).coalesce(1).selectExpr("id as wvk_id", line(0))
+    rows = roads.shared_with_cars(ways, cars).collect()
+    assert len(used) == 2
+    assert {r.edge_id for r in rows if r.overlap_met_auto} == set(range(0, 300, 2))
+    assert all(r.overlap_auto_wvk_id == (r.edge_id if r.edge_id % 2 == 0 else None) for r in rows)

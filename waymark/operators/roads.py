@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.functions import text
-from waymark.operators.spatial import _cells, points_in_polygons
+from waymark.operators.spatial import _cells, dealt, points_in_polygons
 
 #: Flag columns of each vehicle, forward and backward.
 VEHICLES = {"voetganger": "vtgngr", "fiets": "fiets", "snorfiets": "snrfts", "bromfiets": "brmfts", "motorfiets": "mtrfts", "personenauto": "auto", "motorvoertuigen_met_aanhanger": "aanhngr", "vrachtauto": "vrchtt", "autobus": "autobs", "landbouwvoertuigen": "lndbw"}
@@ -162,7 +162,9 @@ def shared_with_cars(ways: DataFrame, cars: DataFrame, near: float = 1.0, most:
 
     left = spread(ways.select(F.col("edge_id").alias("_e"), "line"), "s", 0.0)
     right = spread(cars.select(F.col("wvk_id").alias("_auto"), "line"), "t", most)
-    pairs = left.join(right, F.col("_s_cell") == F.col("_t_cell")).withColumn("_far", _apart(F.col("s"), F.col("t"))).where(F.col("_far") <= most)
+    met = dealt(left, F.col("_s_cell")).join(dealt(right, F.col("_t_cell")), F.col("_s_cell") == F.col("_t_cell"))
+    # generated, so that the distance is worked out once and not again for each use
+    pairs = met.select("_e", "_auto", F.explode(F.array(_apart(F.col("s"), F.col("t")))).alias("_far")).where(F.col("_far") <= most)
     close = pairs.groupBy("_e").agg(F.min("_far").alias("afstand_tot_auto_m"), F.min(F.when(F.col("_far") <= near, F.col("_auto"))).alias("overlap_auto_wvk_id"), F.bool_or(F.col("_far") <= near).alias("_over"))
     ids = cars.select(F.col("wvk_id").alias("_car")).where("_car is not null").distinct()
     rows = ways.join(ids, F.col("wvk_id") == F.col("_car"), "left").join(close, F.col("edge_id") == F.col("_e"), "left").withColumn("overlap_met_auto", F.coalesce("_over", F.lit(False)))

@@ -26,12 +26,18 @@ def _in_cells(df: DataFrame, x: str, y: str, size: float, prefix: str) -> DataFr
     return df.withColumn(f"{prefix}cx", c["cx"]).withColumn(f"{prefix}cy", c["cy"])
 
 
+def dealt(df: DataFrame, *cell: Column) -> DataFrame:
+    """Rows dealt out by cell over all of the session's shuffle partitions: few small files make many pairs, whichever side is broadcast."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)
+
+
 def within_distance(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str, str] = ("x", "y"), right_xy: tuple[str, str] = ("rx", "ry"), out: str = "afstand_m") -> DataFrame:
     """Pairs of points at most ``radius`` apart with their distance. Column names of both sides must differ."""
     a = _in_cells(left, *left_xy, radius, "_l")
     rx, ry = F.col(right_xy[0]), F.col(right_xy[1])
     b = right.withColumn("_cell", F.explode(_cells(rx - radius, ry - radius, rx + radius, ry + radius, radius)))
     far = g.distance(F.col(left_xy[0]), F.col(left_xy[1]), rx, ry)
+    a, b = dealt(a, F.col("_lcx"), F.col("_lcy")), dealt(b, F.col("_cell.cx"), F.col("_cell.cy"))
     near = a.join(b, (F.col("_lcx") == F.col("_cell.cx")) & (F.col("_lcy") == F.col("_cell.cy")))
     return near.withColumn(out, far).where(F.col(out) <= radius).drop("_lcx", "_lcy", "_cell")
 
@@ -46,6 +52,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "p
     box = g.bounds(F.col(polygon))
     spread = polygons.withColumn("_cell", F.explode(_cells(box["xmin"], box["ymin"], box["xmax"], box["ymax"], size)))
     placed = _in_cells(points, *xy, size, "_p")
+    placed, spread = dealt(placed, F.col("_pcx"), F.col("_pcy")), dealt(spread, F.col("_cell.cx"), F.col("_cell.cy"))
     inside = g.within(F.col(xy[0]), F.col(xy[1]), F.col(polygon))
     return placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & inside, how).drop("_pcx", "_pcy", "_cell")
 
@@ -63,8 +70,7 @@ def nearest_edges(points: DataFrame, edges: DataFrame, radius: float, line: str
     boxes = {"_x1": low[0] - slack, "_y1": low[1] - slack, "_x2": high[0] + slack, "_y2": high[1] + slack}
     spread = edges.withColumns({**boxes, "_parts": g.parts(F.col(line))}).withColumn("_cell", F.explode(_cells(*low, *high, size)))
     placed = _in_cells(points, *xy, size, "_p")
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed, spread = placed.repartition(n, "_pcx", "_pcy"), spread.repartition(n, F.col("_cell.cx"), F.col("_cell.cy"))
+    placed, spread = dealt(placed, F.col("_pcx"), F.col("_pcy")), dealt(spread, F.col("_cell.cx"), F.col("_cell.cy"))
     near = F.col(xy[0]).between(F.col("_x1"), F.col("_x2")) & F.col(xy[1]).between(F.col("_y1"), F.col("_y2"))
     pairs = placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & near).drop("_pcx", "_pcy", "_cell", *boxes)
     hit = F.filter(F.array(g.project_parts(F.col(xy[0]), F.col(xy[1]), F.col("_parts"))), lambda h: h["distance"] <= radius)
