@@ -116,3 +116,19 @@ def test_stop_regions(spark):
     stops = spark.createDataFrame([(1, 10.0, 10.0), (2, 9_999.0, 5.0), (3, 10_001.0, 5.0)], "node bigint, x double, y double")
     got = {r.node: r.region for r in profiles.stop_regions(stops).collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_needless_rides_wait_for_a_boarded_departure(spark):
+    """Forty slow rides before a quick one, and one after all targets: only the quick one is scanned, and each departure waits for it in one step."""
+    slow = [(10 * n, 1000 + n, 1, 2) for n in range(40)]
+    rides = [*slow, (500, 600, 1, 2), (500, 590, 1, 3), (2000, 2100, 1, 3)]
+    r = spark.createDataFrame(rides, "dep bigint, arr bigint, src bigint, dst bigint")
+    kept = {tuple(x) for x in profiles._undominated(r).select("dep", "arr", "src", "dst").collect()}
+    assert kept == {a for a in rides if not any(b[2:] == a[2:] and b[0] > a[0] and b[1] <= a[1] for b in rides)} and len(kept) == 3
+    w = spark.createDataFrame([], "src bigint, dst bigint, minutes double")
+    far = (1 << 60) + 1  # ids beyond what a double holds
+    e = spark.createDataFrame([(0, 2, 1.0, far)], "key bigint, node bigint, minutes double, target bigint")
+    got = {x.sec: x for x in profiles.departure_profiles(r, w, e, 1.0, slice_rides=1).collect()}
+    assert set(got) == {10 * n for n in range(40)} | {500} and all(x.target == far for x in got.values())
+    assert got[500].ride_arr == 600 and got[500].next_node is None
+    assert all(x.ride_dst is None and (x.next_node, x.next_sec) == (1, 500) and abs(x.minutes - ((600 - s) / 60 + 1)) < 1e-9 for s, x in got.items() if s < 500)

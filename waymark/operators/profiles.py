@@ -8,6 +8,8 @@ stops, and regions exchange labels until none changes. No task or broadcast hold
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.relational import asof_forward
-from waymark.session import checkpointed, ship_package, written
+from waymark.session import checkpointed, ensure_checkpoint_dir, ship_package, written
 
 RIDE = ("dep", "arr", "src", "dst")
 #: A departure, its best minutes and target; the ride taken there (null: wait for a later one), and the departure after it (null: walk to the target).
@@ -27,58 +29,80 @@ def stop_regions(stops: DataFrame, size: float = 10_000.0) -> DataFrame:
     return stops.select("node", F.xxhash64(F.floor(F.col("x") / size), F.floor(F.col("y") / size)).alias("region"))
 
 
-def _first_at(line: list[tuple], sec: int) -> tuple | None:
-    """The first departure at or after ``sec`` in a list by falling time."""
-    low, high = 0, len(line)
-    while low < high:
-        mid = (low + high) // 2
-        if line[mid][0] >= sec:
-            low = mid + 1
-        else:
-            high = mid
-    return line[low - 1] if low else None
-
-
 def _scan(key: tuple, rides: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """The departures of one region, slice and target set.
+    """The departures of one region, slice and target set at which a ride is boarded, as nothing later from their stop is as quick.
 
-    ``rides`` has the best option that later slices or the target itself leave (rest, target, next_node, next_sec), and ``onward``, the places (via, ready)
-    at which departures of this slice may follow. ``known`` has those of other regions, and with ``head`` the first of each own stop in later slices.
+    ``rides`` has the best option that later slices or the target itself leave (rest, target, and if it is a departure, next_node and next_sec), and ``vias`` and
+    ``readies``, the places at which departures of this slice may follow. ``known`` has those of other regions, and with ``head`` the first of each own stop in later slices.
     """
-    lines: dict[int, list[tuple]] = {}
+    lines: dict[int, tuple[list[int], list[tuple]]] = {}  # by falling time: its negative, and the departure
     heads: dict[int, tuple] = {}
-    for r in known.sort_values("sec", ascending=False).itertuples(index=False):
-        if r.head:
-            heads[int(r.node)] = (int(r.sec), float(r.minutes), int(r.target), None, None, int(r.node), int(r.sec))
+    known = known.sort_values("sec", ascending=False)
+    for node, sec, minutes, target, head in zip(*[known[c].tolist() for c in ("node", "sec", "minutes", "target", "head")], strict=True):
+        if head:
+            heads[node] = (sec, minutes, target)
         else:
-            lines.setdefault(int(r.node), []).append((int(r.sec), float(r.minutes), int(r.target)))
+            times, line = lines.setdefault(node, ([], []))
+            times.append(-sec)
+            line.append((sec, minutes, target))
     own: set[int] = set()
-    for r in rides.sort_values(list(RIDE), ascending=[False, False, True, True]).itertuples(index=False):
-        dep, arr, src = int(r.dep), int(r.arr), int(r.src)
-        options = [] if pd.isna(r.rest) else [(float(r.rest), int(r.target), *((None, None) if pd.isna(r.next_node) else (int(r.next_node), int(r.next_sec))))]
-        for hop in r.onward if r.onward is not None else ():
-            via, ready = int(hop["via"]), int(hop["ready"])
-            if (there := _first_at(lines.get(via, ()), ready)) is not None:
-                options.append(((there[0] - arr) / 60 + there[1], there[2], via, there[0]))
-        if not options:
+    rides = rides.sort_values(list(RIDE), ascending=[False, False, True, True])
+    columns = [rides[c].tolist() for c in (*RIDE, "rest", "target", "later", "next_node", "next_sec", "vias", "readies")]
+    for dep, arr, src, dst, rest, target, later, next_node, next_sec, vias, readies in zip(*columns, strict=True):
+        best = None if rest is None or rest != rest else (rest, target, *((next_node, next_sec) if later else (None, None)))
+        for via, ready in zip(vias.tolist(), readies.tolist(), strict=True) if vias is not None else ():
+            if (found := lines.get(via)) is not None and (at := bisect_right(found[0], -ready)):
+                there = found[1][at - 1]
+                option = ((there[0] - arr) / 60 + there[1], there[2], via, there[0])
+                if best is None or option[:2] < best[:2]:
+                    best = option
+        if best is None:
             continue
-        rest, target, next_node, next_sec = min(options, key=lambda o: o[:2])
-        event = (dep, (arr - dep) / 60 + rest, target, int(r.dst), arr, next_node, next_sec)
+        event = (dep, (arr - dep) / 60 + best[0], best[1], dst, arr, best[2], best[3])
         if src not in own:
             own.add(src)
-            lines[src] = []
-        line = lines[src]
+            lines[src] = ([], [])
+        times, line = lines[src]
         after = line[-1] if line else heads.get(src)
-        if after is not None and after[0] != dep and (wait := (after[0] - dep) / 60 + after[1]) <= event[1]:
-            event = (dep, wait, after[2], None, None, src, after[0])
-        if line and line[-1][0] == dep:
-            if event[1] < line[-1][1]:
-                line[-1] = event
+        if after is not None and (after[0] - dep) / 60 + after[1] <= event[1]:
+            continue
+        if line and after[0] == dep:
+            line[-1] = event
         else:
+            times.append(-dep)
             line.append(event)
-    out = [(int(key[0]), node, *e) for node in own for e in lines[node]]
+    out = list(zip(*[(key[0], node, *e) for node in own for e in lines[node][1]], strict=True))
     names = [f.split()[0] for f in EVENTS.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names if n not in ("minutes",)})
+    return pd.DataFrame({n: pd.array(out[i] if out else [], dtype="float64" if n == "minutes" else "Int64") for i, n in enumerate(names)})
+
+
+def _undominated(rides: DataFrame) -> DataFrame:
+    """Rides without one between the same stops that leaves later and is there no later; waiting for that one is as quick as to take the others."""
+    later = Window.partitionBy("src", "dst").orderBy(F.col("dep").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    return rides.withColumn("_arr", F.min("arr").over(later)).where("_arr is null or arr < _arr").drop("_arr")
+
+
+def _with_waits(found: DataFrame, rides: DataFrame, walks: DataFrame, goal: DataFrame, least: int) -> DataFrame:
+    """``found`` and all other departures of ``rides`` from which a target is reached, each of which waits for its stop's next one in ``found``."""
+    last = found.groupBy("key", "node").agg(F.max("sec").alias("sec"))
+    # how late a ride to a stop may be there to lead on
+    reach = goal.select("key", "node", F.lit((1 << 63) - 1).alias("sec")).unionByName(last)
+    reach = reach.unionByName(last.join(walks, F.col("node") == F.col("via")).select("key", F.col("_from").alias("node"), (F.col("sec") - F.bround(F.col("minutes") * 60).cast("bigint") - least).alias("sec")))
+    reach = reach.groupBy("key", F.col("node").alias("_goal")).agg(F.max("sec").alias("_last"))
+    every = rides.join(reach, (F.col("dst") == F.col("_goal")) & (F.col("arr") <= F.col("_last"))).select("key", F.col("src").alias("node"), F.col("dep").alias("sec")).distinct()
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+    full = every.join(found.withColumn("_own", F.lit(True)), ["key", "node", "sec"], "left")
+    line = Window.partitionBy("key", "node").orderBy(F.col("sec").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = full.withColumn("_b", F.last(F.when(F.col("_own"), F.struct("sec", "minutes", "target")), ignorenulls=True).over(line))
+    wait = {"minutes": (F.col("_b.sec") - F.col("sec")) / 60 + F.col("_b.minutes"), "target": F.col("_b.target"), "next_node": F.col("node"), "next_sec": F.col("_b.sec")}
+    return full.select(*[F.when(F.col("_own"), F.col(n)).otherwise(wait[n]).alias(n) if n in wait else F.col(n) for n in names])
+
+
+def _by_slice(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table whose slices are read one by one."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.repartition("slice", "region").write.partitionBy("slice").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _slices(rides: DataFrame, slice_rides: int) -> list[int]:
@@ -109,6 +133,7 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
     ``rides`` (dep, arr, src, dst) lead forward in time, ``walks`` (src, dst, minutes) between stops, ``egress`` (key, node, minutes, target) from stops to targets; a
     key is a set of targets, of which there are as many as facilities in a run. Staying at a stop costs the wait, changing to another one also the walk and the least
     transfer time. ``regions`` (node, region) deals the stops to tasks; without it a slice of ``slice_rides`` rides is one task for each key.
+    A ride that another one of the same two stops makes needless isn't scanned: its departure waits, as do all at which a later one is as quick, for the next that is boarded.
     Rides without a way to a target have no row; null times and stops don't count; of equal minutes the smaller target wins within a ride.
     """
     spark = rides.sparkSession
@@ -118,7 +143,8 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
     keys = sorted(int(r["key"]) for r in goal.select("key").distinct().collect())
     if not keys:
         return spark.createDataFrame([], EVENTS)
-    day = rides.select(*[F.col(c).cast("bigint").alias(c) for c in RIDE]).where("arr > dep and src is not null and dst is not null").distinct()
+    rides = checkpointed(rides.select(*[F.col(c).cast("bigint").alias(c) for c in RIDE]).where("arr > dep and src is not null and dst is not null").distinct())
+    day = _undominated(rides)
     if regions is None:
         day = day.withColumn("region", F.lit(0).cast("bigint"))
     else:
@@ -127,13 +153,13 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
     day = checkpointed(day)
     cuts = _slices(day, slice_rides)
     bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    day = checkpointed(day.withColumn("slice", F.size(F.filter(bounds, lambda b: b <= F.col("dep")))))
+    day = _by_slice(day.withColumn("slice", F.size(F.filter(bounds, lambda b: b <= F.col("dep")))), "rides")
     stops = checkpointed(day.select(F.col("src").alias("_stop"), F.col("region").alias("_home")).distinct())
     there = walks.select(F.col("src").alias("_from"), F.col("dst").cast("bigint").alias("via"), "minutes")
     stay = day.select("slice", "region", *RIDE, F.col("dst").alias("via"), F.col("arr").alias("ready"))
     change = day.join(there, F.col("dst") == F.col("_from")).select("slice", "region", *RIDE, "via", (F.col("arr") + F.bround(F.col("minutes") * 60).cast("bigint") + least).alias("ready"))
     # only stops that a ride leaves can be gone on from; whose region it is tells what regions exchange
-    hops = checkpointed(stay.unionByName(change).join(stops, F.col("via") == F.col("_stop")).drop("_stop"))
+    hops = _by_slice(stay.unionByName(change).join(stops, F.col("via") == F.col("_stop")).drop("_stop"), "hops")
     # one row for each slice: how late its rides look for a departure
     latest = {int(r["slice"]): int(r["t"]) for r in hops.groupBy("slice").agg(F.max("ready").alias("t")).collect()}
     out: DataFrame | None = None
@@ -142,11 +168,12 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
         until = cuts[k] if k < len(cuts) else None
         own, mine = day.where(F.col("slice") == k), hops.where(F.col("slice") == k)
         inner = mine if until is None else mine.where(F.col("ready") < until)
-        onward = inner.groupBy(*RIDE).agg(F.collect_list(F.struct("via", "ready")).alias("onward"))
+        onward = inner.groupBy(*RIDE).agg(F.collect_list(F.struct("via", "ready")).alias("_on")).select(*RIDE, F.col("_on.via").alias("vias"), F.col("_on.ready").alias("readies"))
         best = _options(own, mine, goal, labels, until)
         every = own.withColumn("key", F.explode(F.array(*[F.lit(x).cast("bigint") for x in keys])))
-        rows = every.join(onward, list(RIDE), "left").join(best, ["key", *RIDE], "left").where("rest is not null or onward is not null")
-        rows = checkpointed(rows.select("key", "region", *RIDE, "rest", "target", "next_node", "next_sec", "onward"))
+        rows = every.join(onward, list(RIDE), "left").join(best, ["key", *RIDE], "left").where("rest is not null or vias is not null")
+        known_ids = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("target", "next_node", "next_sec")]
+        rows = checkpointed(rows.select("key", "region", *RIDE, "rest", F.col("next_sec").isNotNull().alias("later"), *known_ids, "vias", "readies"))
         empty = spark.createDataFrame([], "key bigint, region bigint, node bigint, sec bigint, minutes double, target bigint, head boolean")
         heads = empty
         if labels is not None:
@@ -162,7 +189,7 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
                 break
             foreign = checkpointed(found.join(asked, F.col("node") == F.col("_via")).select("key", F.col("_asks").alias("region"), "node", "sec", "minutes", "target", F.lit(False).alias("head")))
             now = tuple(foreign.agg(F.count("*"), F.sum(F.xxhash64("key", "region", "node", "sec", "minutes", "target").cast("decimal(38,0)"))).first())
-            if now == told:
+            if now == told or not now[0]:
                 break
             told = now
         out = found if out is None else out.unionByName(found)
@@ -173,7 +200,7 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
             known = known if labels is None else labels.unionByName(known)
             far = known.where(F.col("sec") > horizon).groupBy("key", "node").agg(F.min(F.struct("sec", "minutes", "target")).alias("_f")).select("key", "node", "_f.*")
             labels = checkpointed(known.where(F.col("sec") <= horizon).unionByName(far))
-    return out
+    return written(_with_waits(out, rides, there, goal, least), "profiles")
 
 
 def followed(starts: DataFrame, pointers: DataFrame, at: Sequence[str], to: Sequence[str], most: int = 1 << 20) -> DataFrame:
