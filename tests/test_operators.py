@@ -370,3 +370,14 @@ def test_car_ways_near_many_ways_are_found_by_many_tasks(spark, monkeypatch):
     assert len(used) == 2
     assert {r.edge_id for r in rows if r.overlap_met_auto} == set(range(0, 300, 2))
     assert all(r.overlap_auto_wvk_id == (r.edge_id if r.edge_id % 2 == 0 else None) for r in rows)
+
+
+def test_static_minutes_pairs_are_dealt_and_wrong_walks_hide_no_ride(spark):
+    rides = spark.createDataFrame([(1, 2, 5.0), (1, 2, 7.0), (2, 3, 4.0)], "src bigint, dst bigint, minutes double")
+    pairs = transit.stop_pairs(rides)
+    # no task gets the pairs of several partitions, however small these are
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    walks = spark.createDataFrame([(2, 3, -1.0), (3, 4, 2.0)], "src bigint, dst bigint, minutes double")
+    egress = spark.createDataFrame([(4, 1.0, 40), (4, 1.0, 39)], "node bigint, minutes double, target bigint")
+    got = {r.node: (r.minutes, r.target) for r in transit.static_minutes(pairs, walks, egress).collect()}
+    assert got == {1: (12.0, 39), 2: (7.0, 39)}

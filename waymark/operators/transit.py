@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as g
 from waymark.functions import text, times
 from waymark.operators.relational import groups_with_hit
-from waymark.operators.spatial import nearest, within_distance
+from waymark.operators.spatial import dealt, nearest, within_distance
+from waymark.session import checkpointed
 
 #: Route types with their modes, operators that count, and the seconds that replace a bus ride of none.
 ROUTE_MODES = {"2": "train", "3": "bus", "4": "ferry"}
@@ -180,27 +181,20 @@ def stop_pairs(edges: DataFrame, line: str | None = None) -> DataFrame:
     ``edges`` has src, dst and minutes; pairs without nodes, without minutes or with none above zero drop out.
     """
     usable = edges.where("src is not null and dst is not null and minutes is not null and minutes > 0")
+    # pairs are nearly as many as edges: dealt out over all partitions, none merged, so a task's hash table stays small
+    usable = dealt(usable, F.col("src"), F.col("dst"))
     if line is None:
         return usable.groupBy("src", "dst").agg(F.min("minutes").alias("minutes"))
     best = usable.where(F.col(line).isNotNull()).groupBy("src", "dst").agg(F.min_by(line, F.struct("minutes", line)).alias(line))
     return usable.groupBy("src", "dst").agg(F.min("minutes").alias("minutes")).join(best, ["src", "dst"], "left")
 
 
-def layered_edges(pairs: DataFrame, walks: DataFrame) -> DataFrame:
-    """A timetable-free transit graph in two layers: before and after the first ride.
-
-    Nodes are 2 * stop before a ride and 2 * stop + 1 behind one. Rides lead from either layer to the second, transfers stay in
-    it, so that an answer holds at least one ride. Seeds go on the second layer, origins on the first.
-    """
-    before, after = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1
-    rides = pairs.select(before("src").alias("src"), after("dst").alias("dst"), F.col("minutes").alias("weight")).unionByName(pairs.select(after("src").alias("src"), after("dst").alias("dst"), F.col("minutes").alias("weight")))
-    return rides.unionByName(walks.select(after("src").alias("src"), after("dst").alias("dst"), F.col("minutes").alias("weight"))).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-
-
 def static_minutes(pairs: DataFrame, walks: DataFrame, egress: DataFrame) -> DataFrame:
     """Least minutes from each stop to a target with at least one ride, by the quickest ride of each pair: (node, minutes, target)."""
     from waymark.operators.network import shortest_paths
 
-    seeds = egress.select((F.col("node") * 2 + 1).alias("node"), F.col("minutes").alias("cost"), "target")
-    found = shortest_paths(layered_edges(pairs, walks), seeds)
-    return found.where("node % 2 = 0").select(F.expr("node div 2").alias("node"), F.col("cost").alias("minutes"), "target")
+    # behind the first ride the search goes over stops, with rides and walks alike; the ride itself is one step from its result
+    pairs = checkpointed(pairs.select("src", "dst", F.col("minutes").alias("weight")))
+    behind = shortest_paths(pairs.unionByName(walks.select("src", "dst", F.col("minutes").alias("weight"))), egress.select("node", F.col("minutes").alias("cost"), "target"))
+    first = pairs.join(behind.select("node", "cost", "target"), F.col("dst") == F.col("node")).groupBy("src").agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("minutes"), "target")).alias("_best"))
+    return first.select(F.col("src").alias("node"), "_best.minutes", "_best.target")
