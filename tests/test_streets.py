@@ -143,3 +143,12 @@ def test_parts_of_long_chains(spark):
     got = streets.largest_part(df).collect()
     assert {r.u for r in got} | {r.v for r in got} == set(b)
     assert len(got) == len(b)
+
+
+def test_segments_are_dealt_over_all_partitions(spark):
+    nodes = spark.range(50).selectExpr("id as node", "5 + id * 0.001 as x", "53d as y").coalesce(1)
+    ways = spark.range(49).selectExpr("id as way_id", "array(id, id + 1) as nodes", "map('highway', 'residential') as tags").coalesce(1)
+    segments = streets.street_segments(streets.of_kind(ways, "walk"), nodes)
+    # few small files don't mean few tasks
+    assert segments.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.src, r.dst) for r in segments.collect()} == {(a, b) for n in range(49) for a, b in ((n, n + 1), (n + 1, n))}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as g
 from waymark.operators.profiles import followed
 from waymark.operators.relational import dense_numbers, first_per_key
+from waymark.operators.spatial import dealt
 from waymark.session import checkpointed
 
 #: The parsed form of an answer with nodes and ways.
@@ -71,7 +72,8 @@ def street_segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     row = lambda s, t: F.struct(F.col(f"_{s}").alias("src"), F.col(f"_{t}").alias("dst"), F.col(f"{s}x").alias("ax"), F.col(f"{s}y").alias("ay"), F.col(f"{t}x").alias("bx"), F.col(f"{t}y").alias("by"))
     turns = F.array_compact(F.array(F.when(F.col("there"), row("a", "b")), F.when(F.col("back"), row("b", "a"))))
     each = placed.withColumn("_d", F.explode(turns)).select("_d.*", *[c for c in ways.columns if c not in ("nodes", "tags", "there", "back")])
-    return first_per_key(each, ["src", "dst"], [F.col("way_id")]).withColumn("length_m", g.haversine(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")))
+    # dealt out first: few small files would sort all segments in as few tasks
+    return first_per_key(dealt(each, F.col("src"), F.col("dst")), ["src", "dst"], [F.col("way_id")]).withColumn("length_m", g.haversine(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")))
 
 
 def _between(segments: DataFrame) -> DataFrame:
