@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import profiles
 
@@ -132,3 +133,20 @@ def test_needless_rides_wait_for_a_boarded_departure(spark):
     assert set(got) == {10 * n for n in range(40)} | {500} and all(x.target == far for x in got.values())
     assert got[500].ride_arr == 600 and got[500].next_node is None
     assert all(x.ride_dst is None and (x.next_node, x.next_sec) == (1, 500) and abs(x.minutes - ((600 - s) / 60 + 1)) < 1e-9 for s, x in got.items() if s < 500)
+
+
+def test_slices_follow_the_largest_region_and_the_quickest_rides(spark, monkeypatch):
+    """Four regions of a hundred rides fill four tasks of one slice; of forty rides of one departure only the quickest is scanned."""
+    day = spark.range(400).select(F.col("id").alias("dep"), (F.col("id") % 4).alias("region"))
+    assert profiles._slices(day, 100) == []
+    assert len(profiles._slices(day, 50)) == 1
+    # many small regions: the rides of a slice stay bounded
+    assert len(profiles._slices(spark.range(400).select(F.col("id").alias("dep"), F.col("id").alias("region")), 10)) == -(-400 // (10 * profiles.SLICE_REGIONS)) - 1
+    seen = []
+    plain = profiles._undominated
+    monkeypatch.setattr(profiles, "_undominated", lambda rides: seen.append(rides.count()) or plain(rides))
+    rides = spark.createDataFrame([*[(0, 1000 - 10 * n, 1, 2) for n in range(40)], (500, 900, 1, 2)], "dep bigint, arr bigint, src bigint, dst bigint")
+    egress = spark.createDataFrame([(0, 2, 1.0, 9)], "key bigint, node bigint, minutes double, target bigint")
+    walks = spark.createDataFrame([], "src bigint, dst bigint, minutes double")
+    got = {x.sec: (x.minutes, x.ride_arr) for x in profiles.departure_profiles(rides, walks, egress, 1.0).collect()}
+    assert seen == [2] and got == {0: (610 / 60 + 1, 610), 500: (400 / 60 + 1, 900)}

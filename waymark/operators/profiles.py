@@ -20,6 +20,8 @@ from waymark.operators.relational import asof_forward
 from waymark.session import checkpointed, ensure_checkpoint_dir, ship_package, written
 
 RIDE = ("dep", "arr", "src", "dst")
+#: A slice has the rides of so many full tasks at most: longer ones have fewer jobs, but rides cross more regions in each.
+SLICE_REGIONS = 8
 #: A departure, its best minutes and target; the ride taken there (null: wait for a later one), and the departure after it (null: walk to the target).
 EVENTS = "key bigint, node bigint, sec bigint, minutes double, target bigint, ride_dst bigint, ride_arr bigint, next_node bigint, next_sec bigint"
 
@@ -106,8 +108,9 @@ def _by_slice(df: DataFrame, name: str) -> DataFrame:
 
 
 def _slices(rides: DataFrame, slice_rides: int) -> list[int]:
-    """Times that cut the day into slices of about ``slice_rides`` rides."""
-    count = -(-rides.count() // slice_rides)
+    """Times that cut the day into slices of about ``slice_rides`` rides of the largest region, and ``SLICE_REGIONS`` times as many of all."""
+    sizes = rides.groupBy("region").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    count = max(-(-(sizes["most"] or 0) // slice_rides), -(-(sizes["all"] or 0) // (slice_rides * SLICE_REGIONS)))
     if count <= 1:
         return []
     cuts = rides.approxQuantile("dep", [k / count for k in range(1, count)], 0.25 / count)
@@ -132,8 +135,8 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
 
     ``rides`` (dep, arr, src, dst) lead forward in time, ``walks`` (src, dst, minutes) between stops, ``egress`` (key, node, minutes, target) from stops to targets; a
     key is a set of targets, of which there are as many as facilities in a run. Staying at a stop costs the wait, changing to another one also the walk and the least
-    transfer time. ``regions`` (node, region) deals the stops to tasks; without it a slice of ``slice_rides`` rides is one task for each key.
-    A ride that another one of the same two stops makes needless isn't scanned: its departure waits, as do all at which a later one is as quick, for the next that is boarded.
+    transfer time. ``regions`` (node, region) deals the stops to tasks; a slice has about ``slice_rides`` rides of the largest region,
+    which is one task for each key. A ride that another one of the same two stops makes needless isn't scanned: its departure waits, as do all at which a later one is as quick, for the next that is boarded.
     Rides without a way to a target have no row; null times and stops don't count; of equal minutes the smaller target wins within a ride.
     """
     spark = rides.sparkSession
@@ -143,7 +146,9 @@ def departure_profiles(rides: DataFrame, walks: DataFrame, egress: DataFrame, mi
     keys = sorted(int(r["key"]) for r in goal.select("key").distinct().collect())
     if not keys:
         return spark.createDataFrame([], EVENTS)
-    rides = checkpointed(rides.select(*[F.col(c).cast("bigint").alias(c) for c in RIDE]).where("arr > dep and src is not null and dst is not null").distinct())
+    # of the rides of one departure between two stops the quickest: who is there first can wait for all that the others reach
+    rides = rides.select(*[F.col(c).cast("bigint").alias(c) for c in RIDE]).where("arr > dep and src is not null and dst is not null")
+    rides = checkpointed(rides.groupBy("dep", "src", "dst").agg(F.min("arr").alias("arr")).select(*RIDE))
     day = _undominated(rides)
     if regions is None:
         day = day.withColumn("region", F.lit(0).cast("bigint"))
