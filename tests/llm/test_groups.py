@@ -609,3 +609,25 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     odd = [(None, None, None, None, None), (None, "a b", None, None, None), (5, "a b", "x", None, 3), (5, "a b", "x", None, 3), (5, "c d", "x", None, 3)]
     got = run_stages(spark, str(tmp_path / "b"), odd, schema, [])
     assert [len(g) for g in got] == [5] * 5
+
+
+def test_whole_copies_are_one_passage_and_not_seeded(spark, monkeypatch):
+    """Thirty copies of a text: each is one passage of the first; only originals are looked through for seeds."""
+    line = " ".join(f"line{i}" for i in range(30))
+    text = "  " + " ".join(f"word{i}" for i in range(70)) + " " + line + " "
+    rows = [(5, line), (7, text), *[(100 + i, text) for i in range(30)], (3, "short text"), (4, "short text"), (6, None), (8, None), (110, text)]
+    seen = []
+    plain = passages.shared_seeds
+    monkeypatch.setattr(passages, "shared_seeds", lambda docs: seen.append(sorted(r["doc"] for r in docs.where("text is not null").collect())) or plain(docs))
+    got = sorted(tuple(r) for r in passages.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert seen == [[3, 5, 7]]
+    assert got == [(100 + i, 2, len(text) - 1, 100, 1.0, 7, 2, len(text) - 1) for i in range(30)]
+
+
+def test_seeds_of_several_texts_are_those_of_each():
+    texts = ["a b c d e f g h i j k l m n o p q r s t " * 3, "", " ", "Één twee drie vier vijf zes zeven acht", "a b c d", "x " * 40, "日本 a b c\td e"]
+    row, seed, at = passages.seeds_of([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        _, s, a = passages.seeds_of([t.encode()])
+        assert (seed[row == i] == s).all() and (at[row == i] == a).all() and len(s) == (row == i).sum()
+    assert set(row) == {0, 3, 5, 6}

@@ -11,7 +11,7 @@ fills the gaps between them. The stretches of an alignment that pay are passages
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,13 @@ WIDEST, STEP = 256, 16
 MIN_WORDS, MIN_ALIKE, MIN_PIECE = 50, 0.8, 20
 #: One of so many documents is asked which seeds are frequent, and at most so many seeds are dealt out row by row; results don't depend on either.
 SAMPLE, HOT_SEEDS, HOT_ROWS = 64, 20_000, 32
+#: Bytes of texts whose words are hashed at once; a longer text is hashed alone.
+SEED_BYTES = 1 << 20
 #: Stands for a source that isn't known yet, in arrays.
 OPEN = np.iinfo(np.int64).min
+#: Columns of a passage.
+PASSAGE = (("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("alike", pa.float64()), ("source", pa.int64()), ("source_start", pa.int32()), ("source_stop", pa.int32()))
+_PASSAGE_DDL = "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int"
 
 _LEADING = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}"
 
@@ -57,35 +62,53 @@ def places_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return border[::2], border[1::2]
 
 
-def _minima(rolled: np.ndarray, window: int) -> np.ndarray:
-    if len(rolled) <= window:
-        return np.asarray([int(rolled.argmin())])
-    windows = np.lib.stride_tricks.sliding_window_view(rolled, window)
-    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+def _minima(rolled: np.ndarray, text: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash, the first of equal ones, in each window of the hashes of one text; of fewer hashes the smallest is kept.
 
-
-def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the kept seeds and where they start: the number of the word << 32 | code points before it << 1 | coarse."""
-    data = text.encode("utf-8", "surrogatepass").lower()
+    ``text`` has the number of each hash's text, ``first`` where each text's hashes begin.
+    """
+    kept = [np.zeros(0, np.int64)]
+    if len(rolled) >= window:
+        begin = np.flatnonzero(text[window - 1 :] == text[: len(text) - window + 1])
+        kept.append(begin + np.lib.stride_tricks.sliding_window_view(rolled, window)[begin].argmin(axis=1))
+    behind = np.concatenate([first[1:], [len(rolled)]])
+    few = np.flatnonzero((behind - first < window) & (behind > first))
+    kept.append(np.asarray([i + rolled[i:j].argmin() for i, j in zip(first[few].tolist(), behind[few].tolist(), strict=True)], np.int64))
+    return np.unique(np.concatenate(kept))
+
+
+def seeds_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept seeds of texts: the number of the text, the hash, and where it starts: the number of the word << 32 | code points before it << 1 | coarse."""
+    data = b" ".join(texts).lower()
     found = data.split()
-    n = len(found) - K + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    base = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    owner = np.searchsorted(base, begin, "right") - 1
+    # seeds lie in one text; those of all texts stand one after another
+    whole = np.flatnonzero(owner[K - 1 :] == owner[: max(0, len(owner) - K + 1)])
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     each = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    n = len(found) - K + 1
     rolled = np.zeros(n, np.uint64)
     for j in range(K):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
+    rolled = rolled[whole]
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    kept = _minima(rolled, WINDOW)
-    coarse = np.zeros(n, np.int64)
-    coarse[_minima(rolled, COARSE)] = 1
-    raw = np.frombuffer(data, np.uint8)
-    inside = (raw != 32) & ((raw < 9) | (raw > 13))
-    begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))[kept]
-    if len(raw) != len(text):
-        begin = (np.cumsum((raw & 0xC0) != 0x80) - 1)[begin]
-    return rolled[kept].view(np.int64), kept.astype(np.int64) << 32 | begin << 1 | coarse[kept]
+    text = owner[whole]
+    first = np.searchsorted(text, np.arange(len(texts)))
+    kept = _minima(rolled, text, first, WINDOW)
+    coarse = np.zeros(len(rolled), np.int64)
+    coarse[_minima(rolled, text, first, COARSE)] = 1
+    text, word = text[kept], whole[kept]
+    place, start = begin[word], base
+    if (raw >= 128).any():
+        points = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64) - 1
+        place, start = points[place], points[np.minimum(base, len(raw) - 1)]
+    return text, rolled[kept].view(np.int64), (word - np.searchsorted(owner, np.arange(len(texts)))[text]) << 32 | (place - start[text]) << 1 | coarse[kept]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -93,9 +116,16 @@ def seeds(docs: DataFrame) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [seeds_of(t) for t in texts_of(batch.column("text"))]
-            row = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), batch.column("doc").take(pa.array(row)), pa.array(np.concatenate([a for _, a in found]))], ["seed", "doc", "at"])
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            size = np.cumsum([len(t) for t in texts])
+            found, low = [], 0
+            while low < len(texts):
+                high = max(low + 1, int(np.searchsorted(size, size[low] + SEED_BYTES, "right")))
+                row, seed, at = seeds_of(texts[low:high])
+                found.append((row + low, seed, at))
+                low = high
+            row, seed, at = (np.concatenate([f[i] for f in found]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(seed), batch.column("doc").take(pa.array(row)), pa.array(at)], ["seed", "doc", "at"])
 
         return step
 
@@ -327,7 +357,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+def common(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
     """A longest common subsequence of words, as pairs of places (Hunt and Szymanski, 1977).
 
     Only pairs of equal words are looked at: the shortest end of a subsequence of each length is kept.
@@ -353,10 +383,24 @@ def common(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def _equal(a: list[bytes], b: list[bytes], i: int, j: int) -> int:
+    """How many words agree from i in ``a`` and j in ``b`` on; compared in blocks that double."""
+    n, block = 0, 8
+    while True:
+        x, y = a[i + n : i + n + block], b[j + n : j + n + block]
+        if x != y:
+            return n + next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        n += len(x)
+        if len(x) < block:
+            return n
+        block *= 2
+
+
+def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]], seen: dict) -> list[tuple[int, int, int]]:
     """The runs of agreeing words (i, j, length) of an alignment through matches that follow each other in both texts.
 
     It goes on for up to ``PAD`` words beyond the first and the last match. Gaps of over ``WIDEST`` words, over which no stretch pays, stay gaps.
+    ``seen`` has what steps beyond the ends found before.
     """
     anchors, i_end, j_end = [], 0, 0
     for i, j in line:
@@ -364,16 +408,14 @@ def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[
             continue
         while i > i_end and j > j_end and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
-        n = 0
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-            n += 1
+        n = _equal(a, b, i, j)
         if n:
             anchors.append((i, j, n))
             i_end, j_end = i + n, j + n
     if not anchors:
         return []
     i, j, _ = anchors[0]
-    ahead = _beyond(a[max(0, i - PAD) : i][::-1], b[max(0, j - PAD) : j][::-1])
+    ahead = _beyond(a[max(0, i - PAD) : i][::-1], b[max(0, j - PAD) : j][::-1], seen)
     runs = _as_runs([(i - 1 - p, j - 1 - q) for p, q in reversed(ahead)], 0, 0)
     i_end, j_end = i, j
     for i, j, n in anchors:
@@ -381,7 +423,7 @@ def _along(a: list[bytes], b: list[bytes], line: list[tuple[int, int]]) -> list[
             runs += _as_runs(common(a[i_end:i], b[j_end:j]), i_end, j_end)
         runs.append((i, j, n))
         i_end, j_end = i + n, j + n
-    return runs + _as_runs(_beyond(a[i_end : i_end + PAD], b[j_end : j_end + PAD]), i_end, j_end)
+    return runs + _as_runs(_beyond(a[i_end : i_end + PAD], b[j_end : j_end + PAD], seen), i_end, j_end)
 
 
 def _as_runs(pairs: list[tuple[int, int]], i: int, j: int) -> list[tuple[int, int, int]]:
@@ -395,21 +437,33 @@ def _as_runs(pairs: list[tuple[int, int]], i: int, j: int) -> list[tuple[int, in
     return runs
 
 
-def _beyond(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of places that go on from the beginning of two lists, ``STEP`` words at a time, as long as words that agree outweigh those that differ."""
+def _gaining(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
+    """The pairs of a longest common subsequence up to where words that agree outweigh those that differ the most."""
+    score, top, keep, p, q = 0, 0, 0, -1, -1
+    found = common(a, b)
+    for k, (x, y) in enumerate(found, 1):
+        score += 1 - max(x - p, y - q) + 1
+        p, q = x, y
+        if score > top:
+            top, keep = score, k
+    return found[:keep]
+
+
+def _beyond(a: list[bytes], b: list[bytes], seen: dict) -> list[tuple[int, int]]:
+    """Pairs of places that go on from the beginning of two lists, ``STEP`` words at a time, as long as words that agree outweigh those that differ.
+
+    ``seen`` keeps each step by its words: a text that repeats a line goes on from it in the same way.
+    """
     out: list[tuple[int, int]] = []
     i = j = 0
     while i < len(a) and j < len(b):
-        score, top, keep, p, q = 0, 0, 0, -1, -1
-        found = common(a[i : i + STEP], b[j : j + STEP])
-        for k, (x, y) in enumerate(found, 1):
-            score += 1 - max(x - p, y - q) + 1
-            p, q = x, y
-            if score > top:
-                top, keep = score, k
-        if not keep:
+        step = (tuple(a[i : i + STEP]), tuple(b[j : j + STEP]))
+        pairs = seen.get(step)
+        if pairs is None:
+            pairs = seen[step] = _gaining(*step)
+        if not pairs:
             break
-        out += [(i + x, j + y) for x, y in found[:keep]]
+        out += [(i + x, j + y) for x, y in pairs]
         i, j = out[-1][0] + 1, out[-1][1] + 1
     return out
 
@@ -464,9 +518,9 @@ def align(a: list[bytes], b: list[bytes], path: list[tuple[int, int]]) -> list[t
         if not lines or j <= lines[-1][-1][1]:
             lines.append([])
         lines[-1].append((i, j))
-    out = []
+    out, seen = [], {}
     for line in lines:
-        for stretch in _paying(_along(a, b, line)):
+        for stretch in _paying(_along(a, b, line, seen)):
             out += _alike_parts(stretch)
     return list(dict.fromkeys(out))
 
@@ -489,8 +543,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i0, i1, j0, j1, alike in found:
                 out.append((r["doc"], low_x + int(x_begin[i0]), low_x + int(x_end[i1 - 1]), i1 - i0, alike, r["source"], low_y + int(y_begin[j0]), low_y + int(y_end[j1 - 1])))
         if out:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc", "start", "stop", "words", "alike", "source", "source_start", "source_stop"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(PASSAGE)], [n for n, _ in PASSAGE])
     release_memory()
 
 
@@ -501,7 +554,7 @@ def merge(pieces: list[dict]) -> list[dict]:
     proportion to their characters).
     """
     out: list[dict] = []
-    for p in sorted(pieces, key=lambda p: (p["start"], -p["stop"], p["source"], p["source_start"])):
+    for p in sorted(pieces, key=lambda p: (p["start"], -p["stop"], p["source"], p["source_start"], p["source_stop"], -p["alike"], p["words"])):
         if out and p["start"] <= out[-1]["stop"] + 2:
             top = out[-1]
             extra = max(0, p["stop"] - max(top["stop"], p["start"]))
@@ -516,8 +569,7 @@ def merge(pieces: list[dict]) -> list[dict]:
 
 def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = [(doc, p) for doc, pieces in zip(batch.column("doc").to_pylist(), batch.column("pieces").to_pylist(), strict=True) for p in merge(pieces)]
-    names = (("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("alike", pa.float64()), ("source", pa.int64()), ("source_start", pa.int32()), ("source_stop", pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), *(pa.array([p[n] for _, p in rows], k) for n, k in names)], ["doc", *(n for n, _ in names)])
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), *(pa.array([p[n] for _, p in rows], k) for n, k in PASSAGE[1:])], [n for n, _ in PASSAGE])
 
 
 def _several_texts(docs: DataFrame) -> DataFrame | None:
@@ -533,6 +585,23 @@ def _counting(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
     return docs.join(odd, F.col("doc") == F.col("_id"), "left").where(F.col("_counts").isNull() | (F.col("_counts") == F.xxhash64(F.coalesce("text", F.lit(""))))).drop("_id", "_counts")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """Documents (copy) whose whole text an earlier one (original, the first that has it) has too; texts are compared by SHA-256."""
+    hashed = checkpointed(docs.where("doc is not null and text is not null").select("doc", F.unhex(F.sha2("text", 256)).alias("h")).distinct())
+    first = hashed.groupBy("h").agg(F.min("doc").alias("original"), F.max("doc").alias("_last")).where("_last > original").select(F.col("h").alias("_h"), "original")
+    return checkpointed(hashed.join(first, F.col("h") == F.col("_h")).where("doc > original").select(F.col("doc").alias("copy"), "original"))
+
+
+def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A passage for each copy (doc, text, original) of enough words: its whole text."""
+    rows = []
+    for doc, text, original in zip(batch.column("doc").to_pylist(), texts_of(batch.column("text")), batch.column("original").to_pylist(), strict=True):
+        begin, end = places_of(text)
+        if len(begin) >= MIN_WORDS:
+            rows.append((doc, int(begin[0]), int(end[-1]), len(begin), 1.0, original, int(begin[0]), int(end[-1])))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(PASSAGE)], [n for n, _ in PASSAGE])
+
+
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that an earlier document (by id) has too, exactly or with few words changed.
 
@@ -541,7 +610,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     and empty texts and rows with a null id have no passages. Rows that share an id count as one document; if their texts
     differ, the one with the smallest xxhash64 is that document's, and the others are not searched. Other columns are ignored; an empty table gives no rows.
 
-    A seed meets its first occurrence only, so a passage that thousands share gives a match for each of them, not for each
+    A document whose whole text an earlier one has is one passage of the first that has it. Of all others, a seed meets its first occurrence only, so a passage that thousands share gives a match for each of them, not for each
     pair. A seed's first occurrence may stand outside the passage, in a text that has one line of it, so pairs of seeds over
     ``MIN_PIECE`` words meet their own first occurrence too.
     """
@@ -552,6 +621,10 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _repeated(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
     ship_package(docs.sparkSession)
     docs = _counting(docs, odd)
+    copies = _copies(docs)
+    # a whole copy is one passage; what its original shares with others is looked for once
+    whole = map_batches(docs.join(copies, F.col("doc") == F.col("copy")).select("doc", "text", "original"), lambda: _whole, _PASSAGE_DDL).dropDuplicates(["doc"])
+    docs = docs.join(copies, F.col("doc") == F.col("copy"), "left_anti")
     matches, runs = shared_seeds(docs)
     one = checkpointed(runs.groupBy("run").agg(F.min(F.struct("doc", "x", "x_end")).alias("one"), F.max("doc").alias("last")).where("one.doc < last").select(F.col("run").alias("_run"), "one"))
     more = runs.join(one, F.col("run") == F.col("_run")).where("doc > one.doc and not (source <=> one.doc and y <=> one.x)")
@@ -567,9 +640,9 @@ def _repeated(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
     cut = cut.select(*key, "side", "path", "low", F.substring("text", F.col("low") + 1, F.col("end") + behind - F.col("low")).alias("part"))
     of = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
     sides = cut.groupBy(*key).agg(of(0, "part").alias("x_text"), of(1, "part").alias("y_text"), of(0, "low").alias("x_low"), of(1, "low").alias("y_low"), F.max("path").alias("path"))
-    pieces = sides.mapInArrow(_align, "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int")
+    pieces = sides.mapInArrow(_align, _PASSAGE_DDL)
     by_doc = pieces.groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "words", "alike", "source", "source_start", "source_stop")).alias("pieces"))
-    return map_batches(by_doc, lambda: _merge, "doc bigint, start int, stop int, words int, alike double, source bigint, source_start int, source_stop int")
+    return map_batches(by_doc, lambda: _merge, _PASSAGE_DDL).unionByName(whole)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
