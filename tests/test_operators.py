@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import classes
+from waymark.functions import classes, geometry
 from waymark.operators import access, facilities, isochrones, maplayers, network, profiles, register, relational, reports, roads, rollup, spatial, transit
 from waymark.plans import config, legends, run
 
@@ -31,6 +31,44 @@ def test_distance_join_equals_brute_force(spark):
     assert far == set(best) - set(near)
 
 
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def box(x, y, w, h, turn=0, back=False):
+    corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    corners = corners[turn:] + corners[:turn]
+    corners = corners[::-1] if back else corners
+    return [*corners, corners[0]]
+
+
+def test_points_in_polygons_equal_brute_force(spark):
+    """Boxes from each corner both ways, other shapes, holes (one reaches out of its shell) and points on sides; each polygon comes back as it was."""
+    random.seed(7)
+    shapes = [[box(random.randrange(30), random.randrange(30), 3 + k, 9 - k, k % 4, k % 2)] for k in range(8)]
+    shapes += [[[(2, 2), (20, 4), (7, 19), (2, 2)]], [box(5, 5, 20, 20), box(9, 9, 6, 6)], [box(5, 5, 9, 9), box(12, 12, 15, 15)], [[(1, 1), (9, 1), (9, 9), (5, 20), (1, 1)]], [box(4, 4, 0, 8)], [box(0, 0, 9, 9), None], [], None]
+    shapes = [rings and [r and [{"x": float(x), "y": float(y)} for x, y in r] for r in rings] for rings in shapes]
+    polygons = spark.createDataFrame(list(enumerate(shapes)), f"rid int, polygon {RINGS}")
+    points = places(spark, [(n, float(n % 36), float(n // 36)) for n in range(36 * 36)] + [(2000, None, 3.0), (2001, float("nan"), 3.0), (2002, 5.5, 5.5)])
+    inside = geometry.within(F.col("x"), F.col("y"), F.col("polygon"))
+    want = {(r.id, r.rid) for r in points.crossJoin(polygons.where("size(polygon) > 0")).where(inside).collect()}
+    for size in (4.0, 50.0):
+        got = spatial.points_in_polygons(points, polygons, size=size).collect()
+        assert {(r.id, r.rid) for r in got} == want and len(got) == len(want) > 500
+        assert all([[p.asDict() for p in ring] if ring else ring for ring in r.polygon] == shapes[r.rid] for r in got)
+        left = spatial.points_in_polygons(points, polygons, size=size, how="left").collect()
+        alone = set(range(36 * 36)) | {2000, 2001, 2002}
+        assert sorted((r.id, -1 if r.rid is None else r.rid) for r in left) == sorted(want | {(n, -1) for n in alone - {n for n, _ in want}})
+
+
+def test_points_in_boxes_need_no_other_test(spark, monkeypatch):
+    """The test of the sides divides by zero here: boxes and points outside a polygon's bounds don't come to it."""
+    monkeypatch.setattr(spatial.g, "within", lambda x, y, _: F.lit(1.0) / (x - x) > 0)
+    rows = [(1, [[{"x": float(x), "y": float(y)} for x, y in box(0, 0, 40, 20)]]), (2, [[{"x": 60.0, "y": 60.0}, {"x": 70.0, "y": 60.0}, {"x": 60.0, "y": 70.0}, {"x": 60.0, "y": 60.0}]])]
+    points = places(spark, [(n, float(n % 55), float(n // 55)) for n in range(55 * 55)])
+    pairs = spatial.points_in_polygons(points, spark.createDataFrame(rows, f"rid int, polygon {RINGS}"), size=100.0)
+    assert {(r.id, r.rid) for r in pairs.collect()} == {(x + 55 * y, 1) for x in range(1, 40) for y in range(1, 20)}
+
+
 def test_building_match(spark):
     ring = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 10D, 'y', 0D), named_struct('x', 10D, 'y', 10D), named_struct('x', 0D, 'y', 10D), named_struct('x', 0D, 'y', 0D)))"
     buildings = spark.range(1).select(F.lit("p1").alias("pand_id"), F.expr(ring).alias("polygon"))

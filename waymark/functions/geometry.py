@@ -97,6 +97,17 @@ def within(px: Column, py: Column, polygon: Column) -> Column:
     return odd & ~F.exists(parts, on_edge)
 
 
+def is_box(polygon: Column) -> Column:
+    """Whether a polygon is one closed ring of four sides along the axes: what lies within it is what lies between its bounds."""
+    ring = F.get(polygon, F.lit(0))
+    a, b, c, d, end = (F.get(ring, F.lit(k)) for k in range(5))
+    same = lambda p, q, k: p[k] == q[k]
+    across = same(a, b, "x") & same(b, c, "y") & same(c, d, "x") & same(d, a, "y")
+    along = same(a, b, "y") & same(b, c, "x") & same(c, d, "y") & same(d, a, "x")
+    numbers = ~F.isnan((a["x"] + a["y"] + c["x"] + c["y"]).cast("double"))
+    return F.coalesce((F.size(polygon) == 1) & (F.size(ring) == 5) & same(a, end, "x") & same(a, end, "y") & (across | along) & numbers, F.lit(False))
+
+
 def parts(line: Column) -> Column:
     """The straight parts of a line as numbers: array of struct(ax, ay, dx, dy, size)."""
     flat = F.transform(segments(line), lambda s: F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"), distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]).alias("size")))

@@ -48,13 +48,21 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, righ
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "polygon", xy: tuple[str, str] = ("x", "y"), size: float = 500.0, how: str = "inner") -> DataFrame:
-    """Points with the polygons they lie within; with ``how`` left, points in none stay with nulls."""
-    box = g.bounds(F.col(polygon))
-    spread = polygons.withColumn("_cell", F.explode(_cells(box["xmin"], box["ymin"], box["xmax"], box["ymax"], size)))
+    """Points with the polygons they lie within; with ``how`` left, points in none stay with nulls.
+
+    The bounds of all rings are tested first; of a polygon that is a box, nothing else. Each polygon is shuffled once: others for their test, boxes only if the result keeps them.
+    """
+    x, y, shape = F.col(xy[0]), F.col(xy[1]), F.col(polygon)
+    box = g.bounds(F.array(F.flatten(F.filter(shape, lambda r: r.isNotNull()))))
+    low, high = (F.col("_x1"), F.col("_y1")), (F.col("_x2"), F.col("_y2"))
+    known = {"_x1": box["xmin"], "_y1": box["ymin"], "_x2": box["xmax"], "_y2": box["ymax"], "_other": F.when(~g.is_box(shape), shape)}
+    spread = polygons.withColumns({**known, polygon: F.when(g.is_box(shape), shape)}).withColumn("_cell", F.explode(_cells(*low, *high, size)))
     placed = _in_cells(points, *xy, size, "_p")
     placed, spread = dealt(placed, F.col("_pcx"), F.col("_pcy")), dealt(spread, F.col("_cell.cx"), F.col("_cell.cy"))
-    inside = g.within(F.col(xy[0]), F.col(xy[1]), F.col(polygon))
-    return placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & inside, how).drop("_pcx", "_pcy", "_cell")
+    near = (x > low[0]) & (x < high[0]) & (y > low[1]) & (y < high[1])
+    inside = near & (F.col("_other").isNull() | g.within(x, y, F.col("_other")))
+    pairs = placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & inside, how)
+    return pairs.withColumn(polygon, F.coalesce("_other", polygon)).drop("_pcx", "_pcy", "_cell", *known)
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, radius: float, line: str = "line", xy: tuple[str, str] = ("x", "y"), size: float | None = None) -> DataFrame:
