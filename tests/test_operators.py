@@ -69,6 +69,20 @@ def test_points_in_boxes_need_no_other_test(spark, monkeypatch):
     assert {(r.id, r.rid) for r in pairs.collect()} == {(x + 55 * y, 1) for x in range(1, 40) for y in range(1, 20)}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_crowded_cell_is_dealt_over_tasks(spark, how):
+    rows = [(k, [[{"x": float(x), "y": float(y)} for x, y in box(k, k, 20 + k, 9)]]) for k in range(6)]
+    polygons = spark.createDataFrame([*rows, (9, [[{"x": 90.0, "y": 1.0}, {"x": 99.0, "y": 1.0}, {"x": 90.0, "y": 9.0}, {"x": 90.0, "y": 1.0}]])], f"rid int, polygon {RINGS}")
+    points = places(spark, [(n, float(n % 40), float(n // 40)) for n in range(1600)] + [(2000, 150.0, 5.0), (2001, None, 5.0), (2002, 92.0, 2.0)])
+    whole = spatial.points_in_polygons(points, polygons, size=50.0, how=how)
+    parts = spatial.points_in_polygons(points, polygons, size=50.0, how=how, crowd=100)
+    assert parts.columns == whole.columns
+    pairs = lambda df: sorted((r.id, -1 if r.rid is None else r.rid) for r in df.collect())
+    assert pairs(parts) == pairs(whole) and len(pairs(parts)) > 500
+    tasks = lambda df: df.where("rid < 6").select(F.spark_partition_id()).distinct().count()
+    assert (tasks(whole), tasks(parts)) == (1, 4)
+
+
 def test_building_match(spark):
     ring = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 10D, 'y', 0D), named_struct('x', 10D, 'y', 10D), named_struct('x', 0D, 'y', 10D), named_struct('x', 0D, 'y', 0D)))"
     buildings = spark.range(1).select(F.lit("p1").alias("pand_id"), F.expr(ring).alias("polygon"))

@@ -47,10 +47,12 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, righ
     return first_per_key(within_distance(left, right, radius, left_xy, right_xy, out), [left_id], [F.col(out), F.col(right_id)])
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "polygon", xy: tuple[str, str] = ("x", "y"), size: float = 500.0, how: str = "inner") -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "polygon", xy: tuple[str, str] = ("x", "y"), size: float = 500.0, how: str = "inner", crowd: int | None = None) -> DataFrame:
     """Points with the polygons they lie within; with ``how`` left, points in none stay with nulls.
 
     The bounds of all rings are tested first; of a polygon that is a box, nothing else. Each polygon is shuffled once: others for their test, boxes only if the result keeps them.
+    With ``crowd``, points are read twice: those of a cell with more are dealt out over slices of about so many, each with the cell's polygons. Broadcast is a row for each
+    crowded cell, so at most one for every ``crowd`` points.
     """
     x, y, shape = F.col(xy[0]), F.col(xy[1]), F.col(polygon)
     box = g.bounds(F.array(F.flatten(F.filter(shape, lambda r: r.isNotNull()))))
@@ -58,11 +60,18 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon: str = "p
     known = {"_x1": box["xmin"], "_y1": box["ymin"], "_x2": box["xmax"], "_y2": box["ymax"], "_other": F.when(~g.is_box(shape), shape)}
     spread = polygons.withColumns({**known, polygon: F.when(g.is_box(shape), shape)}).withColumn("_cell", F.explode(_cells(*low, *high, size)))
     placed = _in_cells(points, *xy, size, "_p")
-    placed, spread = dealt(placed, F.col("_pcx"), F.col("_pcy")), dealt(spread, F.col("_cell.cx"), F.col("_cell.cy"))
+    cell, other = [F.col("_pcx"), F.col("_pcy")], [F.col("_cell.cx"), F.col("_cell.cy")]
+    if crowd:
+        crowded = F.broadcast(placed.groupBy(F.col("_pcx").alias("_x"), F.col("_pcy").alias("_y")).agg(F.ceil(F.count("*") / crowd).alias("_slices")).where("_slices > 1"))
+        sliced = lambda df, c: df.join(crowded, (c[0] == F.col("_x")) & (c[1] == F.col("_y")), "left").withColumn("_slices", F.coalesce("_slices", F.lit(1))).drop("_x", "_y")
+        placed = sliced(placed, cell).withColumn("_pslice", F.pmod(F.xxhash64(*points.columns), "_slices")).drop("_slices")
+        spread = sliced(spread, other).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1))).drop("_slices")
+        cell, other = [*cell, F.col("_pslice")], [*other, F.col("_slice")]
+    placed, spread = dealt(placed, *cell), dealt(spread, *other)
     near = (x > low[0]) & (x < high[0]) & (y > low[1]) & (y < high[1])
     inside = near & (F.col("_other").isNull() | g.within(x, y, F.col("_other")))
-    pairs = placed.join(spread, (F.col("_pcx") == F.col("_cell.cx")) & (F.col("_pcy") == F.col("_cell.cy")) & inside, how)
-    return pairs.withColumn(polygon, F.coalesce("_other", polygon)).drop("_pcx", "_pcy", "_cell", *known)
+    pairs = placed.join(spread, [*(a == b for a, b in zip(cell, other, strict=True)), inside], how)
+    return pairs.withColumn(polygon, F.coalesce("_other", polygon)).drop("_pcx", "_pcy", "_pslice", "_cell", "_slice", *known)
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, radius: float, line: str = "line", xy: tuple[str, str] = ("x", "y"), size: float | None = None) -> DataFrame:

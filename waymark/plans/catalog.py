@@ -381,7 +381,7 @@ def pip_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _places(spark, sf_dir, "r").withColumn("xm", F.col("rx") + 1000 + F.col("rid") % 7 * 500).withColumn("ym", F.col("ry") + 2000)
     corner = lambda a, b: geometry.point(F.col(a), F.col(b))
     polygons = r.select(F.col("rid").alias("buurt"), F.array(F.array(corner("rx", "ry"), corner("xm", "ry"), corner("xm", "ym"), corner("rx", "ym"), corner("rx", "ry"))).alias("polygon"))
-    return spatial.points_in_polygons(_places(spark, sf_dir), polygons, size=2000.0).select("vec_id", "buurt")
+    return spatial.points_in_polygons(_places(spark, sf_dir), polygons, size=2000.0, crowd=8192).select("vec_id", "buurt")
 
 
 @query("""WITH e AS (SELECT l_orderkey, l_linenumber, 52.5 + l_suppkey % 100 / 100.0 AS a, 5.0 + l_suppkey % 70 / 50.0 AS b, 52.5 + l_partkey % 100 / 100.0 AS c, 5.0 + l_partkey % 70 / 50.0 AS d FROM lineitem)
